@@ -24,3 +24,114 @@ def event_param_sample(events: DataFrame, event_name: str, param_key: str, start
                     param_double(param_key).alias("param_double"))
             .orderBy("event_time", USER)
             .limit(limit))
+
+
+def _ranked(df: DataFrame, metric: str, limit: int | None) -> DataFrame:
+    ordered = df.orderBy(F.col(metric).desc(), F.col(NAME).asc_nulls_last())
+    return ordered.limit(limit) if limit else ordered
+
+
+def event_user_counts(window: DataFrame) -> DataFrame:
+    """(user, event) -> rows. The pre-aggregate behind E1: it shrinks the data
+    before any cohort join and spreads a hot event over many (user, event) keys."""
+    return window.groupBy(USER, NAME).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_events(events: DataFrame, start: str, end: str, limit: int | None = 50,
+               cohort: list[dict] | None = None) -> DataFrame:
+    """Per event name, row count and distinct users, by count desc (name breaks ties).
+
+    Without a cohort, rows with a NULL user count in ``event_count`` but not in
+    ``unique_users``. With a cohort, only cohort users' events count.
+    """
+    from evlens.functions.cohort import cohort_users
+    window = scan(events, start, end)
+    per_user = event_user_counts(window)
+    if cohort:
+        per_user = per_user.join(cohort_users(window, cohort), USER, "left_semi")
+    agg = per_user.groupBy(NAME).agg(F.sum("n").alias("event_count"), F.count(USER).alias("unique_users"))
+    return _ranked(agg, "event_count", limit)
+
+
+def daily_activity(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
+    """Distinct users per shard day (``day`` as a date), ordered by day."""
+    from evlens.functions.cohort import restrict_users
+    from evlens.functions.timecols import shard_to_date
+    window = scan(events, start, end)
+    pairs = window.select("event_date", USER).distinct()
+    pairs = restrict_users(pairs, window, cohort)
+    return (pairs.groupBy(shard_to_date(F.col("event_date")).alias("day"))
+            .agg(F.count(USER).alias("dau"))
+            .orderBy("day"))
+
+
+def active_users(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
+    """Distinct users in the window (one row)."""
+    from evlens.functions.cohort import restrict_users
+    window = scan(events, start, end)
+    users = window.where(F.col(USER).isNotNull()).select(USER).distinct()
+    return restrict_users(users, window, cohort).agg(F.count(F.lit(1)).alias("active_users"))
+
+
+def total_events(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
+    """Number of event rows in the window (one row)."""
+    from evlens.functions.cohort import restrict_users
+    window = scan(events, start, end)
+    if not cohort:
+        return window.agg(F.count(F.lit(1)).alias("total_events"))
+    per_user = restrict_users(window.groupBy(USER).agg(F.count(F.lit(1)).alias("n")), window, cohort)
+    return per_user.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_events"))
+
+
+def recent_users(events: DataFrame, start: str, end: str, limit: int = 20) -> DataFrame:
+    """E5: most active non-NULL users with first / last seen (micros) and active UTC days."""
+    from evlens.functions.timecols import utc_day
+    agg = (scan(events, start, end).where(F.col(USER).isNotNull())
+           .groupBy(USER)
+           .agg(F.count(F.lit(1)).alias("event_count"),
+                F.min(TS).alias("first_seen"), F.max(TS).alias("last_seen"),
+                F.count_distinct(utc_day()).alias("active_days")))
+    return agg.orderBy(F.col("event_count").desc(), F.col(USER).asc()).limit(limit)
+
+
+def freshness(events: DataFrame, as_of, days_back: int = 3) -> DataFrame:
+    """Latest event time (micros) and number of shards with data in the last days."""
+    from evlens.sources.scan import recent_scan
+    return (recent_scan(events, as_of, days_back)
+            .agg(F.max(TS).alias("latest_event"),
+                 F.count_distinct("event_date").alias("days_with_data")))
+
+
+# --- fixed values: raw columns offered by field discovery -----------------------
+DISCOVERY_COLUMNS = (
+    ("geo.country", "Country"),
+    ("geo.region", "Region"),
+    ("geo.city", "City"),
+    ("platform", "Platform"),
+    ("device.category", "Device category"),
+    ("device.operating_system", "OS"),
+    ("app_info.version", "App version"),
+    ("traffic_source.source", "Traffic source"),
+    ("traffic_source.medium", "Traffic medium"),
+)
+# ---------------------------------------------------------------------------------
+
+
+def field_discovery(events: DataFrame, day: str, sample: int | None = None) -> DataFrame:
+    """Filterable fields - distinct user-property keys and event-param keys of one
+    shard, plus the fixed raw columns. Columns: field_type, field, label.
+
+    ``sample`` optionally caps the rows scanned (the reference reads 50,000 arbitrary
+    rows); the default reads the whole shard, so the result is deterministic.
+    """
+    from evlens.sources.scan import sample_day
+    shard = sample_day(events, day, sample).select("user_properties", "event_params")
+    up = (shard.select(F.explode(F.col("user_properties")["key"]).alias("field"))
+          .distinct().select(F.lit("user_property").alias("field_type"), "field"))
+    ep = (shard.select(F.explode(F.col("event_params")["key"]).alias("field"))
+          .distinct().select(F.lit("event_param").alias("field_type"), "field"))
+    found = up.unionByName(ep).where(F.col("field").isNotNull()).withColumn("label", F.col("field"))
+    spark = events.sparkSession
+    cols = spark.createDataFrame([("column", f, lbl) for f, lbl in DISCOVERY_COLUMNS],
+                                 "field_type string, field string, label string")
+    return cols.unionByName(found)

@@ -63,5 +63,130 @@ def q_funnel_strict(spark, sf):
     return finish(FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, strict=True))
 
 
+# ---------------------------------------------------------------- step 3: cohort operators
+from evlens.functions import cohort as C  # noqa: E402
+from evlens.operators import events as E  # noqa: E402
+
+
+def _f(field, op, values, field_type="column"):
+    return {"field": field, "field_type": field_type, "operator": op, "values": values}
+
+
+COHORTS = {
+    "cohort_not_equals": [_f("geo.region", "not_equals", ["ASIA"])],
+    "cohort_in": [_f("geo.country", "in", ["NATION_1", "NATION_2", "NATION_3", "NATION_4"])],
+    "cohort_not_in": [_f("device.category", "not_in", ["mobile"])],
+    "cohort_contains": [_f("geo.country", "contains", ["_1"])],
+    "cohort_starts_with": [_f("geo.country", "starts_with", ["NATION_2"])],
+    "cohort_user_property": [_f("segment", "equals", ["BUILDING"], "user_property")],
+}
+FUNNEL_COHORTS = {
+    "cohort_equals": [_f("platform", "equals", ["IOS"])],
+    # Both filters must hold on the same event row (user-level cohort).
+    "cohort_and": [_f("app_info.version", "equals", ["2.0"]),
+                   _f("screen_name", "equals", ["purchase"], "event_param")],
+    "cohort_event_param": [_f("k", "in", [7, 8, 9, 10, 11], "event_param")],
+}
+ROW_LEVEL_COHORT = [_f("app_info.version", "starts_with", ["2.1"]), _f("platform", "in", ["IOS", "WEB"])]
+
+
+def _top_events_cohort(name):
+    def run(spark, sf):
+        ev = events(spark, sf, fx.START, fx.END)
+        return finish(E.top_events(ev, fx.START, fx.END, limit=50, cohort=COHORTS[name]))
+    return run
+
+
+def _funnel_cohort(name):
+    def run(spark, sf):
+        ev = events(spark, sf, fx.START, fx.END)
+        return finish(FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS,
+                                cohort=FUNNEL_COHORTS[name]))
+    return run
+
+
+for _name in COHORTS:
+    register(_name)(_top_events_cohort(_name))
+for _name in FUNNEL_COHORTS:
+    register(_name)(_funnel_cohort(_name))
+
+
+@register("cohort_row_level")
+def q_cohort_row_level(spark, sf):
+    """Row-level cohort (C10): only matching event rows are counted."""
+    window = C.where_cohort(scan(events(spark, sf, fx.START, fx.END), fx.START, fx.END), ROW_LEVEL_COHORT)
+    return finish(window.groupBy(NAME).agg(F.count(F.lit(1)).alias("event_count"),
+                                           F.count_distinct(USER).alias("unique_users")))
+
+
+# ---------------------------------------------------------------- step 4: event aggregations
+@register("top_events")
+def q_top_events(spark, sf):
+    return finish(E.top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, limit=50))
+
+
+@register("top_events_cohort")
+def q_top_events_cohort(spark, sf):
+    return finish(E.top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, limit=50,
+                               cohort=[_f("geo.region", "in", ["EUROPE", "AMERICA"])]))
+
+
+@register("daily_activity")
+def q_daily_activity(spark, sf):
+    return finish(E.daily_activity(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("active_users")
+def q_active_users(spark, sf):
+    return finish(E.active_users(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("total_events")
+def q_total_events(spark, sf):
+    return finish(E.total_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("recent_users")
+def q_recent_users(spark, sf):
+    return finish(E.recent_users(events(spark, sf, fx.START, fx.END), fx.START, fx.END, limit=20))
+
+
+@register("freshness")
+def q_freshness(spark, sf):
+    return finish(E.freshness(events(spark, sf), fx.AS_OF, 3))
+
+
+@register("field_discovery")
+def q_field_discovery(spark, sf):
+    return finish(E.field_discovery(events(spark, sf, fx.END, fx.END), fx.END))
+
+
+# ---------------------------------------------------------------- step 5: retention
+from evlens.operators import retention as R  # noqa: E402
+
+RETENTION_COHORT = [_f("platform", "in", ["ANDROID", "WEB"])]
+
+
+@register("retention")
+def q_retention(spark, sf):
+    return finish(R.retention(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("retention_cohort")
+def q_retention_cohort(spark, sf):
+    return finish(R.retention(events(spark, sf, fx.START, fx.END), fx.START, fx.END, cohort=RETENTION_COHORT))
+
+
+@register("retention_headline")
+def q_retention_headline(spark, sf):
+    return finish(R.retention_headline(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("retention_maturity")
+def q_retention_maturity(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(R.maturity(R.retention(ev, fx.START, fx.END), fx.AS_OF))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -124,11 +124,188 @@ def funnel_strict() -> str:
     return funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, strict=True)
 
 
+# ---------------------------------------------------------------- step 3 / 4
+def top_events_sql(s: str, e: str, limit: int, cohort_where: str | None = None) -> str:
+    extra, join = "", ""
+    if cohort_where:
+        extra = (f"cohort_users AS (SELECT DISTINCT user_pseudo_id FROM ev "
+                 f"WHERE {between(s, e)} AND ({cohort_where}))")
+        join = "JOIN cohort_users cu USING (user_pseudo_id)"
+    body = f"""SELECT e.event_name, COUNT(*) AS event_count, COUNT(DISTINCT e.user_pseudo_id) AS unique_users
+FROM ev e {join}
+WHERE {between(s, e, 'e.event_date')}
+GROUP BY e.event_name
+ORDER BY event_count DESC, e.event_name
+LIMIT {limit}"""
+    return with_ev(body, extra)
+
+
+COHORT_SQL = {
+    "cohort_not_equals": "region IS NULL OR region != 'ASIA'",
+    "cohort_in": "country IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4')",
+    "cohort_not_in": "device_category IS NULL OR device_category NOT IN ('mobile')",
+    "cohort_contains": "country LIKE '%_1%'",
+    "cohort_starts_with": "country LIKE 'NATION_2%'",
+    "cohort_user_property": "segment = 'BUILDING'",
+}
+FUNNEL_COHORT_SQL = {
+    "cohort_equals": "platform = 'IOS'",
+    "cohort_and": "(app_version = '2.0') AND (screen_name = 'purchase')",
+    "cohort_event_param": "CAST(k AS VARCHAR) IN ('7', '8', '9', '10', '11')",
+}
+
+
+def cohort_row_level() -> str:
+    return with_ev(f"""SELECT event_name, COUNT(*) AS event_count, COUNT(DISTINCT user_pseudo_id) AS unique_users
+FROM ev WHERE {between(fx.START, fx.END)} AND app_version LIKE '2.1%' AND platform IN ('IOS', 'WEB')
+GROUP BY event_name""")
+
+
+def top_events() -> str:
+    return top_events_sql(fx.START, fx.END, 50)
+
+
+def top_events_cohort() -> str:
+    return top_events_sql(fx.START, fx.END, 50, "region IN ('EUROPE', 'AMERICA')")
+
+
+def daily_activity_sql(s: str, e: str) -> str:
+    return with_ev(f"""SELECT CAST(CAST(strptime(event_date, '%Y%m%d') AS DATE) AS VARCHAR) AS day,
+       COUNT(DISTINCT user_pseudo_id) AS dau
+FROM ev WHERE {between(s, e)} GROUP BY day ORDER BY day""")
+
+
+def daily_activity() -> str:
+    return daily_activity_sql(fx.START, fx.END)
+
+
+def active_users() -> str:
+    return with_ev(f"SELECT COUNT(DISTINCT user_pseudo_id) AS active_users FROM ev WHERE {between(fx.START, fx.END)}")
+
+
+def total_events() -> str:
+    return with_ev(f"SELECT COUNT(*) AS total_events FROM ev WHERE {between(fx.START, fx.END)}")
+
+
+def recent_users() -> str:
+    return with_ev(f"""SELECT user_pseudo_id, COUNT(*) AS event_count, MIN(event_timestamp) AS first_seen,
+       MAX(event_timestamp) AS last_seen, COUNT(DISTINCT uday) AS active_days
+FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL
+GROUP BY user_pseudo_id ORDER BY event_count DESC, user_pseudo_id LIMIT 20""")
+
+
+def freshness() -> str:
+    return with_ev("""SELECT MAX(event_timestamp) AS latest_event, COUNT(DISTINCT event_date) AS days_with_data
+FROM ev WHERE event_date BETWEEN '20240128' AND '20240131'""")
+
+
+def field_discovery() -> str:
+    cols = [("geo.country", "Country"), ("geo.region", "Region"), ("geo.city", "City"),
+            ("platform", "Platform"), ("device.category", "Device category"),
+            ("device.operating_system", "OS"), ("app_info.version", "App version"),
+            ("traffic_source.source", "Traffic source"), ("traffic_source.medium", "Traffic medium")]
+    values = ", ".join(f"({q(f)}, {q(lbl)})" for f, lbl in cols)
+    return with_ev(f"""SELECT 'column' AS field_type, f AS field, l AS label FROM (VALUES {values}) AS t(f, l)
+UNION ALL
+SELECT DISTINCT 'user_property', 'segment', 'segment' FROM ev WHERE event_date = {q(fx.END)}
+UNION ALL
+SELECT DISTINCT 'event_param', x, x
+FROM (SELECT unnest(['k', 'engagement_time_msec', 'ga_session_id', 'screen_name']) AS x
+      FROM ev WHERE event_date = {q(fx.END)})""")
+
+
+# ---------------------------------------------------------------- step 5
+def retention_sql(s: str, e: str, cohort_where: str | None = None) -> str:
+    extra, join = "", ""
+    if cohort_where:
+        extra = (f"cohort_users AS (SELECT DISTINCT user_pseudo_id FROM ev "
+                 f"WHERE {between(s, e)} AND ({cohort_where})),\n")
+        join = "JOIN cohort_users cu USING (user_pseudo_id)"
+    ctes = f"""{extra}first_seen AS (
+  SELECT e.user_pseudo_id, MIN(e.uday) AS cohort_day
+  FROM ev e {join} WHERE {between(s, e, 'e.event_date')} GROUP BY e.user_pseudo_id
+),
+activity AS (
+  SELECT DISTINCT e.user_pseudo_id, e.uday AS active_day
+  FROM ev e {join} WHERE {between(s, e, 'e.event_date')}
+),
+joined AS (
+  SELECT fs.cohort_day, fs.user_pseudo_id, a.active_day - fs.cohort_day AS day_offset
+  FROM first_seen fs JOIN activity a USING (user_pseudo_id)
+  WHERE a.active_day - fs.cohort_day BETWEEN 0 AND 30
+),
+cohort_sizes AS (
+  SELECT cohort_day, COUNT(DISTINCT user_pseudo_id) AS cohort_size FROM first_seen GROUP BY cohort_day
+)"""
+    body = """SELECT CAST(DATE '1970-01-01' + j.cohort_day AS VARCHAR) AS cohort_date,
+       cs.cohort_size,
+       COUNT(CASE WHEN j.day_offset = 1 THEN 1 END) AS d1_users,
+       COUNT(CASE WHEN j.day_offset = 7 THEN 1 END) AS d7_users,
+       COUNT(CASE WHEN j.day_offset = 30 THEN 1 END) AS d30_users,
+       COUNT(CASE WHEN j.day_offset = 1 THEN 1 END) / cs.cohort_size AS d1_rate,
+       COUNT(CASE WHEN j.day_offset = 7 THEN 1 END) / cs.cohort_size AS d7_rate,
+       COUNT(CASE WHEN j.day_offset = 30 THEN 1 END) / cs.cohort_size AS d30_rate
+FROM joined j JOIN cohort_sizes cs USING (cohort_day)
+GROUP BY j.cohort_day, cs.cohort_size
+ORDER BY cohort_date"""
+    return with_ev(body, ctes)
+
+
+def retention() -> str:
+    return rounded(retention_sql(fx.START, fx.END), ["d1_rate", "d7_rate", "d30_rate"])
+
+
+def retention_cohort() -> str:
+    return rounded(retention_sql(fx.START, fx.END, "platform IN ('ANDROID', 'WEB')"),
+                   ["d1_rate", "d7_rate", "d30_rate"])
+
+
+def headline_sql(retention_query: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    avg = lambda n: (f"CASE WHEN COALESCE(SUM(cohort_size), 0) > 0 "
+                     f"THEN SUM(d{n}_users) / SUM(cohort_size) ELSE 0.0 END AS d{n}_avg")
+    return f"""SELECT {g}{avg(1)}, {avg(7)}, {avg(30)},
+       CAST(COALESCE(SUM(d1_users), 0) AS BIGINT) AS d1_retained,
+       CAST(COALESCE(SUM(d7_users), 0) AS BIGINT) AS d7_retained,
+       CAST(COALESCE(SUM(d30_users), 0) AS BIGINT) AS d30_retained,
+       CAST(COALESCE(SUM(cohort_size), 0) AS BIGINT) AS total_users
+FROM ({retention_query}) AS r{gb}"""
+
+
+def retention_headline() -> str:
+    return rounded(headline_sql(retention_sql(fx.START, fx.END)), ["d1_avg", "d7_avg", "d30_avg"])
+
+
+def retention_maturity() -> str:
+    return f"""SELECT MIN(cohort_date) AS earliest_cohort, CAST(DATE '2024-01-31' - CAST(MIN(cohort_date) AS DATE) AS INTEGER) AS days_span,
+       CAST(DATE '2024-01-31' - CAST(MIN(cohort_date) AS DATE) AS INTEGER) >= 1 AS d1_ready,
+       CAST(DATE '2024-01-31' - CAST(MIN(cohort_date) AS DATE) AS INTEGER) >= 7 AS d7_ready,
+       CAST(DATE '2024-01-31' - CAST(MIN(cohort_date) AS DATE) AS INTEGER) >= 30 AS d30_ready
+FROM ({retention_sql(fx.START, fx.END)}) AS r"""
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
     "funnel": funnel,
     "funnel_strict": funnel_strict,
+    **{k: (lambda k=k: top_events_sql(fx.START, fx.END, 50, COHORT_SQL[k])) for k in COHORT_SQL},
+    **{k: (lambda k=k: funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS,
+                                  cohort_where=FUNNEL_COHORT_SQL[k])) for k in FUNNEL_COHORT_SQL},
+    "cohort_row_level": cohort_row_level,
+    "top_events": top_events,
+    "top_events_cohort": top_events_cohort,
+    "daily_activity": daily_activity,
+    "active_users": active_users,
+    "total_events": total_events,
+    "recent_users": recent_users,
+    "freshness": freshness,
+    "field_discovery": field_discovery,
+    "retention": retention,
+    "retention_cohort": retention_cohort,
+    "retention_headline": retention_headline,
+    "retention_maturity": retention_maturity,
 }
 
 
