@@ -188,5 +188,41 @@ def q_retention_maturity(spark, sf):
     return finish(R.maturity(R.retention(ev, fx.START, fx.END), fx.AS_OF))
 
 
+# ---------------------------------------------------------------- step 6: suggestions, breakdowns
+from evlens.operators import breakdown as B  # noqa: E402
+
+
+@register("suggest_steps")
+def q_suggest_steps(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(FN.suggest_steps(ev, "signup", "purchase", fx.START, fx.END, max_steps=5))
+
+
+@register("breakdown_values")
+def q_breakdown_values(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(B.breakdown_values(ev, "k", "event_param", fx.START, fx.END, top_n=5,
+                                     base_cohort=[_f("device.category", "equals", ["desktop"])]))
+
+
+@register("funnel_breakdown")
+def q_funnel_breakdown(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(B.funnel_breakdown(ev, fx.FUNNEL_STEPS, fx.START, fx.END, "k", "event_param",
+                                     fx.WINDOW_DAYS, top_n=5))
+
+
+@register("retention_breakdown")
+def q_retention_breakdown(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(B.retention_breakdown(ev, fx.START, fx.END, "geo.region", top_n=5))
+
+
+@register("compare_cohorts")
+def q_compare_cohorts(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(B.compare_cohorts(ev, fx.START, fx.END, "segment", "BUILDING", "MACHINERY"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

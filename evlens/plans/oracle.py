@@ -285,6 +285,144 @@ def retention_maturity() -> str:
 FROM ({retention_sql(fx.START, fx.END)}) AS r"""
 
 
+# ---------------------------------------------------------------- step 6
+def suggest_steps() -> str:
+    ctes = f"""journeys AS (
+  SELECT user_pseudo_id, event_name, event_timestamp AS t FROM ev WHERE {between(fx.START, fx.END)}
+),
+bounds AS (
+  SELECT user_pseudo_id,
+    MIN(CASE WHEN event_name = 'signup' THEN t END) AS start_t,
+    MIN(CASE WHEN event_name = 'purchase' THEN t END) AS end_t
+  FROM journeys WHERE event_name IN ('signup', 'purchase')
+  GROUP BY user_pseudo_id
+  HAVING start_t IS NOT NULL AND end_t IS NOT NULL AND end_t > start_t
+),
+middle AS (
+  SELECT j.event_name, COUNT(DISTINCT j.user_pseudo_id) AS users
+  FROM journeys j JOIN bounds b USING (user_pseudo_id)
+  WHERE j.t > b.start_t AND j.t < b.end_t AND j.event_name NOT IN ('signup', 'purchase')
+  GROUP BY j.event_name
+),
+top AS (SELECT event_name, users FROM middle ORDER BY users DESC, event_name LIMIT 5)"""
+    body = """SELECT 0 AS position, 'signup' AS event_name
+UNION ALL SELECT CAST(ROW_NUMBER() OVER (ORDER BY users DESC, event_name) AS INTEGER), event_name FROM top
+UNION ALL SELECT 6, 'purchase'"""
+    return with_ev(body, ctes)
+
+
+def values_cte(field_sql: str, s: str, e: str, top_n: int, base_where: str | None = None) -> str:
+    base = f" AND ({base_where})" if base_where else ""
+    return f"""vals AS (
+  SELECT value, COUNT(DISTINCT user_pseudo_id) AS users
+  FROM (SELECT {field_sql} AS value, user_pseudo_id FROM ev WHERE {between(s, e)}{base}) AS x
+  GROUP BY value HAVING value IS NOT NULL AND value <> ''
+  ORDER BY users DESC, value LIMIT {top_n}
+)"""
+
+
+def breakdown_values() -> str:
+    return with_ev("SELECT value, users FROM vals ORDER BY users DESC, value",
+                   values_cte("CAST(k AS VARCHAR)", fx.START, fx.END, 5, "device_category = 'desktop'"))
+
+
+def members_cte(field_sql: str, s: str, e: str, base_where: str | None = None) -> str:
+    base = f" AND ({base_where})" if base_where else ""
+    return f"""cohort_users AS (
+  SELECT DISTINCT v.value, e.user_pseudo_id
+  FROM ev e JOIN vals v ON {field_sql} = v.value
+  WHERE {between(s, e, 'e.event_date')}{base}
+)"""
+
+
+def funnel_breakdown() -> str:
+    steps, n, w = fx.FUNNEL_STEPS, len(fx.FUNNEL_STEPS), fx.WINDOW_DAYS
+    mins = ", ".join(f"MIN(CASE WHEN event_name = {q(ev)} THEN event_timestamp END) AS s{i}"
+                     for i, ev in enumerate(steps, 1))
+    counts = ["COUNT(DISTINCT CASE WHEN s1 IS NOT NULL THEN user_pseudo_id END) AS c1"]
+    counts += [f"COUNT(DISTINCT CASE WHEN s{i} IS NOT NULL AND s{i} > s{i-1} "
+               f"AND (s{i} - s1) // {DAY_US} <= {w} THEN user_pseudo_id END) AS c{i}" for i in range(2, n + 1)]
+    in_list = ", ".join(q(x) for x in steps)
+    ctes = ",\n".join([
+        values_cte("CAST(k AS VARCHAR)", fx.START, fx.END, 5),
+        members_cte("CAST(e.k AS VARCHAR)", fx.START, fx.END),
+        f"""step_events AS (
+  SELECT cu.value, e.user_pseudo_id, e.event_name, e.event_timestamp
+  FROM ev e JOIN cohort_users cu USING (user_pseudo_id)
+  WHERE {between(fx.START, fx.END, 'e.event_date')} AND e.event_name IN ({in_list})
+)""",
+        f"ust AS (SELECT value, user_pseudo_id, {mins} FROM step_events GROUP BY value, user_pseudo_id)",
+        f"cnt0 AS (SELECT value, {', '.join(counts)} FROM ust GROUP BY value)",
+        "cnt AS (SELECT vals.value, vals.users, "
+        + ", ".join(f"COALESCE(cnt0.c{i}, 0) AS c{i}" for i in range(1, n + 1))
+        + " FROM vals LEFT JOIN cnt0 USING (value))",
+    ])
+    rows = []
+    for i, ev in enumerate(steps, 1):
+        drop = ("CAST(NULL AS DOUBLE)" if i == 1 else
+                f"CASE WHEN c{i-1} > 0 THEN (c{i-1} - c{i}) / c{i-1} END")
+        rows.append(f"SELECT value AS series_label, users AS series_users, {i} AS step_index, {q(ev)} AS event, "
+                    f"c{i} AS users, CAST({drop} AS DOUBLE) AS drop_off_from_prev_pct, "
+                    f"CAST(CASE WHEN c1 <> 0 THEN c{i} / c1 ELSE 0.0 END AS DOUBLE) AS conversion_from_start_pct FROM cnt")
+    return rounded(with_ev("\nUNION ALL\n".join(rows), ctes),
+                   ["drop_off_from_prev_pct", "conversion_from_start_pct"])
+
+
+def retention_by_value_sql(field_sql: str, field_e_sql: str, vals: str) -> str:
+    ctes = ",\n".join([vals, members_cte(field_e_sql, fx.START, fx.END), f"""first_seen AS (
+  SELECT cu.value, e.user_pseudo_id, MIN(e.uday) AS cohort_day
+  FROM ev e JOIN cohort_users cu USING (user_pseudo_id)
+  WHERE {between(fx.START, fx.END, 'e.event_date')} GROUP BY cu.value, e.user_pseudo_id
+),
+activity AS (
+  SELECT DISTINCT cu.value, e.user_pseudo_id, e.uday AS active_day
+  FROM ev e JOIN cohort_users cu USING (user_pseudo_id)
+  WHERE {between(fx.START, fx.END, 'e.event_date')}
+),
+joined AS (
+  SELECT fs.value, fs.cohort_day, fs.user_pseudo_id, a.active_day - fs.cohort_day AS day_offset
+  FROM first_seen fs JOIN activity a ON fs.user_pseudo_id = a.user_pseudo_id AND fs.value = a.value
+  WHERE a.active_day - fs.cohort_day BETWEEN 0 AND 30
+),
+cohort_sizes AS (
+  SELECT value, cohort_day, COUNT(DISTINCT user_pseudo_id) AS cohort_size FROM first_seen GROUP BY value, cohort_day
+),
+per_cohort AS (
+  SELECT j.value, cs.cohort_size,
+    COUNT(CASE WHEN j.day_offset = 1 THEN 1 END) AS d1_users,
+    COUNT(CASE WHEN j.day_offset = 7 THEN 1 END) AS d7_users,
+    COUNT(CASE WHEN j.day_offset = 30 THEN 1 END) AS d30_users
+  FROM joined j JOIN cohort_sizes cs ON j.value = cs.value AND j.cohort_day = cs.cohort_day
+  GROUP BY j.value, j.cohort_day, cs.cohort_size
+),
+heads AS (
+  SELECT value, SUM(cohort_size) AS tot, SUM(d1_users) AS r1, SUM(d7_users) AS r7, SUM(d30_users) AS r30
+  FROM per_cohort GROUP BY value
+)"""])
+    body = """SELECT vals.value AS series_label, vals.users AS series_users,
+  CASE WHEN COALESCE(tot, 0) > 0 THEN r1 / tot ELSE 0.0 END AS d1_rate,
+  CASE WHEN COALESCE(tot, 0) > 0 THEN r7 / tot ELSE 0.0 END AS d7_rate,
+  CASE WHEN COALESCE(tot, 0) > 0 THEN r30 / tot ELSE 0.0 END AS d30_rate,
+  CAST(COALESCE(tot, 0) AS BIGINT) AS total_users
+FROM vals LEFT JOIN heads USING (value)"""
+    return rounded(with_ev(body, ctes), ["d1_rate", "d7_rate", "d30_rate"])
+
+
+def retention_breakdown() -> str:
+    return retention_by_value_sql("region", "e.region", values_cte("region", fx.START, fx.END, 5))
+
+
+def compare_cohorts() -> str:
+    vals = f"""vals AS (
+  SELECT w.value, COUNT(DISTINCT x.user_pseudo_id) AS users
+  FROM (VALUES ('BUILDING'), ('MACHINERY')) AS w(value)
+  LEFT JOIN (SELECT segment AS value, user_pseudo_id FROM ev WHERE {between(fx.START, fx.END)}) AS x
+    ON x.value = w.value
+  GROUP BY w.value
+)"""
+    return retention_by_value_sql("segment", "e.segment", vals)
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -306,6 +444,11 @@ ORACLES = {
     "retention_cohort": retention_cohort,
     "retention_headline": retention_headline,
     "retention_maturity": retention_maturity,
+    "suggest_steps": suggest_steps,
+    "breakdown_values": breakdown_values,
+    "funnel_breakdown": funnel_breakdown,
+    "retention_breakdown": retention_breakdown,
+    "compare_cohorts": compare_cohorts,
 }
 
 
