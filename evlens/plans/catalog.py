@@ -224,5 +224,91 @@ def q_compare_cohorts(spark, sf):
     return finish(B.compare_cohorts(ev, fx.START, fx.END, "segment", "BUILDING", "MACHINERY"))
 
 
+# ---------------------------------------------------------------- step 7: period comparisons
+from evlens.functions.periods import periods_from_range  # noqa: E402
+from evlens.operators import insights as I  # noqa: E402
+
+CONV_PAIR = ("signup", "purchase")
+_INSIGHT_SCALARS = ["id", "kind", "severity", "title", "detail", "event", "start_event", "end_event"]
+
+
+def _conversion(spark, sf, ordered=False):
+    ev = events(spark, sf, fx.LAST_WEEK[0], fx.THIS_WEEK[1])
+    return I.conversion_change(ev, *CONV_PAIR, fx.THIS_WEEK, fx.LAST_WEEK, fx.WINDOW_DAYS, ordered=ordered)
+
+
+@register("conversion_change")
+def q_conversion_change(spark, sf):
+    return finish(_conversion(spark, sf))
+
+
+@register("conversion_change_ordered")
+def q_conversion_change_ordered(spark, sf):
+    return finish(_conversion(spark, sf, ordered=True))
+
+
+def _correlation(spark, sf):
+    return I.retention_correlation(events(spark, sf, fx.START, fx.END), fx.START, fx.END, min_users=50)
+
+
+@register("retention_correlation")
+def q_retention_correlation(spark, sf):
+    return finish(_correlation(spark, sf))
+
+
+def _volume(spark, sf):
+    ev = events(spark, sf, fx.LAST_WEEK[0], fx.THIS_WEEK[1])
+    return I.event_volume_change(ev, fx.THIS_WEEK, fx.LAST_WEEK, min_users=50)
+
+
+@register("event_volume_change")
+def q_event_volume_change(spark, sf):
+    return finish(_volume(spark, sf))
+
+
+@register("adjacent_movers")
+def q_adjacent_movers(spark, sf):
+    return finish(I.adjacent_movers(events(spark, sf, fx.START, fx.END), *fx.HALF_B))
+
+
+@register("explain_context")
+def q_explain_context(spark, sf):
+    return finish(I.explain_context(events(spark, sf, fx.START, fx.END), *fx.HALF_B, kind="conversion"))
+
+
+# ---------------------------------------------------------------- step 8: insight rules
+@register("insight_conversion")
+def q_insight_conversion(spark, sf):
+    ts, te, ps, pe = periods_from_range(*fx.HALF_B)
+    conv = I.conversion_change(events(spark, sf, ps, te), *CONV_PAIR, (ts, te), (ps, pe), fx.WINDOW_DAYS)
+    return finish(I.rule_conversion(conv, *CONV_PAIR).select(*_INSIGHT_SCALARS))
+
+
+@register("insight_funnel_drop")
+def q_insight_funnel_drop(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    steps = FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS)
+    return finish(I.rule_funnel_drop(steps).select(*_INSIGHT_SCALARS))
+
+
+@register("insight_retention")
+def q_insight_retention(spark, sf):
+    return finish(I.rule_retention(_correlation(spark, sf)).select(*_INSIGHT_SCALARS))
+
+
+@register("insight_volume")
+def q_insight_volume(spark, sf):
+    return finish(I.rule_volume(_volume(spark, sf)).select(*_INSIGHT_SCALARS))
+
+
+@register("insights_ranked")
+def q_insights_ranked(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    steps = FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS)
+    ranked = I.run_insights(ev, *fx.HALF_B, funnel_steps=steps,
+                            funnel_start_event=CONV_PAIR[0], funnel_end_event=CONV_PAIR[1])
+    return finish(ranked.select("rank", *_INSIGHT_SCALARS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -70,7 +70,7 @@ ORDER BY event_time, user_pseudo_id LIMIT 100""")
 
 # ---------------------------------------------------------------- step 2
 def funnel_sql(steps: list[str], s: str, e: str, window: int, strict: bool = False,
-               cohort_where: str | None = None) -> str:
+               cohort_where: str | None = None, round_result: bool = True) -> str:
     n = len(steps)
     mins = ",\n    ".join(
         f"MIN(CASE WHEN event_name = {q(ev)} THEN event_timestamp END) AS s{i}"
@@ -113,6 +113,8 @@ ust AS (
   FROM step_events GROUP BY user_pseudo_id
 ),
 cnt AS (SELECT {', '.join(counts)} FROM ust)"""
+    if not round_result:
+        return with_ev(body, ctes)
     return rounded(with_ev(body, ctes), ["drop_off_from_prev_pct", "conversion_from_start_pct"])
 
 
@@ -423,6 +425,225 @@ def compare_cohorts() -> str:
     return retention_by_value_sql("segment", "e.segment", vals)
 
 
+# ---------------------------------------------------------------- step 7
+def pct_sql(x: str) -> str:
+    return f"(printf('%.1f', round(({x}) * 100, 1)) || '%')"
+
+
+def conversion_sql(this: tuple[str, str], last: tuple[str, str], window: int, ordered: bool = False) -> str:
+    order = " AND b.t >= a.t" if ordered else ""
+
+    def period(name, rng):
+        return f"""{name} AS (
+  SELECT user_pseudo_id, event_name, event_timestamp AS t FROM ev
+  WHERE {between(*rng)} AND event_name IN ('signup', 'purchase')
+)"""
+
+    def conv(name, src):
+        return f"""{name} AS (
+  SELECT COUNT(DISTINCT CASE WHEN event_name = 'signup' THEN user_pseudo_id END) AS starts,
+    COUNT(DISTINCT CASE WHEN user_pseudo_id IN (
+      SELECT a.user_pseudo_id FROM {src} a JOIN {src} b USING (user_pseudo_id)
+      WHERE a.event_name = 'signup' AND b.event_name = 'purchase'
+        AND (b.t - a.t) // {DAY_US} BETWEEN 0 AND {window}{order}
+    ) THEN user_pseudo_id END) AS finishes
+  FROM {src}
+)"""
+    ctes = ",\n".join([period("this_week", this), period("last_week", last),
+                        conv("this_conv", "this_week"), conv("last_conv", "last_week")])
+    body = """SELECT tc.starts AS this_starts, tc.finishes AS this_finishes,
+       tc.finishes / NULLIF(tc.starts, 0) AS this_rate,
+       lc.starts AS last_starts, lc.finishes AS last_finishes,
+       lc.finishes / NULLIF(lc.starts, 0) AS last_rate
+FROM this_conv tc, last_conv lc"""
+    return with_ev(body, ctes)
+
+
+def conversion_change() -> str:
+    return rounded(conversion_sql(fx.THIS_WEEK, fx.LAST_WEEK, fx.WINDOW_DAYS), ["this_rate", "last_rate"])
+
+
+def conversion_change_ordered() -> str:
+    return rounded(conversion_sql(fx.THIS_WEEK, fx.LAST_WEEK, fx.WINDOW_DAYS, ordered=True),
+                   ["this_rate", "last_rate"])
+
+
+def correlation_sql(s: str, e: str, min_users: int, limit: int = 10) -> str:
+    ctes = f"""first_seen AS (
+  SELECT user_pseudo_id, MIN(uday) AS cohort_day, MIN(event_timestamp) AS first_t
+  FROM ev WHERE {between(s, e)} GROUP BY user_pseudo_id
+),
+day1_events AS (
+  SELECT DISTINCT e.user_pseudo_id, e.event_name
+  FROM ev e JOIN first_seen f USING (user_pseudo_id)
+  WHERE {between(s, e, 'e.event_date')}
+    AND (e.event_timestamp - f.first_t) // {HOUR_US} BETWEEN 0 AND 24
+),
+d7_returning AS (
+  SELECT DISTINCT f.user_pseudo_id
+  FROM first_seen f JOIN ev e USING (user_pseudo_id)
+  WHERE {between(s, e, 'e.event_date')} AND e.uday - f.cohort_day = 7
+),
+event_universe AS (SELECT DISTINCT event_name FROM day1_events),
+agg AS (
+  SELECT eu.event_name,
+    COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NOT NULL THEN fs.user_pseudo_id END) AS did_event_users,
+    COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NULL THEN fs.user_pseudo_id END) AS no_event_users,
+    COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NOT NULL AND ret.user_pseudo_id IS NOT NULL
+                        THEN fs.user_pseudo_id END)
+      / NULLIF(COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NOT NULL THEN fs.user_pseudo_id END), 0)
+      AS d7_retention_with_event,
+    COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NULL AND ret.user_pseudo_id IS NOT NULL
+                        THEN fs.user_pseudo_id END)
+      / NULLIF(COUNT(DISTINCT CASE WHEN de.user_pseudo_id IS NULL THEN fs.user_pseudo_id END), 0)
+      AS d7_retention_without_event
+  FROM event_universe eu
+  CROSS JOIN first_seen fs
+  LEFT JOIN day1_events de ON de.user_pseudo_id = fs.user_pseudo_id AND de.event_name = eu.event_name
+  LEFT JOIN d7_returning ret ON ret.user_pseudo_id = fs.user_pseudo_id
+  GROUP BY eu.event_name
+  HAVING did_event_users >= {min_users} AND no_event_users >= {min_users}
+)"""
+    body = f"""SELECT event_name, did_event_users, no_event_users,
+       CAST(d7_retention_with_event AS DOUBLE) AS d7_retention_with_event,
+       CAST(d7_retention_without_event AS DOUBLE) AS d7_retention_without_event,
+       CAST(d7_retention_with_event - d7_retention_without_event AS DOUBLE) AS lift
+FROM agg ORDER BY lift DESC NULLS LAST, event_name LIMIT {limit}"""
+    return with_ev(body, ctes)
+
+
+def retention_correlation() -> str:
+    return rounded(correlation_sql(fx.START, fx.END, 50),
+                   ["d7_retention_with_event", "d7_retention_without_event", "lift"])
+
+
+def volume_sql(this, last, min_users: int, limit: int, prev_name: str = "last_users") -> str:
+    ctes = f"""this_week AS (
+  SELECT event_name, COUNT(DISTINCT user_pseudo_id) AS users FROM ev
+  WHERE {between(*this)} AND event_name IS NOT NULL GROUP BY event_name
+),
+last_week AS (
+  SELECT event_name, COUNT(DISTINCT user_pseudo_id) AS users FROM ev
+  WHERE {between(*last)} AND event_name IS NOT NULL GROUP BY event_name
+)"""
+    body = f"""SELECT COALESCE(t.event_name, l.event_name) AS event_name,
+       COALESCE(t.users, 0) AS this_users, COALESCE(l.users, 0) AS {prev_name},
+       CAST((COALESCE(t.users, 0) - COALESCE(l.users, 0)) / NULLIF(l.users, 0) AS DOUBLE) AS pct_change
+FROM this_week t FULL OUTER JOIN last_week l USING (event_name)
+WHERE COALESCE(l.users, 0) >= {min_users}
+ORDER BY ABS(COALESCE(pct_change, 0)) DESC, event_name
+LIMIT {limit}"""
+    return with_ev(body, ctes)
+
+
+def event_volume_change() -> str:
+    return rounded(volume_sql(fx.THIS_WEEK, fx.LAST_WEEK, 50, 10), ["pct_change"])
+
+
+def adjacent_movers() -> str:
+    return rounded(volume_sql(fx.HALF_B, fx.HALF_A, 30, 8, "prev_users"), ["pct_change"])
+
+
+def explain_context() -> str:
+    top = top_events_sql(fx.HALF_B[0], fx.HALF_B[1], 10)
+    movers = volume_sql(fx.HALF_B, fx.HALF_A, 30, 8, "prev_users")
+    return f"""SELECT 'top_events' AS section,
+       CAST(ROW_NUMBER() OVER (ORDER BY event_count DESC, event_name) AS INTEGER) AS position,
+       event_name, unique_users AS users, CAST(NULL AS BIGINT) AS this_users,
+       CAST(NULL AS BIGINT) AS prev_users, CAST(NULL AS DOUBLE) AS pct_change
+FROM ({top}) AS t
+UNION ALL
+SELECT 'adjacent_movers',
+       CAST(ROW_NUMBER() OVER (ORDER BY ABS(COALESCE(pct_change, 0)) DESC, event_name) AS INTEGER),
+       event_name, CAST(NULL AS BIGINT), this_users, prev_users, ROUND(COALESCE(pct_change, 0), 6)
+FROM ({movers}) AS m"""
+
+
+# ---------------------------------------------------------------- step 8
+INSIGHT_SELECT = "id, kind, ROUND(severity, 6) AS severity, title, detail, event, start_event, end_event"
+
+
+def rule_conversion_sql(conv: str, label: str = "vs previous period") -> str:
+    tr, lr = "COALESCE(this_rate, 0.0)", "COALESCE(last_rate, 0.0)"
+    rel = f"(({tr} - {lr}) / {lr})"
+    return f"""SELECT 'conv_change_signup_purchase' AS id, 'conversion' AS kind,
+       LEAST(1.0, ABS({rel}) * 2) AS severity,
+       'signup → purchase conversion ' || CASE WHEN {tr} - {lr} < 0 THEN 'dropped' ELSE 'increased' END
+         || ' ' || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
+       'This period: ' || {pct_sql(tr)} || ' (' || this_finishes || ' of ' || this_starts || ' users). Previous: '
+         || {pct_sql(lr)} || ' (' || last_finishes || ' of ' || last_starts || ').' AS detail,
+       CAST(NULL AS VARCHAR) AS event, 'signup' AS start_event, 'purchase' AS end_event
+FROM ({conv}) AS c
+WHERE {lr} <> 0 AND ABS({rel}) >= 0.05 AND COALESCE(this_starts, 0) >= 50"""
+
+
+def rule_funnel_sql(steps_sql: str) -> str:
+    d = "drop_off_from_prev_pct"
+    return f"""SELECT 'funnel_drop_' || event AS id, 'funnel' AS kind, LEAST(1.0, {d}) AS severity,
+       'Biggest drop-off is at "' || event || '" (' || {pct_sql(d)} || ')' AS title,
+       'Only ' || users || ' of the previous step''s users continued to ' || event
+         || '. This is the single biggest leak in the funnel.' AS detail,
+       event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
+FROM (SELECT * FROM ({steps_sql}) AS s WHERE step_index > 1 AND {d} IS NOT NULL
+      QUALIFY ROW_NUMBER() OVER (ORDER BY {d} DESC, step_index) = 1) AS w
+WHERE {d} >= 0.3"""
+
+
+def rule_retention_sql(corr: str) -> str:
+    w, wo = "COALESCE(d7_retention_with_event, 0.0)", "COALESCE(d7_retention_without_event, 0.0)"
+    lift = f"({w} - {wo})"
+    pp = f"printf('%.1f', round({lift} * 100, 1))"
+    return f"""SELECT 'ret_corr_' || event_name AS id, 'retention' AS kind, LEAST(1.0, {lift} * 2) AS severity,
+       'Users who do "' || event_name || '" on day 1 retain ' || {pp} || 'pp better at D7' AS title,
+       'D7 retention with event: ' || {pct_sql(w)} || ' (' || did_event_users || ' users). Without: '
+         || {pct_sql(wo)} || ' (' || no_event_users || ' users). Lift: +' || {pp} || ' percentage points.' AS detail,
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
+FROM (SELECT * FROM ({corr}) AS c
+      QUALIFY ROW_NUMBER() OVER (ORDER BY lift DESC NULLS LAST, event_name) <= 3) AS t
+WHERE {lift} >= 0.1"""
+
+
+def rule_volume_sql(vol: str, label: str = "this period") -> str:
+    rel = "COALESCE(pct_change, 0.0)"
+    return f"""SELECT 'vol_' || event_name AS id, 'volume' AS kind, LEAST(1.0, ABS({rel})) AS severity,
+       '"' || event_name || '" ' || CASE WHEN {rel} > 0 THEN 'spiked' ELSE 'dropped' END || ' '
+         || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
+       'This period: ' || this_users || ' users. Previous: ' || last_users || ' users.' AS detail,
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
+FROM (SELECT * FROM ({vol}) AS v
+      QUALIFY ROW_NUMBER() OVER (ORDER BY ABS({rel}) DESC, event_name) <= 3) AS t
+WHERE ABS({rel}) >= 0.25"""
+
+
+def insight_conversion() -> str:
+    return f"SELECT {INSIGHT_SELECT} FROM ({rule_conversion_sql(conversion_sql(fx.HALF_B, fx.HALF_A, 7))}) AS r"
+
+
+def insight_funnel_drop() -> str:
+    steps = funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, round_result=False)
+    return f"SELECT {INSIGHT_SELECT} FROM ({rule_funnel_sql(steps)}) AS r"
+
+
+def insight_retention() -> str:
+    return f"SELECT {INSIGHT_SELECT} FROM ({rule_retention_sql(correlation_sql(fx.START, fx.END, 50))}) AS r"
+
+
+def insight_volume() -> str:
+    return f"SELECT {INSIGHT_SELECT} FROM ({rule_volume_sql(volume_sql(fx.THIS_WEEK, fx.LAST_WEEK, 50, 10))}) AS r"
+
+
+def insights_ranked() -> str:
+    parts = [
+        rule_volume_sql(volume_sql(fx.HALF_B, fx.HALF_A, 50, 10)),
+        rule_retention_sql(correlation_sql(fx.HALF_B[0], fx.HALF_B[1], 50)),
+        rule_conversion_sql(conversion_sql(fx.HALF_B, fx.HALF_A, 7)),
+        rule_funnel_sql(funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, round_result=False)),
+    ]
+    union = "\nUNION ALL\n".join(f"SELECT {i} AS rule_no, * FROM ({p}) AS p{i}" for i, p in enumerate(parts))
+    return f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY severity DESC, rule_no, id) AS INTEGER) AS rank, {INSIGHT_SELECT}
+FROM ({union}) AS u"""
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -449,6 +670,17 @@ ORACLES = {
     "funnel_breakdown": funnel_breakdown,
     "retention_breakdown": retention_breakdown,
     "compare_cohorts": compare_cohorts,
+    "conversion_change": conversion_change,
+    "conversion_change_ordered": conversion_change_ordered,
+    "retention_correlation": retention_correlation,
+    "event_volume_change": event_volume_change,
+    "adjacent_movers": adjacent_movers,
+    "explain_context": explain_context,
+    "insight_conversion": insight_conversion,
+    "insight_funnel_drop": insight_funnel_drop,
+    "insight_retention": insight_retention,
+    "insight_volume": insight_volume,
+    "insights_ranked": insights_ranked,
 }
 
 
