@@ -20,16 +20,21 @@ from evlens.sources.scan import scan
 OFFSETS = (1, 7, 30)
 
 
-def user_days(window: DataFrame) -> DataFrame:
-    """Distinct (user, UTC day number) of a scanned window, NULL users dropped."""
-    return window.where(F.col(USER).isNotNull()).select(USER, utc_day().alias("day")).distinct()
+def user_days(window: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """Distinct (group, user, UTC day number) of a scanned window, NULL users dropped."""
+    g = list(group_cols or [])
+    return window.where(F.col(USER).isNotNull()).select(*g, USER, utc_day().alias("day")).distinct()
+
 
+def user_retention(window: DataFrame, offsets=OFFSETS, group_cols: list[str] | None = None) -> DataFrame:
+    """One row per (group,) user: ``cohort_day`` and a boolean ``d{N}`` per offset.
 
-def user_retention(window: DataFrame, offsets=OFFSETS) -> DataFrame:
-    """One row per user: ``cohort_day`` and a boolean ``d{N}`` per offset."""
-    ud = user_days(window).withColumn("cohort_day", F.min("day").over(Window.partitionBy(USER)))
+    ``group_cols`` (e.g. a period label) computes independent cohorts per group.
+    """
+    g = list(group_cols or [])
+    ud = user_days(window, g).withColumn("cohort_day", F.min("day").over(Window.partitionBy(*g, USER)))
     off = F.col("day") - F.col("cohort_day")
-    return (ud.groupBy(USER, "cohort_day")
+    return (ud.groupBy(*g, USER, "cohort_day")
             .agg(*[F.max(off == n).alias(f"d{n}") for n in offsets]))
 
 

@@ -310,5 +310,66 @@ def q_insights_ranked(spark, sf):
     return finish(ranked.select("rank", *_INSIGHT_SCALARS))
 
 
+# ---------------------------------------------------------------- step 9: investigation
+from datetime import datetime, timezone  # noqa: E402
+
+from evlens.operators import investigate as V  # noqa: E402
+from evlens.operators import kpis as K  # noqa: E402
+
+INVESTIGATE_COHORT = [_f("device.category", "equals", ["desktop"])]
+
+
+@register("investigate_where")
+def q_investigate_where(spark, sf):
+    ev = events(spark, sf, *fx.HALF_B)
+    return finish(V.investigate_where(ev, "purchase", *fx.HALF_B, base_cohort=INVESTIGATE_COHORT))
+
+
+def _timeline(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return V.investigate_when(ev, "purchase", *fx.HALF_B, base_cohort=INVESTIGATE_COHORT)
+
+
+@register("investigate_when")
+def q_investigate_when(spark, sf):
+    return finish(_timeline(spark, sf))
+
+
+@register("investigate_change_day")
+def q_investigate_change_day(spark, sf):
+    return finish(V.change_day(_timeline(spark, sf), *fx.HALF_B))
+
+
+# ---------------------------------------------------------------- step 10: dashboard
+@register("dashboard_kpis")
+def q_dashboard_kpis(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(K.dashboard_kpis(ev, *fx.HALF_B, cohort=[_f("platform", "in", ["IOS", "ANDROID"])]))
+
+
+@register("kpi_deltas")
+def q_kpi_deltas(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(K.kpi_deltas(K.dashboard_kpis(ev, *fx.HALF_B)))
+
+
+@register("growth_check")
+def q_growth_check(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(K.growth_check(E.daily_activity(ev, fx.START, fx.END)))
+
+
+@register("freshness_status")
+def q_freshness_status(spark, sf):
+    as_of = datetime(fx.AS_OF.year, fx.AS_OF.month, fx.AS_OF.day, tzinfo=timezone.utc)
+    return finish(K.freshness_status(E.freshness(events(spark, sf), fx.AS_OF, 3), as_of))
+
+
+@register("relative_share")
+def q_relative_share(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(K.relative_share(E.top_events(ev, fx.START, fx.END, limit=50)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

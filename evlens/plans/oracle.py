@@ -644,6 +644,144 @@ def insights_ranked() -> str:
 FROM ({union}) AS u"""
 
 
+# ---------------------------------------------------------------- step 9
+def investigate_where() -> str:
+    axes = [("country", "country"), ("platform", "platform"), ("app version", "app_version"),
+            ("device category", "device_category")]
+    parts = "\nUNION ALL\n".join(
+        f"""SELECT * FROM (SELECT {q(label)} AS axis, {col} AS value, COUNT(DISTINCT user_pseudo_id) AS users
+  FROM base GROUP BY value HAVING value IS NOT NULL AND value <> ''
+  ORDER BY users DESC, value LIMIT 5) AS a{i}""" for i, (label, col) in enumerate(axes))
+    ctes = f"""base AS (
+  SELECT * FROM ev WHERE {between(*fx.HALF_B)} AND event_name = 'purchase' AND device_category = 'desktop'
+),
+total AS (SELECT COUNT(DISTINCT user_pseudo_id) AS total_users FROM base),
+ax AS ({parts}),
+ranked AS (
+  SELECT axis, CAST(ROW_NUMBER() OVER (PARTITION BY axis ORDER BY users DESC, value) AS INTEGER) AS rank,
+         value, users, users / total_users AS share, total_users
+  FROM ax, total WHERE total_users > 0
+)"""
+    body = """SELECT axis, rank, value, users, ROUND(share, 6) AS share, (rank = 1 AND share >= 0.6) AS concentrated,
+       total_users AS total_affected_users FROM ranked"""
+    return with_ev(body, ctes)
+
+
+def timeline_sql() -> str:
+    return with_ev(f"""SELECT CAST(CAST(strptime(event_date, '%Y%m%d') AS DATE) AS VARCHAR) AS date,
+       COUNT(DISTINCT user_pseudo_id) AS dau,
+       COUNT(CASE WHEN event_name = 'purchase' THEN 1 END) AS target_count
+FROM ev WHERE {between(fx.START, fx.END)} AND device_category = 'desktop'
+GROUP BY date ORDER BY date""")
+
+
+def investigate_when() -> str:
+    return timeline_sql()
+
+
+def investigate_change_day() -> str:
+    return f"""WITH tl AS ({timeline_sql()}),
+b AS (SELECT AVG(CASE WHEN date < '2024-01-16' THEN target_count END) AS m,
+             COUNT(CASE WHEN date >= '2024-01-16' THEN 1 END) AS n_after FROM tl),
+bb AS (SELECT CASE WHEN n_after > 0 THEN CASE WHEN m = 0 THEN 1.0 ELSE m END END AS baseline FROM b)
+SELECT '20240101' AS baseline_start, '20240116' AS analysis_start, '20240130' AS analysis_end,
+       ROUND(CAST(baseline AS DOUBLE), 6) AS baseline,
+       (SELECT MIN(date) FROM tl WHERE date >= '2024-01-16'
+          AND ABS(target_count - bb.baseline) / GREATEST(bb.baseline, 1) >= 0.25) AS change_started_on
+FROM bb"""
+
+
+# ---------------------------------------------------------------- step 10
+def kpi_period_sql(period: str, s: str, e: str, cohort_where: str | None) -> str:
+    join = ""
+    cte = ""
+    if cohort_where:
+        cte = (f"cu AS (SELECT DISTINCT user_pseudo_id FROM ev WHERE {between(s, e)} AND ({cohort_where}))")
+        join = "JOIN cu USING (user_pseudo_id)"
+    head = headline_sql(retention_sql(s, e, cohort_where))
+    body = f"""SELECT {q(period)} AS period, {q(s)} AS period_start, {q(e)} AS period_end,
+  (SELECT COUNT(DISTINCT x.user_pseudo_id) FROM ev x {join} WHERE {between(s, e, 'x.event_date')}) AS active_users,
+  (SELECT COUNT(*) FROM ev x {join} WHERE {between(s, e, 'x.event_date')}) AS total_events,
+  h.d7_avg AS d7_rate, h.d7_retained, h.total_users AS total_cohorted
+FROM ({head}) AS h"""
+    return with_ev(body, cte)
+
+
+def dashboard_sql(cohort_where: str | None) -> str:
+    return (f"SELECT * REPLACE (ROUND(d7_rate, 6) AS d7_rate) FROM ("
+            f"SELECT * FROM ({kpi_period_sql('current', *fx.HALF_B, cohort_where)}) AS c\nUNION ALL\n"
+            f"SELECT * FROM ({kpi_period_sql('previous', *fx.HALF_A, cohort_where)}) AS p) AS k")
+
+
+def dashboard_kpis() -> str:
+    return dashboard_sql("platform IN ('IOS', 'ANDROID')")
+
+
+def kpi_deltas() -> str:
+    raw = (f"SELECT * FROM ({kpi_period_sql('current', *fx.HALF_B, None)}) AS c\nUNION ALL\n"
+           f"SELECT * FROM ({kpi_period_sql('previous', *fx.HALF_A, None)}) AS p")
+
+    def count_row(k):
+        c, p = f"c_{k}", f"p_{k}"
+        pct = f"CAST({c} - {p} AS DOUBLE) / {p} * 100"
+        return f"""SELECT '{k}' AS kpi, CAST({c} AS DOUBLE) AS current_value, CAST({p} AS DOUBLE) AS previous_value,
+  CAST(CASE WHEN {c} IS NULL OR {p} IS NULL THEN NULL WHEN {p} = 0 THEN CASE WHEN {c} = 0 THEN 0.0 END
+       ELSE round_even({pct}, 1) END AS DOUBLE) AS pct,
+  CAST(NULL AS DOUBLE) AS pp,
+  CASE WHEN {c} IS NULL OR {p} IS NULL THEN NULL WHEN {p} = 0 THEN CASE WHEN {c} = 0 THEN 'flat' ELSE 'up' END
+       WHEN {pct} > 0.5 THEN 'up' WHEN {pct} < -0.5 THEN 'down' ELSE 'flat' END AS direction,
+  CAST({c} - {p} AS BIGINT) AS absolute
+FROM w"""
+    pp = "(c_d7_rate - p_d7_rate) * 100"
+    d7 = f"""SELECT 'd7_rate', c_d7_rate, p_d7_rate, CAST(NULL AS DOUBLE),
+  round_even({pp}, 1),
+  CASE WHEN c_d7_rate IS NULL OR p_d7_rate IS NULL THEN NULL WHEN {pp} > 0.05 THEN 'up'
+       WHEN {pp} < -0.05 THEN 'down' ELSE 'flat' END,
+  CAST(NULL AS BIGINT)
+FROM w"""
+    return f"""WITH k AS ({raw}),
+w AS (SELECT
+  MAX(CASE WHEN period = 'current' THEN active_users END) AS c_active_users,
+  MAX(CASE WHEN period = 'previous' THEN active_users END) AS p_active_users,
+  MAX(CASE WHEN period = 'current' THEN total_events END) AS c_total_events,
+  MAX(CASE WHEN period = 'previous' THEN total_events END) AS p_total_events,
+  MAX(CASE WHEN period = 'current' THEN d7_rate END) AS c_d7_rate,
+  MAX(CASE WHEN period = 'previous' THEN d7_rate END) AS p_d7_rate
+FROM k)
+SELECT * REPLACE (ROUND(current_value, 6) AS current_value, ROUND(previous_value, 6) AS previous_value,
+                  ROUND(pct, 6) AS pct, ROUND(pp, 6) AS pp)
+FROM ({count_row('active_users')} UNION ALL {count_row('total_events')} UNION ALL {d7}) AS r"""
+
+
+def growth_check() -> str:
+    return f"""WITH daily AS ({daily_activity_sql(fx.START, fx.END)}),
+d AS (SELECT dau, ROW_NUMBER() OVER (ORDER BY day) AS a, ROW_NUMBER() OVER (ORDER BY day DESC) AS dd FROM daily),
+agg AS (SELECT COUNT(*) AS days, SUM(CASE WHEN a <= 7 THEN dau END) / 7 AS fw,
+               SUM(CASE WHEN dd <= 7 THEN dau END) / 7 AS lw FROM d)
+SELECT days,
+  ROUND(CAST(CASE WHEN days >= 14 THEN fw END AS DOUBLE), 6) AS first_week_avg,
+  ROUND(CAST(CASE WHEN days >= 14 THEN lw END AS DOUBLE), 6) AS last_week_avg,
+  ROUND(CAST(CASE WHEN days >= 14 THEN CASE WHEN fw <> 0 THEN (lw - fw) / fw ELSE 0.0 END END AS DOUBLE), 6)
+    AS rel_change,
+  CASE WHEN days >= 14 THEN CASE WHEN (CASE WHEN fw <> 0 THEN (lw - fw) / fw ELSE 0.0 END) >= 0
+       THEN 'up' ELSE 'down' END END AS direction
+FROM agg"""
+
+
+def freshness_status() -> str:
+    return f"""WITH f AS ({freshness()}),
+g AS (SELECT *, round_even((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - latest_event) / {HOUR_US}, 1) AS h FROM f)
+SELECT CASE WHEN latest_event IS NULL THEN 'no_data' WHEN h < 30 THEN 'fresh' WHEN h < 72 THEN 'stale'
+            ELSE 'broken' END AS status,
+       latest_event, ROUND(CAST(h AS DOUBLE), 6) AS hours_old, days_with_data
+FROM g"""
+
+
+def relative_share() -> str:
+    return f"""SELECT *, ROUND(unique_users / MAX(unique_users) OVER () * 100, 6) AS bar_pct
+FROM ({top_events_sql(fx.START, fx.END, 50)}) AS t"""
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -681,6 +819,14 @@ ORACLES = {
     "insight_retention": insight_retention,
     "insight_volume": insight_volume,
     "insights_ranked": insights_ranked,
+    "investigate_where": investigate_where,
+    "investigate_when": investigate_when,
+    "investigate_change_day": investigate_change_day,
+    "dashboard_kpis": dashboard_kpis,
+    "kpi_deltas": kpi_deltas,
+    "growth_check": growth_check,
+    "freshness_status": freshness_status,
+    "relative_share": relative_share,
 }
 
 
