@@ -371,5 +371,62 @@ def q_relative_share(spark, sf):
     return finish(K.relative_share(E.top_events(ev, fx.START, fx.END, limit=50)))
 
 
+# ---------------------------------------------------------------- step 11: users
+from evlens.operators import users as U  # noqa: E402
+
+JOURNEY_USER = "7"
+
+
+@register("user_journey")
+def q_user_journey(spark, sf):
+    return finish(U.user_journey(events(spark, sf, fx.START, fx.END), JOURNEY_USER, fx.START, fx.END))
+
+
+@register("journey_sample")
+def q_journey_sample(spark, sf):
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(U.journeys(ev, fx.START, fx.END, first=U.NARRATIVE_HEAD, last=U.NARRATIVE_TAIL))
+
+
+@register("user_totals")
+def q_user_totals(spark, sf):
+    return finish(U.user_totals(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+@register("user_top_events")
+def q_user_top_events(spark, sf):
+    return finish(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END))
+
+
+def _metrics(spark, sf):
+    return U.user_metrics(events(spark, sf, fx.START, fx.END), fx.START, fx.END)
+
+
+@register("user_metrics")
+def q_user_metrics(spark, sf):
+    m = _metrics(spark, sf)
+    return finish(m.select(
+        *[c for c in m.columns if c not in ("top_events", "platforms")],
+        F.array_join(F.transform("top_events", lambda t: F.concat_ws(":", t["event"], t["count"].cast("string"))),
+                     "|").alias("top_events"),
+        F.array_join("platforms", ",").alias("platforms")))
+
+
+@register("user_patterns")
+def q_user_patterns(spark, sf):
+    return finish(U.classify(_metrics(spark, sf), fx.AS_OF)
+                  .select(USER, "label", "confidence", "description"))
+
+
+@register("user_narrative")
+def q_user_narrative(spark, sf):
+    return finish(U.narrative(U.classify(_metrics(spark, sf), fx.AS_OF)))
+
+
+@register("user_focus")
+def q_user_focus(spark, sf):
+    return finish(U.focus_mix(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

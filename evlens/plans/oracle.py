@@ -782,6 +782,144 @@ def relative_share() -> str:
 FROM ({top_events_sql(fx.START, fx.END, 50)}) AS t"""
 
 
+# ---------------------------------------------------------------- step 11
+JOURNEY_COLS = """event_timestamp AS event_time, event_name, platform, CAST(NULL AS VARCHAR) AS page_title,
+       screen_name, engagement_msec, session_id, country, device_category, CAST(NULL AS VARCHAR) AS os,
+       app_version"""
+
+
+def user_journey() -> str:
+    return with_ev(f"""SELECT {JOURNEY_COLS}
+FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id = '7'
+ORDER BY event_time, event_name LIMIT 200""")
+
+
+def journey_sample() -> str:
+    return with_ev(f"""SELECT user_pseudo_id, seq, event_time, event_name, platform, page_title, screen_name,
+       engagement_msec, session_id, country, device_category, os, app_version
+FROM (
+  SELECT user_pseudo_id, CAST(a AS INTEGER) AS seq, * EXCLUDE (user_pseudo_id, a, d) FROM r WHERE a <= 8
+  UNION ALL
+  SELECT user_pseudo_id, CAST(-d AS INTEGER) AS seq, * EXCLUDE (user_pseudo_id, a, d) FROM r WHERE d <= 4
+) AS u""", f"""r AS (
+  SELECT user_pseudo_id, {JOURNEY_COLS},
+    ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_name) AS a,
+    ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp DESC, event_name DESC) AS d
+  FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL
+)""")
+
+
+def minutes_sql(ms: str) -> str:
+    qq, r = f"(({ms}) // 6000)", f"(({ms}) % 6000)"
+    return (f"(CASE WHEN {r} > 3000 THEN {qq} + 1 WHEN {r} < 3000 THEN {qq} "
+            f"ELSE {qq} + ({qq} % 2) END) / 10.0")
+
+
+def totals_cte() -> str:
+    return f"""tot AS (
+  SELECT user_pseudo_id, COUNT(*) AS event_count, COUNT(DISTINCT session_id) AS session_count,
+    COUNT(DISTINCT uday) AS active_days, MIN(event_timestamp) AS first_seen, MAX(event_timestamp) AS last_seen,
+    CAST({minutes_sql('SUM(COALESCE(engagement_msec, 0))')} AS DOUBLE) AS total_engagement_minutes,
+    MAX(uday) - MIN(uday) AS lifespan_days,
+    MIN(CASE WHEN country <> '' THEN country END) AS country,
+    (array_agg(app_version ORDER BY event_timestamp, app_version))[1] AS app_version,
+    string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms
+  FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL
+  GROUP BY user_pseudo_id
+)"""
+
+
+def top_cte() -> str:
+    return f"""topev AS (
+  SELECT * FROM (
+    SELECT user_pseudo_id, event_name AS event, COUNT(*) AS event_count,
+      CAST(ROW_NUMBER() OVER (PARTITION BY user_pseudo_id
+                              ORDER BY COUNT(*) DESC, MIN(event_timestamp), event_name) AS INTEGER) AS rank
+    FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL AND event_name IS NOT NULL
+    GROUP BY user_pseudo_id, event_name
+  ) AS x WHERE rank <= 8
+)"""
+
+
+def user_totals() -> str:
+    return with_ev("""SELECT user_pseudo_id, event_count, session_count, active_days, first_seen, last_seen,
+       total_engagement_minutes FROM tot""", totals_cte())
+
+
+def user_top_events() -> str:
+    return with_ev("SELECT user_pseudo_id, rank, event, event_count FROM topev", top_cte())
+
+
+def metrics_cte() -> str:
+    return totals_cte() + ",\n" + top_cte() + """,
+m AS (
+  SELECT t.user_pseudo_id, event_count, session_count, total_engagement_minutes, first_seen, last_seen,
+    active_days, CAST(lifespan_days AS INTEGER) AS lifespan_days, country, app_version,
+    (SELECT string_agg(x.event || ':' || x.event_count, '|' ORDER BY x.rank) FROM topev x
+      WHERE x.user_pseudo_id = t.user_pseudo_id) AS top_events,
+    (SELECT x.event FROM topev x WHERE x.user_pseudo_id = t.user_pseudo_id AND x.rank = 1) AS top_event,
+    platforms
+  FROM tot t
+)"""
+
+
+def user_metrics() -> str:
+    return with_ev("SELECT * EXCLUDE (top_event) FROM m", metrics_cte())
+
+
+def pattern_sql() -> str:
+    as_of_us = "epoch_us(TIMESTAMP '2024-01-31 00:00:00')"
+    since = f"(({as_of_us} - last_seen) // {DAY_US})"
+    return f"""CASE WHEN COALESCE(event_count, 0) = 0 THEN 'no_data'
+  WHEN session_count <= 1 AND event_count < 10 THEN 'one_and_done'
+  WHEN session_count >= 10 AND active_days >= 7 THEN 'power_user'
+  WHEN lifespan_days >= 5 AND {since} > lifespan_days * 0.5 THEN 'drifted_off'
+  WHEN session_count >= 3 AND active_days >= 3 THEN 'returning_visitor'
+  ELSE 'casual' END"""
+
+
+def user_patterns() -> str:
+    from evlens.operators.users import PATTERNS
+    conf = " ".join(f"WHEN {q(k)} THEN {c}" for k, (c, _) in PATTERNS.items())
+    desc = " ".join(f"WHEN {q(k)} THEN {q(d)}" for k, (_, d) in PATTERNS.items())
+    return with_ev(f"""SELECT user_pseudo_id, label, CAST(CASE label {conf} END AS DOUBLE) AS confidence,
+       CASE label {desc} END AS description
+FROM (SELECT *, {pattern_sql()} AS label FROM m) AS p""", metrics_cte())
+
+
+def user_narrative() -> str:
+    from evlens.operators.users import NO_DATA_TEXT, PATTERN_TEXT
+    texts = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in PATTERN_TEXT.items())
+    story = ("printf('**Story**: This user generated %d events across %d session(s) over %d active day(s) "
+             "(lifespan: %d days). Most frequent action: %s.', event_count, session_count, active_days, "
+             "lifespan_days, COALESCE(top_event, 'no events')) || chr(10) || chr(10)")
+    return with_ev(f"""SELECT user_pseudo_id, label,
+  CASE WHEN label = 'no_data' THEN {q(NO_DATA_TEXT)} ELSE {story} || CASE label {texts} END END AS narrative
+FROM (SELECT *, {pattern_sql()} AS label FROM m) AS p""", metrics_cte())
+
+
+def user_focus() -> str:
+    from evlens.operators.users import FOCUS_BUCKETS
+    case = "CASE " + " ".join(
+        "WHEN " + " OR ".join(f"lower(event) LIKE '%{w}%'" for w in words) + f" THEN {q(label)}"
+        for label, words in FOCUS_BUCKETS) + " END"
+    sums = ", ".join(f"SUM(CASE WHEN bucket = {q(lbl)} THEN event_count ELSE 0 END) AS b{i}"
+                     for i, (lbl, _) in enumerate(FOCUS_BUCKETS))
+    cat = " + ".join(f"b{i}" for i in range(len(FOCUS_BUCKETS)))
+    rows = "\nUNION ALL\n".join(
+        f"SELECT user_pseudo_id, {i} AS ord, {q(lbl)} AS label, "
+        f"CAST(CASE WHEN base > 0 THEN floor(b{i} / base * 100 + 0.5) ELSE 0 END AS INTEGER) AS pct FROM per"
+        for i, (lbl, _) in enumerate(FOCUS_BUCKETS))
+    ctes = top_cte() + f""",
+per0 AS (SELECT user_pseudo_id, {sums}, SUM(event_count) AS total
+         FROM (SELECT *, {case} AS bucket FROM topev) AS t GROUP BY user_pseudo_id),
+per AS (SELECT *, CASE WHEN {cat} > 0 THEN {cat} ELSE total END AS base FROM per0),
+rowsx AS ({rows})"""
+    return with_ev("""SELECT user_pseudo_id,
+  CAST(ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY pct DESC, ord) AS INTEGER) AS position, label, pct
+FROM rowsx QUALIFY MAX(pct) OVER (PARTITION BY user_pseudo_id) > 0""", ctes)
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -827,6 +965,14 @@ ORACLES = {
     "growth_check": growth_check,
     "freshness_status": freshness_status,
     "relative_share": relative_share,
+    "user_journey": user_journey,
+    "journey_sample": journey_sample,
+    "user_totals": user_totals,
+    "user_top_events": user_top_events,
+    "user_metrics": user_metrics,
+    "user_patterns": user_patterns,
+    "user_narrative": user_narrative,
+    "user_focus": user_focus,
 }
 
 
