@@ -428,5 +428,23 @@ def q_user_focus(spark, sf):
     return finish(U.focus_mix(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END)))
 
 
+# ---------------------------------------------------------------- step 12: intents
+from evlens.operators import intents as T  # noqa: E402
+
+
+@register("intent_tags")
+def q_intent_tags(spark, sf):
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    return finish(T.tag_intents(conv.where(F.col("role") == "user")).select("conv_id", "turn", "intent"))
+
+
+# ---------------------------------------------------------------- step 13: streaming
+@register("daily_activity_stream")
+def q_daily_activity_stream(spark, sf):
+    from evlens.streaming.daily_active import daily_active_stream, flat_event_stream, run_available_now
+    stream = flat_event_stream(spark, sf).where(F.col("event_date").between(fx.START, fx.END))
+    return finish(run_available_now(daily_active_stream(stream), "daily_activity").orderBy("day"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

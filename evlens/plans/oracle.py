@@ -920,6 +920,31 @@ rowsx AS ({rows})"""
 FROM rowsx QUALIFY MAX(pct) OVER (PARTITION BY user_pseudo_id) > 0""", ctes)
 
 
+# ---------------------------------------------------------------- step 12 / 13
+def intent_tags() -> str:
+    from evlens.operators.intents import KEYWORD_PHRASES, OFF_TOPIC_HINTS
+    off = " OR ".join(f"contains(lower(text), {q(h)})" for h in OFF_TOPIC_HINTS)
+    # Literal form: per intent, the longest matching phrase length; the intent with
+    # the largest one wins, earlier intents on ties.
+    lens = ",\n  ".join(
+        "GREATEST(" + ", ".join(f"CASE WHEN contains(lower(text), {q(p)}) THEN {len(p)} ELSE 0 END" for p in ps)
+        + f") AS l{i}" for i, ps in enumerate(KEYWORD_PHRASES.values()))
+    names = list(KEYWORD_PHRASES)
+    n = len(names)
+    best = "GREATEST(" + ", ".join(f"l{i}" for i in range(n)) + ")"
+    pick = " ".join(f"WHEN l{i} = best THEN {q(names[i])}" for i in range(n))
+    return f"""SELECT conv_id, turn,
+  CASE WHEN off THEN 'off_topic' WHEN best = 0 THEN 'unknown' ELSE CASE {pick} END END AS intent
+FROM (SELECT *, {best} AS best FROM (
+  SELECT conv_id, turn, ({off}) AS off,
+  {lens}
+  FROM conversations WHERE role = 'user') AS a) AS b"""
+
+
+def daily_activity_stream() -> str:
+    return daily_activity_sql(fx.START, fx.END)
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -973,6 +998,8 @@ ORACLES = {
     "user_patterns": user_patterns,
     "user_narrative": user_narrative,
     "user_focus": user_focus,
+    "intent_tags": intent_tags,
+    "daily_activity_stream": daily_activity_stream,
 }
 
 

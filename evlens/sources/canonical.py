@@ -60,40 +60,49 @@ def _pick(options: tuple[str, ...], idx: Column) -> Column:
     return out
 
 
-def canonical_events(spark: SparkSession, sf_dir: str, start: str | None = None,
-                     end: str | None = None) -> DataFrame:
-    """Reshape the flat test tables into the canonical event schema.
+def user_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer x nation x region: one row per user with segment, nation and region."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+    return (customer
+            .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+            .join(region, nation.n_regionkey == region.r_regionkey, "left")
+            .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
 
-    ``start`` / ``end`` (yyyyMMdd, inclusive) add a ``ts`` range on the raw scan so
-    the bound reaches Parquet as a pushed filter; callers still apply
-    ``scan(start, end)`` on ``event_date``.
-    """
+
+def raw_events(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The flat events table, with an optional ``ts`` range pushed to the Parquet scan."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return bound_ts(ev, start, end)
+
+
+def bound_ts(ev: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start is not None:
         ev = ev.where(F.col("ts") >= F.lit(parse_day(check_day(start))).cast("timestamp_ntz"))
     if end is not None:
         nxt = F.date_add(F.lit(parse_day(check_day(end))), 1)
         ev = ev.where(F.col("ts") < nxt.cast("timestamp_ntz"))
+    return ev
+
+
+def core_columns() -> list[Column]:
+    """Shard day, micros, name and user of a flat event row (no dimension lookups)."""
+    shard = F.date_format(F.to_date("ts"), "yyyyMMdd")
+    return [shard.alias(DATE), ntz_to_micros(F.col("ts")).alias(TS),
+            F.col("event_type").alias(NAME), F.col("user_id").cast("string").alias(USER)]
 
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
-    users = (customer
-             .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-             .join(region, nation.n_regionkey == region.r_regionkey, "left")
-             .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
-    # Join strategy is left to the planner: broadcast when the user table is under
-    # the size threshold, shuffled sort-merge (with AQE skew splitting) otherwise.
-    joined = ev.join(users, ev.user_id == users.c_custkey, "left")
 
-    day = F.to_date("ts")
-    shard = F.date_format(day, "yyyyMMdd")
+def canonicalize(ev: DataFrame, users: DataFrame) -> DataFrame:
+    """Reshape flat events (batch or streaming) plus the user dimension into the
+    canonical schema. The join strategy is left to the planner: broadcast when the
+    user table is under the size threshold, shuffled sort-merge (with AQE skew
+    splitting) otherwise."""
+    joined = ev.join(users, ev.user_id == users.c_custkey, "left")
+    shard = F.date_format(F.to_date("ts"), "yyyyMMdd")
     k = F.get_json_object("props", "$.k").cast("int")
     return joined.select(
-        shard.alias(DATE),
-        ntz_to_micros(F.col("ts")).alias(TS),
-        F.col("event_type").alias(NAME),
-        F.col("user_id").cast("string").alias(USER),
+        *core_columns(),
         _pick(PLATFORMS, F.col("user_id") % 3).alias("platform"),
         F.struct(F.col("n_name").alias("country"), F.col("r_name").alias("region"),
                  _null_str().alias("city")).alias("geo"),
@@ -111,3 +120,14 @@ def canonical_events(spark: SparkSession, sf_dir: str, start: str | None = None,
         ).alias("event_params"),
         F.array(_param("segment", string_value=F.col("c_mktsegment"))).alias("user_properties"),
     )
+
+
+def canonical_events(spark: SparkSession, sf_dir: str, start: str | None = None,
+                     end: str | None = None) -> DataFrame:
+    """Canonical view of the flat test tables.
+
+    ``start`` / ``end`` (yyyyMMdd, inclusive) add a ``ts`` range on the raw scan so
+    the bound reaches Parquet as a pushed filter; callers still apply
+    ``scan(start, end)`` on ``event_date``.
+    """
+    return canonicalize(raw_events(spark, sf_dir, start, end), user_dimension(spark, sf_dir))
