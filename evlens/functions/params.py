@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 
 def param_value(key: str, array_col: str = "event_params") -> Column:
-    """The ``value`` struct of the first entry whose key equals ``key`` (NULL if none)."""
-    k = F.lit(key)
-    return F.get(F.filter(F.col(array_col), lambda p: p["key"] == k), 0)["value"]
+    """The ``value`` struct of the first entry whose key equals ``key`` (NULL if none).
+
+    ``array_position`` over the key array finds the first match (0 when absent, so
+    the 0-based lookup at -1 yields NULL); unlike a lambda ``filter`` this stays in
+    generated code.
+    """
+    arr = F.col(array_col)
+    idx = F.array_position(arr["key"], F.lit(key)) - 1
+    return F.get(arr, idx.cast("int"))["value"]
 
 
 def param_int(key: str, array_col: str = "event_params") -> Column:
