@@ -374,12 +374,11 @@ def q_relative_share(spark, sf):
 # ---------------------------------------------------------------- step 11: users
 from evlens.operators import users as U  # noqa: E402
 
-JOURNEY_USER = "7"
-
-
 @register("user_journey")
 def q_user_journey(spark, sf):
-    return finish(U.user_journey(events(spark, sf, fx.START, fx.END), JOURNEY_USER, fx.START, fx.END))
+    """B5 for every user: each user's first 200 events in time order."""
+    ev = events(spark, sf, fx.START, fx.END)
+    return finish(U.journeys(ev, fx.START, fx.END, first=U.JOURNEY_LIMIT))
 
 
 @register("journey_sample")

@@ -789,9 +789,12 @@ JOURNEY_COLS = """event_timestamp AS event_time, event_name, platform, CAST(NULL
 
 
 def user_journey() -> str:
-    return with_ev(f"""SELECT {JOURNEY_COLS}
-FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id = '7'
-ORDER BY event_time, event_name LIMIT 200""")
+    return with_ev(f"""SELECT user_pseudo_id, CAST(a AS INTEGER) AS seq, * EXCLUDE (user_pseudo_id, a)
+FROM (
+  SELECT user_pseudo_id, {JOURNEY_COLS},
+    ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp, event_name) AS a
+  FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL
+) AS r WHERE a <= 200""")
 
 
 def journey_sample() -> str:
