@@ -12,7 +12,7 @@ from evlens.functions.cohort import where_cohort
 from evlens.functions.periods import extended_start
 from evlens.functions.timecols import shard_to_date
 from evlens.schema import NAME, USER
-from evlens.sources.scan import scan
+from evlens.sources.scan import extended_scan, scan
 
 # --- fixed values (must match the reference behaviour) -------------------------
 AXES = (
@@ -72,7 +72,7 @@ def investigate_when(events: DataFrame, target: str, start: str, end: str,
                      base_cohort: list[dict] | None = None) -> DataFrame:
     """Per shard day of the analysis window and an equally long window before
     it: distinct users and rows of ``target``. Columns: date, dau, target_count."""
-    rows = where_cohort(scan(events, extended_start(start, end), end), base_cohort)
+    rows = where_cohort(extended_scan(events, start, end), base_cohort)
     return (rows.groupBy(shard_to_date(F.col("event_date")).alias("date"))
             .agg(F.count_distinct(USER).alias("dau"),
                  F.count_if(F.col(NAME) == target).alias("target_count"))

@@ -31,7 +31,8 @@ def register(name: str):
 # ---------------------------------------------------------------- step 1
 @register("canonical_events")
 def q_canonical_events(spark, sf):
-    ev = events(spark, sf)
+    from evlens.sources.canonical import canonical_events
+    ev = canonical_events(spark, sf)
     return finish(ev.select(
         "event_date", TS, NAME, USER, "platform",
         F.col("geo.country").alias("country"), F.col("geo.region").alias("region"),
@@ -445,5 +446,12 @@ def q_daily_activity_stream(spark, sf):
     return finish(run_available_now(daily_active_stream(stream), "daily_activity").orderBy("day"))
 
 
+@register("affected_users")
+def q_affected_users(spark, sf):
+    """Distinct users of the investigated event (denominator of the axis shares)."""
+    ev = events(spark, sf, *fx.HALF_B)
+    return finish(V.affected_users(ev, "purchase", *fx.HALF_B, base_cohort=INVESTIGATE_COHORT))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -948,6 +948,11 @@ def daily_activity_stream() -> str:
     return daily_activity_sql(fx.START, fx.END)
 
 
+def affected_users() -> str:
+    return with_ev(f"""SELECT COUNT(DISTINCT user_pseudo_id) AS total_users FROM ev
+WHERE {between(*fx.HALF_B)} AND event_name = 'purchase' AND device_category = 'desktop'""")
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -1002,6 +1007,7 @@ ORACLES = {
     "user_narrative": user_narrative,
     "user_focus": user_focus,
     "intent_tags": intent_tags,
+    "affected_users": affected_users,
     "daily_activity_stream": daily_activity_stream,
 }
 
