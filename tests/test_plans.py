@@ -122,3 +122,31 @@ def test_field_discovery_and_event_aggregates(spark):
     top = {r.event_name: (r.event_count, r.unique_users) for r in top_events(df, "20240101", "20240131").collect()}
     assert top == {"x": (2, 1), "y": (1, 1)}   # NULL user counted in rows only
     assert F is not None
+
+
+def test_no_cross_joins_in_any_registered_query(spark):
+    """Every registered plan is free of cartesian products and nested-loop joins."""
+    from __spark_entry__ import queries
+    bad = {}
+    for name, fn in queries().items():
+        if name == "daily_activity_stream":
+            continue          # runs a streaming query; its batch plan is a Parquet read
+        plan = plan_text(fn(spark, SF))
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
+
+
+def test_partial_aggregation_before_first_shuffle(spark):
+    """Per-user operators reduce rows map-side before the first exchange."""
+    from __spark_entry__ import queries
+    qs = queries()
+    for name in ("funnel", "retention", "conversion_change", "retention_correlation", "user_totals",
+                 "event_volume_change", "top_events", "investigate_where"):
+        tree = plan_text(qs[name](spark, SF)).split("\n\n")[0].splitlines()
+        # the line just above the deepest Exchange on each scan path is what feeds it;
+        # walking bottom-up, the first Exchange must sit on a (partial) aggregate.
+        lines = [ln.strip(" +-:") for ln in tree]
+        idx = max(i for i, ln in enumerate(lines) if ln.startswith("Exchange"))
+        assert lines[idx + 1].startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (name, lines)
