@@ -24,6 +24,24 @@ def _value_rows(window: DataFrame, value: Column, base_cohort: list[dict] | None
     return rows.select(USER, value.alias("value"))
 
 
+def value_users(window: DataFrame, field: str, field_type: str,
+                base_cohort: list[dict] | None = None) -> DataFrame:
+    """Distinct (value, user) over rows of the base cohort with a non-empty value.
+
+    A partial aggregate; both the top-value ranking and the membership table are
+    derived from it, so one scan and one shuffle serve both.
+    """
+    rows = _value_rows(window, field_column(field, field_type), base_cohort)
+    return (rows.where(F.col("value").isNotNull() & (F.col("value") != "") & F.col(USER).isNotNull())
+            .select("value", USER).distinct())
+
+
+def top_values(pairs: DataFrame, top_n: int) -> DataFrame:
+    return (pairs.groupBy("value").agg(F.count(F.lit(1)).alias("users"))
+            .orderBy(F.col("users").desc(), F.col("value").asc())
+            .limit(top_n))
+
+
 def breakdown_values(events: DataFrame, field: str, field_type: str | None, start: str, end: str,
                      top_n: int = 5, base_cohort: list[dict] | None = None) -> DataFrame:
     """Top-N values of a field by distinct users among rows of the base cohort.
@@ -32,36 +50,21 @@ def breakdown_values(events: DataFrame, field: str, field_type: str | None, star
     values are dropped before grouping.
     """
     ft = resolve_field_type(field, field_type)
-    rows = _value_rows(scan(events, start, end), field_column(field, ft), base_cohort)
-    return (rows.where(F.col("value").isNotNull() & (F.col("value") != ""))
-            .groupBy("value").agg(F.count_distinct(USER).alias("users"))
-            .orderBy(F.col("users").desc(), F.col("value").asc())
-            .limit(top_n))
+    return top_values(value_users(scan(events, start, end), field, ft, base_cohort), top_n)
 
 
-def membership(window: DataFrame, field: str, field_type: str, values: DataFrame,
-               base_cohort: list[dict] | None = None) -> DataFrame:
-    """Distinct (user, value) where one row satisfies base cohort and field = value.
-
-    ``values`` holds at most ``top_n`` rows (it is a limited top-k), so it is
-    broadcast: the event side is filtered map-side with no shuffle, and the
-    distinct is a partial aggregate.
-    """
-    rows = _value_rows(window, field_column(field, field_type), base_cohort).where(F.col(USER).isNotNull())
-    return (rows.join(F.broadcast(values.select("value")), "value", "left_semi")
-            .select(USER, "value").distinct())
+def membership(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(user, value) pairs - users with one row satisfying the base cohort and
+    field = value - restricted to ``values``, which holds at most ``top_n`` rows (a
+    limited top-k) and is therefore broadcast."""
+    return pairs.join(F.broadcast(values.select("value")), "value", "left_semi").select(USER, "value")
 
 
-def _values_for(events, field, field_type, start, end, top_n, base_cohort, values):
-    if values is None:
-        return breakdown_values(events, field, field_type, start, end, top_n, base_cohort)
-    # Explicit values (F24): series users still come from the data.
-    spark = events.sparkSession
-    wanted = spark.createDataFrame([(str(v),) for v in values], "value string")
-    ft = resolve_field_type(field, field_type)
-    rows = _value_rows(scan(events, start, end), field_column(field, ft), base_cohort)
-    counted = (rows.join(F.broadcast(wanted), "value", "left_semi")
-               .groupBy("value").agg(F.count_distinct(USER).alias("users")))
+def _explicit_values(pairs: DataFrame, values: list) -> DataFrame:
+    """Given values (F24) with their distinct users counted from the data."""
+    wanted = pairs.sparkSession.createDataFrame([(str(v),) for v in values], "value string")
+    counted = (pairs.join(F.broadcast(wanted), "value", "left_semi")
+               .groupBy("value").agg(F.count(F.lit(1)).alias("users")))
     return wanted.join(counted, "value", "left").select("value", F.coalesce("users", F.lit(0)).alias("users"))
 
 
@@ -76,9 +79,9 @@ def funnel_breakdown(events: DataFrame, steps: list[str], start: str, end: str,
     """
     ft = resolve_field_type(field, field_type)
     window = scan(events, start, end)
-    vals = breakdown_values(events, field, ft, start, end, top_n, base_cohort)
-    members = membership(window, field, ft, vals, base_cohort)
-    per_user = FN.step_times(window, steps).join(members, USER)
+    pairs = value_users(window, field, ft, base_cohort)
+    vals = top_values(pairs, top_n)
+    per_user = FN.step_times(window, steps).join(membership(pairs, vals), USER)
     counts = FN.step_counts(per_user, len(steps), window_days, strict, ["value"])
     step_cols = [f"step_{i}_users" for i in range(1, len(steps) + 1)]
     full = (vals.join(F.broadcast(counts), "value", "left")
@@ -87,10 +90,8 @@ def funnel_breakdown(events: DataFrame, steps: list[str], start: str, end: str,
     return FN.shape_steps(full, steps, ["series_label", "series_users"])
 
 
-def _retention_series(events, start, end, field, ft, vals, base_cohort) -> DataFrame:
-    window = scan(events, start, end)
-    members = membership(window, field, ft, vals, base_cohort)
-    per_user = R.user_retention(window).join(members, USER)
+def _retention_series(window: DataFrame, pairs: DataFrame, vals: DataFrame) -> DataFrame:
+    per_user = R.user_retention(window).join(membership(pairs, vals), USER)
     heads = R.headline(R.cohort_table(per_user, ["value"]), ["value"])
     out = vals.join(F.broadcast(heads), "value", "left")
     return out.select(
@@ -104,8 +105,9 @@ def retention_breakdown(events: DataFrame, start: str, end: str, field: str,
                         top_n: int = 5) -> DataFrame:
     """Weighted D1/D7/D30 rates and cohorted users per top value, one pass."""
     ft = resolve_field_type(field, field_type)
-    vals = breakdown_values(events, field, ft, start, end, top_n, base_cohort)
-    return _retention_series(events, start, end, field, ft, vals, base_cohort)
+    window = scan(events, start, end)
+    pairs = value_users(window, field, ft, base_cohort)
+    return _retention_series(window, pairs, top_values(pairs, top_n))
 
 
 def compare_cohorts(events: DataFrame, start: str, end: str, dimension: str, value_a: str,
@@ -113,5 +115,6 @@ def compare_cohorts(events: DataFrame, start: str, end: str, dimension: str, val
     """retention headline for ``dimension = a`` and (optionally) ``= b``."""
     ft = resolve_field_type(dimension)
     wanted = [value_a] if value_b is None else [value_a, value_b]
-    vals = _values_for(events, dimension, ft, start, end, None, None, wanted)
-    return _retention_series(events, start, end, dimension, ft, vals, None)
+    window = scan(events, start, end)
+    pairs = value_users(window, dimension, ft)
+    return _retention_series(window, pairs, _explicit_values(pairs, wanted))

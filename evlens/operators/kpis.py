@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evlens.functions.cohort import cohort_predicate
 from evlens.functions.periods import previous_period
 from evlens.operators import retention as R
+from evlens.functions.timecols import utc_day
 from evlens.schema import MICROS_PER_HOUR, USER
 from evlens.sources.scan import tag_periods
 
@@ -34,8 +35,12 @@ def dashboard_kpis(events: DataFrame, start: str, end: str, cohort: list[dict] |
     if compare:
         periods["previous"] = previous_period(start, end)
     tagged = tag_periods(events, periods)
-    per_user = tagged.groupBy("period", USER).agg(F.count(F.lit(1)).alias("n"))
-    ret = R.user_retention(tagged, group_cols=["period"])
+    # One partial aggregate feeds every KPI (its shuffle is reused): rows per
+    # (period, user, UTC day); NULL users stay in for the total event count.
+    upd = tagged.groupBy("period", USER, utc_day().alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    per_user = upd.groupBy("period", USER).agg(F.sum("n").alias("n"))
+    ret = R.retention_flags(upd.where(F.col(USER).isNotNull()).select("period", USER, "day"),
+                            group_cols=["period"])
     pred = cohort_predicate(cohort)
     if pred is not None:
         # The cohort is evaluated separately inside each period's window.

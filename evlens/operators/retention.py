@@ -31,8 +31,13 @@ def user_retention(window: DataFrame, offsets=OFFSETS, group_cols: list[str] | N
 
     ``group_cols`` (e.g. a period label) computes independent cohorts per group.
     """
+    return retention_flags(user_days(window, group_cols), offsets, group_cols)
+
+
+def retention_flags(ud: DataFrame, offsets=OFFSETS, group_cols: list[str] | None = None) -> DataFrame:
+    """``user_retention`` from distinct (group, user, day) rows."""
     g = list(group_cols or [])
-    ud = user_days(window, g).withColumn("cohort_day", F.min("day").over(Window.partitionBy(*g, USER)))
+    ud = ud.withColumn("cohort_day", F.min("day").over(Window.partitionBy(*g, USER)))
     off = F.col("day") - F.col("cohort_day")
     return (ud.groupBy(*g, USER, "cohort_day")
             .agg(*[F.max(off == n).alias(f"d{n}") for n in offsets]))
