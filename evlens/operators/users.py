@@ -115,11 +115,16 @@ def journeys(events: DataFrame, start: str, end: str, first: int = JOURNEY_LIMIT
     return out.select(USER, "seq", *cols)
 
 
-def _session_day_parts(window: DataFrame) -> DataFrame:
-    """Per (user, session id, UTC day): the partial aggregate every per-user metric
-    is merged from (a user contributes one row per session-day, not per event)."""
+def _session_day_parts(window: DataFrame, by_event: bool = False) -> DataFrame:
+    """Per (user, session id, UTC day[, event]): the partial aggregate every per-user
+    metric is merged from (a user contributes one row per session-day, not per
+    event). ``by_event`` keeps the event name so top events come from the same
+    shuffle."""
+    keys = [USER, param_int("ga_session_id").alias("sid"), utc_day().alias("day")]
+    if by_event:
+        keys.append(F.col(NAME))
     return (window.where(F.col(USER).isNotNull())
-            .groupBy(USER, param_int("ga_session_id").alias("sid"), utc_day().alias("day"))
+            .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.min(TS).alias("first_t"), F.max(TS).alias("last_t"),
                  F.sum(F.coalesce(param_int("engagement_time_msec"), F.lit(0))).alias("eng"),
@@ -147,6 +152,10 @@ def user_top_events(events: DataFrame, start: str, end: str, k: int = TOP_EVENTS
     """
     counts = (scan(events, start, end).where(F.col(USER).isNotNull() & F.col(NAME).isNotNull())
               .groupBy(USER, NAME).agg(F.count(F.lit(1)).alias("event_count"), F.min(TS).alias("first_t")))
+    return _rank_events(counts, k)
+
+
+def _rank_events(counts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy(USER).orderBy(F.col("event_count").desc(), F.col("first_t").asc(), F.col(NAME).asc())
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(USER, "rank", F.col(NAME).alias("event"), "event_count"))
@@ -154,8 +163,11 @@ def user_top_events(events: DataFrame, start: str, end: str, k: int = TOP_EVENTS
 
 def user_metrics(events: DataFrame, start: str, end: str) -> DataFrame:
     """E6 totals plus top events, platforms, country (smallest seen), app version
-    of the first event and lifespan in UTC days, one row per user."""
-    parts = _session_day_parts(scan(events, start, end))
+    of the first event and lifespan in UTC days, one row per user.
+
+    One scan: a (user, session, day, event) partial aggregate feeds both the totals
+    and the per-user event ranking (its shuffle is reused)."""
+    parts = _session_day_parts(scan(events, start, end), by_event=True)
     base = (parts.groupBy(USER)
             .agg(F.sum("n").cast("long").alias("event_count"),
                  F.count_distinct("sid").alias("session_count"),
@@ -165,7 +177,9 @@ def user_metrics(events: DataFrame, start: str, end: str) -> DataFrame:
                  F.min("first_ver").alias("first_ver"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("plats")))).alias("platforms"),
                  F.min("ctry").alias("country")))
-    top = (user_top_events(events, start, end)
+    counts = (parts.where(F.col(NAME).isNotNull())
+              .groupBy(USER, NAME).agg(F.sum("n").alias("event_count"), F.min("first_t").alias("first_t")))
+    top = (_rank_events(counts, TOP_EVENTS_PER_USER)
            .groupBy(USER)
            .agg(F.array_sort(F.collect_list(F.struct("rank", "event", "event_count"))).alias("_top")))
     lifespan = (F.floor(F.col("last_seen") / MICROS_PER_DAY) - F.floor(F.col("first_seen") / MICROS_PER_DAY))
