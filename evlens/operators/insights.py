@@ -50,6 +50,23 @@ def _insight(id_: Column, kind: str, severity: Column, title: Column, detail: Co
                               F.array(*[v.cast("double") for v in vals])).alias("metric")]
 
 
+# ------------------------------------------------------------------ shared input shape
+def user_event_days(events: DataFrame, start: str, end: str) -> DataFrame:
+    """One partial aggregate of a window: per (shard day, user, event, UTC day) the
+    first and last time and the row count. Every period comparison below can read
+    it instead of raw events, so several rules over one window share one scan and
+    one shuffle (``run_insights``)."""
+    return (scan(events, start, end)
+            .groupBy("event_date", USER, NAME, F.floor(F.col(TS) / MICROS_PER_DAY).alias("day"))
+            .agg(F.min(TS).alias("first_t"), F.max(TS).alias("last_t"), F.count(F.lit(1)).alias("n")))
+
+
+def _rows_as_days(events: DataFrame) -> DataFrame:
+    """Raw events in the ``user_event_days`` shape, one row each (no aggregation)."""
+    return events.select("event_date", USER, NAME, F.floor(F.col(TS) / MICROS_PER_DAY).alias("day"),
+                         F.col(TS).alias("first_t"), F.col(TS).alias("last_t"), F.lit(1).alias("n"))
+
+
 # ------------------------------------------------------------------ F7 conversion change
 def _user_converted(buckets: DataFrame, window_days: int, ordered: bool) -> Column:
     """Per (period, user, day bucket k) with start times: does some end time b
@@ -96,12 +113,19 @@ def conversion_change(events: DataFrame, start_event: str, end_event: str,
     day and map task - then range windows over at most one row per day of the
     period decide the pair test exactly (see ``_user_converted``).
     """
-    tagged = (tag_periods(events, {"this": this, "last": last})
+    return _conversion(_rows_as_days(events), start_event, end_event, this, last, window_days, ordered)
+
+
+def _conversion(days: DataFrame, start_event: str, end_event: str, this: tuple[str, str],
+                last: tuple[str, str], window_days: int, ordered: bool) -> DataFrame:
+    tagged = (tag_periods(days, {"this": this, "last": last})
               .where(F.col(NAME).isin(start_event, end_event) & F.col(USER).isNotNull()))
     is_a, is_b = F.col(NAME) == start_event, F.col(NAME) == end_event
-    buckets = (tagged.groupBy("period", USER, F.floor(F.col(TS) / MICROS_PER_DAY).alias("b"))
-               .agg(F.min(F.when(is_a, F.col(TS))).alias("min_a"), F.max(F.when(is_a, F.col(TS))).alias("max_a"),
-                    F.min(F.when(is_b, F.col(TS))).alias("min_b"), F.max(F.when(is_b, F.col(TS))).alias("max_b")))
+    buckets = (tagged.groupBy("period", USER, F.col("day").alias("b"))
+               .agg(F.min(F.when(is_a, F.col("first_t"))).alias("min_a"),
+                    F.max(F.when(is_a, F.col("last_t"))).alias("max_a"),
+                    F.min(F.when(is_b, F.col("first_t"))).alias("min_b"),
+                    F.max(F.when(is_b, F.col("last_t"))).alias("max_b")))
     flagged = buckets.select("period", USER, F.col("min_a").isNotNull().alias("started"),
                              _user_converted(buckets, window_days, ordered).alias("converted"))
     per_user = flagged.groupBy("period", USER).agg(F.bool_or("started").alias("started"),
@@ -130,9 +154,12 @@ def retention_correlation(events: DataFrame, start: str, end: str, min_users: in
     give first-seen time and the day-7 return flag. The users x events cross join
     of the literal form becomes a subtraction from per-user totals.
     """
-    window = scan(events, start, end).where(F.col(USER).isNotNull())
-    day = F.floor(F.col(TS) / MICROS_PER_DAY)
-    ued = window.groupBy(USER, NAME, day.alias("day")).agg(F.min(TS).alias("mt"))
+    return _correlation(_rows_as_days(events), start, end, min_users, limit)
+
+
+def _correlation(days: DataFrame, start: str, end: str, min_users: int, limit: int | None) -> DataFrame:
+    window = scan(days, start, end).where(F.col(USER).isNotNull())
+    ued = window.groupBy(USER, NAME, "day").agg(F.min("first_t").alias("mt"))
     wu = Window.partitionBy(USER)
     ued = ued.withColumn("first_t", F.min("mt").over(wu))
     ued = ued.withColumn("returned", F.max(
@@ -162,9 +189,9 @@ def retention_correlation(events: DataFrame, start: str, end: str, min_users: in
 
 
 # ------------------------------------------------------------------ F9 / F10 volume change
-def _period_users(events: DataFrame, this: tuple[str, str], prev: tuple[str, str]) -> DataFrame:
+def _period_users(days: DataFrame, this: tuple[str, str], prev: tuple[str, str]) -> DataFrame:
     """Distinct users per event in two periods from one scan (NULL names excluded)."""
-    tagged = tag_periods(events, {"this": this, "prev": prev}).where(F.col(NAME).isNotNull())
+    tagged = tag_periods(days, {"this": this, "prev": prev}).where(F.col(NAME).isNotNull())
     pairs = tagged.select("period", NAME, USER).distinct()
     p, has_user = F.col("period"), F.col(USER).isNotNull()
     return pairs.groupBy(NAME).agg(F.count_if((p == "this") & has_user).alias("this_users"),
@@ -186,7 +213,11 @@ def event_volume_change(events: DataFrame, this: tuple[str, str], last: tuple[st
     Events new this period are dropped (they need ``min_users`` last period).
     Columns: event_name, this_users, last_users, pct_change.
     """
-    out = _ranked_change(_period_users(events, this, last), min_users, limit)
+    return _volume(_rows_as_days(events), this, last, min_users, limit)
+
+
+def _volume(days: DataFrame, this, last, min_users: int, limit: int | None) -> DataFrame:
+    out = _ranked_change(_period_users(days, this, last), min_users, limit)
     return out.select(NAME, "this_users", F.col("prev_users").alias("last_users"), "pct_change")
 
 
@@ -194,7 +225,7 @@ def adjacent_movers(events: DataFrame, start: str, end: str, min_users: int = MO
                     limit: int = MOVERS_LIMIT) -> DataFrame:
     """volume change of the current period against the equally long one before."""
     ts, te, ps, pe = periods_from_range(start, end)
-    return _ranked_change(_period_users(events, (ts, te), (ps, pe)), min_users, limit).select(
+    return _ranked_change(_period_users(_rows_as_days(events), (ts, te), (ps, pe)), min_users, limit).select(
         NAME, "this_users", "prev_users", "pct_change")
 
 
@@ -304,13 +335,15 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
     """F16: all rules for a date range, ranked by severity (stable in rule order).
 
     Volume and conversion compare [start, end] with the equally long period before;
-    retention correlation reads [start, end].
+    retention correlation reads [start, end]. All three read one shared partial
+    aggregate of the two periods (``user_event_days``): one scan, one shuffle.
     """
     ts, te, ps, pe = periods_from_range(start, end)
-    parts = [rule_volume(event_volume_change(events, (ts, te), (ps, pe))),
-             rule_retention(retention_correlation(events, start, end))]
+    days = user_event_days(events, ps, te)
+    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), 50, VOLUME_LIMIT)),
+             rule_retention(_correlation(days, start, end, 50, CORRELATION_LIMIT))]
     if funnel_start_event and funnel_end_event:
-        conv = conversion_change(events, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days)
+        conv = _conversion(days, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days, False)
         parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event))
     if funnel_steps is not None:
         parts.append(rule_funnel_drop(funnel_steps))

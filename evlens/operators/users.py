@@ -156,8 +156,12 @@ def user_top_events(events: DataFrame, start: str, end: str, k: int = TOP_EVENTS
 
 
 def _rank_events(counts: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy(USER).orderBy(F.col("event_count").desc(), F.col("first_t").asc(), F.col(NAME).asc())
+    # NULL names rank after every named event and are dropped after ranking, so the
+    # input needs no filter (which would differ from the shared aggregate's plan).
+    w = Window.partitionBy(USER).orderBy(F.col(NAME).isNull(), F.col("event_count").desc(),
+                                         F.col("first_t").asc(), F.col(NAME).asc())
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .where(F.col(NAME).isNotNull())
             .select(USER, "rank", F.col(NAME).alias("event"), "event_count"))
 
 
@@ -177,8 +181,7 @@ def user_metrics(events: DataFrame, start: str, end: str) -> DataFrame:
                  F.min("first_ver").alias("first_ver"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("plats")))).alias("platforms"),
                  F.min("ctry").alias("country")))
-    counts = (parts.where(F.col(NAME).isNotNull())
-              .groupBy(USER, NAME).agg(F.sum("n").alias("event_count"), F.min("first_t").alias("first_t")))
+    counts = parts.groupBy(USER, NAME).agg(F.sum("n").alias("event_count"), F.min("first_t").alias("first_t"))
     top = (_rank_events(counts, TOP_EVENTS_PER_USER)
            .groupBy(USER)
            .agg(F.array_sort(F.collect_list(F.struct("rank", "event", "event_count"))).alias("_top")))
