@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from evlens.sources.canonical import canonical_events, read_events
 from evlens.sources.sink import write_events
 
 _SOURCES = ("events", "customer", "nation", "region")
+# Per-process token: concurrent processes sharing one checkpoint folder never write
+# the same landing folder.
+_RUN = uuid.uuid4().hex[:8]
 _landed: dict[tuple[str, str], str] = {}
 
 
@@ -35,13 +39,13 @@ def landed_events_path(spark: SparkSession, sf_dir: str) -> str:
     This is the production layout (a day-partitioned export): later queries read
     it with partition pruning and nested column pruning, without the fixture's
     dimension joins or JSON parsing. The folder is keyed by the source files'
-    sizes and times, so changed inputs are landed again.
+    sizes and times (changed inputs are landed again) and by a per-process token.
     """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     key = (root, _fingerprint(sf_dir))
     if key in _landed:
         return _landed[key]
-    path = f"{root}/evlens-canonical-{key[1]}"
+    path = f"{root}/evlens-canonical-{key[1]}-{_RUN}"
     if not _complete(spark, path):
         write_events(canonical_events(spark, sf_dir), path)
     _landed[key] = path

@@ -39,21 +39,32 @@ def build_session(master: str | None = None, app: str = "evlens",
     return spark
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. Spark Connect)
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator to shared storage and is used as is.
     Only when it is unset (local tests) do we create a scratch folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
+    if not configured:
+        configured = fallback or tempfile.mkdtemp(prefix="evlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - conf locked; the returned path is still used
+            pass
+    if not _context_dir(spark):
+        try:
             spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    path = fallback or tempfile.mkdtemp(prefix="evlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        except Exception:  # noqa: BLE001
+            pass
+    return configured
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
