@@ -143,3 +143,33 @@ def relative_share(df: DataFrame, value_col: str = "unique_users", out_col: str
     """value / max(value) * 100 over a small ranked result (e.g. top events)."""
     m = F.max(value_col).over(Window.partitionBy(F.lit(1)))
     return df.withColumn(out_col, (F.col(value_col) / m * 100).cast("double"))
+
+
+def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None,
+                       top_n: int = 5) -> DataFrame:
+    """F20 as one row for the window: the KPIs of ``dashboard_kpis`` (no comparison),
+    the top ``top_n`` events by rows and the daily-active-users series.
+
+    The two lists are bounded (``top_n`` rows, one point per day of the window) and
+    are folded into arrays; the pieces meet by equi-joins on the period label.
+    """
+    from evlens.operators.events import daily_activity, top_events
+    kpis = dashboard_kpis(events, start, end, cohort, compare=False)
+    rank = Window.partitionBy("period").orderBy(F.col("event_count").desc(), F.col("event_name").asc())
+    top = (top_events(events, start, end, limit=top_n, cohort=cohort)
+           .withColumn("period", F.lit("current"))
+           .withColumn("rank", F.row_number().over(rank))
+           .groupBy("period")
+           .agg(F.array_sort(F.collect_list(F.struct("rank", "event_name", "event_count", "unique_users")))
+                .alias("_top")))
+    spark_line = (daily_activity(events, start, end, cohort)
+                  .groupBy(F.lit("current").alias("period"))
+                  .agg(F.array_sort(F.collect_list(F.struct(F.col("day"), F.col("dau").alias("value"))))
+                       .alias("sparkline")))
+    out = kpis.join(top, "period", "left").join(spark_line, "period", "left")
+    return out.select(
+        "period_start", "period_end", "active_users", "total_events", "d7_rate", "d7_retained", "total_cohorted",
+        F.transform(F.coalesce(F.col("_top"), F.array()),
+                    lambda t: F.struct(t["event_name"].alias("event_name"), t["event_count"].alias("event_count"),
+                                       t["unique_users"].alias("unique_users"))).alias("top_events"),
+        F.coalesce(F.col("sparkline"), F.array()).alias("sparkline"))

@@ -453,5 +453,19 @@ def q_affected_users(spark, sf):
     return finish(V.affected_users(ev, "purchase", *fx.HALF_B, base_cohort=INVESTIGATE_COHORT))
 
 
+@register("dashboard_overview")
+def q_dashboard_overview(spark, sf):
+    """KPIs, top 5 events and the DAU series of one window, as one row."""
+    ev = events(spark, sf, *fx.HALF_B)
+    d = K.dashboard_overview(ev, *fx.HALF_B)
+    return finish(d.select(
+        *[c for c in d.columns if c not in ("top_events", "sparkline")],
+        F.array_join(F.transform("top_events", lambda t: F.concat_ws(
+            ":", t["event_name"], t["event_count"].cast("string"), t["unique_users"].cast("string"))), "|")
+        .alias("top_events"),
+        F.array_join(F.transform("sparkline", lambda p: F.concat_ws(
+            ":", F.date_format(p["day"], "yyyy-MM-dd"), p["value"].cast("string"))), "|").alias("sparkline")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

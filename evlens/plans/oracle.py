@@ -953,6 +953,18 @@ def affected_users() -> str:
 WHERE {between(*fx.HALF_B)} AND event_name = 'purchase' AND device_category = 'desktop'""")
 
 
+def dashboard_overview() -> str:
+    kp = kpi_period_sql("current", *fx.HALF_B, None)
+    top = top_events_sql(fx.HALF_B[0], fx.HALF_B[1], 5)
+    dau = daily_activity_sql(*fx.HALF_B)
+    return f"""SELECT k.period_start, k.period_end, k.active_users, k.total_events, ROUND(k.d7_rate, 6) AS d7_rate,
+       k.d7_retained, k.total_cohorted,
+       (SELECT string_agg(event_name || ':' || event_count || ':' || unique_users, '|'
+                          ORDER BY event_count DESC, event_name) FROM ({top}) AS t) AS top_events,
+       (SELECT string_agg(day || ':' || dau, '|' ORDER BY day) FROM ({dau}) AS d) AS sparkline
+FROM ({kp}) AS k"""
+
+
 ORACLES = {
     "canonical_events": canonical_events,
     "event_param_sample": event_param_sample,
@@ -1008,6 +1020,7 @@ ORACLES = {
     "user_focus": user_focus,
     "intent_tags": intent_tags,
     "affected_users": affected_users,
+    "dashboard_overview": dashboard_overview,
     "daily_activity_stream": daily_activity_stream,
 }
 
