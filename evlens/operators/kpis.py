@@ -151,25 +151,33 @@ def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dic
     the top ``top_n`` events by rows and the daily-active-users series.
 
     The two lists are bounded (``top_n`` rows, one point per day of the window) and
-    are folded into arrays; the pieces meet by equi-joins on the period label.
+    are folded into arrays. The three pieces are stacked (each fills its own
+    columns) and merged by one aggregation, so no join is needed.
     """
     from evlens.operators.events import daily_activity, top_events
-    kpis = dashboard_kpis(events, start, end, cohort, compare=False)
-    rank = Window.partitionBy("period").orderBy(F.col("event_count").desc(), F.col("event_name").asc())
+    kpi_cols = ["period_start", "period_end", "active_users", "total_events", "d7_rate", "d7_retained",
+                "total_cohorted"]
+    top_t = "array<struct<rank:int,event_name:string,event_count:bigint,unique_users:bigint>>"
+    line_t = "array<struct<day:date,value:bigint>>"
+    kpis = (dashboard_kpis(events, start, end, cohort, compare=False)
+            .select(*kpi_cols, F.lit(None).cast(top_t).alias("_top"), F.lit(None).cast(line_t).alias("_line")))
+    rank = Window.orderBy(F.col("event_count").desc(), F.col("event_name").asc())
     top = (top_events(events, start, end, limit=top_n, cohort=cohort)
-           .withColumn("period", F.lit("current"))
            .withColumn("rank", F.row_number().over(rank))
-           .groupBy("period")
            .agg(F.array_sort(F.collect_list(F.struct("rank", "event_name", "event_count", "unique_users")))
                 .alias("_top")))
-    spark_line = (daily_activity(events, start, end, cohort)
-                  .groupBy(F.lit("current").alias("period"))
-                  .agg(F.array_sort(F.collect_list(F.struct(F.col("day"), F.col("dau").alias("value"))))
-                       .alias("sparkline")))
-    out = kpis.join(top, "period", "left").join(spark_line, "period", "left")
-    return out.select(
-        "period_start", "period_end", "active_users", "total_events", "d7_rate", "d7_retained", "total_cohorted",
+    line = (daily_activity(events, start, end, cohort)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("day"), F.col("dau").alias("value")))).alias("_line")))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in kpis.schema.fields if f.name in kpi_cols]
+    stacked = (kpis
+               .unionByName(top.select(*nulls, F.col("_top").cast(top_t).alias("_top"),
+                                       F.lit(None).cast(line_t).alias("_line")))
+               .unionByName(line.select(*nulls, F.lit(None).cast(top_t).alias("_top"),
+                                        F.col("_line").cast(line_t).alias("_line"))))
+    merged = stacked.agg(*[F.max(c).alias(c) for c in kpi_cols + ["_top", "_line"]])
+    return merged.select(
+        *kpi_cols,
         F.transform(F.coalesce(F.col("_top"), F.array()),
                     lambda t: F.struct(t["event_name"].alias("event_name"), t["event_count"].alias("event_count"),
                                        t["unique_users"].alias("unique_users"))).alias("top_events"),
-        F.coalesce(F.col("sparkline"), F.array()).alias("sparkline"))
+        F.coalesce(F.col("_line"), F.array()).alias("sparkline"))

@@ -93,22 +93,41 @@ def user_journey(events: DataFrame, user_id: str, start: str, end: str, limit: i
             .orderBy("event_time", NAME).limit(limit))
 
 
+# Second-level spread of per-user top-k (see ``_first_k_per_user``).
+TOPK_SALT_BUCKETS = 64
+
+
+def _first_k_per_user(rows: DataFrame, order: list[Column], k: int, col: str,
+                      salt_buckets: int = TOPK_SALT_BUCKETS) -> DataFrame:
+    """Each user's first ``k`` rows by ``order``, numbered 1..k in ``col``.
+
+    Two levels of ``row_number() <= k``, each planned with a partial group limit
+    ahead of its shuffle. Level 1 groups by (user, input partition mod
+    ``salt_buckets``), so one user's candidates are cut to k per map task and spread
+    over ``salt_buckets`` tasks; level 2 ranks at most k x ``salt_buckets`` survivors
+    per user. A user holding a third of all rows never lands whole in one task.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(salt_buckets))
+    lvl1 = (rows.withColumn("_salt", salt)
+            .withColumn("_r1", F.row_number().over(Window.partitionBy(USER, "_salt").orderBy(*order)))
+            .where(F.col("_r1") <= k).drop("_salt", "_r1"))
+    return (lvl1.withColumn(col, F.row_number().over(Window.partitionBy(USER).orderBy(*order)))
+            .where(F.col(col) <= k))
+
+
 def journeys(events: DataFrame, start: str, end: str, first: int = JOURNEY_LIMIT,
              last: int = 0) -> DataFrame:
     """B5 / B8 for all users: each user's first ``first`` and last ``last`` events.
 
     Columns: user_pseudo_id, seq (1-based from the start, or negative from the end),
-    then the journey columns. Each side is a ``row_number() <= k`` filter, planned
-    with a partial per-group limit ahead of the shuffle.
+    then the journey columns.
     """
     rows = scan(events, start, end).where(F.col(USER).isNotNull()).select(USER, *_journey_cols())
     out = None
     if first:
-        w = Window.partitionBy(USER).orderBy(F.col("event_time").asc(), F.col(NAME).asc())
-        out = (rows.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= first))
+        out = _first_k_per_user(rows, [F.col("event_time").asc(), F.col(NAME).asc()], first, "seq")
     if last:
-        w = Window.partitionBy(USER).orderBy(F.col("event_time").desc(), F.col(NAME).desc())
-        tail = (rows.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= last)
+        tail = (_first_k_per_user(rows, [F.col("event_time").desc(), F.col(NAME).desc()], last, "seq")
                 .withColumn("seq", -F.col("seq")))
         out = tail if out is None else out.unionByName(tail)
     cols = [c for c in out.columns if c not in (USER, "seq")]
@@ -179,7 +198,9 @@ def user_metrics(events: DataFrame, start: str, end: str) -> DataFrame:
                  F.min("first_t").alias("first_seen"), F.max("last_t").alias("last_seen"),
                  minutes_1dp(F.sum("eng")).alias("total_engagement_minutes"),
                  F.min("first_ver").alias("first_ver"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("plats")))).alias("platforms"),
+                 # a set of per-part platform sets: bounded by the distinct platform
+                 # combinations, however many sessions a user has
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("plats")))).alias("platforms"),
                  F.min("ctry").alias("country")))
     counts = parts.groupBy(USER, NAME).agg(F.sum("n").alias("event_count"), F.min("first_t").alias("first_t"))
     top = (_rank_events(counts, TOP_EVENTS_PER_USER)

@@ -150,3 +150,10 @@ def test_partial_aggregation_before_first_shuffle(spark):
         lines = [ln.strip(" +-:") for ln in tree]
         idx = max(i for i, ln in enumerate(lines) if ln.startswith("Exchange"))
         assert lines[idx + 1].startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (name, lines)
+
+
+def test_journeys_top_k_is_two_level(spark):
+    from evlens.operators.users import journeys
+    tree = plan_text(journeys(canonical_events(spark, SF), fx.START, fx.END, first=200)).split("\n\n")[0]
+    assert tree.count("WindowGroupLimit") == 4      # partial + final at each of the two levels
+    assert tree.count("Exchange") >= 2
