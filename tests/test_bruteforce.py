@@ -183,3 +183,30 @@ def test_shared_day_summary_equals_row_path(spark, seed):
     a = I.event_volume_change(df, this, last, 0, None).collect()
     b = I._volume(days, this, last, 0, None).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("seed", [10, 11])
+def test_suggest_steps(spark, seed):
+    rnd = random.Random(seed)
+    names = ["signup", "view", "click", "share", "error", "purchase"]
+    rows = []
+    for u in range(60):
+        base = T0 + rnd.randrange(0, 5 * D)
+        for _ in range(rnd.randrange(2, 15)):
+            rows.append((str(u) if u % 17 else None, rnd.choice(names), base + rnd.randrange(0, 3 * D)))
+    got = {r.position: r.event_name for r in
+           FN.suggest_steps(to_frame(spark, rows), "signup", "purchase", "20240101", "20240131", 3).collect()}
+    first = defaultdict(dict)
+    for u, n, t in rows:
+        if u is not None and n in ("signup", "purchase"):
+            first[u][n] = min(first[u].get(n, t), t)
+    users = defaultdict(set)
+    for u, n, t in rows:
+        b = first.get(u, {})
+        if u is None or n in ("signup", "purchase") or "signup" not in b or "purchase" not in b:
+            continue
+        if b["purchase"] > b["signup"] and b["signup"] < t < b["purchase"]:
+            users[n].add(u)
+    ranked = sorted(users, key=lambda n: (-len(users[n]), n))[:3]
+    want = {0: "signup", 4: "purchase", **{i + 1: n for i, n in enumerate(ranked)}}
+    assert got == want
