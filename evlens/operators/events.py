@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evlens.functions.cohort import cohort_users, restrict_users
 from evlens.functions.params import param_double, param_int, param_string
+from evlens.functions.timecols import shard_to_date, utc_day
 from evlens.schema import NAME, TS, USER
-from evlens.sources.scan import scan
+from evlens.sources.scan import recent_scan, sample_day, scan
 
 
 def event_param_sample(events: DataFrame, event_name: str, param_key: str, start: str, end: str,
@@ -44,7 +46,6 @@ def top_events(events: DataFrame, start: str, end: str, limit: int | None = 50,
     Without a cohort, rows with a NULL user count in ``event_count`` but not in
     ``unique_users``. With a cohort, only cohort users' events count.
     """
-    from evlens.functions.cohort import cohort_users
     window = scan(events, start, end)
     per_user = event_user_counts(window)
     if cohort:
@@ -55,8 +56,6 @@ def top_events(events: DataFrame, start: str, end: str, limit: int | None = 50,
 
 def daily_activity(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
     """Distinct users per shard day (``day`` as a date), ordered by day."""
-    from evlens.functions.cohort import restrict_users
-    from evlens.functions.timecols import shard_to_date
     window = scan(events, start, end)
     pairs = window.select("event_date", USER).distinct()
     pairs = restrict_users(pairs, window, cohort)
@@ -67,7 +66,6 @@ def daily_activity(events: DataFrame, start: str, end: str, cohort: list[dict] |
 
 def active_users(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
     """Distinct users in the window (one row)."""
-    from evlens.functions.cohort import restrict_users
     window = scan(events, start, end)
     users = window.where(F.col(USER).isNotNull()).select(USER).distinct()
     return restrict_users(users, window, cohort).agg(F.count(F.lit(1)).alias("active_users"))
@@ -75,7 +73,6 @@ def active_users(events: DataFrame, start: str, end: str, cohort: list[dict] | N
 
 def total_events(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None) -> DataFrame:
     """Number of event rows in the window (one row)."""
-    from evlens.functions.cohort import restrict_users
     window = scan(events, start, end)
     if not cohort:
         return window.agg(F.count(F.lit(1)).alias("total_events"))
@@ -85,7 +82,6 @@ def total_events(events: DataFrame, start: str, end: str, cohort: list[dict] | N
 
 def recent_users(events: DataFrame, start: str, end: str, limit: int = 20) -> DataFrame:
     """E5: most active non-NULL users with first / last seen (micros) and active UTC days."""
-    from evlens.functions.timecols import utc_day
     agg = (scan(events, start, end).where(F.col(USER).isNotNull())
            .groupBy(USER)
            .agg(F.count(F.lit(1)).alias("event_count"),
@@ -96,7 +92,6 @@ def recent_users(events: DataFrame, start: str, end: str, limit: int = 20) -> Da
 
 def freshness(events: DataFrame, as_of, days_back: int = 3) -> DataFrame:
     """Latest event time (micros) and number of shards with data in the last days."""
-    from evlens.sources.scan import recent_scan
     return (recent_scan(events, as_of, days_back)
             .agg(F.max(TS).alias("latest_event"),
                  F.count_distinct("event_date").alias("days_with_data")))
@@ -124,7 +119,6 @@ def field_discovery(events: DataFrame, day: str, sample: int | None = None) -> D
     ``sample`` optionally caps the rows scanned (the reference reads 50,000 arbitrary
     rows); the default reads the whole shard, so the result is deterministic.
     """
-    from evlens.sources.scan import sample_day
     shard = sample_day(events, day, sample).select("user_properties", "event_params")
     up = (shard.select(F.explode(F.col("user_properties")["key"]).alias("field"))
           .distinct().select(F.lit("user_property").alias("field_type"), "field"))
