@@ -42,7 +42,8 @@ def to_frame(spark, rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("window,ordered", [(0, False), (1, False), (7, False), (0, True), (7, True)])
+@pytest.mark.parametrize("window,ordered", [(0, False), (1, False), (3, False), (7, False), (0, True), (7, True),
+                                            (14, True)])
 def test_conversion_change(spark, seed, window, ordered):
     rows = random_rows(seed, edge_window=window)
     this, last = ("20240111", "20240120"), ("20240101", "20240110")
