@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlens.functions.cohort import cohort_predicate, field_column, resolve_field_type
+from evlens.functions.literals import literal_frame
 from evlens.operators import funnel as FN
 from evlens.operators import retention as R
 from evlens.schema import USER
@@ -62,7 +63,7 @@ def membership(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def _explicit_values(pairs: DataFrame, values: list) -> DataFrame:
     """Given values (F24) with their distinct users counted from the data."""
-    wanted = pairs.sparkSession.createDataFrame([(str(v),) for v in values], "value string")
+    wanted = literal_frame(pairs.sparkSession, [("value", "string")], [(str(v),) for v in values])
     counted = (pairs.join(F.broadcast(wanted), "value", "left_semi")
                .groupBy("value").agg(F.count(F.lit(1)).alias("users")))
     return wanted.join(counted, "value", "left").select("value", F.coalesce("users", F.lit(0)).alias("users"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evlens.functions.cohort import cohort_users, restrict_users
+from evlens.functions.literals import literal_frame
 from evlens.functions.params import param_double, param_int, param_string
 from evlens.functions.timecols import shard_to_date, utc_day
 from evlens.schema import NAME, TS, USER
@@ -125,7 +126,6 @@ def field_discovery(events: DataFrame, day: str, sample: int | None = None) -> D
     ep = (shard.select(F.explode(F.col("event_params")["key"]).alias("field"))
           .distinct().select(F.lit("event_param").alias("field_type"), "field"))
     found = up.unionByName(ep).where(F.col("field").isNotNull()).withColumn("label", F.col("field"))
-    spark = events.sparkSession
-    cols = spark.createDataFrame([("column", f, lbl) for f, lbl in DISCOVERY_COLUMNS],
-                                 "field_type string, field string, label string")
+    cols = literal_frame(events.sparkSession, [("field_type", "string"), ("field", "string"), ("label", "string")],
+                         [("column", f, lbl) for f, lbl in DISCOVERY_COLUMNS])
     return cols.unionByName(found)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlens.functions.cohort import cohort_predicate
+from evlens.functions.literals import literal_frame
 from evlens.functions.periods import previous_period
 from evlens.functions.timecols import utc_day
 from evlens.operators import retention as R
@@ -50,9 +51,9 @@ def dashboard_kpis(events: DataFrame, start: str, end: str, cohort: list[dict] |
     basics = per_user.groupBy("period").agg(F.count(USER).alias("active_users"),
                                             F.sum("n").cast("long").alias("total_events"))
     heads = R.headline(R.cohort_table(ret, ["period"]), ["period"])
-    spark = events.sparkSession
-    frame = spark.createDataFrame([(k, s, e) for k, (s, e) in periods.items()],
-                                  "period string, period_start string, period_end string")
+    frame = literal_frame(events.sparkSession,
+                          [("period", "string"), ("period_start", "string"), ("period_end", "string")],
+                          [(k, s, e) for k, (s, e) in periods.items()])
     return (frame.join(basics, "period", "left").join(heads, "period", "left")
             .select("period", "period_start", "period_end",
                     F.coalesce("active_users", F.lit(0)).cast("long").alias("active_users"),
