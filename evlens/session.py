@@ -21,6 +21,27 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, executors_cores: int, scan_split_bytes: int = 256 << 20,
+               shuffle_partition_bytes: int = 200 << 20, shuffle_ratio: float = 0.25) -> dict[str, str]:
+    """Settings sized for a given input volume.
+
+    ``shuffle_ratio`` is the expected size of the largest shuffle relative to the
+    input: every operator here aggregates map-side before its first shuffle, so
+    shuffles are a fraction of the scanned bytes. The initial partition count keeps
+    each reducer near ``shuffle_partition_bytes`` (well inside executor memory, so
+    sorts and aggregates rarely spill) and AQE coalesces whatever turns out smaller;
+    it never drops below two waves of the cluster's cores.
+    """
+    shuffle_parts = max(2 * executors_cores, int(input_bytes * shuffle_ratio // shuffle_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * shuffle_partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, app: str = "evlens",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
