@@ -23,12 +23,17 @@ def daily_active_stream(events_stream: DataFrame, delay: str = "2 days") -> Data
     return firsts.groupBy(F.to_date(F.col(DATE), "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("dau"))
 
 
-def flat_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream the flat ``events`` files of the test warehouse in canonical core form."""
+def flat_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Stream the flat ``events`` files of the test warehouse in canonical core form.
+
+    ``max_files_per_trigger`` bounds each micro-batch, so draining a large backlog
+    with ``availableNow`` runs as a sequence of bounded batches.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A file stream reads a folder; the filter keeps it to the events file(s).
     raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-           .option("recursiveFileLookup", "true").parquet(sf_dir))
+           .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
+           .parquet(sf_dir))
     return raw.select(*core_columns())
 
 
