@@ -159,3 +159,36 @@ def test_journeys_top_k_is_two_level(spark):
     tree = plan_text(journeys(canonical_events(spark, SF), fx.START, fx.END, first=200)).split("\n\n")[0]
     assert tree.count("WindowGroupLimit") == 4      # partial + final at each of the two levels
     assert tree.count("Exchange") >= 2
+
+
+def test_stream_across_micro_batches(spark):
+    """Three files, one per trigger: (day, user) duplicates span batches."""
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from evlens.operators.events import daily_activity
+    from evlens.streaming.daily_active import daily_active_stream, flat_event_stream, run_available_now
+    d = tempfile.mkdtemp(prefix="evlens-stream-")
+    eid = 0
+    for i, name in enumerate(["events.parquet", "events_2.parquet", "events_3.parquet"]):
+        rows = []
+        for h in range(0, 36, 3):                     # each file spans a day and a half
+            for u in range(5):
+                ts = dt.datetime(2024, 1, 1) + dt.timedelta(hours=24 * i + h, minutes=u)
+                rows.append((eid, ts, u + (h % 2), "view", 1.0, '{"k": 1}'))
+                eid += 1
+        cols = list(zip(*rows))
+        table = pa.table({"event_id": pa.array(cols[0], pa.int64()), "ts": pa.array(cols[1], pa.timestamp("us")),
+                          "user_id": pa.array(cols[2], pa.int64()), "event_type": pa.array(cols[3]),
+                          "value": pa.array(cols[4]), "props": pa.array(cols[5])})
+        pq.write_table(table, os.path.join(d, name))
+    for t in ("customer", "nation", "region"):
+        pq.write_table(pq.read_table(f"{SF}/{t}.parquet"), os.path.join(d, f"{t}.parquet"))
+    streamed = run_available_now(daily_active_stream(flat_event_stream(spark, d, max_files_per_trigger=1)), "multi")
+    from evlens.sources.canonical import canonicalize, user_dimension
+    flat = spark.read.parquet(*[os.path.join(d, n) for n in ("events.parquet", "events_2.parquet", "events_3.parquet")])
+    batch = daily_activity(canonicalize(flat, user_dimension(spark, d)), "20240101", "20240131")
+    got = sorted(map(tuple, streamed.collect()))
+    assert len(got) == 4 and got == sorted(map(tuple, batch.collect()))
