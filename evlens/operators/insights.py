@@ -1,7 +1,7 @@
 """Period comparisons (F7-F11) and insight rules.
 
 Rules are functions ``DataFrame -> DataFrame`` producing rows of the insight shape
-(``INSIGHT_COLUMNS``); ``run_insights`` unions them and ranks by severity. Adding a
+(``INSIGHT_COLUMNS`` plus ``position``, the row's place in the rule's own ranking); ``run_insights`` unions them and ranks by severity. Adding a
 rule means adding one more function to the list.
 """
 from __future__ import annotations
@@ -272,7 +272,7 @@ def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
         title, detail,
         {"this_rate": this_r, "last_rate": last_r, "rel_change": rel,
          "this_starts": F.col("this_starts"), "this_finishes": F.col("this_finishes")},
-        start_event=F.lit(start_event), end_event=F.lit(end_event)))
+        start_event=F.lit(start_event), end_event=F.lit(end_event)), F.lit(1).alias("position"))
 
 
 def rule_funnel_drop(steps: DataFrame) -> DataFrame:
@@ -288,7 +288,8 @@ def rule_funnel_drop(steps: DataFrame) -> DataFrame:
                       F.lit(". This is the single biggest leak in the funnel."))
     return worst.select(*_insight(
         F.concat(F.lit("funnel_drop_"), F.col("event")), "funnel", F.least(F.lit(1.0), d), title, detail,
-        {"step": F.col("step_index"), "users": F.col("users"), "drop_off_pct": d}, event=F.col("event")))
+        {"step": F.col("step_index"), "users": F.col("users"), "drop_off_pct": d}, event=F.col("event")),
+        F.lit(1).alias("position"))
 
 
 def _first_rows(ranked: DataFrame, order: list[Column], n: int = RULE_TOP) -> DataFrame:
@@ -311,7 +312,8 @@ def rule_retention(corr: DataFrame) -> DataFrame:
                       F.lit(" percentage points."))
     return top.where(lift >= RETENTION_MIN_LIFT).select(*_insight(
         F.concat(F.lit("ret_corr_"), F.col(NAME)), "retention", F.least(F.lit(1.0), lift * 2), title, detail,
-        {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME)))
+        {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME)),
+        F.col("_rn").cast("int").alias("position"))
 
 
 def rule_volume(vol: DataFrame, period_label: str = "this period") -> DataFrame:
@@ -325,7 +327,8 @@ def rule_volume(vol: DataFrame, period_label: str = "this period") -> DataFrame:
                       F.col("last_users").cast("string"), F.lit(" users."))
     return top.where(F.abs(rel) >= VOLUME_MIN_REL).select(*_insight(
         F.concat(F.lit("vol_"), F.col(NAME)), "volume", F.least(F.lit(1.0), F.abs(rel)), title, detail,
-        {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME)))
+        {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME)),
+        F.col("_rn").cast("int").alias("position"))
 
 
 # ------------------------------------------------------------------ F16 orchestration
@@ -347,10 +350,19 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
         parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event))
     if funnel_steps is not None:
         parts.append(rule_funnel_drop(funnel_steps))
+    return rank_insights(parts)
+
+
+def rank_insights(parts: list[DataFrame]) -> DataFrame:
+    """Union rule outputs (in rule order) and rank them by severity, desc.
+
+    Stable in the reference's sense: equal severities keep rule order, then each
+    rule's own result order (``position``). The input is a handful of rows.
+    """
     tagged = [p.withColumn("_rule", F.lit(i)) for i, p in enumerate(parts)]
     allrows = tagged[0]
     for p in tagged[1:]:
         allrows = allrows.unionByName(p)
-    order = [F.col("severity").desc(), F.col("_rule").asc(), F.col("id").asc()]
+    order = [F.col("severity").desc(), F.col("_rule").asc(), F.col("position").asc(), F.col("id").asc()]
     return (allrows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("rank", *INSIGHT_COLUMNS))

@@ -572,7 +572,7 @@ def rule_conversion_sql(conv: str, label: str = "vs previous period") -> str:
          || ' ' || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
        'This period: ' || {pct_sql(tr)} || ' (' || this_finishes || ' of ' || this_starts || ' users). Previous: '
          || {pct_sql(lr)} || ' (' || last_finishes || ' of ' || last_starts || ').' AS detail,
-       CAST(NULL AS VARCHAR) AS event, 'signup' AS start_event, 'purchase' AS end_event
+       CAST(NULL AS VARCHAR) AS event, 'signup' AS start_event, 'purchase' AS end_event, 1 AS pos
 FROM ({conv}) AS c
 WHERE {lr} <> 0 AND ABS({rel}) >= 0.05 AND COALESCE(this_starts, 0) >= 50"""
 
@@ -583,7 +583,7 @@ def rule_funnel_sql(steps_sql: str) -> str:
        'Biggest drop-off is at "' || event || '" (' || {pct_sql(d)} || ')' AS title,
        'Only ' || users || ' of the previous step''s users continued to ' || event
          || '. This is the single biggest leak in the funnel.' AS detail,
-       event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
+       event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, 1 AS pos
 FROM (SELECT * FROM ({steps_sql}) AS s WHERE step_index > 1 AND {d} IS NOT NULL
       QUALIFY ROW_NUMBER() OVER (ORDER BY {d} DESC, step_index) = 1) AS w
 WHERE {d} >= 0.3"""
@@ -597,9 +597,9 @@ def rule_retention_sql(corr: str) -> str:
        'Users who do "' || event_name || '" on day 1 retain ' || {pp} || 'pp better at D7' AS title,
        'D7 retention with event: ' || {pct_sql(w)} || ' (' || did_event_users || ' users). Without: '
          || {pct_sql(wo)} || ' (' || no_event_users || ' users). Lift: +' || {pp} || ' percentage points.' AS detail,
-       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
-FROM (SELECT * FROM ({corr}) AS c
-      QUALIFY ROW_NUMBER() OVER (ORDER BY lift DESC NULLS LAST, event_name) <= 3) AS t
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY lift DESC NULLS LAST, event_name) AS pos FROM ({corr}) AS c
+      QUALIFY pos <= 3) AS t
 WHERE {lift} >= 0.1"""
 
 
@@ -609,9 +609,9 @@ def rule_volume_sql(vol: str, label: str = "this period") -> str:
        '"' || event_name || '" ' || CASE WHEN {rel} > 0 THEN 'spiked' ELSE 'dropped' END || ' '
          || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
        'This period: ' || this_users || ' users. Previous: ' || last_users || ' users.' AS detail,
-       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event
-FROM (SELECT * FROM ({vol}) AS v
-      QUALIFY ROW_NUMBER() OVER (ORDER BY ABS({rel}) DESC, event_name) <= 3) AS t
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ABS({rel}) DESC, event_name) AS pos FROM ({vol}) AS v
+      QUALIFY pos <= 3) AS t
 WHERE ABS({rel}) >= 0.25"""
 
 
@@ -640,7 +640,7 @@ def insights_ranked() -> str:
         rule_funnel_sql(funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, round_result=False)),
     ]
     union = "\nUNION ALL\n".join(f"SELECT {i} AS rule_no, * FROM ({p}) AS p{i}" for i, p in enumerate(parts))
-    return f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY severity DESC, rule_no, id) AS INTEGER) AS rank, {INSIGHT_SELECT}
+    return f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY severity DESC, rule_no, pos, id) AS INTEGER) AS rank, {INSIGHT_SELECT}
 FROM ({union}) AS u"""
 
 

@@ -166,3 +166,11 @@ def test_change_day(spark, before, after, expected):
 def test_relative_share(spark):
     df = spark.createDataFrame([("a", 50), ("b", 25)], "event_name string, unique_users bigint")
     assert [r.bar_pct for r in K.relative_share(df).orderBy("event_name").collect()] == [100.0, 50.0]
+
+
+def test_ranking_keeps_rule_order_on_equal_severity(spark):
+    vol = spark.createDataFrame([("a", 0, 100, -1.0), ("b", 400, 100, 3.0), ("c", 10, 100, -0.9)],
+                                "event_name string, this_users bigint, last_users bigint, pct_change double")
+    funnel = I.rule_funnel_drop(steps_df(spark, [1000, 0]))       # severity 1.0 as well
+    ranked = I.rank_insights([I.rule_volume(vol), funnel]).orderBy("rank").collect()
+    assert [r.id for r in ranked] == ["vol_b", "vol_a", "funnel_drop_e2", "vol_c"]
