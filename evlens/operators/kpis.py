@@ -147,21 +147,24 @@ def relative_share(df: DataFrame, value_col: str = "unique_users", out_col: str
 
 
 def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None,
-                       top_n: int = 5) -> DataFrame:
-    """F20 as one row for the window: the KPIs of ``dashboard_kpis`` (no comparison),
-    the top ``top_n`` events by rows and the daily-active-users series.
-
-    The two lists are bounded (``top_n`` rows, one point per day of the window) and
-    are folded into arrays. The three pieces are stacked (each fills its own
-    columns) and merged by one aggregation, so no join is needed.
+                       top_n: int = 5, compare: bool = True) -> DataFrame:
+    """F20-F22 as one row for the window: the current KPIs, the top ``top_n`` events by
+    rows, the daily-active-users series and, with ``compare``, the previous period's
+    KPIs with the deltas (``*_pct`` / ``d7_pp`` and directions).
+
+    The KPIs of both periods come from one ``dashboard_kpis`` plan. The two lists are
+    bounded (``top_n`` rows, one point per day of the window) and folded into arrays.
+    The pieces are stacked (each fills its own columns) and merged by one
+    aggregation, so no join is needed.
     """
     from evlens.operators.events import daily_activity, top_events
     kpi_cols = ["period_start", "period_end", "active_users", "total_events", "d7_rate", "d7_retained",
                 "total_cohorted"]
     top_t = "array<struct<rank:int,event_name:string,event_count:bigint,unique_users:bigint>>"
     line_t = "array<struct<day:date,value:bigint>>"
-    kpis = (dashboard_kpis(events, start, end, cohort, compare=False)
-            .select(*kpi_cols, F.lit(None).cast(top_t).alias("_top"), F.lit(None).cast(line_t).alias("_line")))
+    kpis = (dashboard_kpis(events, start, end, cohort, compare=compare)
+            .select("period", *kpi_cols, F.lit(None).cast(top_t).alias("_top"),
+                    F.lit(None).cast(line_t).alias("_line")))
     rank = Window.orderBy(F.col("event_count").desc(), F.col("event_name").asc())
     top = (top_events(events, start, end, limit=top_n, cohort=cohort)
            .withColumn("rank", F.row_number().over(rank))
@@ -169,16 +172,28 @@ def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dic
                 .alias("_top")))
     line = (daily_activity(events, start, end, cohort)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("day"), F.col("dau").alias("value")))).alias("_line")))
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in kpis.schema.fields if f.name in kpi_cols]
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in kpis.schema.fields if f.name in ["period"] + kpi_cols]
     stacked = (kpis
                .unionByName(top.select(*nulls, F.col("_top").cast(top_t).alias("_top"),
                                        F.lit(None).cast(line_t).alias("_line")))
                .unionByName(line.select(*nulls, F.lit(None).cast(top_t).alias("_top"),
                                         F.col("_line").cast(line_t).alias("_line"))))
-    merged = stacked.agg(*[F.max(c).alias(c) for c in kpi_cols + ["_top", "_line"]])
-    return merged.select(
-        *kpi_cols,
-        F.transform(F.coalesce(F.col("_top"), F.array()),
-                    lambda t: F.struct(t["event_name"].alias("event_name"), t["event_count"].alias("event_count"),
-                                       t["unique_users"].alias("unique_users"))).alias("top_events"),
-        F.coalesce(F.col("_line"), F.array()).alias("sparkline"))
+    cur = lambda c: F.max(F.when(F.col("period") == "current", F.col(c))).alias(c)
+    prev = lambda c: F.max(F.when(F.col("period") == "previous", F.col(c))).alias(f"prev_{c}")
+    aggs = [cur(c) for c in kpi_cols] + [F.max("_top").alias("_top"), F.max("_line").alias("_line")]
+    if compare:
+        aggs += [prev(c) for c in ("period_start", "period_end", "active_users", "total_events", "d7_rate")]
+    merged = stacked.agg(*aggs)
+    out = [*kpi_cols,
+           F.transform(F.coalesce(F.col("_top"), F.array()),
+                       lambda t: F.struct(t["event_name"].alias("event_name"), t["event_count"].alias("event_count"),
+                                          t["unique_users"].alias("unique_users"))).alias("top_events"),
+           F.coalesce(F.col("_line"), F.array()).alias("sparkline")]
+    if compare:
+        out += ["prev_period_start", "prev_period_end", "prev_active_users", "prev_total_events", "prev_d7_rate"]
+        for k in ("active_users", "total_events"):
+            pct, direction, _ = pct_delta(F.col(k), F.col(f"prev_{k}"))
+            out += [pct.alias(f"{k}_pct"), direction.alias(f"{k}_direction")]
+        pp, direction = pp_delta(F.col("d7_rate"), F.col("prev_d7_rate"))
+        out += [pp.alias("d7_pp"), direction.alias("d7_direction")]
+    return merged.select(*out)

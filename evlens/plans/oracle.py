@@ -954,15 +954,30 @@ WHERE {between(*fx.HALF_B)} AND event_name = 'purchase' AND device_category = 'd
 
 
 def dashboard_overview() -> str:
-    kp = kpi_period_sql("current", *fx.HALF_B, None)
+    cur = kpi_period_sql("current", *fx.HALF_B, None)
+    prev = kpi_period_sql("previous", *fx.HALF_A, None)
     top = top_events_sql(fx.HALF_B[0], fx.HALF_B[1], 5)
     dau = daily_activity_sql(*fx.HALF_B)
+
+    def pct(k):
+        c, p = f"k.{k}", f"p.{k}"
+        v = f"CAST({c} - {p} AS DOUBLE) / {p} * 100"
+        return (f"CAST(CASE WHEN {c} IS NULL OR {p} IS NULL THEN NULL WHEN {p} = 0 THEN CASE WHEN {c} = 0 THEN 0.0 END "
+                f"ELSE round_even({v}, 1) END AS DOUBLE) AS {k}_pct, "
+                f"CASE WHEN {c} IS NULL OR {p} IS NULL THEN NULL WHEN {p} = 0 THEN CASE WHEN {c} = 0 THEN 'flat' "
+                f"ELSE 'up' END WHEN {v} > 0.5 THEN 'up' WHEN {v} < -0.5 THEN 'down' ELSE 'flat' END AS {k}_direction")
+    pp = "(k.d7_rate - p.d7_rate) * 100"
     return f"""SELECT k.period_start, k.period_end, k.active_users, k.total_events, ROUND(k.d7_rate, 6) AS d7_rate,
        k.d7_retained, k.total_cohorted,
        (SELECT string_agg(event_name || ':' || event_count || ':' || unique_users, '|'
                           ORDER BY event_count DESC, event_name) FROM ({top}) AS t) AS top_events,
-       (SELECT string_agg(day || ':' || dau, '|' ORDER BY day) FROM ({dau}) AS d) AS sparkline
-FROM ({kp}) AS k"""
+       (SELECT string_agg(day || ':' || dau, '|' ORDER BY day) FROM ({dau}) AS d) AS sparkline,
+       p.period_start AS prev_period_start, p.period_end AS prev_period_end, p.active_users AS prev_active_users,
+       p.total_events AS prev_total_events, ROUND(p.d7_rate, 6) AS prev_d7_rate,
+       {pct('active_users')}, {pct('total_events')},
+       ROUND(round_even({pp}, 1), 6) AS d7_pp,
+       CASE WHEN {pp} > 0.05 THEN 'up' WHEN {pp} < -0.05 THEN 'down' ELSE 'flat' END AS d7_direction
+FROM ({cur}) AS k, ({prev}) AS p"""
 
 
 ORACLES = {
