@@ -134,22 +134,27 @@ def journeys(events: DataFrame, start: str, end: str, first: int = JOURNEY_LIMIT
     return out.select(USER, "seq", *cols)
 
 
-def _session_day_parts(window: DataFrame, by_event: bool = False) -> DataFrame:
-    """Per (user, session id, UTC day[, event]): the partial aggregate every per-user
-    metric is merged from (a user contributes one row per session-day, not per
-    event). ``by_event`` keeps the event name so top events come from the same
-    shuffle."""
+def _session_day_parts(window: DataFrame, by_event: bool = False, attributes: bool = False) -> DataFrame:
+    """Per (user, session id, UTC day[, event][, app version, platform, country]):
+    the partial aggregate every per-user metric is merged from (a user contributes
+    one row per session-day, not per event).
+
+    Only counts, min / max times and sums are aggregated here, so the pass over raw
+    events is a hash aggregate; string attributes ride in the grouping key (they
+    rarely vary inside a session-day) and are resolved later on the reduced rows.
+    """
     keys = [USER, param_int("ga_session_id").alias("sid"), utc_day().alias("day")]
     if by_event:
         keys.append(F.col(NAME))
+    if attributes:
+        keys += [F.col("app_info.version").alias("v"),
+                 F.when(F.col("platform") != "", F.col("platform")).alias("plat"),
+                 F.when(F.col("geo.country") != "", F.col("geo.country")).alias("ctry")]
     return (window.where(F.col(USER).isNotNull())
             .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.min(TS).alias("first_t"), F.max(TS).alias("last_t"),
-                 F.sum(F.coalesce(param_int("engagement_time_msec"), F.lit(0))).alias("eng"),
-                 F.min(F.struct(F.col(TS), F.col("app_info.version").alias("v"))).alias("first_ver"),
-                 F.collect_set("platform").alias("plats"),
-                 F.min(F.when(F.col("geo.country") != "", F.col("geo.country"))).alias("ctry")))
+                 F.sum(F.coalesce(param_int("engagement_time_msec"), F.lit(0))).alias("eng")))
 
 
 def user_totals(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -190,17 +195,16 @@ def user_metrics(events: DataFrame, start: str, end: str) -> DataFrame:
 
     One scan: a (user, session, day, event) partial aggregate feeds both the totals
     and the per-user event ranking (its shuffle is reused)."""
-    parts = _session_day_parts(scan(events, start, end), by_event=True)
+    parts = _session_day_parts(scan(events, start, end), by_event=True, attributes=True)
     base = (parts.groupBy(USER)
             .agg(F.sum("n").cast("long").alias("event_count"),
                  F.count_distinct("sid").alias("session_count"),
                  F.count_distinct("day").alias("active_days"),
                  F.min("first_t").alias("first_seen"), F.max("last_t").alias("last_seen"),
                  minutes_1dp(F.sum("eng")).alias("total_engagement_minutes"),
-                 F.min("first_ver").alias("first_ver"),
-                 # a set of per-part platform sets: bounded by the distinct platform
-                 # combinations, however many sessions a user has
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("plats")))).alias("platforms"),
+                 F.min(F.struct(F.col("first_t"), F.col("v"))).alias("first_ver"),
+                 # distinct platforms of the user: bounded by the platform vocabulary
+                 F.array_sort(F.collect_set("plat")).alias("platforms"),
                  F.min("ctry").alias("country")))
     counts = parts.groupBy(USER, NAME).agg(F.sum("n").alias("event_count"), F.min("first_t").alias("first_t"))
     top = (_rank_events(counts, TOP_EVENTS_PER_USER)
