@@ -43,3 +43,15 @@ def test_conversion_ignores_null_users_and_empty_periods(spark):
     rows = [ev(None, "signup", "2024-01-09 00:00:00"), ev(None, "purchase", "2024-01-09 01:00:00")]
     r = I.conversion_change(frame(spark, rows), "signup", "purchase", THIS, LAST).first()
     assert (r.this_starts, r.this_finishes, r.this_rate, r.last_rate) == (0, 0, None, None)
+
+
+def test_approximate_distinct_users(spark):
+    from evlens.plans import fixture as fx
+    from evlens.sources.canonical import canonical_events
+    ev = canonical_events(spark, "/root/testdata/sf0.1", fx.START, fx.END)
+    exact = E.active_users(ev, fx.START, fx.END).first().active_users
+    approx = E.active_users(ev, fx.START, fx.END, approx=True).first().active_users
+    assert abs(approx - exact) <= 0.05 * exact
+    days = {r.day: r.dau for r in E.daily_activity(ev, fx.START, fx.END).collect()}
+    adays = {r.day: r.dau for r in E.daily_activity(ev, fx.START, fx.END, approx=True).collect()}
+    assert set(days) == set(adays) and all(abs(adays[d] - days[d]) <= 0.05 * days[d] for d in days)
