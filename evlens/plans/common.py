@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ _SOURCES = ("events", "customer", "nation", "region")
 # the same landing folder.
 _RUN = uuid.uuid4().hex[:8]
 _landed: dict[tuple[str, str], str] = {}
+_landing_lock = threading.Lock()
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -43,13 +45,14 @@ def landed_events_path(spark: SparkSession, sf_dir: str) -> str:
     """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     key = (root, _fingerprint(sf_dir))
-    if key in _landed:
-        return _landed[key]
-    path = f"{root}/evlens-canonical-{key[1]}-{_RUN}"
-    if not _complete(spark, path):
-        write_events(canonical_events(spark, sf_dir), path)
-    _landed[key] = path
-    return path
+    with _landing_lock:          # queries started from several threads land once
+        if key in _landed:
+            return _landed[key]
+        path = f"{root}/evlens-canonical-{key[1]}-{_RUN}"
+        if not _complete(spark, path):
+            write_events(canonical_events(spark, sf_dir), path)
+        _landed[key] = path
+        return path
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
