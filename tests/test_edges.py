@@ -55,3 +55,38 @@ def test_approximate_distinct_users(spark):
     days = {r.day: r.dau for r in E.daily_activity(ev, fx.START, fx.END).collect()}
     adays = {r.day: r.dau for r in E.daily_activity(ev, fx.START, fx.END, approx=True).collect()}
     assert set(days) == set(adays) and all(abs(adays[d] - days[d]) <= 0.04 * days[d] for d in days)
+
+
+def test_scans_and_writer(spark):
+    import os
+    import tempfile
+    from datetime import date
+
+    from evlens.sources.scan import recent_scan, sample_day
+    from evlens.sources.sink import write_result
+    df = frame(spark, [ev("a", "x", f"2024-01-{d:02d} 10:00:00") for d in range(1, 31)])
+    assert recent_scan(df, date(2024, 1, 31), 3).count() == 3          # 28, 29, 30 (31 has no data)
+    assert recent_scan(df, "20240115", 0).count() == 1
+    assert sample_day(df, "20240110").count() == 1 and sample_day(df, "20240110", limit=1).count() == 1
+    out = os.path.join(tempfile.mkdtemp(prefix="evlens-result-"), "r")
+    write_result(E.top_events(df, "20240101", "20240131"), out)
+    assert spark.read.parquet(out).first().event_count == 30
+
+
+def test_explain_context_kinds(spark):
+    rows = [ev(str(u), n, f"2024-01-{d:02d} 10:00:00") for u in range(3) for n in ("x", "y") for d in (2, 9)]
+    df = frame(spark, rows)
+    volume = I.explain_context(df, "20240108", "20240114", kind="volume").collect()
+    assert {r.section for r in volume} == {"top_events"}
+    conv = I.explain_context(df, "20240108", "20240114", kind="conversion").collect()
+    # movers need >= 30 users in the previous period; 3 users give top events only
+    assert {r.section for r in conv} == {"top_events"} and len(conv) == 2
+
+
+def test_maturity(spark):
+    from datetime import date
+
+    from evlens.operators import retention as R
+    df = frame(spark, [ev("a", "x", "2024-01-25 10:00:00"), ev("b", "x", "2024-01-29 10:00:00")])
+    m = R.maturity(R.retention(df, "20240101", "20240131"), date(2024, 1, 31)).first()
+    assert (m.days_span, m.d1_ready, m.d7_ready, m.d30_ready) == (6, True, False, False)
