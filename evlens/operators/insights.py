@@ -1,8 +1,9 @@
 """Period comparisons (F7-F11) and insight rules.
 
 Rules are functions ``DataFrame -> DataFrame`` producing rows of the insight shape
-(``INSIGHT_COLUMNS`` plus ``position``, the row's place in the rule's own ranking); ``run_insights`` unions them and ranks by severity. Adding a
-rule means adding one more function to the list.
+(``INSIGHT_COLUMNS`` plus ``position``, the row's place in the rule's own ranking);
+``run_insights`` unions them and ranks by severity. Adding a rule means adding one
+more function to the list.
 """
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ FUNNEL_MIN_DROP = 0.3            # worst step drop-off needed
 RETENTION_MIN_LIFT = 0.1         # absolute D7 lift needed
 VOLUME_MIN_REL = 0.25            # |relative change| needed for a volume insight
 RULE_TOP = 3                     # rows of a ranked result a rule looks at
+MIN_USERS = 50                   # support for correlation and volume change
 CORRELATION_LIMIT = 10
 VOLUME_LIMIT = 10
 MOVERS_MIN_USERS, MOVERS_LIMIT = 30, 8
@@ -144,7 +146,7 @@ def _conversion(days: DataFrame, start_event: str, end_event: str, this: tuple[s
 
 
 # ------------------------------------------------------------------ F8 retention correlation
-def retention_correlation(events: DataFrame, start: str, end: str, min_users: int = 50,
+def retention_correlation(events: DataFrame, start: str, end: str, min_users: int = MIN_USERS,
                           limit: int | None = CORRELATION_LIMIT) -> DataFrame:
     """F8: per event, D7 return rate of users who did / did not do it within 24 whole
     hours of first being seen; ranked by lift (with - without), top ``limit``.
@@ -207,7 +209,7 @@ def _ranked_change(per_event: DataFrame, min_users: int, limit: int | None) -> D
 
 
 def event_volume_change(events: DataFrame, this: tuple[str, str], last: tuple[str, str],
-                        min_users: int = 50, limit: int | None = VOLUME_LIMIT) -> DataFrame:
+                        min_users: int = MIN_USERS, limit: int | None = VOLUME_LIMIT) -> DataFrame:
     """distinct users per event this vs last period, largest relative moves first.
 
     Events new this period are dropped (they need ``min_users`` last period).
@@ -343,8 +345,8 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
     """
     ts, te, ps, pe = periods_from_range(start, end)
     days = user_event_days(events, ps, te)
-    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), 50, VOLUME_LIMIT)),
-             rule_retention(_correlation(days, start, end, 50, CORRELATION_LIMIT))]
+    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), MIN_USERS, VOLUME_LIMIT)),
+             rule_retention(_correlation(days, start, end, MIN_USERS, CORRELATION_LIMIT))]
     if funnel_start_event and funnel_end_event:
         conv = _conversion(days, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days, False)
         parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event))
