@@ -90,3 +90,13 @@ def test_maturity(spark):
     df = frame(spark, [ev("a", "x", "2024-01-25 10:00:00"), ev("b", "x", "2024-01-29 10:00:00")])
     m = R.maturity(R.retention(df, "20240101", "20240131"), date(2024, 1, 31)).first()
     assert (m.days_span, m.d1_ready, m.d7_ready, m.d30_ready) == (6, True, False, False)
+
+
+def test_literal_frame(spark):
+    from evlens.functions.literals import literal_frame
+    cols = [("k", "string"), ("n", "bigint")]
+    df = literal_frame(spark, cols, [("a", 1), ("b", 2)])
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [("a", 1), ("b", 2)]
+    assert dict(df.dtypes) == {"k": "string", "n": "bigint"}
+    empty = literal_frame(spark, cols, [])
+    assert empty.count() == 0 and dict(empty.dtypes) == {"k": "string", "n": "bigint"}
