@@ -5,10 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evlens.llm import bpe, packing
+from evlens.llm import bpe, packing, simhash
 from evlens.llm.common import read_table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     import public_tokenizers
@@ -25,7 +30,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash, op7_byte_bpe, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
