@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20       # text a worker looks at together; one longer text is a batch by itself
+
+
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``limit`` bytes of its ``text`` column, or one row."""
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        if at < 0 or not b.num_rows:
+            yield b
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).cumsum()
+        i = 0
+        while i < b.num_rows:
+            before = size[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(size, before + limit, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over ``df`` with worker imports settled."""
+    """``mapInArrow`` over ``df`` in batches of bounded text, with worker imports settled."""
     workers_find_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
