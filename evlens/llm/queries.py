@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evlens.llm import bpe, packing, quality, simhash, substring
+from evlens.llm import bpe, langid, packing, quality, secret_scan, simhash, substring
 from evlens.llm.common import read_table
 
 
@@ -20,6 +20,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.summary(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     import public_tokenizers
@@ -35,13 +40,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, and what is left without windows seen earlier."""
     return substring.digests(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op7_byte_bpe, op8_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
