@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evlens.llm import bpe, langid, packing, quality, secret_scan, simhash, substring
+from evlens.llm import bpe, chat, langid, packing, quality, secret_scan, simhash, substring
 from evlens.llm.common import read_table
 
 
@@ -14,6 +14,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that tries the escapes, read back from the emitted prefix tree."""
+    tricky = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = chat.turns_of(read_table(spark, sf_dir, "conversations"))
+    return chat.read_back(*chat.build(turns.unionByName(probe)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and classifier verdict of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -53,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
