@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evlens.llm import bpe, chat, langid, packing, quality, secret_scan, simhash, substring
+from evlens.llm import ann, bpe, chat, langid, packing, quality, secret_scan, simhash, substring
 from evlens.llm.common import read_table
 
 
@@ -23,6 +24,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.build(turns.unionByName(probe)))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), lambda c: F.col(c) % 50 == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and classifier verdict of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -62,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_format, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_nearest, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
