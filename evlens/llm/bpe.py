@@ -2,8 +2,8 @@
 
 A text is cut before every single space that follows a non-space character. The
 split pattern never joins characters across such a cut, so each part can be encoded
-once, remembered per worker (bounded), and the ids of a text are the concatenation
-of its parts' ids. Ids travel as little-endian unsigned 32-bit bytes.
+once - each match of the pattern in it by the library's BPE model -, remembered per
+worker (bounded), and the ids of a text are the concatenation of its parts' ids. Ids travel as little-endian unsigned 32-bit bytes.
 
 Null text reads as empty: no ids. Empty texts give zero ids and decode to zero bytes.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from evlens.llm.common import arrow_map, id_text, texts_of
 
-CACHE_PARTS = 600_000      # remembered parts per worker
-ENCODE_PARTS = 20_000      # parts encoded by one library call
+CACHE_PARTS = 450_000      # remembered parts per worker, twice
+CACHE_PIECES = 250_000     # remembered matches of the pattern per worker, twice
 
 
 @lru_cache(maxsize=1)
@@ -98,60 +98,71 @@ def parts_of(text: str) -> list[str]:
     return out
 
 
-class PartEncoder:
-    """Encodes texts part by part; what parts give is remembered up to a bound."""
+class _Remembered(dict):
+    """A bounded memory of a function: when it is full, it becomes the older half, and a new one begins."""
+
+    def __init__(self, fn, limit: int):
+        super().__init__()
+        self.fn, self.limit, self.older = fn, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
 
-    def __init__(self, tokenizer, cache_parts: int = CACHE_PARTS):
-        self.tok, self.limit, self.known = tokenizer, cache_parts, {}
+class _NotApart(Exception):
+    """A part that cannot be encoded without its neighbour."""
+
+
+class PartEncoder:
+    """Encodes texts part by part; what parts and matches of the pattern give is remembered up to a bound."""
+
+    def __init__(self, tokenizer, pattern: str, parts: int = CACHE_PARTS, pieces: int = CACHE_PIECES):
+        import regex
+
+        self.model = tokenizer.model
+        self.cut = regex.compile(pattern).findall
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.pieces = _Remembered(self._piece, pieces)
+        self.parts = _Remembered(self._part, parts)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one match of the pattern, by the library's BPE model."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+
+    def _part(self, part: str) -> bytes:
+        if not part or part[-1].isspace():
+            raise _NotApart
+        if part.isalpha():                                      # a space and letters are one match
+            return self.pieces[" " + part]
+        if part[-1] in ".,;:!?" and part[:-1].isalpha():        # and then one mark is another
+            return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
+        return self._whole(" " + part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        new = set()
-        for c in cut:
-            new.update(c[1:])
-        new.difference_update(self.known)
-        odd = {p for p in new if not p or p[-1].isspace()}
-        new -= odd
-        if len(self.known) + len(new) > self.limit:
-            for c in cut:
-                new.update(c[1:])
-            self.known.clear()
-            odd = {p for p in new if not p or p[-1].isspace()}
-            new -= odd
-        self._learn(list(new))
-        get, out = self.known.__getitem__, []
-        heads = self._whole([c[0] for c in cut])
-        for text, c, head in zip(texts, cut, heads):
+        out, get = [], self.parts.__getitem__
+        for text in texts:
+            head, *rest = text.split(" ")
             try:
-                out.append(head + b"".join(map(get, c[1:])))
-            except KeyError:
-                out.append(self._slow(text))
+                if head and head[-1].isspace():
+                    raise _NotApart
+                out.append(self._whole(head) + b"".join(map(get, rest)))
+            except _NotApart:       # runs of white space before a space: longer parts
+                head, *rest = parts_of(text)
+                out.append(self._whole(head) + b"".join(self._whole(" " + p) if p[-1:].isspace() or not p else get(p)
+                                                        for p in rest))
         return out
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """Each text by itself."""
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Many parts in one call: joined by spaces they split again exactly at those spaces."""
-        for a in range(0, len(parts), ENCODE_PARTS):
-            some = parts[a:a + ENCODE_PARTS]
-            enc = self.tok.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in some])])
-            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc.offsets))
-            cuts = np.searchsorted(at, starts) * 4
-            raw = np.asarray(enc.ids, "<u4").tobytes()
-            self.known.update(zip(some, (raw[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()))))
-
-    def _slow(self, text: str) -> bytes:
-        """A text with runs of white space before a space: longer parts, looked up or encoded apart."""
-        parts = parts_of(text)
-        rest = parts[1:]
-        fresh = list({p for p in rest if p not in self.known})
-        given = dict(zip(fresh, self._whole([" " + p for p in fresh])))
-        head = self._whole(parts[:1])[0]
-        return head + b"".join(self.known[p] if p in self.known else given[p] for p in rest)
-
 
 class Decoder:
     """Ids back to bytes through the reversed byte table."""
@@ -183,12 +194,12 @@ class Decoder:
 _workers: dict[tuple, tuple[PartEncoder, Decoder]] = {}
 
 
-def worker_codec(kind: str, path: str, pattern: str = "") -> tuple[PartEncoder, Decoder]:
+def worker_codec(kind: str, path: str, pattern: str) -> tuple[PartEncoder, Decoder]:
     """One encoder and decoder per Python worker and vocabulary."""
     key = (kind, path, pattern)
     if key not in _workers:
         tok = tokenizer_from_ranks(path, pattern) if kind == "ranks" else tokenizer_from_json(path)
-        _workers[key] = PartEncoder(tok), Decoder(tok.get_vocab())
+        _workers[key] = PartEncoder(tok, pattern), Decoder(tok.get_vocab())
     return _workers[key]
 
 

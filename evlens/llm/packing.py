@@ -31,13 +31,13 @@ FIT_STEPS, FIT_ROUNDS = 250, 3
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocab_path: str, size: int = SIZE, end_id: int = END_ID,
+def pieces(docs: DataFrame, vocab_path: str, pattern: str, size: int = SIZE, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with ``part`` and ``nth``: its rank among equal lengths of its input partition."""
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, _ = worker_codec("json", vocab_path)
+        enc, _ = worker_codec("json", vocab_path, pattern)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             rows = []
@@ -166,10 +166,10 @@ def slots(packed: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tup
     return {n: tuple(np.asarray(c, np.int64) for c in zip(*r)) for n, r in runs.items()}
 
 
-def pack(docs: DataFrame, vocab_path: str, size: int = SIZE, end_id: int = END_ID,
+def pack(docs: DataFrame, vocab_path: str, pattern: str, size: int = SIZE, end_id: int = END_ID,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; see the module text."""
-    table = stored(pieces(docs, vocab_path, size, end_id, id_col, text_col), "pieces")
+    table = stored(pieces(docs, vocab_path, pattern, size, end_id, id_col, text_col), "pieces")
     counts = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     hist = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():     # at most ``size`` rows

@@ -52,7 +52,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, placed in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.PATTERN)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
