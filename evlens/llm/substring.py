@@ -10,10 +10,11 @@ Spark's rounds settle globally what the names reveal:
 1. Copies: documents of one digest are one text; all but the first are covered whole.
 2. Long symbols (at least ``LONG`` words): every occurrence but the first lies under
    windows that also start earlier, so these spans are removed at once.
-3. Window symbols: for every window, the highest level at which some symbol surely lies
-   inside it (whatever surrounds the window) and the first such symbol there. Equal
-   windows have equal window symbols, so a window whose symbol occurs once occurs once.
-   Windows without such a symbol (long runs of one word) are named by themselves.
+3. Window symbols: of the symbols of level ``ROUNDS`` that surely lie inside a window
+   (whatever surrounds it), the neighbouring two whose pair has the smallest name. Equal
+   windows have equal window symbols, and a stretch of windows shares one, so few are
+   named; a window whose symbol occurs once occurs once. Windows without two such
+   symbols take the one they have, or are named by themselves (long runs of one word).
 4. Only windows with a repeated symbol are compared, by their 128-bit names; the
    smallest (doc_id, start) of each name stays, words of the other windows go.
 
@@ -36,8 +37,8 @@ from evlens.llm.common import WORD_BREAK, arrow_map, id_text, stored, texts_of
 
 WINDOW = 20          # words
 LONG = 40            # words of a symbol whose repeats are settled without windows
-WINDOW_LEVELS = 10   # levels looked at for windows
-ALL_LEVELS = 24      # levels looked at for long symbols
+ROUNDS = 3           # levels of pairs under a window's symbols
+LEVELS = 24          # levels looked at for long symbols
 _NO_ID = (1 << 63) - 1
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -111,46 +112,58 @@ class Parsed:
         names[many] = _pair(names[many], np.repeat(length[many].astype(np.uint64)[:, None], 2, 1), 1)
         # The runs a window begins and ends in may go on outside it; those between are sure.
         a, b = run_of[win] + 1, run_of[win + self.window - 1]
-        live = np.arange(len(win))
-        for level in range(ALL_LEVELS if long else WINDOW_LEVELS):
-            if len(live):
-                inside = a < b
-                live, a, b = live[inside], a[inside], b[inside]
-                top[live] = _mix(names[a, 0] + _salted(level, _M1))
-                top_at[live] = start[a]
-                found[live] = True
+        for level in range(LEVELS if long else ROUNDS):
             left = (names[:, 0] >> np.uint64(level + 3) & np.uint64(1)).astype(bool)
             joins = np.zeros(len(names), bool)
             joins[:-1] = left[:-1] & ~left[1:] & (doc[:-1] == doc[1:])
             second = np.concatenate([[False], joins[:-1]])
-            if len(live):
-                # A right symbol at the front or a left one at the end may join what lies outside.
-                a, b = a + ~left[a], b - left[b - 1]
-            if not joins.any():
-                if not long:
-                    inside = a < b
-                    live, a, b = live[inside], a[inside], b[inside]
-                continue
             head = np.flatnonzero(~second)
-            place = np.cumsum(~second) - 1
-            if len(live):
-                inside = a < b
-                live, a, b = live[inside], a[inside], b[inside]
-                a, b = place[a], place[b - 1] + 1
+            if level < ROUNDS:
+                # A right symbol at the front or a left one at the end may join what lies outside.
+                live = a < b
+                a[live] += ~left[a[live]]
+                live = a < b
+                b[live] -= left[b[live] - 1]
+                live = a < b
+                place = np.cumsum(~second) - 1
+                a[live], b[live] = place[a[live]], place[b[live] - 1] + 1
+                b[~live] = a[~live] = 0
             made = joins[head]
-            fresh = names[head].copy()
             at = head[made]
+            fresh, size = names[head], length[head]
             fresh[made] = _pair(names[at], names[at + 1], level + 2)
-            size = length[head].copy()
             size[made] += length[at + 1]
             if long:
                 grown = np.flatnonzero(made & (size >= long))
                 long_rows.append((fresh[grown], start[head][grown], size[grown]))
             names, length, start, doc = fresh, size, start[head], doc[head]
+            if level == ROUNDS - 1:
+                self._window_symbols(names, start, a, b, top, top_at, found)
         rest = np.flatnonzero(~found)
         top[rest] = self.window_names(win[rest])[:, 0]
         return win, top, top_at, long_rows
 
+    def _window_symbols(self, names, start, a, b, top, top_at, found):
+        """Name each window by the smallest pair of neighbours among its sure symbols a..b, or by the only one."""
+        one = np.flatnonzero(b - a == 1)
+        top[one], top_at[one], found[one] = _mix(names[a[one], 1] + _M3), start[a[one]], True
+        many = np.flatnonzero(b - a > 1)
+        pair = np.zeros(len(names), np.uint64)
+        pair[:-1] = _mix(names[:-1, 0] * _M1 + names[1:, 0])
+        first, last = a[many], b[many] - 1            # pairs first .. last - 1
+        best = first.copy()
+        table = np.arange(len(names))                 # place of the smallest pair of 2^k from each place on
+        width = last - first
+        k = 0
+        while len(many) and 1 << k <= width.max():
+            fit = (width >> k) == 1                   # 2^k <= width < 2^(k+1)
+            x, y = table[first[fit]], table[last[fit] - (1 << k)]
+            best[fit] = np.where(pair[x] <= pair[y], x, y)
+            ahead = table[np.minimum(np.arange(len(names)) + (1 << k), len(names) - 1)]
+            table = np.where(pair[table] <= pair[ahead], table, ahead)
+            k += 1
+        top[many], top_at[many], found[many] = pair[best], start[best], True
+
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = id_text(docs, id_col, text_col)
@@ -252,8 +265,8 @@ def windows_to_compare(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def _later(found: DataFrame, name: list[str]) -> DataFrame:
     """Occurrences but the first of each name that occurs more than once."""
     place = F.struct("doc_id", "version", "start")
-    least = (found.groupBy(*name).agg(F.min(place).alias("least"), F.max(place).alias("most"))
-             .where("least != most").drop("most"))
+    least = (found.groupBy(*name).agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").drop("n"))
     return found.join(least, name).where(place != F.col("least"))
 
 
@@ -273,27 +286,26 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, long: int = LONG,
     """
     parsed = stored(parse(docs, window, long, id_col, text_col), "parsed")
     firsts = parsed.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    rows = (parsed.select("doc_id", "version", "n_words", "digest").join(firsts, "digest")
-            .withColumn("copy", F.col("doc_id") > F.col("first")))
-    # Copies are decided whole; only the first row of each text is looked into.
-    parsed = stored(parsed.join(firsts, "digest").where("doc_id = first")
-                    .select("doc_id", "version", "symbols", "again", "longs"), "texts")
-
-    settled = (_later(parsed.select("doc_id", "version", F.explode("longs").alias("s"))
-                      .select("doc_id", "version", "s.*"), ["h1", "h2"])
-               .groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "words")).alias("settled")))
-
-    # Window symbols that occur in two distinct texts, or at two places of one.
-    occurring = parsed.select("doc_id", "version", F.explode(F.arrays_zip("symbols", "again")).alias("s"))
-    text = F.struct("doc_id", "version")
+    rows = stored(parsed.select("doc_id", "version", "n_words", "digest").join(firsts, "digest")
+                  .withColumn("copy", F.col("doc_id") > F.col("first")).drop("first"), "rows")
+    firsts = rows.where("not copy").select("doc_id", "version").distinct()
+
+    settled = stored(_later(parsed.select("doc_id", "version", F.explode("longs").alias("s"))
+                            .select("doc_id", "version", "s.*"), ["h1", "h2"])
+                     .join(firsts, ["doc_id", "version"], "left_semi")
+                     .groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "words")).alias("settled")), "settled")
+
+    # Window symbols that occur in two distinct texts, or at two places of one. Copies share
+    # their version, so they do not count as two.
+    occurring = parsed.select("version", F.explode(F.arrays_zip("symbols", "again")).alias("s"))
     repeated = (occurring.groupBy(F.col("s.symbols").alias("symbol"))
-                .agg(F.min(text).alias("least"), F.max(text).alias("most"), F.max("s.again").alias("again"))
+                .agg(F.min("version").alias("least"), F.max("version").alias("most"), F.max("s.again").alias("again"))
                 .where("again or least != most").select("symbol"))
-    wanted = (occurring.select("doc_id", "version", F.col("s.symbols").alias("symbol"))
-              .join(repeated, "symbol", "left_semi")
-              .groupBy("doc_id", "version").agg(F.collect_set("symbol").alias("symbols")))
+    wanted = (parsed.join(firsts, ["doc_id", "version"], "left_semi")
+              .select("version", F.explode("symbols").alias("symbol")).join(repeated, "symbol", "left_semi")
+              .groupBy("version").agg(F.collect_set("symbol").alias("symbols")))
 
-    todo = wanted.join(settled, ["doc_id", "version"], "full")
+    todo = stored(firsts.join(wanted, "version").join(settled, ["doc_id", "version"], "left"), "todo")
     plain = _named(docs, id_col, text_col)
     texts = stored(plain.join(todo, "doc_id").where(_text_version() == F.col("version"))
                    .select("doc_id", "version", "symbols", "settled", "text"), "candidates")
