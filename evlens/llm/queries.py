@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlens.llm import ann, bpe, chat, langid, packing, quality, secret_scan, simhash, substring
+from evlens.llm import ann, bpe, chat, langid, license_scan, packing, quality, secret_scan, simhash, substring
 from evlens.llm.common import read_table
 
 
@@ -35,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secret_scan.summary(read_table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_nearest, op4_quality_rules, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_nearest, op4_quality_rules, op5_license_scan, op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
