@@ -90,7 +90,7 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Itera
             i = j
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` over ``df`` in batches of bounded text, with worker imports settled."""
     workers_find_package(df.sparkSession)
     return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)

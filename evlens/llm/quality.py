@@ -222,3 +222,16 @@ def score(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOL
     return arrow_map(id_text(docs, id_col, text_col), run,
                      "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                      "n_repeat_words long, base_failed boolean, probability double, kept boolean")
+
+
+def keep(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that pass base rules and classifier."""
+
+    def run(batches):
+        for b in batches:
+            texts = texts_of(b, text_col)
+            facts = [base_facts(t) for t in texts]
+            p = model.probabilities(texts) if model else np.ones(len(texts))
+            yield b.filter(pa.array([not base_failed(f[0], f[4]) and bool(x >= threshold) for f, x in zip(facts, p)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

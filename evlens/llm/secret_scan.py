@@ -191,3 +191,30 @@ def summary(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col
 
     return scan(docs, rate, id_col, text_col).select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def redact(docs: DataFrame, rate: float = FDR, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of every kind replaced by ``mark``, and ``n_chars`` to match.
+
+    Texts without any match of any pattern go through untouched; only the others are joined
+    with their spans, by id and a hash of the text.
+    """
+    text = F.col(f"`{text_col}`")
+    any_kind = "|".join(f"({p})" for p in [*[k[1] for k in KINDS], CANDIDATE])
+    touched = F.coalesce(text.rlike(any_kind), F.lit(False))
+    hits = docs.where(touched)
+    key = F.xxhash64(text)
+    named = hits.select(key.alias("key"), text.alias("text")).dropDuplicates(["key", "text"])
+    spans = (scan(named.select(F.col("key").alias("doc_id"), "text"), rate)
+             .select(F.col("doc_id").alias("span_key"), "spans").where(F.size("spans") > 0))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
+        s["stop"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
+        .otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))))
+    new = F.when(F.col("spans").isNotNull(), F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.char_length(text))))
+    joined = hits.withColumn("own_key", key).join(spans, F.col("own_key") == F.col("span_key"), "left")
+    done = joined.select(*[
+        (F.coalesce(new, text) if c == text_col else
+         F.when(F.col("spans").isNotNull(), F.char_length(new).cast("long")).otherwise(F.col("n_chars")) if c == "n_chars"
+         else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return done.unionByName(docs.where(~touched))

@@ -270,7 +270,7 @@ def _later(found: DataFrame, name: list[str]) -> DataFrame:
     return found.join(least, name).where(place != F.col("least"))
 
 
-def _text_version(text: str = "text"):
+def text_version(text: str = "text"):
     """``version`` of a text by built-in functions."""
     words = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WORD_BREAK, " "))
     return F.conv(F.substring(F.sha2(words, 256), 1, 16), 16, -10).cast("long")
@@ -307,7 +307,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, long: int = LONG,
 
     todo = stored(firsts.join(wanted, "version").join(settled, ["doc_id", "version"], "left"), "todo")
     plain = _named(docs, id_col, text_col)
-    texts = stored(plain.join(todo, "doc_id").where(_text_version() == F.col("version"))
+    texts = stored(plain.join(todo, "doc_id").where(text_version() == F.col("version"))
                    .select("doc_id", "version", "symbols", "settled", "text"), "candidates")
     found = stored(windows_to_compare(texts, window), "windows")
     later = (_later(found, ["w1", "w2"]).groupBy("doc_id", "version")
