@@ -14,8 +14,8 @@ their class are candidates; exact shingle containment of at least ``CONTAINMENT`
 Texts without any anchor word (a set of words, found from the templates, of which every
 template shingle holds one) share no shingle with any template and are passed over.
 
-Results: one row per document and template found: the best containment, the first word
-(from 0) of the first window with a match, and the number of matching windows. Null and
+Results: one row per document and template found: the best containment, and the first
+word (from 0) of the first window that has it. Null and
 empty texts, and texts shorter than a shingle, give none. Repeated rows give one row.
 """
 from __future__ import annotations
@@ -97,13 +97,13 @@ def anchor_words(shingles: list[list[str]]) -> list[str]:
 
 def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: int = BANDS, least: float = CONTAINMENT,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, template, license, containment, first_word, n_windows)``; see the module text."""
+    """``(doc_id, template, license, containment, first_word)``; see the module text."""
     table = template_table(docs.sparkSession, templates, shingle, bands)
     known = table.select("class", "minima", "shingles").collect()        # one row per template
     classes = sorted({r["class"] for r in known})
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id long, template string, license string, containment double, "
-                                                     "first_word long, n_windows long")
+                                                     "first_word long")
     anchors = anchor_words([s.split(" ") for r in known for s in r["shingles"]])
     text = F.col(f"`{text_col}`").cast("string")
     may = F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, anchors))})(?![\p{{L}}\p{{N}}])")
@@ -135,5 +135,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: in
     share = F.size(F.array_intersect(shingle_texts(F.col("part"), shingle), F.col("shingles"))) / F.size("shingles")
     return (both.select("doc_id", "template", "license", "at", share.alias("share")).where(F.col("share") >= least)
             .groupBy("doc_id", "template", "license")
-            .agg(F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word"),
-                 F.countDistinct("at").alias("n_windows")))
+            .agg(F.max(F.struct("share", (-F.col("at")).alias("at"))).alias("best"))
+            .select("doc_id", "template", "license", F.col("best.share").alias("containment"),
+                    (-F.col("best.at")).cast("long").alias("first_word")))

@@ -155,20 +155,25 @@ def fit_logistic(texts: list[str], good: np.ndarray, ridge: float = RIDGE, steps
 
 
 def calibrate(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through held-out margins, with smoothed targets."""
+    """Slope and shift of a logistic curve through held-out margins.
+
+    Targets are smoothed, and the curve is drawn towards slope 1 and shift 0 as by two
+    further rows of the rarer class, so that a handful of rows cannot turn it round.
+    """
     pos, neg = good.sum(), (~good).sum()
     if not pos or not neg:
         return 1.0, 0.0
     target = np.where(good, (pos + 1) / (pos + 2), 1 / (neg + 2))
     share = np.where(good, 0.5 / pos, 0.5 / neg)
+    pull = 2.0 / (min(pos, neg) + 2)
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([(share * (p - target) * margins).sum(), (share * (p - target)).sum()])
-        c = share * np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(c * margins ** 2).sum(), (c * margins).sum()], [(c * margins).sum(), c.sum()]]) + 1e-9 * np.eye(2)
-        da, db = np.linalg.solve(h, g)
-        a, b = a - da, b - db
+        g = np.array([(share * (p - target) * margins).sum() + pull * (a - 1), (share * (p - target)).sum() + pull * b])
+        c = share * p * (1 - p)
+        h = np.array([[(c * margins ** 2).sum() + pull, (c * margins).sum()], [(c * margins).sum(), c.sum() + pull]])
+        da, db = np.clip(np.linalg.solve(h, g), -1, 1)      # short steps: a Newton step can overshoot
+        a, b = max(a - da, 0.05), b - db
         if abs(da) + abs(db) < 1e-8:
             break
     return float(a), float(b)
