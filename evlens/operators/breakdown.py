@@ -113,9 +113,9 @@ def retention_breakdown(events: DataFrame, start: str, end: str, field: str,
 
 def compare_cohorts(events: DataFrame, start: str, end: str, dimension: str, value_a: str,
                     value_b: str | None = None) -> DataFrame:
-    """retention headline for ``dimension = a`` and (optionally) ``= b``."""
+    """retention headline for ``dimension = a`` and ``= b``; an empty or repeated second value is none."""
     ft = resolve_field_type(dimension)
-    wanted = [value_a] if value_b is None else [value_a, value_b]
+    wanted = [value_a, value_b] if value_b and value_b != value_a else [value_a]
     window = scan(events, start, end)
     pairs = value_users(window, dimension, ft)
     return _retention_series(window, pairs, _explicit_values(pairs, wanted))

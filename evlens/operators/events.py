@@ -31,7 +31,7 @@ def event_param_sample(events: DataFrame, event_name: str, param_key: str, start
 
 def _ranked(df: DataFrame, metric: str, limit: int | None) -> DataFrame:
     ordered = df.orderBy(F.col(metric).desc(), F.col(NAME).asc_nulls_last())
-    return ordered.limit(limit) if limit else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def event_user_counts(window: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def _correlation(days: DataFrame, start: str, end: str, min_users: int, limit: i
            .where((F.col("did_event_users") >= min_users) & (F.col("no_event_users") >= min_users))
            .withColumn("lift", F.col("d7_retention_with_event") - F.col("d7_retention_without_event")))
     out = out.orderBy(F.col("lift").desc_nulls_last(), F.col(NAME).asc())
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 # ------------------------------------------------------------------ F9 / F10 volume change
@@ -205,7 +205,7 @@ def _ranked_change(per_event: DataFrame, min_users: int, limit: int | None) -> D
                        F.nullif(F.col("prev_users"), F.lit(0))).cast("double")
     out = (per_event.where(F.col("prev_users") >= min_users).withColumn("pct_change", pct)
            .orderBy(F.abs(F.coalesce(F.col("pct_change"), F.lit(0.0))).desc(), F.col(NAME).asc()))
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 def event_volume_change(events: DataFrame, this: tuple[str, str], last: tuple[str, str],

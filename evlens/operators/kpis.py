@@ -143,7 +143,8 @@ def freshness_status(fresh: DataFrame, as_of: datetime) -> DataFrame:
 def relative_share(df: DataFrame, value_col: str = "unique_users", out_col: str = "bar_pct") -> DataFrame:
     """value / max(value) * 100 over a small ranked result (e.g. top events)."""
     m = F.max(value_col).over(Window.partitionBy(F.lit(1)))
-    return df.withColumn(out_col, (F.col(value_col) / m * 100).cast("double"))
+    # All values 0: there is no longest bar, and no share of it.
+    return df.withColumn(out_col, (F.try_divide(F.col(value_col), m) * 100).cast("double"))
 
 
 def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None,

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from evlens.functions.params import param_int, param_string
 from evlens.functions.timecols import utc_day
-from evlens.schema import MICROS_PER_DAY, NAME, TS, USER
+from evlens.schema import MICROS_PER_DAY, MICROS_PER_HOUR, NAME, TS, USER
 from evlens.sources.scan import scan
 
 # --- fixed values (must match the reference behaviour) -------------------------
-JOURNEY_LIMIT = 200
 JOURNEY_SAMPLE = 50
 NARRATIVE_HEAD, NARRATIVE_TAIL = 8, 4
 TOP_EVENTS_PER_USER = 8
@@ -86,19 +85,37 @@ def _journey_cols() -> list[Column]:
             F.col("app_info.version").alias("app_version")]
 
 
-def user_journey(events: DataFrame, user_id: str, start: str, end: str, limit: int = JOURNEY_LIMIT) -> DataFrame:
-    """One user's events in time order (name breaks ties), at most ``limit``."""
-    return (scan(events, start, end).where(F.col(USER) == F.lit(user_id))
-            .select(*_journey_cols())
-            .orderBy("event_time", NAME).limit(limit))
+def _journey_order(rows: DataFrame, descending: bool = False) -> list[Column]:
+    """Time, name, then every other column: only rows that agree in all of them are interchangeable."""
+    names = ["event_time", NAME, *[c for c in rows.columns if c not in ("event_time", NAME, USER)]]
+    return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in names]
 
 
-# Second-level spread of per-user top-k (see ``_first_k_per_user``).
-TOPK_SALT_BUCKETS = 64
+def user_journey(events: DataFrame, user_id: str, start: str, end: str, limit: int | None = None) -> DataFrame:
+    """One user's events in time order (the other columns break ties), all or the first ``limit``."""
+    rows = scan(events, start, end).where(F.col(USER) == F.lit(user_id)).select(*_journey_cols())
+    ordered = rows.orderBy(*_journey_order(rows))
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def _numbered_per_user(rows: DataFrame, col: str) -> DataFrame:
+    """All of each user's rows, numbered from 1 in journey order.
+
+    Numbered within (user, hour of the event); the hours' counts, one small row each,
+    say how many rows come before. No task holds more than an hour of a user.
+    """
+    hour = F.floor(F.col("event_time") / MICROS_PER_HOUR)
+    by_hour = rows.withColumn("_hour", hour)
+    before = Window.partitionBy(USER).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (by_hour.groupBy(USER, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+              .select(USER, "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy(USER, "_hour").orderBy(*_journey_order(rows)))
+    return (by_hour.withColumn("_place", place).join(starts, [USER, "_hour"])
+            .withColumn(col, (F.col("_before") + F.col("_place")).cast("int")).drop("_place", "_before", "_hour"))
 
 
 def _first_k_per_user(rows: DataFrame, order: list[Column], k: int, col: str,
-                      salt_buckets: int = TOPK_SALT_BUCKETS) -> DataFrame:
+                      salt_buckets: int | None = None) -> DataFrame:
     """Each user's first ``k`` rows by ``order``, numbered 1..k in ``col``.
 
     Two levels of ``row_number() <= k``, each planned with a partial group limit
@@ -106,7 +123,9 @@ def _first_k_per_user(rows: DataFrame, order: list[Column], k: int, col: str,
     ``salt_buckets``), so one user's candidates are cut to k per map task and spread
     over ``salt_buckets`` tasks; level 2 ranks at most k x ``salt_buckets`` survivors
     per user. A user holding a third of all rows never lands whole in one task.
+    The salt follows the number of shuffle partitions unless given.
     """
+    salt_buckets = salt_buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.spark_partition_id(), F.lit(salt_buckets))
     lvl1 = (rows.withColumn("_salt", salt)
             .withColumn("_r1", F.row_number().over(Window.partitionBy(USER, "_salt").orderBy(*order)))
@@ -115,19 +134,19 @@ def _first_k_per_user(rows: DataFrame, order: list[Column], k: int, col: str,
             .where(F.col(col) <= k))
 
 
-def journeys(events: DataFrame, start: str, end: str, first: int = JOURNEY_LIMIT,
+def journeys(events: DataFrame, start: str, end: str, first: int | None = None,
              last: int = 0) -> DataFrame:
-    """B5 / B8 for all users: each user's first ``first`` and last ``last`` events.
+    """B5 / B8 for all users: all events, or each user's first ``first`` and last ``last``.
 
     Columns: user_pseudo_id, seq (1-based from the start, or negative from the end),
     then the journey columns.
     """
     rows = scan(events, start, end).where(F.col(USER).isNotNull()).select(USER, *_journey_cols())
-    out = None
+    out = _numbered_per_user(rows, "seq") if first is None else None
     if first:
-        out = _first_k_per_user(rows, [F.col("event_time").asc(), F.col(NAME).asc()], first, "seq")
+        out = _first_k_per_user(rows, _journey_order(rows), first, "seq")
     if last:
-        tail = (_first_k_per_user(rows, [F.col("event_time").desc(), F.col(NAME).desc()], last, "seq")
+        tail = (_first_k_per_user(rows, _journey_order(rows, descending=True), last, "seq")
                 .withColumn("seq", -F.col("seq")))
         out = tail if out is None else out.unionByName(tail)
     cols = [c for c in out.columns if c not in (USER, "seq")]
@@ -169,8 +188,8 @@ def user_totals(events: DataFrame, start: str, end: str) -> DataFrame:
                  minutes_1dp(F.sum("eng")).alias("total_engagement_minutes")))
 
 
-def user_top_events(events: DataFrame, start: str, end: str, k: int = TOP_EVENTS_PER_USER) -> DataFrame:
-    """Each user's ``k`` most frequent events; ties go to the event seen first.
+def user_top_events(events: DataFrame, start: str, end: str, k: int | None = TOP_EVENTS_PER_USER) -> DataFrame:
+    """Each user's ``k`` most frequent events, or all; ties go to the event seen first.
 
     Columns: user_pseudo_id, rank, event, event_count.
     """
@@ -179,12 +198,13 @@ def user_top_events(events: DataFrame, start: str, end: str, k: int = TOP_EVENTS
     return _rank_events(counts, k)
 
 
-def _rank_events(counts: DataFrame, k: int) -> DataFrame:
+def _rank_events(counts: DataFrame, k: int | None) -> DataFrame:
     # NULL names rank after every named event and are dropped after ranking, so the
     # input needs no filter (which would differ from the shared aggregate's plan).
     w = Window.partitionBy(USER).orderBy(F.col(NAME).isNull(), F.col("event_count").desc(),
                                          F.col("first_t").asc(), F.col(NAME).asc())
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = counts.withColumn("rank", F.row_number().over(w))
+    return ((ranked if k is None else ranked.where(F.col("rank") <= k))
             .where(F.col(NAME).isNotNull())
             .select(USER, "rank", F.col(NAME).alias("event"), "event_count"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlens.functions import params as P
+from evlens.functions.periods import range_preset
 from evlens.operators import funnel as FN
 from evlens.plans import fixture as fx
 from evlens.plans.common import events, finish
@@ -126,6 +127,13 @@ def q_top_events(spark, sf):
     return finish(E.top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, limit=50))
 
 
+@register("top_events_last_7")
+def q_top_events_last_7(spark, sf):
+    """E1 over the preset range of the last seven days before the reference date."""
+    start, end = range_preset(7, fx.AS_OF)
+    return finish(E.top_events(events(spark, sf, start, end), start, end, limit=50))
+
+
 @register("top_events_cohort")
 def q_top_events_cohort(spark, sf):
     return finish(E.top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, limit=50,
@@ -377,9 +385,9 @@ from evlens.operators import users as U  # noqa: E402
 
 @register("user_journey")
 def q_user_journey(spark, sf):
-    """B5 for every user: each user's first 200 events in time order."""
+    """B5 for every user: all events in time order."""
     ev = events(spark, sf, fx.START, fx.END)
-    return finish(U.journeys(ev, fx.START, fx.END, first=U.JOURNEY_LIMIT))
+    return finish(U.journeys(ev, fx.START, fx.END))
 
 
 @register("journey_sample")
@@ -425,7 +433,7 @@ def q_user_narrative(spark, sf):
 
 @register("user_focus")
 def q_user_focus(spark, sf):
-    return finish(U.focus_mix(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END)))
+    return finish(U.focus_mix(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, k=None)))
 
 
 # ---------------------------------------------------------------- step 12: intents
@@ -441,9 +449,9 @@ def q_intent_tags(spark, sf):
 # ---------------------------------------------------------------- step 13: streaming
 @register("daily_activity_stream")
 def q_daily_activity_stream(spark, sf):
-    from evlens.streaming.daily_active import daily_active_stream, flat_event_stream, run_available_now
+    from evlens.streaming.daily_active import flat_event_stream, run_available_now
     stream = flat_event_stream(spark, sf).where(F.col("event_date").between(fx.START, fx.END))
-    return finish(run_available_now(daily_active_stream(stream), "daily_activity").orderBy("day"))
+    return finish(run_available_now(stream).orderBy("day"))
 
 
 @register("affected_users")
@@ -456,7 +464,7 @@ def q_affected_users(spark, sf):
 @register("dashboard_overview")
 def q_dashboard_overview(spark, sf):
     """KPIs, top 5 events and the DAU series of one window, as one row."""
-    ev = events(spark, sf, *fx.HALF_B)
+    ev = events(spark, sf, fx.START, fx.END)      # the period before is read too
     d = K.dashboard_overview(ev, *fx.HALF_B)
     return finish(d.select(
         *[c for c in d.columns if c not in ("top_events", "sparkline")],

@@ -1,77 +1,20 @@
 """Shared helpers for registered queries."""
 from __future__ import annotations
 
-import hashlib
-import os
-import threading
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evlens.session import ensure_checkpoint_dir
-from evlens.sources.canonical import canonical_events, read_events
-from evlens.sources.sink import write_events
-
-_SOURCES = ("events", "customer", "nation", "region")
-# Per-process token: concurrent processes sharing one checkpoint folder never write
-# the same landing folder.
-_RUN = uuid.uuid4().hex[:8]
-_landed: dict[tuple[str, str], str] = {}
-_landing_lock = threading.Lock()
-
-
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for t in _SOURCES:
-        p = f"{sf_dir}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{t}:missing".encode())
-    return h.hexdigest()[:16]
-
-
-def landed_events_path(spark: SparkSession, sf_dir: str) -> str:
-    """Land the canonical view of ``sf_dir`` once as Parquet partitioned by
-    ``event_date`` under the shared checkpoint folder (A7 + A8), and return its path.
-
-    This is the production layout (a day-partitioned export): later queries read
-    it with partition pruning and nested column pruning, without the fixture's
-    dimension joins or JSON parsing. The folder is keyed by the source files'
-    sizes and times (changed inputs are landed again) and by a per-process token.
-    """
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    key = (root, _fingerprint(sf_dir))
-    with _landing_lock:          # queries started from several threads land once
-        if key in _landed:
-            return _landed[key]
-        path = f"{root}/evlens-canonical-{key[1]}-{_RUN}"
-        if not _complete(spark, path):
-            write_events(canonical_events(spark, sf_dir), path)
-        _landed[key] = path
-        return path
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether a previous write of ``path`` finished (its ``_SUCCESS`` marker exists);
-    works for any file system Spark can read."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except Exception:  # noqa: BLE001 - missing path raises an AnalysisException
-        return False
+from evlens.sources.canonical import canonical_events
 
 
 def events(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Canonical events of the test warehouse, read from the landed partitioned table.
+    """Canonical events of the given tables, lazily: nothing is written or counted.
 
-    ``start`` / ``end`` are accepted for symmetry; the operators' own ``scan``
-    on ``event_date`` prunes partitions.
+    ``start`` / ``end`` are the first and last day a query reads of them (earlier
+    periods included); they become a pushed filter of the Parquet scan.
     """
-    return read_events(spark, landed_events_path(spark, sf_dir))
+    return canonical_events(spark, sf_dir, start, end)
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:

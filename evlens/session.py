@@ -1,10 +1,9 @@
-"""Session helpers: sensible defaults for local runs and a shared checkpoint folder."""
+"""Session helpers: sensible defaults for local runs, and the shared folder."""
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every evlens job relies on. AQE re-plans joins from real shuffle sizes
 # (broadcast only when the measured side is under the threshold), splits skewed
@@ -56,46 +55,19 @@ def build_session(master: str | None = None, app: str = "evlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def _context_dir(spark: SparkSession) -> str | None:
-    try:
-        return spark.sparkContext.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. Spark Connect)
-        return None
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this is set by the operator to shared storage and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
-    if not configured:
-        configured = fallback or tempfile.mkdtemp(prefix="evlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", configured)
-        except Exception:  # noqa: BLE001 - conf locked; the returned path is still used
-            pass
-    if not _context_dir(spark):
-        try:
-            spark.sparkContext.setCheckpointDir(configured)
-        except Exception:  # noqa: BLE001
-            pass
-    return configured
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
-
-    Used where one intermediate feeds several plans: the written table cuts the
-    lineage, survives executor loss, and is read with column pruning afterwards.
+    On a cluster an unset folder is an error: a folder of one machine cannot be
+    shared. A local session without the setting gets a scratch folder.
     """
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/evlens-{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="evlens-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")

@@ -60,34 +60,18 @@ def _pick(options: tuple[str, ...], idx: Column) -> Column:
     return out
 
 
-# Largest user dimension (rows) shipped whole to every executor. Four narrow columns
-# per row keep this under ~100 MB; beyond it the join is a shuffled sort-merge join.
-MAX_BROADCAST_USERS = 2_000_000
-_dimension_rows: dict[str, int] = {}
-
-
-def dimension_rows(spark: SparkSession, path: str) -> int:
-    """Row count of a Parquet table (answered from file footers), memoized per path."""
-    if path not in _dimension_rows:
-        _dimension_rows[path] = spark.read.parquet(path).count()
-    return _dimension_rows[path]
-
-
 def user_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer x nation x region: one row per user with segment, nation and region.
 
-    Marked for broadcast only when the customer table is proven small enough
-    (``MAX_BROADCAST_USERS``); otherwise the planner shuffles both sides.
+    How it is joined is left to the planner, which knows the sizes.
     """
-    path = f"{sf_dir}/customer.parquet"
-    customer = spark.read.parquet(path).select("c_custkey", "c_nationkey", "c_mktsegment")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
-    dim = (customer
-           .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-           .join(region, nation.n_regionkey == region.r_regionkey, "left")
-           .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
-    return F.broadcast(dim) if dimension_rows(spark, path) <= MAX_BROADCAST_USERS else dim
+    return (customer
+            .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+            .join(region, nation.n_regionkey == region.r_regionkey, "left")
+            .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
 
 
 def raw_events(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:

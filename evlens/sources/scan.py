@@ -30,7 +30,7 @@ def sample_day(events: DataFrame, day: str, limit: int | None = None) -> DataFra
     The default reads the whole shard; a cap makes results run-dependent.
     """
     df = scan_day(events, day)
-    return df.limit(limit) if limit else df
+    return df if limit is None else df.limit(limit)
 
 
 def tag_periods(events: DataFrame, periods: dict[str, tuple[str, str]], col: str = "period") -> DataFrame:

@@ -1,28 +1,22 @@
 """Streaming daily active users (X1): the streaming form of ``events.daily_activity``.
 
-readStream of event files -> event-time watermark -> ``dropDuplicatesWithinWatermark``
-on (shard day, user) -> count per day. State holds one key per (day, user) for the
-watermark delay, so it stays bounded by the users active in the last days.
+Each micro-batch adds its distinct (shard day, user) pairs to a table in the shared
+folder, and the counts are taken from that table. Nothing expires, so files may come in
+any order and a late row still counts; nothing is held in state, so memory does not grow.
+A batch that is run again overwrites its own part of the table.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlens.schema import DATE, TS, USER
-from evlens.session import ensure_checkpoint_dir
+from evlens.schema import DATE, USER
+from evlens.session import shared_folder
 from evlens.sources.canonical import core_columns
 
 
-def daily_active_stream(events_stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming DataFrame ``(day, dau)`` from a stream of canonical events."""
-    timed = (events_stream.where(F.col(USER).isNotNull())
-             .select(DATE, USER, F.timestamp_micros(F.col(TS)).alias("event_time")))
-    firsts = (timed.withWatermark("event_time", delay)
-              .dropDuplicatesWithinWatermark([DATE, USER]))
-    return firsts.groupBy(F.to_date(F.col(DATE), "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("dau"))
-
-
 def flat_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """Stream the flat ``events`` files of the test warehouse in canonical core form.
 
@@ -37,20 +31,28 @@ def flat_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: i
     return raw.select(*core_columns())
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
-    """Drain a streaming aggregate with ``availableNow`` into a Parquet table under the
-    shared checkpoint folder (query progress in ``<dir>/<name>/_checkpoint``) and
-    return the written result as a batch DataFrame."""
-    spark = stream.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    import uuid
-    run = f"{root}/evlens-stream-{name}-{uuid.uuid4().hex[:8]}"
-    out = f"{run}/result"
+def drain(stream: DataFrame, name: str) -> str:
+    """Read all that is there (``availableNow``) into a table of day-user pairs; returns its path.
+
+    Called again with the same name by the same process or another, it goes on where it ended.
+    """
+    path = f"{shared_folder(stream.sparkSession)}/{name}"
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.select(DATE, USER).distinct().write.mode("overwrite").parquet(f"{path}/pairs/batch={epoch}")
+
+    query = (stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/progress")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return f"{path}/pairs"
+
+
+def daily_active(spark: SparkSession, pairs: str) -> DataFrame:
+    """(day, dau) from the table ``drain`` keeps. Days whose users are all NULL count 0, as in the batch form."""
+    table = spark.read.schema(f"{DATE} string, {USER} string, batch long").parquet(pairs)
+    return table.groupBy(F.to_date(F.col(DATE), "yyyyMMdd").alias("day")).agg(F.count_distinct(USER).alias("dau"))
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(write_batch)
-         .option("checkpointLocation", f"{run}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def run_available_now(stream: DataFrame, name: str | None = None) -> DataFrame:
+    """Drain ``stream`` into a new table (or the named one) and count it."""
+    return daily_active(stream.sparkSession, drain(stream, name or f"evlens-stream-{uuid.uuid4().hex[:12]}"))

@@ -11,8 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from evlens.session import build_session
     s = build_session("local[4]", app="evlens-tests", shuffle_partitions=4,
-                      extra={"spark.sql.session.timeZone": "America/New_York"})
-    from evlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="evlens-test-ckpt-"))
+                      extra={"spark.sql.session.timeZone": "America/New_York",
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="evlens-test-shared-")})
     yield s
     s.stop()

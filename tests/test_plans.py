@@ -78,8 +78,8 @@ def test_writer_round_trip_prunes_partitions(spark):
 
 def test_stream_equals_batch(spark):
     from evlens.operators.events import daily_activity
-    from evlens.streaming.daily_active import daily_active_stream, flat_event_stream, run_available_now
-    stream = run_available_now(daily_active_stream(flat_event_stream(spark, SF)), "test")
+    from evlens.streaming.daily_active import flat_event_stream, run_available_now
+    stream = run_available_now(flat_event_stream(spark, SF))
     batch = daily_activity(canonical_events(spark, SF), fx.START, fx.END)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
 
@@ -195,7 +195,7 @@ def test_stream_across_micro_batches(spark):
     import pyarrow.parquet as pq
 
     from evlens.operators.events import daily_activity
-    from evlens.streaming.daily_active import daily_active_stream, flat_event_stream, run_available_now
+    from evlens.streaming.daily_active import flat_event_stream, run_available_now
     d = tempfile.mkdtemp(prefix="evlens-stream-")
     eid = 0
     for i, name in enumerate(["events.parquet", "events_2.parquet", "events_3.parquet"]):
@@ -212,7 +212,7 @@ def test_stream_across_micro_batches(spark):
         pq.write_table(table, os.path.join(d, name))
     for t in ("customer", "nation", "region"):
         pq.write_table(pq.read_table(f"{SF}/{t}.parquet"), os.path.join(d, f"{t}.parquet"))
-    streamed = run_available_now(daily_active_stream(flat_event_stream(spark, d, max_files_per_trigger=1)), "multi")
+    streamed = run_available_now(flat_event_stream(spark, d, max_files_per_trigger=1))
     from evlens.sources.canonical import canonicalize, user_dimension
     flat = spark.read.parquet(*[os.path.join(d, n) for n in ("events.parquet", "events_2.parquet", "events_3.parquet")])
     batch = daily_activity(canonicalize(flat, user_dimension(spark, d)), "20240101", "20240131")
