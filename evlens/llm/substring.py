@@ -11,10 +11,10 @@ Spark's rounds settle globally what the names reveal:
 2. Long symbols (at least ``LONG`` words): every occurrence but the first lies under
    windows that also start earlier, so these spans are removed at once.
 3. Window symbols: of the symbols of level ``ROUNDS`` that surely lie inside a window
-   (whatever surrounds it), the neighbouring two whose pair has the smallest name. Equal
+   (whatever surrounds it), the ``RUN`` neighbours whose joint name is smallest. Equal
    windows have equal window symbols, and a stretch of windows shares one, so few are
-   named; a window whose symbol occurs once occurs once. Windows without two such
-   symbols take the one they have, or are named by themselves (long runs of one word).
+   named; a window whose symbol occurs once occurs once. Windows with fewer such
+   symbols take what they have, or are named by themselves (long runs of one word).
 4. Only windows with a repeated symbol are compared, by their 128-bit names; the
    smallest (doc_id, start) of each name stays, words of the other windows go.
 
@@ -38,6 +38,7 @@ from evlens.llm.common import WORD_BREAK, arrow_map, id_text, stored, texts_of
 WINDOW = 20          # words
 LONG = 40            # words of a symbol whose repeats are settled without windows
 ROUNDS = 3           # levels of pairs under a window's symbols
+RUN = 3              # symbols that name a window, about seven words
 LEVELS = 24          # levels looked at for long symbols
 _NO_ID = (1 << 63) - 1
 
@@ -144,25 +145,31 @@ class Parsed:
         return win, top, top_at, long_rows
 
     def _window_symbols(self, names, start, a, b, top, top_at, found):
-        """Name each window by the smallest pair of neighbours among its sure symbols a..b, or by the only one."""
-        one = np.flatnonzero(b - a == 1)
-        top[one], top_at[one], found[one] = _mix(names[a[one], 1] + _M3), start[a[one]], True
-        many = np.flatnonzero(b - a > 1)
-        pair = np.zeros(len(names), np.uint64)
-        pair[:-1] = _mix(names[:-1, 0] * _M1 + names[1:, 0])
-        first, last = a[many], b[many] - 1            # pairs first .. last - 1
+        """Name each window by the smallest run of ``RUN`` neighbours among its sure symbols a..b, or by all it has."""
+        for m in range(1, RUN):
+            few = np.flatnonzero(b - a == m)
+            name = _mix(names[a[few], 1] + _salted(m, _M3))
+            for k in range(1, m):
+                name = _mix(name * _M1 + names[a[few] + k, 1])
+            top[few], top_at[few], found[few] = name, start[a[few]], True
+        many = np.flatnonzero(b - a >= RUN)
+        if not len(many):
+            return
+        runs = names[:len(names) - RUN + 1, 0]
+        for k in range(1, RUN):
+            runs = _mix(runs * _M1 + names[k:len(names) - RUN + 1 + k, 0])
+        first, width = a[many], b[many] - a[many] - RUN + 1     # runs that begin at first .. first + width - 1
         best = first.copy()
-        table = np.arange(len(names))                 # place of the smallest pair of 2^k from each place on
-        width = last - first
+        table = np.arange(len(runs))                  # place of the smallest of 2^k runs from each place on
         k = 0
-        while len(many) and 1 << k <= width.max():
+        while 1 << k <= width.max():
             fit = (width >> k) == 1                   # 2^k <= width < 2^(k+1)
-            x, y = table[first[fit]], table[last[fit] - (1 << k)]
-            best[fit] = np.where(pair[x] <= pair[y], x, y)
-            ahead = table[np.minimum(np.arange(len(names)) + (1 << k), len(names) - 1)]
-            table = np.where(pair[table] <= pair[ahead], table, ahead)
+            x, y = table[first[fit]], table[first[fit] + width[fit] - (1 << k)]
+            best[fit] = np.where(runs[x] <= runs[y], x, y)
+            ahead = table[np.minimum(np.arange(len(runs)) + (1 << k), len(runs) - 1)]
+            table = np.where(runs[table] <= runs[ahead], table, ahead)
             k += 1
-        top[many], top_at[many], found[many] = pair[best], start[best], True
+        top[many], top_at[many], found[many] = runs[best], start[best], True
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
