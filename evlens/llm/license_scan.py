@@ -25,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evlens.functions.literals import literal_frame
+
 SHINGLE = 5
 BANDS = 24
 CONTAINMENT = 0.8
@@ -77,7 +79,7 @@ def band(hashes: Column, first: Column, last: Column, j: Column) -> Column:
 
 def template_table(spark: SparkSession, templates=TEMPLATES, shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """Templates with their distinct shingles, size class and band minima; templates shorter than a shingle drop out."""
-    rows = spark.createDataFrame(list(templates), "template string, license string, text string")
+    rows = literal_frame(spark, [("template", "string"), ("license", "string"), ("text", "string")], list(templates))
     words = rows.select("template", "license", words_of(F.col("text")).alias("words"))
     parts = words.select("template", "license", F.array_distinct(shingle_texts(F.col("words"), shingle)).alias("shingles"),
                          F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("hashes")).where(F.size("hashes") > 0)
@@ -102,8 +104,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: in
     known = table.select("class", "minima", "shingles").collect()        # one row per template
     classes = sorted({r["class"] for r in known})
     if not classes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, template string, license string, containment double, "
-                                                     "first_word long")
+        return literal_frame(docs.sparkSession, [("doc_id", "long"), ("template", "string"), ("license", "string"),
+                                                 ("containment", "double"), ("first_word", "long")], [])
     anchors = anchor_words([s.split(" ") for r in known for s in r["shingles"]])
     text = F.col(f"`{text_col}`").cast("string")
     may = F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, anchors))})(?![\p{{L}}\p{{N}}])")
