@@ -68,7 +68,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once what was made of it is stored itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BATCH_BYTES = 4 << 20       # text a worker looks at together; one longer text is a batch by itself

@@ -18,9 +18,13 @@ Spark's rounds settle globally what the names reveal:
 4. Only windows with a repeated symbol are compared, by their 128-bit names; the
    smallest (doc_id, start) of each name stays, words of the other windows go.
 
-Results: one row per input row. Null and empty texts have no words. Null ids order
-after all others. Rows with equal id and words are one document and get equal results;
-of rows that share an id but differ in words, the smaller digest counts as earlier.
+What repeats inside one text is settled where the text is read, so that the shuffles
+only have to find the smallest doc_id of each name.
+
+Results: one row per input row. Null and empty texts have no words. Rows with equal id
+and words are one document and get equal results. Null ids order after all others.
+Between different texts of one id, and between texts without an id, nothing says which
+is earlier, and neither loses words to the other.
 """
 from __future__ import annotations
 
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evlens.llm.common import WORD_BREAK, arrow_map, id_text, stored, texts_of
+from evlens.llm.common import WORD_BREAK, arrow_map, discard, id_text, stored, texts_of
 
 WINDOW = 20          # words
 LONG = 40            # words of a symbol whose repeats are settled without windows
@@ -206,11 +210,12 @@ def parse(docs: DataFrame, window: int = WINDOW, long: int = LONG,
             by = np.argsort(start, kind="stable")
             name, start, size = name[by], start[by], size[by]
             of = p.doc[start]
+            seen = _seen_before(of, name, start)
             long_cut = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
             items = pa.StructArray.from_arrays(
                 [pa.array(name[:, 0].copy().view(np.int64)), pa.array(name[:, 1].copy().view(np.int64)),
-                 pa.array((start - p.first[of]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                names=["h1", "h2", "start", "words"])
+                 pa.array((start - p.first[of]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(seen)],
+                names=["h1", "h2", "start", "words", "seen"])
             digests = [p.digest(k) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p.n_words), pa.array(digests, pa.binary()),
@@ -222,7 +227,16 @@ def parse(docs: DataFrame, window: int = WINDOW, long: int = LONG,
 
     return arrow_map(_named(docs, id_col, text_col), run,
                      "doc_id long, n_words long, digest binary, version long, symbols array<long>, "
-                     "again array<boolean>, longs array<struct<h1:long,h2:long,start:int,words:int>>")
+                     "again array<boolean>, longs array<struct<h1:long,h2:long,start:int,words:int,seen:boolean>>")
+
+
+def _seen_before(doc: np.ndarray, names: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the same text holds the same name at a smaller place."""
+    order = np.lexsort((at, names[:, 1], names[:, 0], doc))
+    d, n = doc[order], names[order]
+    out = np.zeros(len(at), bool)
+    out[order[1:]] = (d[1:] == d[:-1]) & (n[1:] == n[:-1]).all(axis=1)
+    return out
 
 
 def _marked(n: int, starts, lengths) -> np.ndarray:
@@ -263,18 +277,18 @@ def windows_to_compare(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[:, 0].copy().view(np.int64)), pa.array(names[:, 1].copy().view(np.int64)),
                  batch.column("doc_id").take(rows), batch.column("version").take(rows),
-                 pa.array((at - p.first[p.doc[at]]).astype(np.int32))],
-                names=["w1", "w2", "doc_id", "version", "start"])
+                 pa.array((at - p.first[p.doc[at]]).astype(np.int32)), pa.array(_seen_before(p.doc[at], names, at))],
+                names=["w1", "w2", "doc_id", "version", "start", "seen"])
 
-    return arrow_map(texts, run, "w1 long, w2 long, doc_id long, version long, start int")
+    return arrow_map(texts, run, "w1 long, w2 long, doc_id long, version long, start int, seen boolean")
 
 
 def _later(found: DataFrame, name: list[str]) -> DataFrame:
-    """Occurrences but the first of each name that occurs more than once."""
-    place = F.struct("doc_id", "version", "start")
-    least = (found.groupBy(*name).agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").drop("n"))
-    return found.join(least, name).where(place != F.col("least"))
+    """Occurrences that start earlier elsewhere: in the same text (``seen``), or in a smaller doc_id."""
+    fresh = found.where("not seen")
+    least = (fresh.groupBy(*name).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+             .where("least < most").select(*name, "least"))
+    return found.where("seen").unionByName(fresh.join(least, name).where("doc_id > least").drop("least"))
 
 
 def text_version(text: str = "text"):
@@ -313,12 +327,14 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, long: int = LONG,
               .groupBy("version").agg(F.collect_set("symbol").alias("symbols")))
 
     todo = stored(firsts.join(wanted, "version").join(settled, ["doc_id", "version"], "left"), "todo")
+    discard(parsed)
     plain = _named(docs, id_col, text_col)
     texts = stored(plain.join(todo, "doc_id").where(text_version() == F.col("version"))
                    .select("doc_id", "version", "symbols", "settled", "text"), "candidates")
     found = stored(windows_to_compare(texts, window), "windows")
-    later = (_later(found, ["w1", "w2"]).groupBy("doc_id", "version")
-             .agg(F.sort_array(F.collect_set("start")).alias("starts")))
+    later = stored(_later(found, ["w1", "w2"]).groupBy("doc_id", "version")
+                   .agg(F.sort_array(F.collect_set("start")).alias("starts")), "later")
+    discard(found)
     repeats = (texts.select("doc_id", "version", "text", "settled").dropDuplicates(["doc_id", "version"])
                .join(later, ["doc_id", "version"], "left").where("settled is not null or starts is not null"))
     return rows, repeats
@@ -381,7 +397,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, long: int = LONG,
                                               pa.array(left, pa.string())],
                                              names=["doc_id", "version", "n_removed", "text"])
 
-    cut = arrow_map(repeats, run, "doc_id long, version long, n_removed long, text string")
+    cut = stored(arrow_map(repeats, run, "doc_id long, version long, n_removed long, text string"), "cut")
     copies = (rows.where(F.col("copy") & (F.col("n_words") >= window)).select(
         "doc_id", "version", F.col("n_words").alias("n_removed"), F.lit(None).cast("string").alias("text")).distinct())
     return cut.unionByName(copies).select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "version", "n_removed", "text")
