@@ -47,6 +47,9 @@ TEMPLATES = (
     ("mit-short", "MIT", "Released under the MIT License"),
     ("mpl-2-notice", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+# Words too common to tell texts apart; an anchor only where nothing else is left.
+COMMON = frozenset("""a all an and any are as at be by for from in is it may not of on or that the this to under use was
+were with you""".split())
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -88,10 +91,10 @@ def template_table(spark: SparkSession, templates=TEMPLATES, shingle: int = SHIN
 
 
 def anchor_words(shingles: list[list[str]]) -> list[str]:
-    """A set of words of which every shingle holds at least one; long words first, as they are rare."""
+    """A set of words of which every shingle holds at least one; long words first, as they are rare, common ones last."""
     left, out = [set(s) for s in shingles], []
     while left:
-        best = max({w for s in left for w in s}, key=lambda w: (sum(w in s for s in left) * len(w) ** 2, w))
+        best = max({w for s in left for w in s}, key=lambda w: (w not in COMMON, sum(w in s for s in left) * len(w) ** 2, w))
         out.append(best)
         left = [s for s in left if best not in s]
     return out
