@@ -11,8 +11,8 @@ t = c shingles below 1e-7, at s = 0.8 below 1e-4, in the worst case (t just over
 s = 0.8) about 1e-2 per window. Windows that share a band minimum with a template of
 their class are candidates; exact shingle containment of at least ``CONTAINMENT`` decides.
 
-Texts without any anchor word (a set of words, found from the templates, of which every
-template shingle holds one) share no shingle with any template and are passed over.
+Texts without any anchor word (found from the templates so that a text without one lacks
+more than 1 - ``CONTAINMENT`` of every template's shingles) are passed over.
 
 Results: one row per document and template found: the best containment, and the first
 word (from 0) of the first window that has it. Null and
@@ -90,14 +90,20 @@ def template_table(spark: SparkSession, templates=TEMPLATES, shingle: int = SHIN
         "minima", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: band(F.col("hashes"), F.lit(1), F.size("hashes"), j)))
 
 
-def anchor_words(shingles: list[list[str]]) -> list[str]:
-    """A set of words of which every shingle holds at least one; long words first, as they are rare, common ones last."""
-    left, out = [set(s) for s in shingles], []
-    while left:
-        best = max({w for s in left for w in s}, key=lambda w: (w not in COMMON, sum(w in s for s in left) * len(w) ** 2, w))
-        out.append(best)
-        left = [s for s in left if best not in s]
-    return out
+def anchor_words(templates: list[list[str]], least: float = CONTAINMENT) -> list[str]:
+    """Words that a text with the fraction ``least`` of some template's shingles cannot lack.
+
+    For each template (a list of shingles) words are taken until more than the fraction
+    1 - ``least`` of its shingles hold one: whoever has the others only has too few.
+    Long words come first, as they are rare, and common ones last.
+    """
+    out: set[str] = set()
+    for shingles in templates:
+        sets = [set(s.split(" ")) for s in shingles]
+        while sum(bool(s & out) for s in sets) <= (1 - least) * len(sets):
+            left = [s for s in sets if not s & out]
+            out.add(max({w for s in left for w in s}, key=lambda w: (w not in COMMON, sum(w in s for s in left) * len(w) ** 2, w)))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: int = BANDS, least: float = CONTAINMENT,
@@ -109,7 +115,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: in
     if not classes:
         return literal_frame(docs.sparkSession, [("doc_id", "long"), ("template", "string"), ("license", "string"),
                                                  ("containment", "double"), ("first_word", "long")], [])
-    anchors = anchor_words([s.split(" ") for r in known for s in r["shingles"]])
+    anchors = anchor_words([r["shingles"] for r in known], least)
     text = F.col(f"`{text_col}`").cast("string")
     may = F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, anchors))})(?![\p{{L}}\p{{N}}])")
     rows = (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(may)
