@@ -7,10 +7,12 @@ more function to the list.
 """
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evlens.functions.periods import periods_from_range
+from evlens.functions.periods import periods_from_range, shift, week_windows
 from evlens.operators import events as E
 from evlens.schema import MICROS_PER_DAY, MICROS_PER_HOUR, NAME, TS, USER
 from evlens.sources.scan import scan, tag_periods
@@ -255,13 +257,14 @@ def explain_context(events: DataFrame, start: str, end: str, kind: str) -> DataF
 
 # ------------------------------------------------------------------ F12-F15 rules
 def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
-                    period_label: str = "vs previous period") -> DataFrame:
+                    period_label: str = "vs previous period", min_rel: float = CONVERSION_MIN_REL,
+                    min_starts: int = CONVERSION_MIN_STARTS) -> DataFrame:
     """conversion insight from the one-row ``conversion_change`` result."""
     this_r, last_r = F.coalesce(F.col("this_rate"), F.lit(0.0)), F.coalesce(F.col("last_rate"), F.lit(0.0))
     rel = (this_r - last_r) / last_r
     direction = F.when(this_r - last_r < 0, F.lit("dropped")).otherwise(F.lit("increased"))
-    gated = conv.where((last_r != 0) & (F.abs(rel) >= CONVERSION_MIN_REL)
-                       & (F.coalesce(F.col("this_starts"), F.lit(0)) >= CONVERSION_MIN_STARTS))
+    gated = conv.where((last_r != 0) & (F.abs(rel) >= min_rel)
+                       & (F.coalesce(F.col("this_starts"), F.lit(0)) >= min_starts))
     title = F.concat_ws(" ", F.lit(f"{start_event} → {end_event} conversion"), direction,
                         pct_text(F.abs(rel)), F.lit(period_label))
     detail = F.concat(F.lit("This period: "), pct_text(this_r), F.lit(" ("),
@@ -299,8 +302,8 @@ def _first_rows(ranked: DataFrame, order: list[Column], n: int = RULE_TOP) -> Da
     return ranked.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") <= n)
 
 
-def rule_retention(corr: DataFrame) -> DataFrame:
-    """of the first three correlation rows, those with lift >= 10 pp."""
+def rule_retention(corr: DataFrame, min_lift: float = RETENTION_MIN_LIFT) -> DataFrame:
+    """of the first three correlation rows, those with lift >= ``min_lift`` (10 pp)."""
     top = _first_rows(corr, [F.col("lift").desc_nulls_last(), F.col(NAME).asc()])
     w_r = F.coalesce(F.col("d7_retention_with_event"), F.lit(0.0))
     wo_r = F.coalesce(F.col("d7_retention_without_event"), F.lit(0.0))
@@ -312,14 +315,14 @@ def rule_retention(corr: DataFrame) -> DataFrame:
                       F.col("did_event_users").cast("string"), F.lit(" users). Without: "), pct_text(wo_r),
                       F.lit(" ("), F.col("no_event_users").cast("string"), F.lit(" users). Lift: +"), lift_pp,
                       F.lit(" percentage points."))
-    return top.where(lift >= RETENTION_MIN_LIFT).select(*_insight(
+    return top.where(lift >= min_lift).select(*_insight(
         F.concat(F.lit("ret_corr_"), F.col(NAME)), "retention", F.least(F.lit(1.0), lift * 2), title, detail,
         {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME)),
         F.col("_rn").cast("int").alias("position"))
 
 
-def rule_volume(vol: DataFrame, period_label: str = "this period") -> DataFrame:
-    """of the first three volume rows, moves of at least 25 %."""
+def rule_volume(vol: DataFrame, period_label: str = "this period", min_rel: float = VOLUME_MIN_REL) -> DataFrame:
+    """of the first three volume rows, moves of at least ``min_rel`` (25 %)."""
     top = _first_rows(vol, [F.abs(F.coalesce(F.col("pct_change"), F.lit(0.0))).desc(), F.col(NAME).asc()])
     rel = F.coalesce(F.col("pct_change"), F.lit(0.0))
     direction = F.when(rel > 0, F.lit("spiked")).otherwise(F.lit("dropped"))
@@ -327,7 +330,7 @@ def rule_volume(vol: DataFrame, period_label: str = "this period") -> DataFrame:
                      F.lit(" " + period_label))
     detail = F.concat(F.lit("This period: "), F.col("this_users").cast("string"), F.lit(" users. Previous: "),
                       F.col("last_users").cast("string"), F.lit(" users."))
-    return top.where(F.abs(rel) >= VOLUME_MIN_REL).select(*_insight(
+    return top.where(F.abs(rel) >= min_rel).select(*_insight(
         F.concat(F.lit("vol_"), F.col(NAME)), "volume", F.least(F.lit(1.0), F.abs(rel)), title, detail,
         {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME)),
         F.col("_rn").cast("int").alias("position"))
@@ -340,8 +343,8 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
     """F16: all rules for a date range, ranked by severity (stable in rule order).
 
     Volume and conversion compare [start, end] with the equally long period before;
-    retention correlation reads [start, end]. All three read one shared partial
-    aggregate of the two periods (``user_event_days``): one scan, one shuffle.
+    retention correlation reads [start, end]. All three are written over one partial
+    aggregate of the two periods (``user_event_days``).
     """
     ts, te, ps, pe = periods_from_range(start, end)
     days = user_event_days(events, ps, te)
@@ -355,6 +358,31 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
     return rank_insights(parts)
 
 
+CORRELATION_DAYS = 30     # weekly mode: the correlation reaches this many days before yesterday
+
+
+def run_insights_weekly(events: DataFrame, as_of: date, funnel_steps: DataFrame | None = None,
+                        funnel_start_event: str | None = None, funnel_end_event: str | None = None,
+                        window_days: int = 7, **gates: float) -> DataFrame:
+    """F16 without a date range: the last seven full days before ``as_of`` against the seven before.
+
+    ``gates`` may lower the rules' thresholds: ``volume``, ``lift``, ``conversion``.
+    """
+    ts, te, ps, pe = week_windows(as_of)
+    first = shift(te, -CORRELATION_DAYS)
+    days = user_event_days(events, min(first, ps), te)
+    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), MIN_USERS, VOLUME_LIMIT), "this week",
+                         gates.get("volume", VOLUME_MIN_REL)),
+             rule_retention(_correlation(days, first, te, MIN_USERS, CORRELATION_LIMIT), gates.get("lift", RETENTION_MIN_LIFT))]
+    if funnel_start_event and funnel_end_event:
+        conv = _conversion(days, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days, False)
+        parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event, "vs last week",
+                                     gates.get("conversion", CONVERSION_MIN_REL)))
+    if funnel_steps is not None:
+        parts.append(rule_funnel_drop(funnel_steps))
+    return rank_insights(parts)
+
+
 def rank_insights(parts: list[DataFrame]) -> DataFrame:
     """Union rule outputs (in rule order) and rank them by severity, desc.
 

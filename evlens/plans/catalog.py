@@ -310,6 +310,40 @@ def q_insight_volume(spark, sf):
     return finish(I.rule_volume(_volume(spark, sf)).select(*_INSIGHT_SCALARS))
 
 
+def _with_metric(insight, *names):
+    return finish(insight.select(*_INSIGHT_SCALARS, *[F.col("metric")[n].alias(f"metric_{n}") for n in names]))
+
+
+@register("insight_conversion_any")
+def q_insight_conversion_any(spark, sf):
+    """F12 with its gates at zero, so that the test data gives a row; metrics spelled out."""
+    ev = events(spark, sf, fx.START, fx.END)
+    conv = I.conversion_change(ev, *CONV_PAIR, fx.THIS_WEEK, fx.LAST_WEEK, fx.WINDOW_DAYS)
+    return _with_metric(I.rule_conversion(conv, *CONV_PAIR, min_rel=0.0, min_starts=0),
+                        "this_rate", "last_rate", "rel_change", "this_starts", "this_finishes")
+
+
+@register("insight_retention_any")
+def q_insight_retention_any(spark, sf):
+    """F14 without a least lift."""
+    return _with_metric(I.rule_retention(_correlation(spark, sf), min_lift=-1.0), "d7_with", "d7_without", "lift")
+
+
+@register("insight_volume_any")
+def q_insight_volume_any(spark, sf):
+    """F15 without a least move."""
+    return _with_metric(I.rule_volume(_volume(spark, sf), min_rel=0.0), "this", "last", "rel_change")
+
+
+@register("insights_weekly")
+def q_insights_weekly(spark, sf):
+    """F16 without a date range: the last full week against the week before, all rules with their gates at zero."""
+    ev = events(spark, sf, fx.START, fx.END)
+    steps = FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS)
+    ranked = I.run_insights_weekly(ev, fx.AS_OF, steps, *CONV_PAIR, volume=0.0, lift=-1.0, conversion=0.0)
+    return finish(ranked.select("rank", *_INSIGHT_SCALARS))
+
+
 @register("insights_ranked")
 def q_insights_ranked(spark, sf):
     ev = events(spark, sf, fx.START, fx.END)

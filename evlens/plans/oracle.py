@@ -506,7 +506,8 @@ FROM ({movers}) AS m"""
 INSIGHT_SELECT = "id, kind, ROUND(severity, 6) AS severity, title, detail, event, start_event, end_event"
 
 
-def rule_conversion_sql(conv: str, label: str = "vs previous period") -> str:
+def rule_conversion_sql(conv: str, label: str = "vs previous period", min_rel: float = 0.05, min_starts: int = 50,
+                        metric: str = "") -> str:
     tr, lr = "COALESCE(this_rate, 0.0)", "COALESCE(last_rate, 0.0)"
     rel = f"(({tr} - {lr}) / {lr})"
     return f"""SELECT 'conv_change_signup_purchase' AS id, 'conversion' AS kind,
@@ -515,9 +516,9 @@ def rule_conversion_sql(conv: str, label: str = "vs previous period") -> str:
          || ' ' || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
        'This period: ' || {pct_sql(tr)} || ' (' || this_finishes || ' of ' || this_starts || ' users). Previous: '
          || {pct_sql(lr)} || ' (' || last_finishes || ' of ' || last_starts || ').' AS detail,
-       CAST(NULL AS VARCHAR) AS event, 'signup' AS start_event, 'purchase' AS end_event, 1 AS pos
+       CAST(NULL AS VARCHAR) AS event, 'signup' AS start_event, 'purchase' AS end_event, 1 AS pos{metric}
 FROM ({conv}) AS c
-WHERE {lr} <> 0 AND ABS({rel}) >= 0.05 AND COALESCE(this_starts, 0) >= 50"""
+WHERE {lr} <> 0 AND ABS({rel}) >= {min_rel} AND COALESCE(this_starts, 0) >= {min_starts}"""
 
 
 def rule_funnel_sql(steps_sql: str) -> str:
@@ -532,7 +533,7 @@ FROM (SELECT * FROM ({steps_sql}) AS s WHERE step_index > 1 AND {d} IS NOT NULL
 WHERE {d} >= 0.3"""
 
 
-def rule_retention_sql(corr: str) -> str:
+def rule_retention_sql(corr: str, min_lift: float = 0.1, metric: str = "") -> str:
     w, wo = "COALESCE(d7_retention_with_event, 0.0)", "COALESCE(d7_retention_without_event, 0.0)"
     lift = f"({w} - {wo})"
     pp = f"printf('%.1f', round({lift} * 100, 1))"
@@ -540,22 +541,22 @@ def rule_retention_sql(corr: str) -> str:
        'Users who do "' || event_name || '" on day 1 retain ' || {pp} || 'pp better at D7' AS title,
        'D7 retention with event: ' || {pct_sql(w)} || ' (' || did_event_users || ' users). Without: '
          || {pct_sql(wo)} || ' (' || no_event_users || ' users). Lift: +' || {pp} || ' percentage points.' AS detail,
-       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos{metric}
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY lift DESC NULLS LAST, event_name) AS pos FROM ({corr}) AS c
       QUALIFY pos <= 3) AS t
-WHERE {lift} >= 0.1"""
+WHERE {lift} >= {min_lift}"""
 
 
-def rule_volume_sql(vol: str, label: str = "this period") -> str:
+def rule_volume_sql(vol: str, label: str = "this period", min_rel: float = 0.25, metric: str = "") -> str:
     rel = "COALESCE(pct_change, 0.0)"
     return f"""SELECT 'vol_' || event_name AS id, 'volume' AS kind, LEAST(1.0, ABS({rel})) AS severity,
        '"' || event_name || '" ' || CASE WHEN {rel} > 0 THEN 'spiked' ELSE 'dropped' END || ' '
          || {pct_sql(f'ABS({rel})')} || ' {label}' AS title,
        'This period: ' || this_users || ' users. Previous: ' || last_users || ' users.' AS detail,
-       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos
+       event_name AS event, CAST(NULL AS VARCHAR) AS start_event, CAST(NULL AS VARCHAR) AS end_event, pos{metric}
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ABS({rel}) DESC, event_name) AS pos FROM ({vol}) AS v
       QUALIFY pos <= 3) AS t
-WHERE ABS({rel}) >= 0.25"""
+WHERE ABS({rel}) >= {min_rel}"""
 
 
 def insight_conversion() -> str:
@@ -575,18 +576,57 @@ def insight_volume() -> str:
     return f"SELECT {INSIGHT_SELECT} FROM ({rule_volume_sql(volume_sql(fx.THIS_WEEK, fx.LAST_WEEK, 50, 10))}) AS r"
 
 
-def insights_ranked() -> str:
-    parts = [
-        rule_volume_sql(volume_sql(fx.HALF_B, fx.HALF_A, 50, 10)),
-        rule_retention_sql(correlation_sql(fx.HALF_B[0], fx.HALF_B[1], 50)),
-        rule_conversion_sql(conversion_sql(fx.HALF_B, fx.HALF_A, 7)),
-        rule_funnel_sql(funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, round_result=False)),
-    ]
+def _metric_sql(cols: dict[str, str]) -> str:
+    return "".join(f", ROUND(CAST({c} AS DOUBLE), 6) AS metric_{n}" for n, c in cols.items())
+
+
+def insight_conversion_any() -> str:
+    tr, lr = "COALESCE(this_rate, 0.0)", "COALESCE(last_rate, 0.0)"
+    cols = {"this_rate": tr, "last_rate": lr, "rel_change": f"({tr} - {lr}) / {lr}", "this_starts": "this_starts",
+            "this_finishes": "this_finishes"}
+    rows = rule_conversion_sql(conversion_sql(fx.THIS_WEEK, fx.LAST_WEEK, 7), min_rel=0.0, min_starts=0, metric=_metric_sql(cols))
+    return f"SELECT {INSIGHT_SELECT}, {', '.join(f'metric_{n}' for n in cols)} FROM ({rows}) AS r"
+
+
+def insight_retention_any() -> str:
+    w, wo = "COALESCE(d7_retention_with_event, 0.0)", "COALESCE(d7_retention_without_event, 0.0)"
+    cols = {"d7_with": w, "d7_without": wo, "lift": f"{w} - {wo}"}
+    rows = rule_retention_sql(correlation_sql(fx.START, fx.END, 50), -1.0, _metric_sql(cols))
+    return f"SELECT {INSIGHT_SELECT}, {', '.join(f'metric_{n}' for n in cols)} FROM ({rows}) AS r"
+
+
+def insight_volume_any() -> str:
+    cols = {"this": "this_users", "last": "last_users", "rel_change": "COALESCE(pct_change, 0.0)"}
+    rows = rule_volume_sql(volume_sql(fx.THIS_WEEK, fx.LAST_WEEK, 50, 10), min_rel=0.0, metric=_metric_sql(cols))
+    return f"SELECT {INSIGHT_SELECT}, {', '.join(f'metric_{n}' for n in cols)} FROM ({rows}) AS r"
+
+
+def ranked_sql(parts: list[str]) -> str:
     union = "\nUNION ALL\n".join(f"SELECT {i} AS rule_no, * FROM ({p}) AS p{i}" for i, p in enumerate(parts))
     return f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY severity DESC, rule_no, pos, id) AS INTEGER) AS rank, {INSIGHT_SELECT}
 FROM ({union}) AS u"""
 
 
+def funnel_part() -> str:
+    return rule_funnel_sql(funnel_sql(fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS, round_result=False))
+
+
+def insights_ranked() -> str:
+    return ranked_sql([
+        rule_volume_sql(volume_sql(fx.HALF_B, fx.HALF_A, 50, 10)),
+        rule_retention_sql(correlation_sql(fx.HALF_B[0], fx.HALF_B[1], 50)),
+        rule_conversion_sql(conversion_sql(fx.HALF_B, fx.HALF_A, 7)), funnel_part()])
+
+
+def insights_weekly() -> str:
+    # the week of 24 January against that of 17 January; the correlation begins 31 days before 31 January
+    this, last = ("20240124", "20240130"), ("20240117", "20240123")
+    return ranked_sql([
+        rule_volume_sql(volume_sql(this, last, 50, 10), "this week", 0.0),
+        rule_retention_sql(correlation_sql("20231231", "20240130", 50), -1.0),
+        rule_conversion_sql(conversion_sql(this, last, 7), "vs last week", 0.0), funnel_part()])
+
+
 # ---------------------------------------------------------------- step 9
 def investigate_where() -> str:
     axes = [("country", "country"), ("platform", "platform"), ("app version", "app_version"),
@@ -976,6 +1016,10 @@ ORACLES = {
     "freshness_status": freshness_status,
     "relative_share": relative_share,
     "top_events_last_7": top_events_last_7,
+    "insight_conversion_any": insight_conversion_any,
+    "insight_retention_any": insight_retention_any,
+    "insight_volume_any": insight_volume_any,
+    "insights_weekly": insights_weekly,
     "user_journey": user_journey,
     "journey_sample": journey_sample,
     "user_totals": user_totals,
