@@ -154,7 +154,8 @@ def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = stored(_numbered(turns_of(conversations)), "turns")
     key = F.coalesce("conv_id", F.lit((1 << 63) - 1))
     light = turns.select(key.alias("conv"), "depth", "node", "position", F.char_length("formatted").alias("chars"))
-    owners = light.groupBy("node").agg(F.min("conv").alias("owner"))
+    # Stored, so that a node of very many conversations meets it in a join whose partitions can be split.
+    owners = stored(light.groupBy("node").agg(F.min("conv").alias("owner")), "owners")
     paths = stored(light.join(owners, "node"), "paths")
 
     # Chains on the way to every conversation's own nodes: (where it starts, owner), from the root on.

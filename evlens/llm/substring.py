@@ -306,7 +306,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, long: int = LONG,
     settled long symbols, and starts of the windows that start earlier elsewhere.
     """
     parsed = stored(parse(docs, window, long, id_col, text_col), "parsed")
-    firsts = parsed.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # Stored, so that a digest with very many copies meets it in a join whose partitions can be split.
+    firsts = stored(parsed.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     rows = stored(parsed.select("doc_id", "version", "n_words", "digest").join(firsts, "digest")
                   .withColumn("copy", F.col("doc_id") > F.col("first")).drop("first"), "rows")
     firsts = rows.where("not copy").select("doc_id", "version").distinct()
