@@ -34,7 +34,7 @@ TREES = 12
 SAMPLE = 16_384          # classes the trees are fitted on
 SAMPLE_LEAF = 48         # sample points at which a tree stops
 LEAF_ROWS = 192          # classes of the whole table in a leaf, about
-LEAVES = 160             # leaves one query reads over all trees
+LEAVES = 400             # leaves one query reads over all trees
 DEEPER = 30              # most random splits below a sample leaf
 CELL = 2048              # rows, and queries, of one comparison cell, about
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from evlens.llm.common import arrow_map, id_text, texts_of
 
-CACHE_PARTS = 450_000      # remembered parts per worker, twice
-CACHE_PIECES = 250_000     # remembered matches of the pattern per worker, twice
+CACHE_PARTS = 300_000      # remembered parts per worker, twice
+CACHE_PIECES = 180_000     # remembered matches of the pattern per worker, twice
 
 
 @lru_cache(maxsize=1)

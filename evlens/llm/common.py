@@ -80,7 +80,7 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BATCH_BYTES = 4 << 20       # text a worker looks at together; one longer text is a batch by itself
+BATCH_BYTES = 1 << 20       # text a worker looks at together; one longer text is a batch by itself
 
 
 def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
