@@ -24,7 +24,7 @@ from evlens.llm.common import SPACES, arrow_map, id_text, texts_of
 
 BUCKETS = 1 << 16        # hashed features
 CHAR_N = 4               # characters of a character n-gram
-SAMPLE = 1500            # labelled rows of each class that are fitted and calibrated on
+SAMPLE = 1000            # labelled rows of each class that are fitted and calibrated on
 THRESHOLD = 0.5          # lowest calibrated probability of good quality that is kept
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RIDGE = 1e-4
