@@ -9,8 +9,11 @@ for. The model stays bounded while the number of leaves grows with the table. Ev
 is indexed in every tree.
 
 A query walks all trees with one priority queue: the most promising open branch of any
-tree comes next (its margin is the worst margin on the way), until ``LEAVES`` leaves are
-read. Queries meet the rows of their leaves in cells of bounded size (leaf x chunk of
+tree comes next (its margin is the worst margin on the way), until the fraction ``SHARE``
+of all leaves of the forest is read, and at least ``LEAVES`` of them. As the leaves grow
+with the table, so does what a query reads: recall does not fall with size, while the
+comparisons grow with queries x rows. Leaves are counted by the splits, the empty ones
+included, so the driver needs no list of them. Queries meet the rows of their leaves in cells of bounded size (leaf x chunk of
 rows x chunk of queries), where exact cosines in double precision rank the candidates and
 only the best go on.
 
@@ -34,7 +37,8 @@ TREES = 12
 SAMPLE = 16_384          # classes the trees are fitted on
 SAMPLE_LEAF = 48         # sample points at which a tree stops
 LEAF_ROWS = 192          # classes of the whole table in a leaf, about
-LEAVES = 400             # leaves one query reads over all trees
+LEAVES = 400             # leaves one query reads over all trees, at least
+SHARE = 0.08             # and at least this fraction of all leaves
 DEEPER = 30              # most random splits below a sample leaf
 CELL = 2048              # rows, and queries, of one comparison cell, about
 
@@ -142,6 +146,11 @@ def search(trees: list[Tree], unit: np.ndarray, wanted: int = LEAVES) -> list[tu
     return found
 
 
+def leaf_count(trees: list[Tree]) -> int:
+    """Leaves of all trees."""
+    return sum(int((1 << tree.depth).sum()) for tree in trees)
+
+
 def _matrix(column) -> np.ndarray:
     v = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     o = column.offsets.to_numpy()
@@ -238,7 +247,7 @@ def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample: int = SAMPLE, wanted: int = LEAVES,
-            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every row for which ``is_query`` (of vec_id) holds."""
     rows = usable(table, id_col, vector_col).distinct()
     member = Window.partitionBy("v").orderBy("vec_id")
@@ -258,6 +267,7 @@ def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample:
         if r["count"] > LEAF_ROWS:
             forest[r["tree"]].depth[r["leaf"]] = min(DEEPER, int(np.ceil(np.log2(r["count"] / LEAF_ROWS))))
 
+    wanted = max(wanted, int(np.ceil(share * leaf_count(forest))))
     index = stored(_index(classes, forest), "index")
     ask = classes.join(asking.select("class").distinct(), "class", "left_semi")
     probes = stored(_probes(ask.repartition(F.col("class")), forest, wanted), "probes")

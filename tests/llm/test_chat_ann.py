@@ -105,6 +105,15 @@ def test_recall_with_deep_leaves(spark, monkeypatch):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_recall_holds_where_the_least_number_of_leaves_is_a_small_share(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.float32(rng.normal(size=(4000, 64))))]
+    want, got = exact(rows, 5), run(spark, rows, sample=600)
+    assert set(got) == set(want)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_equal_vectors_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 16)
     rows = [(i, [1.0, 2.0, 2.0]) for i in range(200)] + [(300 + i, [0.5 * i, 1.0, 0.0]) for i in range(20)]
