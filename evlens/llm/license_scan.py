@@ -14,9 +14,13 @@ their class are candidates; exact shingle containment of at least ``CONTAINMENT`
 Texts without any anchor word (found from the templates so that a text without one lacks
 more than 1 - ``CONTAINMENT`` of every template's shingles) are passed over.
 
+A template of fewer than ``SHINGLE`` words is one shingle of all its words, and is looked
+for exactly, with the windows of size class 1.
+
 Results: one row per document and template found: the best containment, and the first
 word (from 0) of the first window that has it. Null and
-empty texts, and texts shorter than a shingle, give none. Repeated rows give one row.
+empty texts give none, and texts shorter than a shingle only templates that are shorter
+too. Repeated rows give one row.
 """
 from __future__ import annotations
 
@@ -46,7 +50,32 @@ TEMPLATES = (
      "and associated documentation files"),
     ("mit-short", "MIT", "Released under the MIT License"),
     ("mpl-2-notice", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("agpl-notice", "AGPL", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+     "as published by the Free Software Foundation"),
+    ("agpl-short", "AGPL", "licensed under the GNU Affero General Public License"),
+    ("apache-2-title", "Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("cc0-short", "CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("cc0-waiver", "CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("cc-by-4-notice", "CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-4-short", "CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-nc-4-notice", "CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa-4-notice", "CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa-4-short", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("gnu-text", "GNU", "Everyone is permitted to copy and distribute verbatim copies of this license document, "
+     "but changing it is not allowed"),
+    ("gpl-short", "GPL", "licensed under the GNU General Public License"),
+    ("isc-grant", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+     "is hereby granted"),
+    ("lgpl-notice", "LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+     "as published by the Free Software Foundation"),
+    ("lgpl-short", "LGPL", "licensed under the GNU Lesser General Public License"),
+    ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+# Single lines, some shorter than a shingle.
+LINES = (("rights-reserved", "All-rights-reserved", "All rights reserved"),) + tuple(
+    (f"spdx-{name.lower()}", name, f"SPDX-License-Identifier: {name}")
+    for name in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+                 "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"))
 # Words too common to tell texts apart; an anchor only where nothing else is left.
 COMMON = frozenset("""a all an and any are as at be by for from in is it may not of on or that the this to under use was
 were with you""".split())
@@ -81,7 +110,7 @@ def band(hashes: Column, first: Column, last: Column, j: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
-    """Templates with their distinct shingles, size class and band minima; templates shorter than a shingle drop out."""
+    """Templates with their distinct shingles, size class and band minima; those shorter than a shingle are not in it."""
     rows = literal_frame(spark, [("template", "string"), ("license", "string"), ("text", "string")], list(templates))
     words = rows.select("template", "license", words_of(F.col("text")).alias("words"))
     parts = words.select("template", "license", F.array_distinct(shingle_texts(F.col("words"), shingle)).alias("shingles"),
@@ -93,27 +122,55 @@ def template_table(spark: SparkSession, templates=TEMPLATES, shingle: int = SHIN
 def anchor_words(templates: list[list[str]], least: float = CONTAINMENT) -> list[str]:
     """Words that a text with the fraction ``least`` of some template's shingles cannot lack.
 
-    For each template (a list of shingles) words are taken until more than the fraction
-    1 - ``least`` of its shingles hold one: whoever has the others only has too few.
+    For each template (a list of shingles) words are taken until less than the fraction
+    ``least`` of its shingles hold none: whoever has those only has too few.
     Long words come first, as they are rare, and common ones last.
     """
     out: set[str] = set()
     for shingles in templates:
         sets = [set(s.split(" ")) for s in shingles]
-        while sum(bool(s & out) for s in sets) <= (1 - least) * len(sets):
+        while sets and sum(not s & out for s in sets) / len(sets) >= least:
             left = [s for s in sets if not s & out]
             out.add(max({w for s in left for w in s}, key=lambda w: (w not in COMMON, sum(w in s for s in left) * len(w) ** 2, w)))
     return sorted(out)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: int = BANDS, least: float = CONTAINMENT,
+def _short_notices(docs: DataFrame, templates, shingle: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Matches of the templates shorter than a shingle; nothing if there are none."""
+    rows = literal_frame(docs.sparkSession, [("template", "string"), ("license", "string"), ("text", "string")], list(templates))
+    words = rows.select("template", "license", words_of(F.col("text")).alias("words"))
+    known = words.where(F.size("words").between(1, shingle - 1)).collect()      # one row per template
+    if not known:
+        return None
+    text = F.col(f"`{text_col}`").cast("string")
+    lines = "|".join(sorted({_BETWEEN.join(map(re.escape, r["words"])) for r in known}))
+    may = F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])({lines})(?![\p{{L}}\p{{N}}])")
+    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(may).select(
+        "doc_id", words_of(F.col("text")).alias("words"))
+
+    def place(r) -> Column:
+        """First word (from 1) of the first place of the template, null without one."""
+        k = len(r["words"])
+        same = lambda i: F.slice("words", i, k) == F.array(*map(F.lit, r["words"]))
+        at = F.array_min(F.filter(_places(F.col("words"), k), same))
+        return F.struct(F.lit(r["template"]).alias("template"), F.lit(r["license"]).alias("license"), at.alias("at"))
+
+    hits = found.select("doc_id", F.explode(F.array(*map(place, known))).alias("hit")).where("hit.at is not null")
+    # The first window of two shingles that holds a place starts one word before it.
+    return (hits.groupBy("doc_id", F.col("hit.template").alias("template"), F.col("hit.license").alias("license"))
+            .agg(F.greatest(F.min("hit.at") - 2, F.lit(0)).cast("long").alias("first_word"))
+            .select("doc_id", "template", "license", F.lit(1.0).alias("containment"), "first_word"))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES + LINES, shingle: int = SHINGLE, bands: int = BANDS, least: float = CONTAINMENT,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, template, license, containment, first_word)``; see the module text."""
+    short = _short_notices(docs, templates, shingle, id_col, text_col)
     table = template_table(docs.sparkSession, templates, shingle, bands)
     known = table.select("class", "minima", "shingles").collect()        # one row per template
     classes = sorted({r["class"] for r in known})
     if not classes:
-        return literal_frame(docs.sparkSession, [("doc_id", "long"), ("template", "string"), ("license", "string"),
+        return short if short is not None else literal_frame(docs.sparkSession, [("doc_id", "long"), ("template", "string"), ("license", "string"),
                                                  ("containment", "double"), ("first_word", "long")], [])
     anchors = anchor_words([r["shingles"] for r in known], least)
     text = F.col(f"`{text_col}`").cast("string")
@@ -144,8 +201,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, shingle: int = SHINGLE, bands: in
     # One row per template: a proven bound for the broadcast.
     both = found.join(F.broadcast(table.select("class", "template", "license", "shingles")), "class")
     share = F.size(F.array_intersect(shingle_texts(F.col("part"), shingle), F.col("shingles"))) / F.size("shingles")
-    return (both.select("doc_id", "template", "license", "at", share.alias("share")).where(F.col("share") >= least)
+    long = (both.select("doc_id", "template", "license", "at", share.alias("share")).where(F.col("share") >= least)
             .groupBy("doc_id", "template", "license")
             .agg(F.max(F.struct("share", (-F.col("at")).alias("at"))).alias("best"))
             .select("doc_id", "template", "license", F.col("best.share").alias("containment"),
                     (-F.col("best.at")).cast("long").alias("first_word")))
+    return long if short is None else long.unionByName(short)

@@ -92,6 +92,18 @@ def test_licenses(spark):
     assert (100, "mit-grant") in got and (101, "mit-grant") not in got
 
 
+def test_notices_shorter_than_a_shingle_and_other_licenses(spark):
+    rows = [(1, "All rights reserved."), (2, "one two (c) ALL\nRights reserved, and all rights reserved"), (3, "all rights reservedly"),
+            (4, "all rights were reserved"), (5, None), (6, "x y\n# SPDX-License-Identifier: MIT\n z"),
+            (7, "// SPDX-License-Identifier: Apache-2.0"), (8, "a b c. Licensed under CC BY 4.0"), (1, "w w w w All rights reserved.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["containment"], r["first_word"]) for r in license_scan.scan(docs).collect()}
+    assert got == {(1, "All-rights-reserved", 1.0, 0), (2, "All-rights-reserved", 1.0, 2), (6, "MIT", 1.0, 1),
+                   (7, "Apache-2.0", 1.0, 0), (8, "CC-BY-4.0", 1.0, 2)}
+    only = license_scan.scan(docs, templates=(("t", "l", "rights"),)).collect()
+    assert {(r["doc_id"], r["first_word"]) for r in only} == {(1, 0), (2, 3), (3, 0), (4, 0)}
+
+
 def test_licenses_of_an_empty_table_and_without_templates(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert license_scan.scan(empty).collect() == []
