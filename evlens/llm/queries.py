@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlens.llm import ann, bpe, chat, langid, lexical, license_scan, packing, quality, secret_scan, simhash, substring, whitening
+from evlens.llm import (ann, bpe, chat, interpolation, langid, lexical, license_scan, packing, quality, secret_scan, simhash,
+                        substring, whitening)
 from evlens.llm.common import read_table
 
 
@@ -73,6 +74,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the interpolated model and the base model."""
+    return interpolation.score(read_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -86,7 +92,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_nearest, op4_quality_rules, op5_license_scan,
                                     op6_secret_scan, op7_byte_bpe, op8_best_fit_packing, op9_language_id,
-                                    op10_substring_dedup, op12_ranked_search, op13_whitening)}
+                                    op10_substring_dedup, op11_lm_scores, op12_ranked_search, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
