@@ -17,8 +17,9 @@ How Spark does it:
    buckets are even however skewed the words are; their number grows with the corpus. A
    bucket sums the counts and answers every block that asked, in the order it asked.
    Buckets are taken in ``PASSES`` jobs, so that less is shuffled at a time.
-3. Blocks of deleted documents meet their answers: every token with its estimates is a
-   row of a table, over which each round of expectation-maximisation is one aggregate.
+3. Blocks of deleted documents meet their answers. Their tokens' estimates, equal ones
+   counted together, are a table, and each round of expectation-maximisation is one
+   aggregate over it.
 4. All blocks meet their answers; every document's logarithms are summed.
 
 Every n-gram of every training document is counted. Names are 63 bits, derived from the
@@ -45,7 +46,7 @@ from evlens.llm.common import SPACES, discard, sliced, stored, workers_find_pack
 from evlens.llm.wordlists import translated, words_of
 
 ORDER = 3                     # longest n-grams
-PASSES = 2                    # jobs that the n-gram names are dealt to
+PASSES = 3                    # jobs that the n-gram names are dealt to
 TEXT_BYTES = 4 << 20          # text read into blocks at a time
 POSITIONS = 1 << 19           # most positions of a block
 BUCKET_KEYS = 1 << 20         # entries of a bucket, about
@@ -99,7 +100,7 @@ def blocks(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
                 continue
             flat, size = words_of(translated(b.column(1), _LOWER))
             coded = flat.dictionary_encode()
-            names = np.array([_START, _END, *(xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary)], np.uint64)
+            names = np.array([_START, _END, *map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist())], np.uint64)
             tokens = np.ones(len(flat) + 2 * b.num_rows, np.int32)
             start = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
             mark = np.ones(len(tokens), bool)
@@ -120,64 +121,81 @@ def blocks(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
 
 
 class Block:
-    """One block in a task: the key of the n-gram of each order that ends at each position."""
+    """One block in a task: the key of every word, and of the n-gram of each longer order that ends at each position."""
 
     def __init__(self, row: dict, order: int):
         self.skip, self.deleted = row["skip"], row["deleted"]
-        words, tokens = np.asarray(row["words"], np.int64).view(np.uint64), np.asarray(row["tokens"], np.int64)
-        self.pad = tokens == 0
-        name = words[tokens]
-        self.keys = [np.where(self.pad, name & ~np.uint64(1), name | np.uint64(1))]      # odd: words and ends
-        longer = name
+        name = np.asarray(row["words"], np.int64).view(np.uint64)
+        self.tokens = np.asarray(row["tokens"])
+        self.pad = self.tokens == 0
+        self.words = name | np.uint64(1)                                                  # odd: words and ends
+        self.words[0] &= ~np.uint64(1)
+        self.longer = []
+        name = longer = name[self.tokens]
         for k in range(2, order + 1):
             before = np.concatenate([longer[:1], longer[:-1]])
             longer = (before ^ (before >> np.uint64(31))) * _M1 + name * _M2
             longer ^= longer >> np.uint64(29)
             longer[self.pad] = np.uint64((_START * k * 2 + k) & 0xFFFFFFFFFFFFFFFF)
-            self.keys.append(longer & ~np.uint64(1))
+            self.longer.append(longer & ~np.uint64(1))
+        # Contexts of the first token end at the position before it.
+        self.since = [max(self.skip - 1, 0)] * (order - 2) + [self.skip] * (order > 1)
         self.rows, self.ids, self.parts = row["rows"], row["ids"], np.asarray(row["parts"])
         self.doc = np.repeat(np.arange(len(self.rows)), row["sizes"])                     # of positions after skip
-        # With what the first token's contexts are named, at the position before it.
-        before = max(self.skip - 1, 0)
-        self.unique = np.unique(np.concatenate([*(k[before:] for k in self.keys[:-1]), self.keys[-1][self.skip:]]))
+
+    def keys(self) -> np.ndarray:
+        """What the block asks for: its words, then the longer orders by position."""
+        return np.concatenate([self.words, *(k[a:] for a, k in zip(self.since, self.longer))])
 
     def counts(self) -> np.ndarray:
-        """How often each of the unique keys occurs in training documents."""
-        trained = (self.parts != HELD_OUT)[self.doc]
-        key, n = np.unique(np.concatenate([k[self.skip:][trained] for k in self.keys]), return_counts=True)
-        out = np.zeros(len(self.unique), np.int64)
-        out[np.searchsorted(self.unique, key)] = n
-        return out
+        """How often each of ``keys`` stands for itself in training documents."""
+        trained = (self.parts != HELD_OUT)[self.doc].astype(np.int64)
+        return np.concatenate([np.bincount(self.tokens[self.skip:], trained, len(self.words)).astype(np.int64),
+                               *(np.concatenate([np.zeros(self.skip - a, np.int64), trained]) for a in self.since)])
 
     def looked_up(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, token) counts of the n-grams and of their contexts; tokens are the positions that are no marks."""
+        """(order, token) counts of the n-grams and of their contexts; tokens are the positions that are no marks.
+
+        ``total``: the sums for ``keys``.
+        """
         at = np.flatnonzero(~self.pad[self.skip:]) + self.skip
-        grams, contexts = [], []
-        for k, key in enumerate(self.keys):
-            grams.append(total[np.searchsorted(self.unique, key[at])])
-            if k:
-                contexts.append(total[np.searchsorted(self.unique, self.keys[k - 1][at - 1])])
-        return np.array(grams), np.array(contexts)
+        upto = np.cumsum([len(self.words), *(len(self.tokens) - a for a in self.since)])
+        word = total[:len(self.words)]
+        grams, contexts = [word[self.tokens[at]]], [word[self.tokens[at - 1]]]
+        for i, a in enumerate(self.since):
+            sums = total[upto[i]:upto[i + 1]]
+            grams.append(sums[at - a])
+            if i + 1 < len(self.since):
+                contexts.append(sums[at - 1 - a])
+        return np.array(grams), np.array(contexts[:len(self.since)])
 
 
 # Counting
 
-def asked(index: DataFrame, order: int, buckets: int, passes: int, turn: int) -> DataFrame:
-    """Every block's distinct n-grams with their training counts, by bucket."""
+def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every key; larger keys have no smaller bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def asked(index: DataFrame, order: int, buckets: int, low: int, high: int) -> DataFrame:
+    """Every block's distinct n-grams of the buckets from ``low`` to ``high`` with their training counts."""
 
     def run(batches):
         for b in batches:
             for row in _rows(b):
                 block = Block(row, order)
-                keys, n = block.unique, block.counts()
-                bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                mine = [(a, z) for a, z in zip(cut[:-1], cut[1:]) if int(bucket[a]) % passes == turn]
-                if mine:
+                keys = block.keys()
+                bucket = _spread(keys, buckets)
+                mine = (bucket >= low) & (bucket < high)
+                unique, where = np.unique(keys[mine], return_inverse=True)
+                n = np.bincount(where, block.counts()[mine], len(unique)).astype(np.int64)
+                bucket = _spread(unique, buckets)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32)
+                if len(unique):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([int(bucket[a]) for a, _ in mine]), pa.array([row["block"]] * len(mine)),
-                        pa.array([block.deleted] * len(mine)), pa.array([keys[a:z].view(np.int64) for a, z in mine]),
-                        pa.array([n[a:z] for a, z in mine])], names=["bucket", "block", "deleted", "keys", "n"])
+                        pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(cut) - 1, row["block"])),
+                        pa.array(np.full(len(cut) - 1, block.deleted)), pa.ListArray.from_arrays(cut, unique.view(np.int64)),
+                        pa.ListArray.from_arrays(cut, n)], names=["bucket", "block", "deleted", "keys", "n"])
 
     return index.mapInArrow(run, "bucket long, block long, deleted boolean, keys array<long>, n array<long>")
 
@@ -194,7 +212,7 @@ def answered(requests: DataFrame) -> DataFrame:
         size = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in table.column("keys")])]))
         deleted = np.array(table.column("deleted").to_pylist(), bool)
         n = _flat(table.column("n"))
-        unique, where = np.unique(keys, return_inverse=True)
+        unique, where = np.unique(keys, return_inverse=True)      # with the inverse it sorts, which is faster here
         total = np.bincount(where, n, len(unique)).astype(np.int64)
         fit = np.bincount(where, np.where(np.repeat(deleted, size), 0, n), len(unique)).astype(np.int64)
         word = (unique & np.uint64(1)).astype(bool)
@@ -229,8 +247,9 @@ def _met(index: DataFrame, replies: DataFrame, field: str, order: int, fn, schem
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = next(_rows(left.combine_chunks().to_batches()[0]))
         block = Block(row, order)
-        answers = right.sort_by("bucket").column(field).combine_chunks()
-        return fn(block, *block.looked_up(answers.flatten().to_numpy(zero_copy_only=False)))
+        answers = _flat(right.sort_by("bucket").column(field))
+        _, where = np.unique(block.keys(), return_inverse=True)
+        return fn(block, *block.looked_up(answers[where]))
 
     mine = replies.select("block", "bucket", field).where(f"block IS NOT NULL AND {field} IS NOT NULL")
     return index.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, schema)
@@ -238,9 +257,9 @@ def _met(index: DataFrame, replies: DataFrame, field: str, order: int, fn, schem
 
 # Mixture
 
-def frequency(contexts: np.ndarray) -> np.ndarray:
+def frequency(contexts: np.ndarray, tokens: int) -> np.ndarray:
     """Bucket of every token: the binary order of magnitude of its contexts' counts, six bits each; 0: never seen."""
-    out = np.zeros(contexts.shape[1] if contexts.ndim == 2 else 0, np.int64)
+    out = np.zeros(tokens, np.int64)
     for k, c in enumerate(contexts):
         out |= np.frexp(c.astype(np.float64))[1].astype(np.int64) << 6 * k
     return out
@@ -279,7 +298,7 @@ class Mixture:
 
 
 def maximised(tokens: DataFrame, order: int, rounds: int = ROUNDS, still: float = STILL) -> dict[int, list[float]]:
-    """Mixture weights by bucket from ``(bucket, p0 .. pK)``, one Spark aggregate a round.
+    """Mixture weights by bucket from ``(bucket, p0 .. pK, n)``, one Spark aggregate a round.
 
     Buckets number at most 64^(K-1), whatever the table's size; each is learned by itself
     and starts even. One pseudo-token per usable component keeps weights above zero.
@@ -293,7 +312,7 @@ def maximised(tokens: DataFrame, order: int, rounds: int = ROUNDS, still: float
         share = [F.col(c) * F.col(f"p{k}") for k, c in enumerate(columns)]
         whole = reduce(lambda a, b: a + b, share)
         found = (tokens.join(F.broadcast(table), "bucket").groupBy("bucket")
-                 .agg(*(F.sum(s / whole).alias(c) for s, c in zip(share, columns))).collect())
+                 .agg(*(F.sum(F.col("n") * s / whole).alias(c) for s, c in zip(share, columns))).collect())
         moved = 0.0
         for r in found:
             can = allowed(r["bucket"], order)
@@ -313,25 +332,32 @@ def score(docs: DataFrame, order: int = ORDER, passes: int = PASSES, id_col: str
     index = stored(blocks(docs, order, id_col, text_col), "lm-blocks")
     positions = index.select(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-positions * order // BUCKET_KEYS))
-    parts = [stored(answered(asked(index, order, buckets, passes, turn)), "lm-counts") for turn in range(min(passes, buckets))]
+    cuts = [buckets * i // passes for i in range(passes + 1)]
+    parts = [stored(answered(asked(index, order, buckets, low, high)), "lm-counts") for low, high in zip(cuts, cuts[1:]) if low < high]
     replies = reduce(DataFrame.unionByName, parts)
     facts = replies.where("block IS NULL").select(*(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("total", "fit") for i in (0, 1))).first()
     (words, tokens), (fit_words, fit_tokens) = ((facts[f"{c}0"] or 0, facts[f"{c}1"] or 0) for c in ("total", "fit"))
 
     def deleted(block: Block, grams: np.ndarray, contexts: np.ndarray) -> pa.Table:
         p = estimates(grams, contexts, fit_tokens, fit_words)
-        return pa.table({"bucket": frequency(contexts) if order > 1 else np.zeros(p.shape[1], np.int64),
-                         **{f"p{k}": x for k, x in enumerate(p)}})
-
-    rows = stored(_met(index.where("deleted"), replies, "fit", order, deleted,
-                       "bucket long, " + ", ".join(f"p{k} double" for k in range(order + 1))), "lm-deleted")
+        bucket = frequency(contexts, p.shape[1])
+        alike = np.lexsort([*p[1:], bucket])                    # tokens with equal estimates are one row
+        new = np.concatenate([[True], (np.diff(bucket[alike]) != 0) | (np.diff(p[1:, alike], axis=1) != 0).any(axis=0)])
+        first = np.flatnonzero(new)
+        return pa.table({"bucket": bucket[alike][first], **{f"p{k}": x[alike][first] for k, x in enumerate(p)},
+                         "n": np.diff(np.concatenate([first, [len(alike)]]))})
+
+    columns = [f"p{k}" for k in range(order + 1)]
+    rows = _met(index.where("deleted"), replies, "fit", order, deleted,
+                "bucket long, " + ", ".join(f"{c} double" for c in columns) + ", n long")
+    rows = stored(rows.groupBy("bucket", *columns).agg(F.sum("n").alias("n")), "lm-deleted")
     mixture = Mixture(maximised(rows, order) if fit_tokens else {}, order)
     discard(rows)
 
     def scored(block: Block, grams: np.ndarray, contexts: np.ndarray) -> pa.Table:
         p = estimates(grams, contexts, tokens, words)
         if tokens:
-            p = mixture.probabilities(frequency(contexts) if order > 1 else np.zeros(p.shape[1], np.int64), p)
+            p = mixture.probabilities(frequency(contexts, p.shape[1]), p)
         else:
             p = p[0]
         doc = block.doc[~block.pad[block.skip:]]
