@@ -20,7 +20,8 @@ How Spark does it:
 3. Blocks of deleted documents meet their answers. Their tokens' estimates, equal ones
    counted together, are a table, and each round of expectation-maximisation is one
    aggregate over it.
-4. All blocks meet their answers; every document's logarithms are summed.
+4. All blocks meet their answers, again in ``PASSES`` jobs; every document's logarithms
+   are summed.
 
 Every n-gram of every training document is counted. Names are 63 bits, derived from the
 words, so two n-grams share one about once in 10^19 pairs.
@@ -46,7 +47,7 @@ from evlens.llm.common import SPACES, discard, sliced, stored, workers_find_pack
 from evlens.llm.wordlists import translated, words_of
 
 ORDER = 3                     # longest n-grams
-PASSES = 3                    # jobs that the n-gram names are dealt to
+PASSES = 3                    # jobs that the n-gram names, and then the blocks, are dealt to
 TEXT_BYTES = 4 << 20          # text read into blocks at a time
 POSITIONS = 1 << 19           # most positions of a block
 BUCKET_KEYS = 1 << 20         # entries of a bucket, about
@@ -56,10 +57,20 @@ HELD_OUT, FIT, DELETED = 0, 1, 2
 _LOWER = bytes(0x20 if chr(b) in SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _START, _END = (xxhash.xxh3_64_intdigest(mark) for mark in (b" start", b" end"))    # no word holds a space
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BLOCK = ("block long, deleted boolean, skip int, words array<long>, tokens array<int>, rows array<long>, ids array<long>, "
+_BLOCK = ("block long, deleted boolean, skip int, positions long, words binary, tokens binary, rows array<long>, ids array<long>, "
           "parts array<int>, sizes array<int>")
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; long lists travel as one value."""
+    width = next(w for w in (1, 2, 4, 8) if int(numbers.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def part_of(id_col: str = "doc_id") -> Column:
     """Held out, deleted or fit, by crc32 of the id as text modulo 10."""
     rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(10))
@@ -86,10 +97,10 @@ def blocks(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
             first, last = np.searchsorted(upto, a, "right") - 1, np.searchsorted(upto, z, "left")
             inside = np.minimum(upto[first + 1:last + 1], z) - np.maximum(upto[first:last], a)
             yield pa.RecordBatch.from_arrays([
-                pa.array([number[0]]), pa.array([deleted]), pa.array([skip], pa.int32()), pa.array([names.view(np.int64)]),
-                pa.array([tokens[a - skip:z]]), pa.array([row[first:last]]), pa.array([ids[first:last]], pa.list_(pa.int64())),
+                pa.array([number[0]]), pa.array([deleted]), pa.array([skip], pa.int32()), pa.array([z - a]),
+                pa.array([packed(names)]), pa.array([packed(tokens[a - skip:z])]), pa.array([row[first:last]]), pa.array([ids[first:last]], pa.list_(pa.int64())),
                 pa.array([part[first:last]]), pa.array([inside.astype(np.int32)])],
-                names=["block", "deleted", "skip", "words", "tokens", "rows", "ids", "parts", "sizes"])
+                names=["block", "deleted", "skip", "positions", "words", "tokens", "rows", "ids", "parts", "sizes"])
             number[0] += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +136,7 @@ class Block:
 
     def __init__(self, row: dict, order: int):
         self.skip, self.deleted = row["skip"], row["deleted"]
-        name = np.asarray(row["words"], np.int64).view(np.uint64)
-        self.tokens = np.asarray(row["tokens"])
+        name, self.tokens = unpacked(row["words"]), unpacked(row["tokens"])
         self.pad = self.tokens == 0
         self.words = name | np.uint64(1)                                                  # odd: words and ends
         self.words[0] &= ~np.uint64(1)
@@ -190,64 +200,55 @@ def asked(index: DataFrame, order: int, buckets: int, low: int, high: int) -> Da
                 unique, where = np.unique(keys[mine], return_inverse=True)
                 n = np.bincount(where, block.counts()[mine], len(unique)).astype(np.int64)
                 bucket = _spread(unique, buckets)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).astype(np.int32)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 if len(unique):
+                    spans = list(zip(cut[:-1], cut[1:]))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(cut) - 1, row["block"])),
-                        pa.array(np.full(len(cut) - 1, block.deleted)), pa.ListArray.from_arrays(cut, unique.view(np.int64)),
-                        pa.ListArray.from_arrays(cut, n)], names=["bucket", "block", "deleted", "keys", "n"])
+                        pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(np.full(len(spans), row["block"])),
+                        pa.array(np.full(len(spans), block.deleted)), pa.array([packed(unique[a:z]) for a, z in spans]),
+                        pa.array([packed(n[a:z]) for a, z in spans])], names=["bucket", "block", "deleted", "keys", "n"])
 
-    return index.mapInArrow(run, "bucket long, block long, deleted boolean, keys array<long>, n array<long>")
+    return index.mapInArrow(run, "bucket long, block long, deleted boolean, keys binary, n binary")
 
 
 def answered(requests: DataFrame) -> DataFrame:
     """Every bucket's sums, for every block that asked: ``total``, and ``fit`` without deleted documents.
 
-    A row without a block holds [distinct tokens, tokens] of the bucket.
+    A row without a block holds how many distinct tokens and tokens the bucket has, with and without deleted ones.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys = _flat(table.column("keys")).view(np.uint64)
-        size = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in table.column("keys")])]))
-        deleted = np.array(table.column("deleted").to_pylist(), bool)
-        n = _flat(table.column("n"))
-        unique, where = np.unique(keys, return_inverse=True)      # with the inverse it sorts, which is faster here
-        total = np.bincount(where, n, len(unique)).astype(np.int64)
-        fit = np.bincount(where, np.where(np.repeat(deleted, size), 0, n), len(unique)).astype(np.int64)
+        keys, n = ([unpacked(x) for x in table.column(c).to_pylist()] for c in ("keys", "n"))
+        deleted = table.column("deleted").to_pylist()
+        upto = np.cumsum([0, *map(len, keys)])
+        unique, where = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)    # sorts, which is faster than hashing
+        sums = [np.bincount(where, np.concatenate(x), len(unique)).astype(np.int64)
+                for x in (n, [np.zeros(len(x)) if d else x for x, d in zip(n, deleted)])]
         word = (unique & np.uint64(1)).astype(bool)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        spans = list(zip(upto[:-1], upto[1:]))
-        facts = [[int((c[word] > 0).sum()), int(c[word].sum())] for c in (total, fit)]
-        m = len(spans)
-        return pa.table({"bucket": pa.array(table.column("bucket").to_pylist() + [None]),
-                         "block": pa.array(table.column("block").to_pylist() + [None], pa.int64()),
-                         "total": pa.array([total[where[a:z]] for a, z in spans] + [facts[0]], pa.list_(pa.int64())),
-                         "fit": pa.array([fit[where[a:z]] if deleted[i] else None for i, (a, z) in enumerate(spans)] + [facts[1]],
-                                         pa.list_(pa.int64()))}) if m else None
+        spans = list(zip(upto[:-1], upto[1:], deleted))
+        facts = [[None] * len(spans) + [int(x)] for c in sums for x in ((c[word] > 0).sum(), c[word].sum())]
+        return pa.table([
+            pa.array(table.column("bucket").to_pylist() + [None], pa.int64()), pa.array(table.column("block").to_pylist() + [None], pa.int64()),
+            pa.array([packed(sums[0][where[a:z]]) for a, z, _ in spans] + [None], pa.binary()),
+            pa.array([packed(sums[1][where[a:z]]) if d else None for a, z, d in spans] + [None], pa.binary()),
+            *(pa.array(x, pa.int64()) for x in facts)],
+            names=["bucket", "block", "total", "fit", "words", "tokens", "fit_words", "fit_tokens"])
 
-    return requests.groupBy("bucket").applyInArrow(run, "bucket long, block long, total array<long>, fit array<long>")
+    return requests.groupBy("bucket").applyInArrow(
+        run, "bucket long, block long, total binary, fit binary, words long, tokens long, fit_words long, fit_tokens long")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of a batch; numbers of a list as one array, which may hold null ids as a list."""
     for i in range(b.num_rows):
-        yield {name: value.as_py() if not isinstance(value := b.column(j)[i], pa.ListScalar) else
-               value.as_py() if name == "ids" else value.values.to_numpy(zero_copy_only=False)
-               for j, name in enumerate(b.schema.names)}
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+        yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
 
 
 def _met(index: DataFrame, replies: DataFrame, field: str, order: int, fn, schema: str) -> DataFrame:
     """``fn(block, counts, contexts)`` for every block with its answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = next(_rows(left.combine_chunks().to_batches()[0]))
-        block = Block(row, order)
-        answers = _flat(right.sort_by("bucket").column(field))
+        block = Block(next(_rows(left.combine_chunks().to_batches()[0])), order)
+        answers = np.concatenate([unpacked(x) for x in right.sort_by("bucket").column(field).to_pylist()]).astype(np.int64)
         _, where = np.unique(block.keys(), return_inverse=True)
         return fn(block, *block.looked_up(answers[where]))
 
@@ -330,13 +331,13 @@ def maximised(tokens: DataFrame, order: int, rounds: int = ROUNDS, still: float
 def score(docs: DataFrame, order: int = ORDER, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
     index = stored(blocks(docs, order, id_col, text_col), "lm-blocks")
-    positions = index.select(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    positions = index.select(F.sum("positions").alias("n")).first()["n"] or 0
     buckets = max(1, -(-positions * order // BUCKET_KEYS))
     cuts = [buckets * i // passes for i in range(passes + 1)]
     parts = [stored(answered(asked(index, order, buckets, low, high)), "lm-counts") for low, high in zip(cuts, cuts[1:]) if low < high]
     replies = reduce(DataFrame.unionByName, parts)
-    facts = replies.where("block IS NULL").select(*(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("total", "fit") for i in (0, 1))).first()
-    (words, tokens), (fit_words, fit_tokens) = ((facts[f"{c}0"] or 0, facts[f"{c}1"] or 0) for c in ("total", "fit"))
+    words, tokens, fit_words, fit_tokens = (x or 0 for x in replies.where("block IS NULL").select(
+        *(F.sum(c) for c in ("words", "tokens", "fit_words", "fit_tokens"))).first())
 
     def deleted(block: Block, grams: np.ndarray, contexts: np.ndarray) -> pa.Table:
         p = estimates(grams, contexts, fit_tokens, fit_words)
@@ -367,12 +368,16 @@ def score(docs: DataFrame, order: int = ORDER, passes: int = PASSES, id_col: str
                          "held_out": pa.array(block.parts == HELD_OUT), "n_tokens": sums[0].astype(np.int64),
                          "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]})
 
-    found = _met(index, replies, "total", order, scored,
-                 "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = stored(found.groupBy("row", "doc_id", "held_out")
+    found = []
+    for turn in range(passes):
+        mine = F.pmod(F.xxhash64("block"), F.lit(passes)) == turn
+        found.append(stored(_met(index.where(mine), replies.where(mine), "total", order, scored,
+                                 "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
+                                 "score double"), "lm-parts"))
+    out = stored(reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "held_out")
                  .agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
                  .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"),
                  "lm-scores")
-    for table in (index, *parts):
+    for table in (index, *parts, *found):
         discard(table)
     return out
