@@ -48,8 +48,8 @@ from evlens.llm.wordlists import translated, words_of
 
 ORDER = 3                     # longest n-grams
 PASSES = 3                    # jobs that the n-gram names, and then the blocks, are dealt to
-TEXT_BYTES = 4 << 20          # text read into blocks at a time
-POSITIONS = 1 << 19           # most positions of a block
+TEXT_BYTES = 1 << 20          # text read into blocks at a time
+POSITIONS = 1 << 18           # most positions of a block
 BUCKET_KEYS = 1 << 20         # entries of a bucket, about
 ROUNDS, STILL = 40, 1e-3      # rounds of expectation-maximisation, fewer once no weight moves by more
 HELD_OUT, FIT, DELETED = 0, 1, 2
@@ -87,18 +87,17 @@ def blocks(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def cut(tokens, size, row, ids, part, deleted, names, number):
-        used = np.zeros(len(names), bool)
-        used[tokens] = used[:2] = True
-        tokens, names = (np.cumsum(used) - 1).astype(np.int32)[tokens], names[used]
         upto = np.concatenate([[0], np.cumsum(size)])
         for a in range(0, len(tokens), POSITIONS):
             z = min(a + POSITIONS, len(tokens))
             skip = min(a, order - 1)
             first, last = np.searchsorted(upto, a, "right") - 1, np.searchsorted(upto, z, "left")
+            used = np.zeros(len(names), bool)
+            used[tokens[a - skip:z]] = used[:2] = True
             inside = np.minimum(upto[first + 1:last + 1], z) - np.maximum(upto[first:last], a)
             yield pa.RecordBatch.from_arrays([
                 pa.array([number[0]]), pa.array([deleted]), pa.array([skip], pa.int32()), pa.array([z - a]),
-                pa.array([packed(names)]), pa.array([packed(tokens[a - skip:z])]), pa.array([row[first:last]]), pa.array([ids[first:last]], pa.list_(pa.int64())),
+                pa.array([packed(names[used])]), pa.array([packed((np.cumsum(used) - 1)[tokens[a - skip:z]])]), pa.array([row[first:last]]), pa.array([ids[first:last]], pa.list_(pa.int64())),
                 pa.array([part[first:last]]), pa.array([inside.astype(np.int32)])],
                 names=["block", "deleted", "skip", "positions", "words", "tokens", "rows", "ids", "parts", "sizes"])
             number[0] += 1
