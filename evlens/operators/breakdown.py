@@ -1,21 +1,24 @@
 """Property breakdowns (E7, F6a, F6b) and two-cohort comparison.
 
-The reference runs the chart once per top value. Here it is one pass: a
-membership table ``(user, value)`` - users having one event row on which the base
-cohort and ``field = value`` hold together - joined to per-user results that do not
-depend on the value (funnel step times, retention flags). A user matching several
-values appears in several series, exactly as in N separate runs.
+The reference runs the chart once per top value. Here it is one pass over the window and
+one chain of aggregates: rows are reduced to (user, value), where a value counts for a
+user who has one event row on which the base cohort and ``field = value`` hold together,
+next to the facts of the chart (step times, active days), which do not depend on the
+value and are put together per user by a window over these reduced rows. Every value is
+counted, as its users are one partial aggregate anyway, and the top ones are kept. A
+user matching several values appears in several series, exactly as in N separate runs.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlens.functions.cohort import cohort_predicate, field_column, resolve_field_type
 from evlens.functions.literals import literal_frame
 from evlens.operators import funnel as FN
 from evlens.operators import retention as R
-from evlens.schema import USER
+from evlens.functions.timecols import utc_day
+from evlens.schema import NAME, TS, USER
 from evlens.sources.scan import scan
 
 
@@ -54,19 +57,27 @@ def breakdown_values(events: DataFrame, field: str, field_type: str | None, star
     return top_values(value_users(scan(events, start, end), field, ft, base_cohort), top_n)
 
 
-def membership(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """(user, value) pairs - users with one row satisfying the base cohort and
-    field = value - restricted to ``values``, which holds at most ``top_n`` rows (a
-    limited top-k) and is therefore broadcast."""
-    return pairs.join(F.broadcast(values.select("value")), "value", "left_semi").select(USER, "value")
+def _value(field: str, field_type: str, base_cohort: list[dict] | None) -> Column:
+    """The value a row counts for: NULL outside the base cohort and for empty values."""
+    value = field_column(field, field_type).cast("string")
+    pred = cohort_predicate(base_cohort)
+    counts = (value != "") if pred is None else pred & (value != "")
+    return F.when(counts, value)
+
+
+def _value_rows_of(window: DataFrame, field: str, field_type: str | None, base_cohort: list[dict] | None) -> DataFrame:
+    """Rows of known users with the ``value`` they count for."""
+    value = _value(field, resolve_field_type(field, field_type), base_cohort)
+    return window.where(F.col(USER).isNotNull()).withColumn("value", value)
 
 
-def _explicit_values(pairs: DataFrame, values: list) -> DataFrame:
-    """Given values (F24) with their distinct users counted from the data."""
-    wanted = literal_frame(pairs.sparkSession, [("value", "string")], [(str(v),) for v in values])
-    counted = (pairs.join(F.broadcast(wanted), "value", "left_semi")
-               .groupBy("value").agg(F.count(F.lit(1)).alias("users")))
-    return wanted.join(counted, "value", "left").select("value", F.coalesce("users", F.lit(0)).alias("users"))
+def _wanted_values(counts: DataFrame, top_n: int | None, values: list | None) -> DataFrame:
+    """The ``top_n`` values by users, or the given ones in any case (0 where they do not occur)."""
+    if values is None:
+        return counts.orderBy(F.col("users").desc(), F.col("value").asc()).limit(top_n)
+    wanted = literal_frame(counts.sparkSession, [("value", "string")], [(str(v),) for v in values])
+    # The given values bound both sides of this join.
+    return wanted.join(F.broadcast(counts.where(F.col("value").isin([str(v) for v in values]))), "value", "left")
 
 
 def funnel_breakdown(events: DataFrame, steps: list[str], start: str, end: str, field: str,
@@ -78,44 +89,46 @@ def funnel_breakdown(events: DataFrame, steps: list[str], start: str, end: str,
     Columns: series_label, series_users, step_index, event, users,
     drop_off_from_prev_pct, conversion_from_start_pct.
     """
-    ft = resolve_field_type(field, field_type)
-    window = scan(events, start, end)
-    pairs = value_users(window, field, ft, base_cohort)
-    vals = top_values(pairs, top_n)
-    per_user = FN.step_times(window, steps).join(membership(pairs, vals), USER)
-    counts = FN.step_counts(per_user, len(steps), window_days, strict, ["value"])
-    step_cols = [f"step_{i}_users" for i in range(1, len(steps) + 1)]
-    full = (vals.join(F.broadcast(counts), "value", "left")
-            .select(F.col("value").alias("series_label"), F.col("users").alias("series_users"),
-                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in step_cols]))
+    steps = FN.check_steps(steps)
+    names = [f"s{i}" for i in range(1, len(steps) + 1)]
+    rows = _value_rows_of(scan(events, start, end), field, field_type, base_cohort)
+    firsts = (rows.where(F.col("value").isNotNull() | F.col(NAME).isin(list(dict.fromkeys(steps))))
+              .groupBy(USER, "value").agg(*[F.min(F.when(F.col(NAME) == s, F.col(TS))).alias(n) for s, n in zip(steps, names)]))
+    per_value = (firsts.select("value", *[F.min(n).over(Window.partitionBy(USER)).alias(n) for n in names])
+                 .where(F.col("value").isNotNull()))
+    reached = [F.count_if(F.coalesce(FN.step_reached(i, window_days, strict), F.lit(False))).alias(f"step_{i}_users")
+               for i in range(1, len(steps) + 1)]
+    counts = per_value.groupBy("value").agg(F.count(F.lit(1)).alias("users"), *reached)
+    full = _wanted_values(counts, top_n, None).withColumnsRenamed({"value": "series_label", "users": "series_users"})
     return FN.shape_steps(full, steps, ["series_label", "series_users"])
 
 
-def _retention_series(window: DataFrame, pairs: DataFrame, vals: DataFrame) -> DataFrame:
-    per_user = R.user_retention(window).join(membership(pairs, vals), USER)
-    heads = R.headline(R.cohort_table(per_user, ["value"]), ["value"])
-    out = vals.join(F.broadcast(heads), "value", "left")
-    return out.select(
-        F.col("value").alias("series_label"), F.col("users").alias("series_users"),
-        *[F.coalesce(F.col(f"d{n}_avg"), F.lit(0.0)).alias(f"d{n}_rate") for n in R.OFFSETS],
-        F.coalesce(F.col("total_users"), F.lit(0)).cast("long").alias("total_users"))
+def _retention_series(window: DataFrame, field: str, field_type: str | None, base_cohort: list[dict] | None,
+                      top_n: int | None = None, values: list | None = None) -> DataFrame:
+    """Weighted rates per value: of a value's users, the share active N days after their first day in the window."""
+    user = Window.partitionBy(USER)
+    days = (_value_rows_of(window, field, field_type, base_cohort).select(USER, "value", utc_day().alias("day")).distinct()
+            .withColumn("cohort_day", F.min("day").over(user)))
+    back = [F.max(F.col("day") == F.col("cohort_day") + n).over(user).alias(f"d{n}") for n in R.OFFSETS]
+    per_value = (days.select(USER, "value", *back).where(F.col("value").isNotNull())
+                 .groupBy(USER, "value").agg(*[F.max(f"d{n}").alias(f"d{n}") for n in R.OFFSETS]))
+    counts = per_value.groupBy("value").agg(F.count(F.lit(1)).alias("users"), *[F.count_if(f"d{n}").alias(f"d{n}") for n in R.OFFSETS])
+    users = F.coalesce(F.col("users"), F.lit(0)).cast("long")
+    return _wanted_values(counts, top_n, values).select(
+        F.col("value").alias("series_label"), users.alias("series_users"),
+        *[F.coalesce(F.try_divide(F.col(f"d{n}"), F.col("users")), F.lit(0.0)).alias(f"d{n}_rate") for n in R.OFFSETS],
+        users.alias("total_users"))
 
 
 def retention_breakdown(events: DataFrame, start: str, end: str, field: str,
                         field_type: str | None = None, base_cohort: list[dict] | None = None,
                         top_n: int = 5) -> DataFrame:
     """Weighted D1/D7/D30 rates and cohorted users per top value, one pass."""
-    ft = resolve_field_type(field, field_type)
-    window = scan(events, start, end)
-    pairs = value_users(window, field, ft, base_cohort)
-    return _retention_series(window, pairs, top_values(pairs, top_n))
+    return _retention_series(scan(events, start, end), field, field_type, base_cohort, top_n)
 
 
 def compare_cohorts(events: DataFrame, start: str, end: str, dimension: str, value_a: str,
                     value_b: str | None = None) -> DataFrame:
     """retention headline for ``dimension = a`` and ``= b``; an empty or repeated second value is none."""
-    ft = resolve_field_type(dimension)
     wanted = [value_a, value_b] if value_b and value_b != value_a else [value_a]
-    window = scan(events, start, end)
-    pairs = value_users(window, dimension, ft)
-    return _retention_series(window, pairs, _explicit_values(pairs, wanted))
+    return _retention_series(scan(events, start, end), dimension, None, None, values=wanted)

@@ -128,8 +128,8 @@ def field_discovery(events: DataFrame, day: str, sample: int | None = None) -> D
     """Filterable fields - distinct user-property keys and event-param keys of one
     shard, plus the fixed raw columns. Columns: field_type, field, label.
 
-    ``sample`` optionally caps the rows scanned (the reference reads 50,000 arbitrary
-    rows); the default reads the whole shard, so the result is deterministic.
+    ``sample`` optionally looks at a hash sample of that many rows (the reference reads
+    50,000 arbitrary rows); the default reads the whole shard.
     """
     shard = sample_day(events, day, sample).select("user_properties", "event_params")
     up = (shard.select(F.explode(F.col("user_properties")["key"]).alias("field"))

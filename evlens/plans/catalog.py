@@ -165,6 +165,14 @@ def q_freshness(spark, sf):
     return finish(E.freshness(events(spark, sf), fx.AS_OF, 3))
 
 
+@register("event_sample")
+def q_event_sample(spark, sf):
+    """A3: the bottom 500 rows of a day by hash; how they spread over events depends on the rows alone."""
+    from evlens.sources.scan import sample_day
+    day = sample_day(events(spark, sf, fx.END, fx.END), fx.END, 500)
+    return finish(day.groupBy(NAME).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(USER).alias("users")))
+
+
 @register("field_discovery")
 def q_field_discovery(spark, sf):
     return finish(E.field_discovery(events(spark, sf, fx.END, fx.END), fx.END))
@@ -378,6 +386,15 @@ def q_investigate_when(spark, sf):
     return finish(_timeline(spark, sf))
 
 
+@register("investigate_insights")
+def q_investigate_insights(spark, sf):
+    """WHERE and WHEN for every fired insight: the volume moves and the conversion change of the second half."""
+    ev = events(spark, sf, *(fx.HALF_A[0], fx.HALF_B[1]))
+    fired = I.rule_volume(I.event_volume_change(ev, fx.HALF_B, fx.HALF_A), min_rel=0.0).unionByName(
+        I.rule_conversion(I.conversion_change(ev, *CONV_PAIR, fx.HALF_B, fx.HALF_A), *CONV_PAIR, min_rel=0.0))
+    return finish(V.investigate_insights(ev, fired, *fx.HALF_B, base_cohort=INVESTIGATE_COHORT))
+
+
 @register("investigate_change_day")
 def q_investigate_change_day(spark, sf):
     return finish(V.change_day(_timeline(spark, sf), *fx.HALF_B))
@@ -481,6 +498,14 @@ def q_intent_tags(spark, sf):
 
 
 # ---------------------------------------------------------------- step 13: streaming
+@register("daily_activity_watermark")
+def q_daily_activity_watermark(spark, sf):
+    from evlens.streaming.daily_active import flat_event_stream
+    from evlens.streaming.watermarked import run_available_now
+    stream = flat_event_stream(spark, sf).where(F.col("event_date").between(fx.START, fx.END))
+    return finish(run_available_now(stream).orderBy("day"))
+
+
 @register("daily_activity_stream")
 def q_daily_activity_stream(spark, sf):
     from evlens.streaming.daily_active import flat_event_stream, run_available_now

@@ -650,6 +650,47 @@ ranked AS (
     return with_ev(body, ctes)
 
 
+def investigate_insights() -> str:
+    """Axis shares and change day of every insight's target, insight by insight."""
+    fired = "\nUNION ALL\n".join(f"SELECT id, event, end_event FROM ({p}) AS p{i}" for i, p in enumerate([
+        rule_volume_sql(volume_sql(fx.HALF_B, fx.HALF_A, 50, 10), min_rel=0.0),
+        rule_conversion_sql(conversion_sql(fx.HALF_B, fx.HALF_A, 7), min_rel=0.0)]))
+    axes = [("country", "country"), ("platform", "platform"), ("app version", "app_version"),
+            ("device category", "device_category")]
+    parts = "\nUNION ALL\n".join(
+        f"SELECT insight_id, {q(label)} AS axis, {col} AS value, COUNT(DISTINCT user_pseudo_id) AS users FROM base "
+        f"WHERE {col} <> '' GROUP BY ALL" for label, col in axes)
+    ctes = f"""fired AS ({fired}),
+tg AS (SELECT id AS insight_id, COALESCE(event, end_event, 'session_start') AS target FROM fired),
+around AS (SELECT * FROM ev WHERE {between(fx.START, fx.END)} AND device_category = 'desktop'),
+base AS (SELECT insight_id, around.* FROM around JOIN tg ON event_name = target WHERE {between(*fx.HALF_B)}),
+total AS (SELECT insight_id, COUNT(DISTINCT user_pseudo_id) AS total_users FROM base GROUP BY ALL),
+top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY insight_id, axis ORDER BY users DESC, value) AS INTEGER) AS rank
+        FROM ({parts}) AS a),
+tl AS (SELECT insight_id, event_date, COUNT(*) FILTER (WHERE event_name = target) AS n FROM around, tg GROUP BY ALL),
+b AS (SELECT insight_id, CASE WHEN COUNT(*) FILTER (WHERE event_date >= {q(fx.HALF_B[0])}) > 0 THEN
+             COALESCE(NULLIF(AVG(n) FILTER (WHERE event_date < {q(fx.HALF_B[0])}), 0), CASE WHEN COUNT(*) FILTER
+             (WHERE event_date < {q(fx.HALF_B[0])}) > 0 THEN 1.0 END) END AS baseline FROM tl GROUP BY ALL)"""
+    body = """SELECT insight_id, target, 'where' AS section, axis, rank, value, users, ROUND(users / total_users, 6) AS share,
+       rank = 1 AND users / total_users >= 0.6 AS concentrated, total_users AS total_affected_users,
+       CAST(NULL AS DOUBLE) AS baseline, CAST(NULL AS VARCHAR) AS change_started_on
+FROM top JOIN total USING (insight_id) JOIN tg USING (insight_id) WHERE rank <= 5
+UNION ALL
+SELECT insight_id, target, 'when', NULL, NULL, NULL, NULL, NULL, NULL, NULL, ROUND(CAST(baseline AS DOUBLE), 6),
+       (SELECT CAST(CAST(strptime(MIN(event_date), '%Y%m%d') AS DATE) AS VARCHAR) FROM tl
+        WHERE tl.insight_id = b.insight_id AND event_date >= '""" + fx.HALF_B[0] + """'
+          AND ABS(n - baseline) / GREATEST(baseline, 1) >= 0.25)
+FROM b JOIN tg USING (insight_id)"""
+    return with_ev(body, ctes)
+
+
+def event_sample() -> str:
+    return with_ev(f"""SELECT event_name, COUNT(*) AS n, COUNT(DISTINCT user_pseudo_id) AS users
+FROM (SELECT * FROM ev WHERE event_date = {q(fx.END)}
+      ORDER BY md5(concat(event_timestamp, ' ', COALESCE(user_pseudo_id, ''), ' ', COALESCE(event_name, ''))) LIMIT 500) AS s
+GROUP BY event_name""")
+
+
 def timeline_sql() -> str:
     return with_ev(f"""SELECT CAST(CAST(strptime(event_date, '%Y%m%d') AS DATE) AS VARCHAR) AS date,
        COUNT(DISTINCT user_pseudo_id) AS dau,
@@ -1032,6 +1073,9 @@ ORACLES = {
     "affected_users": affected_users,
     "dashboard_overview": dashboard_overview,
     "daily_activity_stream": daily_activity_stream,
+    "daily_activity_watermark": daily_activity_stream,
+    "investigate_insights": investigate_insights,
+    "event_sample": event_sample,
 }
 
 

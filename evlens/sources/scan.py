@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evlens.functions.periods import check_day, extended_start, parse_day, relative_window
-from evlens.schema import DATE
+from evlens.schema import DATE, NAME, TS, USER
 
 
 def scan(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -25,12 +25,19 @@ def scan_day(events: DataFrame, day: str) -> DataFrame:
 
 
 def sample_day(events: DataFrame, day: str, limit: int | None = None) -> DataFrame:
-    """One shard, optionally capped to ``limit`` arbitrary rows for cheap discovery (A3).
+    """One shard, optionally a sample of ``limit`` of its rows (A3).
 
-    The default reads the whole shard; a cap makes results run-dependent.
+    The sample is the bottom ``limit`` of a digest of time, user and event: each task keeps
+    its own bottom rows and these are merged, so it is the same under any partitioning,
+    order or retry. Rows alike in all three are told apart by their params and properties;
+    those still alike are interchangeable.
     """
     df = scan_day(events, day)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    rank = F.md5(F.concat_ws(" ", F.col(TS).cast("string"), F.coalesce(USER, F.lit("")), F.coalesce(NAME, F.lit(""))))
+    tie = F.xxhash64("platform", F.to_json("event_params"), F.to_json("user_properties"))
+    return df.select("*", rank.alias("_rank"), tie.alias("_tie")).orderBy("_rank", "_tie").limit(limit).drop("_rank", "_tie")
 
 
 def tag_periods(events: DataFrame, periods: dict[str, tuple[str, str]], col: str = "period") -> DataFrame:
