@@ -3,7 +3,11 @@
 A text is cut before every single space that follows a non-space character. The
 split pattern never joins characters across such a cut, so each part can be encoded
 once - each match of the pattern in it by the library's BPE model -, remembered per
-worker (bounded), and the ids of a text are the concatenation of its parts' ids. Ids travel as little-endian unsigned 32-bit bytes.
+worker (bounded), and the ids of a text are the concatenation of its parts' ids. Ids travel
+as little-endian unsigned 32-bit bytes. Texts with characters that are unassigned here, and
+for vocabulary files with added tokens texts that hold one, are encoded at once by the
+library whose ids are to be matched: its own tables then say what a letter is, and added
+tokens are matched before a text is split.
 
 Null text reads as empty: no ids. Empty texts give zero ids and decode to zero bytes.
 """
@@ -12,7 +16,9 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -80,9 +86,7 @@ def tokenizer_from_ranks(path: str, pattern: str):
 def tokenizer_from_json(path: str):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True      # strings of special tokens in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def parts_of(text: str) -> list[str]:
@@ -120,13 +124,32 @@ class _NotApart(Exception):
     """A part that cannot be encoded without its neighbour."""
 
 
+class _Unassigned(Exception):
+    """A text with characters that Unicode versions, and so the libraries' tables of letters, may differ on."""
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Characters without a meaning in this Python's Unicode version; newer tables may give them one."""
+    code = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
+    ends = [c for c in range(0x110001) if (c < 0x110000 and code[c]) != (c > 0 and code[c - 1])]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(ends[::2], ends[1::2])) + "]")
+
+
 class PartEncoder:
-    """Encodes texts part by part; what parts and matches of the pattern give is remembered up to a bound."""
+    """Encodes texts part by part; what parts and matches of the pattern give is remembered up to a bound.
 
-    def __init__(self, tokenizer, pattern: str, parts: int = CACHE_PARTS, pieces: int = CACHE_PIECES):
+    ``whole`` encodes a text at once, as the library with the ids to be matched does. It is
+    used for texts that cannot be cut here: those with a token in ``added``, which comes
+    before any splitting, and those with characters that are letters or not by version.
+    """
+
+    def __init__(self, tokenizer, pattern: str, whole: Callable[[str], list[int]], added: Iterable[str] = (),
+                 parts: int = CACHE_PARTS, pieces: int = CACHE_PIECES):
         import regex
 
-        self.model = tokenizer.model
+        self.model, self.at_once, self.added = tokenizer.model, whole, tuple(added)
+        self.unassigned = unassigned().search
         self.cut = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.pieces = _Remembered(self._piece, pieces)
@@ -138,6 +161,8 @@ class PartEncoder:
         return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def _whole(self, text: str) -> bytes:
+        if self.unassigned(text):
+            raise _Unassigned
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def _part(self, part: str) -> bytes:
@@ -149,18 +174,26 @@ class PartEncoder:
             return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
         return self._whole(" " + part)
 
+    def _cut(self, text: str) -> bytes:
+        get = self.parts.__getitem__
+        head, *rest = text.split(" ")
+        try:
+            if head and head[-1].isspace():
+                raise _NotApart
+            return self._whole(head) + b"".join(map(get, rest))
+        except _NotApart:       # runs of white space before a space: longer parts
+            head, *rest = parts_of(text)
+            return self._whole(head) + b"".join(self._whole(" " + p) if p[-1:].isspace() or not p else get(p) for p in rest)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, get = [], self.parts.__getitem__
+        out = []
         for text in texts:
-            head, *rest = text.split(" ")
             try:
-                if head and head[-1].isspace():
-                    raise _NotApart
-                out.append(self._whole(head) + b"".join(map(get, rest)))
-            except _NotApart:       # runs of white space before a space: longer parts
-                head, *rest = parts_of(text)
-                out.append(self._whole(head) + b"".join(self._whole(" " + p) if p[-1:].isspace() or not p else get(p)
-                                                        for p in rest))
+                if any(a in text for a in self.added):
+                    raise _Unassigned
+                out.append(self._cut(text))
+            except _Unassigned:
+                out.append(np.asarray(self.at_once(text), "<u4").tobytes())
         return out
 
 
@@ -191,6 +224,14 @@ class Decoder:
         return list(zip(np.asarray(first).tolist(), begun[ends].tolist())) if len(toks) else []
 
 
+@lru_cache(maxsize=2)
+def reference_encoding(path: str, pattern: str):
+    """The rank table in tiktoken, whose ids are to be matched."""
+    import tiktoken
+
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 _workers: dict[tuple, tuple[PartEncoder, Decoder]] = {}
 
 
@@ -198,8 +239,14 @@ def worker_codec(kind: str, path: str, pattern: str) -> tuple[PartEncoder, Decod
     """One encoder and decoder per Python worker and vocabulary."""
     key = (kind, path, pattern)
     if key not in _workers:
-        tok = tokenizer_from_ranks(path, pattern) if kind == "ranks" else tokenizer_from_json(path)
-        _workers[key] = PartEncoder(tok, pattern), Decoder(tok.get_vocab())
+        if kind == "ranks":
+            tok, added = tokenizer_from_ranks(path, pattern), []
+            whole = lambda text: reference_encoding(path, pattern).encode_ordinary(text)
+        else:
+            tok = tokenizer_from_json(path)
+            added = [t.content for t in tok.get_added_tokens_decoder().values()]
+            whole = lambda text: tok.encode(text, add_special_tokens=False).ids
+        _workers[key] = PartEncoder(tok, pattern, whole, added), Decoder(tok.get_vocab())
     return _workers[key]
 
 

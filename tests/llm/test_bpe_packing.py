@@ -1,12 +1,14 @@
 """Byte-level BPE against the tiktoken library, packing against its definition."""
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,8 +53,44 @@ def _ranks():
     return _known
 
 
+def assigned():
+    """All code points with a meaning here, in texts between letters, digits and marks."""
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    return [" ".join(f"a{c}'s 1{c}2 a {c}b{c}{c}. ?{c}" for c in points[i:i + 40]) for i in range(0, len(points), 40)]
+
+
+def test_ids_of_all_assigned_characters(codec, reference):
+    texts = assigned()
+    assert [ids(r) for r in codec[0].encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_ids_of_all_assigned_characters_by_the_json_file():
+    enc, _ = bpe.worker_codec("json", JSON, public_tokenizers.PATTERN)
+    tok, texts = tokenizers.Tokenizer.from_file(JSON), assigned()
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    bad = [t for t, r, w in zip(texts, enc.encode(texts), want) if ids(r) != w]
+    assert bad == []
+
+
+@pytest.mark.parametrize("text", ["a\u0558's 1\u088f2", "a \u0c5cb \ua7ce", "\U00018d09 x\U00018d09", "\u0378", "a\U0003347fb"])
+def test_ids_of_unassigned_characters(codec, reference, text):
+    assert ids(codec[0].encode([text])[0]) == reference.encode_ordinary(text)
+    enc, _ = bpe.worker_codec("json", JSON, public_tokenizers.PATTERN)
+    assert ids(enc.encode([text])[0]) == tokenizers.Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y ", " <|endoftext", "a  <|endoftext|>  b\n"])
+def test_added_tokens_are_matched_first(text):
+    enc, _ = bpe.worker_codec("json", JSON, public_tokenizers.PATTERN)
+    assert ids(enc.encode([text])[0]) == tokenizers.Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_text_for_the_rank_table(codec, reference):
+    assert ids(codec[0].encode(["a <|endoftext|> b"])[0]) == reference.encode_ordinary("a <|endoftext|> b")
+
+
 def test_memory_of_parts_is_bounded(codec):
-    enc = bpe.PartEncoder(bpe.tokenizer_from_json(JSON), public_tokenizers.PATTERN, parts=5, pieces=5)
+    enc = bpe.PartEncoder(bpe.tokenizer_from_json(JSON), public_tokenizers.PATTERN, whole=None, parts=5, pieces=5)
     texts = [" ".join(random.Random(k).choices(["ab", "cd,", "x y", "zz\n", "q"], k=20)) for k in range(30)]
     assert enc.encode(texts) == codec[0].encode(texts)
     assert len(enc.parts) <= 5 and len(enc.pieces) <= 5
