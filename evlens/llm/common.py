@@ -37,12 +37,14 @@ def workers_find_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local tests) a scratch folder is made.
+    On a cluster a missing setting is an error; a local session gets a scratch folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -2,7 +2,8 @@
 
 Fixed kinds are matched leftmost and non-overlapping over the whole text; matches whose
 length fails are dropped afterwards, as they use up their characters. Positions come from
-splitting the text at the matches: the pieces between them and the matches add up.
+splitting the text at the matches: the lengths of the pieces between them and of the
+matches are summed along the text, in one ordered pass over its matches.
 
 The battery looks at every long run of key characters outside the fixed kinds. Its
 encoding is inferred from its characters (hexadecimal, base 32, base 64), and as a random
@@ -24,7 +25,7 @@ counted as often as they occur. An empty table gives an empty result.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlens.llm.common import stored
@@ -38,6 +39,7 @@ KINDS = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}={0,2}"     # long runs of key characters
 FDR = 0.05
+BLOCK = 512                                   # code points that a text is cut into to be put together anew
 GRID = 128                                    # steps of the p-value grid, evenly spaced in -log p
 GRID_STEP = 0.25
 LENGTH_CLASSES = (32, 48, 64, 128, 256)       # upper bounds of the length classes; longer ones form a last class
@@ -49,29 +51,14 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, word>> of all leftmost non-overlapping matches, in code points."""
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.transform(words, lambda w, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), w.alias("word")))
-    start = F.struct(F.lit(0).cast("int").alias("at"),
-                     F.array().cast("array<struct<start:int,stop:int,word:string>>").alias("found"))
-    found = F.aggregate(both, start, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.char_length(x["word"])).cast("int").alias("at"),
-        F.concat(acc["found"], F.array(F.struct(
-            (acc["at"] + x["gap"]).cast("int").alias("start"),
-            (acc["at"] + x["gap"] + F.char_length(x["word"])).cast("int").alias("stop"), x["word"].alias("word")))
-        ).alias("found")))
-    return F.when(text.rlike(pattern), found["found"]).otherwise(
-        F.array().cast("array<struct<start:int,stop:int,word:string>>"))
-
-
-def _kind(text: Column, kind: int) -> Column:
-    """Spans of one fixed kind as array<struct<start, kind, stop>>."""
-    _, pattern, head, least = KINDS[kind]
-    long = F.filter(_matches(text, pattern), lambda m: F.char_length(
-        F.regexp_replace(m["word"], head, "") if head else m["word"]) >= least)
-    return F.transform(long, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["stop"].alias("stop")))
+def _matches(text: Column, kind: int, pattern: str) -> Column:
+    """array<struct<kind, at, gap, word>>: leftmost non-overlapping matches in order, and the code points before each."""
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
+                        lambda w, g: F.struct(F.char_length(g).alias("gap"), w.alias("word")))
+    real = F.filter(pieces, lambda x: x["word"].isNotNull())
+    numbered = F.transform(real, lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("at"), x["gap"].alias("gap"), x["word"].alias("word")))
+    return F.when(text.rlike(pattern), numbered).otherwise(F.array().cast("array<struct<kind:int,at:int,gap:int,word:string>>"))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -156,26 +143,58 @@ def non_random(tested: DataFrame, rate: float = FDR) -> DataFrame:
     return counts.select("length_class", F.coalesce(F.array_min(line), F.lit(GRID)).alias("cut"))
 
 
-def scan(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``spans`` array<struct<start, kind, stop>> of all kinds (the battery's kind is len(KINDS)), in order."""
-    text = _text(text_col)
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    base = F.array_sort(F.concat(*[_kind(F.col("text"), k) for k in range(len(KINDS))]))
-    rows = plain.select("doc_id", base.alias("base"), _matches(F.col("text"), CANDIDATE).alias("more"))
-    # Runs that touch a fixed kind are found already.
-    fresh = F.filter("more", lambda m: ~F.exists("base", lambda s: (s["start"] < m["stop"]) & (s["stop"] > m["start"])))
-    found = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", fresh.alias("more")), "secrets")
+def _placed(found: DataFrame) -> DataFrame:
+    """``(row, kind, start, stop, word)`` of the fixed kinds' spans, and of candidates that touch none of them.
+
+    Places are running sums over a text's matches of one kind, and a candidate touches a
+    fixed span if the running maximum of the stops of those that begin before its own stop
+    is past its start: both take one ordered pass over the matches of a text, however many.
+    """
+    size = F.char_length("word")
+    each = found.where(F.size("hits") > 0).select("row", F.inline("hits"))
+    stop = F.sum(F.col("gap") + size).over(Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.lit(True)
+    for kind, (_, _, head, n) in enumerate(KINDS):
+        measured = F.char_length(F.regexp_replace("word", head, "")) if head else size
+        least = least & ((F.col("kind") != kind) | (measured >= n))
+    placed = (each.select("row", "kind", (stop - size).cast("int").alias("start"), stop.cast("int").alias("stop"), "word")
+              .where(least))
+    fixed = F.col("kind") < len(KINDS)
+    before = Window.partitionBy("row").orderBy(F.when(fixed, F.col("start")).otherwise(F.col("stop")), fixed).rowsBetween(
+        Window.unboundedPreceding, 0)
+    touched = F.max(F.when(fixed, F.col("stop"))).over(before)
+    return (placed.withColumn("touched", touched).where(fixed | F.col("touched").isNull() | (F.col("touched") <= F.col("start")))
+            .select("row", "kind", "start", "stop", F.when(~fixed, F.col("word")).alias("word")))
+
+
+def _found(plain: DataFrame, keep: str, rate: float) -> tuple[DataFrame, DataFrame]:
+    """A number and the column ``keep`` of every row of ``plain``, and the spans ``(row, kind, start, stop)`` in its ``text``."""
+    patterns = [*(k[1] for k in KINDS), CANDIDATE]
+    rows = stored(plain.select(F.monotonically_increasing_id().alias("row"), keep, F.concat(
+        *[_matches(F.col("text"), kind, p) for kind, p in enumerate(patterns)]).alias("hits")), "secrets")
+    spans = stored(_placed(rows), "spans")
     bounds = F.array(*[F.lit(b) for b in LENGTH_CLASSES])
-    tested = stored(battery(found.select("row", F.explode("more").alias("m")).select("row", "m.*"))
+    tested = stored(battery(spans.where(F.col("kind") == len(KINDS)))
                     .withColumn("length_class", F.size(F.filter(bounds, lambda b: b < F.col("n"))))
-                    .select("row", "start", "stop", "n", "encoding", "p", "length_class"), "tested")
+                    .select("row", "kind", "start", "stop", "p", "length_class"), "tested")
     cell = F.least(F.floor(-F.log(F.greatest(F.col("p"), F.lit(1e-300))) / GRID_STEP), F.lit(GRID - 1)).cast("int")
     # One row per length class: a proven bound for the broadcast.
-    random = (tested.join(F.broadcast(non_random(tested, rate)), "length_class").where(cell < F.col("cut"))
-              .groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "stop")).alias("added")))
+    random = tested.join(F.broadcast(non_random(tested, rate)), "length_class").where(cell < F.col("cut"))
+    columns = ["row", "kind", "start", "stop"]
+    return rows.drop("hits"), spans.where(F.col("kind") < len(KINDS)).select(columns).unionByName(random.select(columns))
+
+
+def scan(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``base``, array<struct<start, kind, stop>> of the fixed kinds, and ``spans`` of all kinds, in order.
+
+    The battery's kind is len(KINDS).
+    """
+    rows, spans = _found(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text(text_col).alias("text")), "doc_id", rate)
+    by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    return found.join(random, "row", "left").select(
-        "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    return (rows.select("row", "doc_id").join(by_row, "row", "left")
+            .select("doc_id", F.coalesce("spans", none).alias("spans"))
+            .select("doc_id", F.filter("spans", lambda s: s["kind"] < len(KINDS)).alias("base"), "spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -197,24 +216,35 @@ def redact(docs: DataFrame, rate: float = FDR, mark: str = "[SECRET]", text_col:
     """``docs`` with every span of every kind replaced by ``mark``, and ``n_chars`` to match.
 
     Texts without any match of any pattern go through untouched; only the others are joined
-    with their spans, by id and a hash of the text.
+    with their new texts, by a hash of the text and the text itself. A text is put together
+    from the pieces between its spans, taken from blocks of ``BLOCK`` code points, so the
+    work grows with the text, not with text times spans.
     """
     text = F.col(f"`{text_col}`")
     any_kind = "|".join(f"({p})" for p in [*[k[1] for k in KINDS], CANDIDATE])
     touched = F.coalesce(text.rlike(any_kind), F.lit(False))
     hits = docs.where(touched)
-    key = F.xxhash64(text)
-    named = hits.select(key.alias("key"), text.alias("text")).dropDuplicates(["key", "text"])
-    spans = (scan(named.select(F.col("key").alias("doc_id"), "text"), rate)
-             .select(F.col("doc_id").alias("span_key"), "spans").where(F.size("spans") > 0))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("spans", start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-        s["stop"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))))
-    new = F.when(F.col("spans").isNotNull(), F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.char_length(text))))
-    joined = hits.withColumn("own_key", key).join(spans, F.col("own_key") == F.col("span_key"), "left")
+    rows, spans = _found(hits.select(text.alias("text")).distinct(), "text", rate)
+    earlier = F.max("stop").over(Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    begun = (spans.withColumn("since", F.coalesce(earlier, F.lit(0))).groupBy("row").agg(
+        # Overlapping spans are replaced together: only the first of them begins a mark.
+        F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("since"), F.struct("start", "since")))).alias("cuts"),
+        F.max("stop").alias("last")))
+
+    def piece(a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        near = F.array_join(F.slice("blocks", first + 1, F.greatest(F.ceil(b / BLOCK).cast("int") - first, F.lit(0))), "")
+        return F.substring(near, a - first * BLOCK + 1, b - a)
+
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    new = (rows.join(begun, "row").select("text", "cuts", "last", blocks.alias("blocks"), F.char_length("text").alias("size"))
+           .select(F.xxhash64("text").alias("new_key"), F.col("text").alias("old_text"), F.concat(
+               F.array_join(F.transform("cuts", lambda c: F.concat(piece(c["since"], c["start"]), F.lit(mark))), ""),
+               piece(F.col("last"), F.col("size"))).alias("new_text")))
+    joined = hits.join(new, (F.xxhash64(text) == F.col("new_key")) & (text == F.col("old_text")), "left")
+    changed = F.col("new_text").isNotNull()
     done = joined.select(*[
-        (F.coalesce(new, text) if c == text_col else
-         F.when(F.col("spans").isNotNull(), F.char_length(new).cast("long")).otherwise(F.col("n_chars")) if c == "n_chars"
+        (F.coalesce(F.col("new_text"), text) if c == text_col else
+         F.when(changed, F.char_length("new_text").cast("long")).otherwise(F.col("n_chars")) if c == "n_chars"
          else F.col(f"`{c}`")).alias(c) for c in docs.columns])
     return done.unionByName(docs.where(~touched))

@@ -56,14 +56,15 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> in
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of every row as a signed long."""
+    """``(doc_id, text_hash, fp)``: the fingerprint of every row as a signed long, and a hash of its whole text."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in texts_of(b, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    rows = id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return arrow_map(rows, run, "doc_id long, text_hash long, fp long")
 
 
 def _keys(fp: str) -> str:
@@ -211,12 +212,18 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, chunk: int = CHUNK,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per input row."""
+    return grouped(docs, shingle, radius, chunk, id_col, text_col).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, chunk: int = CHUNK,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)``, one row per input row; ``root`` names components without an id too."""
     rows = stored(fingerprints(docs, shingle, SEED, id_col, text_col), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     stars = components(links(classes.select("fp"), radius, chunk))
     rooted = (classes.join(stars, classes["fp"] == stars["node"], "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")

@@ -104,7 +104,9 @@ def test_registered_queries_give_their_contract_columns(spark):
         "op5_": "doc_id template containment", "op6_": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op7_": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op8_": "doc_id piece start length ids_crc32 sequence_id offset", "op9_": "doc_id held_out lang_pred score",
-        "op10_": "doc_id n_words n_removed kept_sha256"}
+        "op10_": "doc_id n_words n_removed kept_sha256",
+        "op11_": "doc_id held_out n_tokens n_known train_tokens base_score score", "op12_": "item_id rank doc_id score",
+        "op13_": "vec_id component n deviation whitened explained identity_error"}
     n_docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in queries.queries().items():
         key = next(k for k in want if name.startswith(k))
@@ -112,3 +114,32 @@ def test_registered_queries_give_their_contract_columns(spark):
         assert set(want[key].split()) <= set(df.columns)
         if key in ("op1_", "op4_", "op6_", "op7_", "op9_", "op10_"):
             assert df.count() == n_docs
+
+
+def test_which_row_stays_depends_on_the_rows_alone(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    table = [(7, same, "a"), (7, same, "b"), (None, same, "c"), (9, same + " end", "d"), (7, "entirely different words in here", "e"),
+             (None, "no id and its very own text here", "f"), (None, "no id and its very own text here", "f")]
+    frames = [spark.createDataFrame(t, "doc_id long, text string, lang string") for t in (table, table[::-1], table[3:] + table[:3])]
+    got = [sorted(map(tuple, corpus_pipeline.simhash_near_dedup(spark, f.repartition(3), SF).collect()), key=repr) for f in frames]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3
+    assert sorted((r[0], r[1] == same) for r in got[0] if r[0] is not None) == [(7, False), (7, True)] and got[0][-1][0] is None
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from evlens.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 
+import pytest
 import regex
 
 from evlens.llm import license_scan, secret_scan
@@ -58,6 +60,41 @@ def test_redaction(spark):
     assert got == [(1, "a [SECRET] b [SECRET] c", 23), (2, None, None), (3, "clean", 5), (4, "[SECRET]", 8), (4, "[SECRET]", 8)]
 
 
+def marked(text, spans):
+    """The text with overlapping spans replaced together."""
+    out, at = [], 0
+    for start, _, stop in spans:
+        if start >= at:
+            out.append(text[at:start] + "[SECRET]")
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("text", [
+    " ".join(f"token=abcdef{i}" for i in range(100_000)),
+    "é".join(f"token=0123456789abcdef01234567{i:06}" for i in range(20_000)),
+    "x" * 600 + "password: hunter2" + "😀" * 1500 + "secret=abcdefgh" + "y " * 900])
+def test_many_secrets_in_one_text(spark, text):
+    began = time.time()
+    docs = spark.createDataFrame([(1, text, 5), (2, "clean", 5)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in secret_scan.summary(docs).collect()}
+    want = brute_spans(text)
+    line = ",".join(f"{secret_scan.KINDS[k][0]}:{a}:{b}" for a, k, b in want)
+    assert got[1]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and got[1]["n_assign"] == sum(k == 0 for _, k, _ in want)
+    assert got[2]["n_assign"] == 0
+    spans = [(int(a), 0, int(b)) for _, a, b in (x.split(":") for x in got[1]["spans"].split(","))]
+    new = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
+    assert new[1]["text"] == marked(text, spans) and new[1]["n_chars"] == len(new[1]["text"]) and new[2]["text"] == "clean"
+    assert time.time() - began < 60
+
+
+def test_texts_that_share_a_hash_keep_their_own_spans(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a secret=abcdefg b"), (2, "longer text with password: hunter2x")], "doc_id long, text string")
+    monkeypatch.setattr(secret_scan.F, "xxhash64", lambda *c: secret_scan.F.lit(7).cast("long"))
+    got = sorted((r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect())
+    assert got == [(1, "a [SECRET] b"), (2, "longer text with [SECRET]")]
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secret_scan.summary(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
