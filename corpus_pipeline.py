@@ -2,12 +2,12 @@
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; what it returns is written
 as Parquet and read again as the next stage's docs. All but the last return the columns
-of documents. ``doc_id`` names a document: rows that repeat an id are rows of one
-document. Rows without an id take part everywhere but are not merged with others.
+of documents. Of near-duplicate rows one stays, whatever ids they have or lack, and which
+one it is depends on the rows alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evlens.llm import packing, quality, secret_scan, simhash, substring
@@ -20,11 +20,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate component."""
-    near = simhash.near_duplicates(docs)
-    stay = near.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each near-duplicate component: of the smallest id (null last), then the smallest hash of its text."""
+    near = simhash.grouped(docs)
+    stay = (near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
+            .select(F.col("least.doc_id").alias("stay_id"), F.col("least.text_hash").alias("stay_hash")))
+    named = docs.withColumn("own_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = named.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
+    # Rows alike in id and text: the smallest by a hash of all columns.
+    alike = Window.partitionBy("doc_id", "own_hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn("own_place", F.row_number().over(alike)).where("own_place = 1").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
