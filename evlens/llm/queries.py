@@ -98,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from evlens.llm import oracle
 
-    return {"op12_ranked_search": oracle.OP12}
+    return {"op2_chat_format": oracle.OP2, "op10_substring_dedup": oracle.OP10, "op12_ranked_search": oracle.OP12}
