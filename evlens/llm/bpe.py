@@ -156,13 +156,13 @@ class PartEncoder:
         self.parts = _Remembered(self._part, parts)
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of one match of the pattern, by the library's BPE model."""
+        """Ids of one match of the pattern, by the library's BPE model. What is raised here is never remembered."""
+        if not piece.isascii() and self.unassigned(piece):
+            raise _Unassigned
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
         return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def _whole(self, text: str) -> bytes:
-        if self.unassigned(text):
-            raise _Unassigned
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def _part(self, part: str) -> bytes:
