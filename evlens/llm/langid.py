@@ -1,9 +1,10 @@
 """Language identification by compression with per-language dictionaries.
 
 Each learned language has a zstandard raw-content dictionary, cut from a bounded sample
-of whole training texts. A text is compressed, in blocks that together cover all of it,
-with every dictionary; the language whose dictionary gives the fewest bytes wins. The
-margin to the second smallest is the score, and narrow margins are flagged ``rejected``.
+of slices of its training texts. A text is compressed, in blocks that together cover all
+of it, with every dictionary; the language whose dictionary gives the fewest bytes wins.
+The margin to the second smallest is the score, and narrow margins are flagged
+``rejected``.
 
 Results: one row per input row. Null texts and texts without a letter get ``und`` with
 score 0 and are rejected, and so does every text when nothing could be learned. Ties go
@@ -16,18 +17,19 @@ import re
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evlens.llm.common import arrow_map, id_text
+from evlens.llm.common import arrow_map, stored
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 200             # training texts looked at per language
+SLICE = 1 << 10               # most characters of one of them
 DICTIONARY_BYTES = 96 << 10   # most bytes of a dictionary
-MAX_LANGUAGES = 500           # more learned values raise: dictionaries travel with the tasks
+ALL_BYTES = 48 << 20          # and of all dictionaries, which travel with the tasks: many languages share it evenly
+LEAST_BYTES = 8               # zstandard takes no smaller dictionary: shorter content is repeated
 BLOCK = 8 << 10               # characters compressed at a time
-SHORT = 2 << 10               # texts up to here have few matches: a more thorough level looks for them
-LEVEL, SHORT_LEVEL, MIN_MATCH = 6, 13, 3
+LEVEL, MIN_MATCH = 13, 3
 MARGIN = 0.02                 # narrower relative margins are rejected
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -45,34 +47,38 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """language -> raw dictionary content, from at most ``sample`` whole texts of each language.
+    """language -> raw dictionary content, from at most ``sample`` texts of each language.
 
-    Texts are taken in the order of a hash of the id. The pick keeps ids only, pre-aggregated
-    per task; then the chosen texts are read, shortest last so that the dictionary ends
-    (where matches are cheapest) in many different texts.
+    One scan for all languages. Texts are dealt into ``sample`` groups by a hash of id and
+    text; each language keeps the smallest hash of each group, so repeated rows take one
+    place only, and any language with a text that is not empty is learned. Of a long text
+    a slice is taken, from a place the hash gives.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                        F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    fit = rows.where(~held_out()).where("lang is not null and doc_id is not null and length(text) > 0")
-    languages = [r[0] for r in fit.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages to learn")
-    content = {}
-    for lang in sorted(languages):
-        # A limit over an order keeps ``sample`` rows per task and in the end: bounded.
-        chosen = fit.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-        picked = chosen.orderBy("h").limit(sample)
-        # Not broadcast by hint alone: ``sample`` rows is the proven bound.
-        texts = [r["text"] for r in fit.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id")
-                 .where(F.length("text") <= size).orderBy("h", "text").select("text").limit(sample).collect()]
-        raw, used = [], 0
-        for t in sorted(texts, key=lambda t: (-len(t), t)):
-            b = letters_only(t).encode()
-            if used + len(b) <= size:
-                raw.append(b)
-                used += len(b)
-        content[lang] = b"\n".join(raw)
-    return {k: v for k, v in content.items() if len(v) >= 8}
+    fit = rows.where(~held_out()).where("lang is not null and text != ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    spare = F.greatest(F.length("text") - SLICE, F.lit(0))
+    slices = fit.select("lang", "h", F.pmod("h", F.lit(sample)).alias("deal"),
+                        F.substr("text", F.pmod("h", spare + 1).cast("int") + 1, F.lit(SLICE)).alias("part"))
+    # One row of each group is kept per task before anything is shuffled.
+    first = Window.partitionBy("lang", "deal").orderBy("h")
+    picked = stored(slices.withColumn("n", F.row_number().over(first)).where("n = 1").select("lang", "h", "part"), "languages")
+    languages = picked.select("lang").distinct().count()
+    if not languages:
+        return {}
+    share = max(LEAST_BYTES, min(size, ALL_BYTES // languages))
+    # A slice that begins beyond the share is not needed: what is collected stays near ALL_BYTES.
+    order = Window.partitionBy("lang").orderBy("h")
+    before = F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts: dict[str, list[str]] = {}
+    for r in picked.withColumn("before", before).where(F.col("before") < share).orderBy("lang", "h").collect():
+        parts.setdefault(r["lang"], []).append(r["part"])
+    return {lang: _content(p, share) for lang, p in parts.items()}
+
+
+def _content(parts: list[str], size: int) -> bytes:
+    raw = b"\n".join(letters_only(p).encode() for p in parts)[:size]
+    return raw * -(-LEAST_BYTES // len(raw))
 
 
 class Compressors:
@@ -80,11 +86,11 @@ class Compressors:
 
     def __init__(self, content: dict[str, bytes]):
         self.names = sorted(content)
-        self.long, self.short = ([self._compressor(content[n], level) for n in self.names] for level in (LEVEL, SHORT_LEVEL))
+        self.each = [self._compressor(content[n]) for n in self.names]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-        params = zstandard.ZstdCompressionParameters.from_level(level, min_match=MIN_MATCH, write_content_size=0,
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=0,
                                                                 write_dict_id=0, write_checksum=0)
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(compression_params=params)
@@ -94,8 +100,7 @@ class Compressors:
         """Compressed bytes of the whole text under each dictionary."""
         text = letters_only(text)
         blocks = [text[i:i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
-        use = self.short if len(text) <= SHORT else self.long
-        return np.array([sum(len(c.compress(b)) for b in blocks) for c in use])
+        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.each])
 
 
 def predict(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN,

@@ -1,11 +1,14 @@
 """Quality rules and language identification."""
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -113,3 +116,48 @@ def test_held_out_rule(spark):
     rows = spark.createDataFrame([(k,) for k in [*range(200), None]], "doc_id long").select("doc_id", langid.held_out().alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert pytest.approx(0.25, abs=0.1) == sum(r["h"] for r in rows) / len(rows)
+
+
+def test_predictions_against_plain_compression(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(150).collect()]
+    rows += [(900_001, "größe " * 20_000, "xx"), (900_002, "z", "yy"), (900_006, "z z", "yy"), (900_010, "zz", "yy"), (900_001, "größe " * 20_000, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {}
+    for doc, text, lang in set(rows):
+        if lang is not None and text and zlib.crc32(str(doc).encode()) % 4 != 2:
+            h = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(struct.pack("<q", doc), 42))
+            h -= (h >> 63) << 64
+            at = h % (max(len(text) - langid.SLICE, 0) + 1)
+            deal = texts.setdefault(lang, {})
+            deal[h % langid.SAMPLE_DOCS] = min(deal.get(h % langid.SAMPLE_DOCS, (h, text[at:at + langid.SLICE])), (h, text[at:at + langid.SLICE]))
+    plain = {}
+    for lang, deal in texts.items():
+        raw = b"\n".join(langid.letters_only(part).encode() for _, part in sorted(deal.values()))[:langid.DICTIONARY_BYTES]
+        while len(raw) < 8:
+            raw += raw
+        plain[lang] = raw
+    learned = langid.learn(docs)
+    assert {k: v for k, v in learned.items() if k != "yy"} == {k: v for k, v in plain.items() if k != "yy"}
+    assert set(learned) == set(plain) and {"xx", "yy"} <= set(learned)
+
+    def size(lang, text):
+        whole = langid.letters_only(text)
+        params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=3, write_content_size=0, write_dict_id=0, write_checksum=0)
+        words = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress(whole[i:i + langid.BLOCK].encode()))
+                   for i in range(0, len(whole), langid.BLOCK))
+
+    got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(docs, learned).collect()}
+    want = set()
+    for doc, text, _ in rows[::5] + rows[-5:]:
+        if text and any(c.isalpha() for c in text):
+            sizes = sorted((size(lang, text), lang) for lang in learned)
+            want.add((doc, sizes[0][1], 1 - sizes[0][0] / sizes[1][0]))
+    assert len(want) > 20 and want <= got
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(k, "the house and the road " * (9000 if k % 2 else 2), "en" if k % 2 else "eng") for k in range(24)]
+    rows += [(100 + k, "das haus und die strasse " * 9000, "de") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.learn(docs)) == {"en", "eng", "de"}
