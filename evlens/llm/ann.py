@@ -8,14 +8,17 @@ leaf, it goes on splitting by random planes through its centre, as deep as its c
 for. The model stays bounded while the number of leaves grows with the table. Every class
 is indexed in every tree.
 
-A query walks all trees with one priority queue: the most promising open branch of any
-tree comes next (its margin is the worst margin on the way), until the fraction ``SHARE``
-of all leaves of the forest is read, and at least ``LEAVES`` of them. As the leaves grow
-with the table, so does what a query reads: recall does not fall with size, while the
-comparisons grow with queries x rows. Leaves are counted by the splits, the empty ones
-included, so the driver needs no list of them. Queries meet the rows of their leaves in cells of bounded size (leaf x chunk of
-rows x chunk of queries), where exact cosines in double precision rank the candidates and
-only the best go on.
+A query walks all trees with one priority queue: the open branch most likely to hold a
+near neighbour, of any tree, comes next. How likely follows from the margins: over the
+planes of the forest, the margin of a sample point's k-th neighbour is a share (``slope``)
+of the point's own margin plus noise (``spread``), both fitted on the sample. A tree's
+leaves share out the whole probability; the walk ends when, over all trees, the chance
+that a neighbour lies in none of the leaves read is at most ``MISS``, and at least
+``LEAVES`` are read. So the number of leaves follows from how near neighbours are, and
+grows slower than the table. Queries meet the rows of their leaves in cells of bounded
+size (leaf x chunk of rows x chunk of queries), where exact cosines in double precision
+rank the candidates and only the best go on. Index and probes are ids; vectors are joined
+to them once.
 
 Results: one row per query and rank. Rows whose vector is null, zero, holds null or
 non-finite components, or is not of the most common dimension take no part, nor do rows
@@ -24,6 +27,7 @@ with a null id. A row with the query's id is its own. Repeated rows count once.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,12 +37,13 @@ from pyspark.sql import functions as F
 
 from evlens.llm.common import arrow_map, stored
 
-TREES = 12
+TREES = 16
 SAMPLE = 16_384          # classes the trees are fitted on
+PROBES = 256             # of them, whose neighbours in the sample give slope and spread
 SAMPLE_LEAF = 48         # sample points at which a tree stops
-LEAF_ROWS = 192          # classes of the whole table in a leaf, about
-LEAVES = 400             # leaves one query reads over all trees, at least
-SHARE = 0.08             # and at least this fraction of all leaves
+LEAF_ROWS = 96           # classes of the whole table in a leaf, about
+LEAVES = 64              # leaves one query reads over all trees, at least
+MISS = 0.05              # chance of missing a neighbour at which a query stops
 DEEPER = 30              # most random splits below a sample leaf
 CELL = 2048              # rows, and queries, of one comparison cell, about
 
@@ -115,42 +120,68 @@ def leaves(tree: Tree, unit: np.ndarray) -> np.ndarray:
     return leaf << 32 | code
 
 
-def search(trees: list[Tree], unit: np.ndarray, wanted: int = LEAVES) -> list[tuple[int, int]]:
+@dataclass
+class Nearness:
+    """How the margin of a near neighbour follows from a point's own: slope * margin + noise of this spread."""
+    slope: float
+    spread: float
+
+    def below(self, own, offset=0.0):
+        """Log-probability that a neighbour lies on the negative side of planes with these own margins."""
+        return np.interp((offset - self.slope * own) / self.spread, _GRID, _LOG_NORMAL)
+
+    def above(self, own, offset=0.0):
+        return np.interp((self.slope * own - offset) / self.spread, _GRID, _LOG_NORMAL)
+
+
+_GRID = np.linspace(-8, 8, 8193)
+_LOG_NORMAL = np.log([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
+
+
+def nearness(points: np.ndarray, trees: list[Tree], k: int, probes: int = PROBES) -> Nearness:
+    """Fitted on the k-th neighbours, within the sample, of its first points."""
+    few = points[:probes]
+    near = few @ points.T
+    near[np.arange(len(few)), np.arange(len(few))] = -np.inf
+    k = min(k, len(points) - 1)
+    if k < 1:
+        return Nearness(0.0, 1.0)
+    other = points[np.argpartition(-near, k - 1, axis=1)[:, k - 1]]
+    planes = np.concatenate([np.concatenate([t.normal, t.planes]) for t in trees])
+    own, theirs = few @ planes.T, other @ planes.T
+    slope = float((own * theirs).sum() / max((own * own).sum(), 1e-300))
+    return Nearness(slope, max(float(np.sqrt(np.mean((theirs - slope * own) ** 2))), 1e-6))
+
+
+def search(trees: list[Tree], near: Nearness, unit: np.ndarray, miss: float = MISS, least: int = LEAVES) -> list[tuple[int, int]]:
     """(tree, leaf) of the most promising leaves of all trees for one query, by a shared queue."""
-    margins = [t.normal @ unit for t in trees]
-    below: dict[tuple[int, int], np.ndarray] = {}
-    heap = [(-np.inf, t, 0 if len(tree.normal) else -1, 0) for t, tree in enumerate(trees)]
-    heapq.heapify(heap)
+    own = [t.normal @ unit for t in trees]
+    sides = [(near.below(m), near.above(m)) for m in own]
+    deeper: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    heap = [(0.0, t, 0 if len(tree.normal) else -1, 1) for t, tree in enumerate(trees)]
+    left = [1.0] * len(trees)              # probability of the leaves not read yet, by tree
     found = []
-    while heap and len(found) < wanted:
-        worst, t, node, code = heapq.heappop(heap)        # worst: the margin given up on the way, smallest first
+    while heap and (len(found) < least or math.prod(left) > miss):
+        cost, t, node, code = heapq.heappop(heap)         # cost: minus the log-probability of the branch
         tree = trees[t]
-        while True:
-            if node >= 0:
-                m = margins[t][node]
-                near, far = tree.child[node][int(m > 0)], tree.child[node][int(m <= 0)]
-                heapq.heappush(heap, (max(worst, abs(m)), t, int(far), 0))
-                node = int(near)
-                continue
-            leaf = -1 - node
-            code = code or 1
-            k = code.bit_length() - 1
-            if k >= tree.depth[leaf]:
-                found.append((t, leaf << 32 | code))
-                break
-            if (t, leaf) not in below:
-                below[t, leaf] = tree.planes[:tree.depth[leaf]] @ (unit - tree.centre[leaf])
-            m = below[t, leaf][k]
-            heapq.heappush(heap, (max(worst, abs(m)), t, node, code << 1 | int(m <= 0)))
-            code = code << 1 | int(m > 0)
+        if node >= 0:
+            for side in (0, 1):
+                heapq.heappush(heap, (cost - sides[t][side][node], t, int(tree.child[node, side]), 1))
+            continue
+        leaf, k = -1 - node, code.bit_length() - 1
+        if k >= tree.depth[leaf]:
+            found.append((t, leaf << 32 | code))
+            left[t] = max(left[t] - math.exp(-cost), 0.0)
+            continue
+        if (t, leaf) not in deeper:
+            planes = tree.planes[:tree.depth[leaf]]
+            at = planes @ unit, planes @ tree.centre[leaf]
+            deeper[t, leaf] = near.below(*at), near.above(*at)
+        for side in (0, 1):
+            heapq.heappush(heap, (cost - deeper[t, leaf][side][k], t, node, code << 1 | side))
     return found
 
 
-def leaf_count(trees: list[Tree]) -> int:
-    """Leaves of all trees."""
-    return sum(int((1 << tree.depth).sum()) for tree in trees)
-
-
 def _matrix(column) -> np.ndarray:
     v = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     o = column.offsets.to_numpy()
@@ -159,12 +190,14 @@ def _matrix(column) -> np.ndarray:
 
 def _unit(m: np.ndarray) -> np.ndarray:
     # Components are scaled first, so that very large and very small vectors keep a finite norm.
-    m = m / np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-300)
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows, in double precision."""
+    # By powers of two, which changes no digit, so that no square leaves the range of doubles.
+    q, c = (np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]) for m in (q, c))
     dot, qq, cc = (q * c).sum(axis=1), (q * q).sum(axis=1), (c * c).sum(axis=1)
     return dot / (np.sqrt(qq) * np.sqrt(cc))
 
@@ -180,32 +213,30 @@ def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
 
 def _index(classes: DataFrame, trees: list[Tree]) -> DataFrame:
-    """(class, tree, leaf, v) of every class in every tree."""
+    """(class, tree, leaf) of every class in every tree."""
 
     def run(batches):
         for b in batches:
             unit = _unit(_matrix(b.column("v")))
             for t, tree in enumerate(trees):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("class"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaves(tree, unit)), b.column("v")],
-                    names=["class", "tree", "leaf", "v"])
+                    [b.column("class"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaves(tree, unit))],
+                    names=["class", "tree", "leaf"])
 
-    return arrow_map(classes.select("class", "v"), run, "class long, tree int, leaf long, v array<double>")
+    return arrow_map(classes.select("class", "v"), run, "class long, tree int, leaf long")
 
 
-def _probes(queries: DataFrame, trees: list[Tree], wanted: int) -> DataFrame:
+def _probes(queries: DataFrame, trees: list[Tree], near: Nearness, miss: float, least: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            m = _unit(_matrix(b.column("v")))
-            found = [search(trees, u, wanted) for u in m]
+            found = [search(trees, near, u, miss, least) for u in _unit(_matrix(b.column("v")))]
             row = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
             t = [x for f in found for x in f]
             yield pa.RecordBatch.from_arrays(
                 [b.column("class").take(pa.array(row)), pa.array([x[0] for x in t], pa.int32()),
-                 pa.array([x[1] for x in t], pa.int64()), b.column("v").take(pa.array(row))],
-                names=["class", "tree", "leaf", "v"])
+                 pa.array([x[1] for x in t], pa.int64())], names=["class", "tree", "leaf"])
 
-    return arrow_map(queries.select("class", "v"), run, "class long, tree int, leaf long, v array<double>")
+    return arrow_map(queries.select("class", "v"), run, "class long, tree int, leaf long")
 
 
 def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
@@ -246,17 +277,18 @@ def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
     return arrow_map(ordered, run, "q long, c long, score double")
 
 
-def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample: int = SAMPLE, wanted: int = LEAVES,
-            share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample: int = SAMPLE, least: int = LEAVES,
+            miss: float = MISS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every row for which ``is_query`` (of vec_id) holds."""
     rows = usable(table, id_col, vector_col).distinct()
     member = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(member)).where(F.col("n") <= k + 1)
+    # Numbered once, when written: a name for the class, whatever its ids and vector.
     classes = stored(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-                     .withColumn("class", F.element_at("ids", 1) * 64 + F.pmod(F.xxhash64("v"), F.lit(64))), "classes")
+                     .withColumn("class", F.monotonically_increasing_id()), "classes")
     asking = stored(rows.where(is_query("vec_id")).join(classes.select("v", "class"), "v").select("vec_id", "class"), "asking")
 
-    points = [r["v"] for r in classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").collect()]
+    points = [r["v"] for r in classes.orderBy(F.xxhash64("v"), "ids").limit(sample).select("v").collect()]
     if not points:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id",
                            F.lit(0.0).alias("score")).where("false")
@@ -267,10 +299,13 @@ def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample:
         if r["count"] > LEAF_ROWS:
             forest[r["tree"]].depth[r["leaf"]] = min(DEEPER, int(np.ceil(np.log2(r["count"] / LEAF_ROWS))))
 
-    wanted = max(wanted, int(np.ceil(share * leaf_count(forest))))
+    near = nearness(unit, forest, k)
     index = stored(_index(classes, forest), "index")
     ask = classes.join(asking.select("class").distinct(), "class", "left_semi")
-    probes = stored(_probes(ask.repartition(F.col("class")), forest, wanted), "probes")
+    # A number of partitions is given, as queries are few rows but much work: they are not to be merged into one task.
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = stored(_probes(ask.repartition(tasks, "class"), forest, near, miss, least), "probes")
+    vectors = classes.select("class", "v")
 
     def parts(df, name):
         return df.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
@@ -282,7 +317,7 @@ def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample:
     right = (probes.join(cells, ["tree", "leaf"]).withColumn("b", F.pmod(of, F.col("nb")).cast("int"))
              .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(0)))
     cols = ["tree", "leaf", "a", "b", "side", "class", "v"]
-    scored = _rank_cells(left.select(cols).unionByName(right.select(cols)), k + 1)
+    scored = _rank_cells(left.join(vectors, "class").select(cols).unionByName(right.join(vectors, "class").select(cols)), k + 1)
 
     pairs = scored.groupBy("q", "c").agg(F.max("score").alias("score"))
     named = pairs.join(classes.select(F.col("class").alias("c"), "ids"), "c")

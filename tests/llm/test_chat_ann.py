@@ -126,3 +126,33 @@ def test_fewer_candidates_than_asked(spark):
     assert run(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]) == {0: [2, 1]}
     assert run(spark, [(0, [1.0, 0.0])]) == {}
     assert run(spark, []) == {}
+
+
+def test_very_large_and_small_vectors_and_ids(spark):
+    top = (1 << 63) - 1
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e200, 0.0]), (1 << 60, [-1e-320, 0.0]), (top, [3.0, 2.9]), (top, [0.0, 5e-324]),
+            (50, [2.0, 2.0]), (50, [-1.0, -1.0]), (-(1 << 63), [-1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(table, lambda c: F.col(c) == 0).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3, 4, 5)] == [1, 50, top, 2, top]
+    assert [round(got[0, k][1], 3) for k in (1, 2, 4, 5)] == [1.0, 1.0, 0.707, 0.707]
+
+
+def test_share_read_falls_as_the_table_grows(spark):
+    rng = np.random.default_rng(7)
+    every = ann._unit(rng.normal(size=(20_000, 48)) + 2 * rng.normal(size=(40, 48))[rng.integers(0, 40, 20_000)])
+    share = {}
+    for n in (2_500, 20_000):
+        unit = every[:n]
+        forest = [ann.grow(unit, seed) for seed in range(ann.TREES)]
+        near = ann.nearness(unit, forest, 5)
+        where = [ann.leaves(tree, unit) for tree in forest]
+        hits, share[n] = 0.0, 0.0
+        for q in range(500, 520):
+            seen = np.zeros(n, bool)
+            for t, leaf in ann.search(forest, near, unit[q]):
+                seen |= where[t] == leaf
+            share[n] += seen.mean() / 20
+            hits += seen[np.argsort(-(unit @ unit[q]))[1:6]].mean() / 20
+        assert hits >= 0.9
+    assert share[20_000] < 0.6 * share[2_500]
