@@ -2,11 +2,13 @@
 
 Rules are functions ``DataFrame -> DataFrame`` producing rows of the insight shape
 (``INSIGHT_COLUMNS`` plus ``position``, the row's place in the rule's own ranking);
-``run_insights`` unions them and ranks by severity. Adding a rule means adding one
-more function to the list.
+``run_insights`` unions them and ranks by severity. A caller's own rules are functions
+``Facts -> DataFrame`` of that shape, given as ``rules``; ``insight`` makes the columns.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +42,10 @@ def pct_text(x: Column) -> Column:
     return F.format_string("%.1f%%", F.round(x * 100, 1))
 
 
-def _insight(id_: Column, kind: str, severity: Column, title: Column, detail: Column,
-             metric: dict[str, Column], event: Column | None = None,
-             start_event: Column | None = None, end_event: Column | None = None) -> list[Column]:
+def insight(id_: Column, kind: str, severity: Column, title: Column, detail: Column,
+            metric: dict[str, Column], event: Column | None = None,
+            start_event: Column | None = None, end_event: Column | None = None) -> list[Column]:
+    """The columns of an insight row, without ``position``."""
     null = F.lit(None).cast("string")
     keys, vals = zip(*metric.items())
     return [id_.alias("id"), F.lit(kind).alias("kind"), severity.cast("double").alias("severity"),
@@ -272,7 +275,7 @@ def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
                       F.lit(" users). Previous: "), pct_text(last_r), F.lit(" ("),
                       F.col("last_finishes").cast("string"), F.lit(" of "), F.col("last_starts").cast("string"),
                       F.lit(")."))
-    return gated.select(*_insight(
+    return gated.select(*insight(
         F.lit(f"conv_change_{start_event}_{end_event}"), "conversion", F.least(F.lit(1.0), F.abs(rel) * 2),
         title, detail,
         {"this_rate": this_r, "last_rate": last_r, "rel_change": rel,
@@ -291,7 +294,7 @@ def rule_funnel_drop(steps: DataFrame) -> DataFrame:
     detail = F.concat(F.lit("Only "), F.col("users").cast("string"),
                       F.lit(" of the previous step's users continued to "), F.col("event"),
                       F.lit(". This is the single biggest leak in the funnel."))
-    return worst.select(*_insight(
+    return worst.select(*insight(
         F.concat(F.lit("funnel_drop_"), F.col("event")), "funnel", F.least(F.lit(1.0), d), title, detail,
         {"step": F.col("step_index"), "users": F.col("users"), "drop_off_pct": d}, event=F.col("event")),
         F.lit(1).alias("position"))
@@ -315,7 +318,7 @@ def rule_retention(corr: DataFrame, min_lift: float = RETENTION_MIN_LIFT) -> Dat
                       F.col("did_event_users").cast("string"), F.lit(" users). Without: "), pct_text(wo_r),
                       F.lit(" ("), F.col("no_event_users").cast("string"), F.lit(" users). Lift: +"), lift_pp,
                       F.lit(" percentage points."))
-    return top.where(lift >= min_lift).select(*_insight(
+    return top.where(lift >= min_lift).select(*insight(
         F.concat(F.lit("ret_corr_"), F.col(NAME)), "retention", F.least(F.lit(1.0), lift * 2), title, detail,
         {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME)),
         F.col("_rn").cast("int").alias("position"))
@@ -330,17 +333,50 @@ def rule_volume(vol: DataFrame, period_label: str = "this period", min_rel: floa
                      F.lit(" " + period_label))
     detail = F.concat(F.lit("This period: "), F.col("this_users").cast("string"), F.lit(" users. Previous: "),
                       F.col("last_users").cast("string"), F.lit(" users."))
-    return top.where(F.abs(rel) >= min_rel).select(*_insight(
+    return top.where(F.abs(rel) >= min_rel).select(*insight(
         F.concat(F.lit("vol_"), F.col(NAME)), "volume", F.least(F.lit(1.0), F.abs(rel)), title, detail,
         {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME)),
         F.col("_rn").cast("int").alias("position"))
 
 
+# ------------------------------------------------------------------ a caller's own rules
+@dataclass(frozen=True)
+class Facts:
+    """What the rules of one run read: one reduced table and the two periods.
+
+    ``days`` has the columns of ``user_event_days``. In weekly mode it reaches back
+    further than the periods; ``period`` cuts it to either of them.
+    """
+    days: DataFrame
+    this: tuple[str, str]
+    previous: tuple[str, str]
+
+    def period(self) -> Column:
+        """'this', 'previous', or NULL outside both."""
+        day = F.col("event_date")
+        return F.when(day.between(*self.this), F.lit("this")).when(day.between(*self.previous), F.lit("previous"))
+
+
+Rule = Callable[[Facts], DataFrame]
+
+
+def apply_rules(facts: Facts, rules: Sequence[Rule]) -> list[DataFrame]:
+    """Each rule's rows in the insight shape; a rule that lacks one of its columns is an error, more columns are dropped."""
+    parts = []
+    for rule in rules:
+        rows = rule(facts)
+        lacking = [c for c in (*INSIGHT_COLUMNS, "position") if c not in rows.columns]
+        if lacking:
+            raise ValueError(f"rule {getattr(rule, '__name__', rule)!s} returns no column {', '.join(lacking)}")
+        parts.append(rows.select(*INSIGHT_COLUMNS, F.col("position").cast("int").alias("position")))
+    return parts
+
+
 # ------------------------------------------------------------------ F16 orchestration
 def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFrame | None = None,
                  funnel_start_event: str | None = None, funnel_end_event: str | None = None,
-                 window_days: int = 7) -> DataFrame:
-    """F16: all rules for a date range, ranked by severity (stable in rule order).
+                 window_days: int = 7, rules: Sequence[Rule] = ()) -> DataFrame:
+    """F16: all rules for a date range, then the caller's ``rules``, ranked by severity (stable in rule order).
 
     Volume and conversion compare [start, end] with the equally long period before;
     retention correlation reads [start, end]. All three are written over one partial
@@ -355,7 +391,7 @@ def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFram
         parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event))
     if funnel_steps is not None:
         parts.append(rule_funnel_drop(funnel_steps))
-    return rank_insights(parts)
+    return rank_insights(parts + apply_rules(Facts(days, (ts, te), (ps, pe)), rules))
 
 
 CORRELATION_DAYS = 30     # weekly mode: the correlation reaches this many days before yesterday
@@ -363,7 +399,7 @@ CORRELATION_DAYS = 30     # weekly mode: the correlation reaches this many days
 
 def run_insights_weekly(events: DataFrame, as_of: date, funnel_steps: DataFrame | None = None,
                         funnel_start_event: str | None = None, funnel_end_event: str | None = None,
-                        window_days: int = 7, **gates: float) -> DataFrame:
+                        window_days: int = 7, rules: Sequence[Rule] = (), **gates: float) -> DataFrame:
     """F16 without a date range: the last seven full days before ``as_of`` against the seven before.
 
     ``gates`` may lower the rules' thresholds: ``volume``, ``lift``, ``conversion``.
@@ -380,7 +416,7 @@ def run_insights_weekly(events: DataFrame, as_of: date, funnel_steps: DataFrame
                                      gates.get("conversion", CONVERSION_MIN_REL)))
     if funnel_steps is not None:
         parts.append(rule_funnel_drop(funnel_steps))
-    return rank_insights(parts)
+    return rank_insights(parts + apply_rules(Facts(days, (ts, te), (ps, pe)), rules))
 
 
 def rank_insights(parts: list[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evlens.functions import params as P
@@ -361,6 +361,41 @@ def q_insights_ranked(spark, sf):
     return finish(ranked.select("rank", *_INSIGHT_SCALARS))
 
 
+def lapsed_users(facts):
+    """A caller's rule: the share of the earlier period's users who were not seen again."""
+    users = (facts.days.where(F.col("user_pseudo_id").isNotNull()).withColumn("period", facts.period())
+             .groupBy("user_pseudo_id").agg(F.max(F.col("period") == "previous").alias("before"), F.max(F.col("period") == "this").alias("now")))
+    n = users.where("before").agg(F.count(F.lit(1)).alias("users"), F.count_if(~F.col("now")).alias("gone")).where("users > 0")
+    share = F.col("gone") / F.col("users")
+    return n.select(*I.insight(F.lit("lapsed_users"), "volume", share, F.concat(I.pct_text(share), F.lit(" of users did not return")),
+                               F.concat(F.col("gone").cast("string"), F.lit(" of "), F.col("users").cast("string"), F.lit(" users.")),
+                               {"gone": F.col("gone"), "users": F.col("users")}), F.lit(1).alias("position"))
+
+
+def quiet_events(facts):
+    """A caller's rule with several rows: every event that happened less often than in the period before."""
+    per = facts.days.where(F.col("event_name").isNotNull()).withColumn("period", facts.period())
+    n = per.groupBy("event_name").agg(F.sum(F.when(F.col("period") == "previous", F.col("n")).otherwise(0)).alias("previous"),
+                                      F.sum(F.when(F.col("period") == "this", F.col("n")).otherwise(0)).alias("this")).where("this < previous")
+    fall = (F.col("previous") - F.col("this")) / F.col("previous")
+    # One row per event name: a handful.
+    place = F.row_number().over(Window.orderBy(fall.desc(), "event_name"))
+    return n.select(*I.insight(F.concat(F.lit("quiet_"), F.col("event_name")), "volume", fall,
+                               F.concat(F.lit('Less of "'), F.col("event_name"), F.lit('"')),
+                               F.concat(F.col("this").cast("string"), F.lit(" after "), F.col("previous").cast("string"), F.lit(".")),
+                               {"this": F.col("this"), "previous": F.col("previous")}, event=F.col("event_name")),
+                    place.alias("position"))
+
+
+@register("insights_own_rules")
+def q_insights_own_rules(spark, sf):
+    """2.12: the built-in rules and two of a caller's, ranked together."""
+    ev = events(spark, sf, fx.START, fx.END)
+    ranked = I.run_insights(ev, *fx.HALF_B, funnel_start_event=CONV_PAIR[0], funnel_end_event=CONV_PAIR[1],
+                            rules=[lapsed_users, quiet_events])
+    return finish(ranked.select("rank", *_INSIGHT_SCALARS))
+
+
 # ---------------------------------------------------------------- step 9: investigation
 from datetime import datetime, timezone  # noqa: E402
 

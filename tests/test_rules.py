@@ -1,7 +1,8 @@
 """Insight rules, KPI math, investigator helpers (cases from the reference's unit tests)."""
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from evlens.operators import insights as I
 from evlens.operators import investigate as V
@@ -174,3 +175,28 @@ def test_ranking_keeps_rule_order_on_equal_severity(spark):
     funnel = I.rule_funnel_drop(steps_df(spark, [1000, 0]))       # severity 1.0 as well
     ranked = I.rank_insights([I.rule_volume(vol), funnel]).orderBy("rank").collect()
     assert [r.id for r in ranked] == ["vol_b", "vol_a", "funnel_drop_e2", "vol_c"]
+
+
+def test_own_rules_are_ranked_with_the_built_in_ones(spark):
+    ev = _two_halves(spark)
+
+    def loud(facts):
+        n = facts.days.withColumn("period", facts.period()).groupBy().agg(
+            F.sum(F.when(F.col("period") == "this", F.col("n"))).alias("now"), F.sum(F.when(F.col("period") == "previous", F.col("n"))).alias("before"))
+        return n.select(*I.insight(F.lit("loud"), "volume", F.lit(0.4), F.lit("t"), F.lit("d"), {"now": F.col("now"), "before": F.col("before")}),
+                        F.lit(1).alias("position"), F.lit("x").alias("more"))
+
+    rows = I.run_insights(ev, "20240108", "20240114", rules=[loud, lambda facts: loud(facts).withColumn("severity", F.lit(0.9))]).collect()
+    own = [r for r in rows if r["id"] == "loud"]
+    assert [r["severity"] for r in own] == [0.9, 0.4] and own[0]["metric"] == {"now": 2.0, "before": 3.0}
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    with pytest.raises(ValueError, match="position"):
+        I.run_insights(ev, "20240108", "20240114", rules=[lambda facts: loud(facts).drop("position")])
+    weekly = I.run_insights_weekly(ev, date(2024, 1, 15), rules=[loud]).collect()
+    assert [r["metric"] for r in weekly if r["id"] == "loud"] == [{"now": 2.0, "before": 3.0}]
+
+
+def _two_halves(spark):
+    days = ["20240102", "20240103", "20240107", "20240108", "20240113"]
+    rows = [(d, 1_704_067_200_000_000 + (int(d[-2:]) - 1) * 86_400_000_000, f"u{k % 2}", "view") for k, d in enumerate(days)]
+    return spark.createDataFrame(rows, "event_date string, event_timestamp long, user_pseudo_id string, event_name string")
