@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evlens.functions.periods import periods_from_range, shift, week_windows
 from evlens.operators import events as E
+from evlens.operators.funnel import check_steps, step_reached
 from evlens.schema import MICROS_PER_DAY, MICROS_PER_HOUR, NAME, TS, USER
 from evlens.sources.scan import scan, tag_periods
 
@@ -259,15 +260,13 @@ def explain_context(events: DataFrame, start: str, end: str, kind: str) -> DataF
 
 
 # ------------------------------------------------------------------ F12-F15 rules
-def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
-                    period_label: str = "vs previous period", min_rel: float = CONVERSION_MIN_REL,
-                    min_starts: int = CONVERSION_MIN_STARTS) -> DataFrame:
-    """conversion insight from the one-row ``conversion_change`` result."""
+# What a rule says of a row of its ranked result, wherever that row comes from: (gate, insight columns).
+def _say_conversion(start_event: str, end_event: str, period_label: str = "vs previous period",
+                    min_rel: float = CONVERSION_MIN_REL, min_starts: int = CONVERSION_MIN_STARTS) -> tuple[Column, list[Column]]:
     this_r, last_r = F.coalesce(F.col("this_rate"), F.lit(0.0)), F.coalesce(F.col("last_rate"), F.lit(0.0))
-    rel = (this_r - last_r) / last_r
+    rel = F.try_divide(this_r - last_r, last_r)
     direction = F.when(this_r - last_r < 0, F.lit("dropped")).otherwise(F.lit("increased"))
-    gated = conv.where((last_r != 0) & (F.abs(rel) >= min_rel)
-                       & (F.coalesce(F.col("this_starts"), F.lit(0)) >= min_starts))
+    gate = (last_r != 0) & (F.abs(rel) >= min_rel) & (F.coalesce(F.col("this_starts"), F.lit(0)) >= min_starts)
     title = F.concat_ws(" ", F.lit(f"{start_event} → {end_event} conversion"), direction,
                         pct_text(F.abs(rel)), F.lit(period_label))
     detail = F.concat(F.lit("This period: "), pct_text(this_r), F.lit(" ("),
@@ -275,39 +274,26 @@ def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
                       F.lit(" users). Previous: "), pct_text(last_r), F.lit(" ("),
                       F.col("last_finishes").cast("string"), F.lit(" of "), F.col("last_starts").cast("string"),
                       F.lit(")."))
-    return gated.select(*insight(
+    return gate, insight(
         F.lit(f"conv_change_{start_event}_{end_event}"), "conversion", F.least(F.lit(1.0), F.abs(rel) * 2),
         title, detail,
         {"this_rate": this_r, "last_rate": last_r, "rel_change": rel,
          "this_starts": F.col("this_starts"), "this_finishes": F.col("this_finishes")},
-        start_event=F.lit(start_event), end_event=F.lit(end_event)), F.lit(1).alias("position"))
+        start_event=F.lit(start_event), end_event=F.lit(end_event))
 
 
-def rule_funnel_drop(steps: DataFrame) -> DataFrame:
-    """worst funnel step - the first strict maximum of drop-off - if >= 30 %."""
+def _say_funnel_drop() -> tuple[Column, list[Column]]:
     d = F.col("drop_off_from_prev_pct")
-    rank = Window.orderBy(d.desc(), F.col("step_index").asc())
-    worst = (steps.where((F.col("step_index") > 1) & d.isNotNull())
-             .withColumn("_rn", F.row_number().over(rank))
-             .where((F.col("_rn") == 1) & (d >= FUNNEL_MIN_DROP)))
     title = F.concat(F.lit('Biggest drop-off is at "'), F.col("event"), F.lit('" ('), pct_text(d), F.lit(")"))
     detail = F.concat(F.lit("Only "), F.col("users").cast("string"),
                       F.lit(" of the previous step's users continued to "), F.col("event"),
                       F.lit(". This is the single biggest leak in the funnel."))
-    return worst.select(*insight(
+    return d >= FUNNEL_MIN_DROP, insight(
         F.concat(F.lit("funnel_drop_"), F.col("event")), "funnel", F.least(F.lit(1.0), d), title, detail,
-        {"step": F.col("step_index"), "users": F.col("users"), "drop_off_pct": d}, event=F.col("event")),
-        F.lit(1).alias("position"))
+        {"step": F.col("step_index"), "users": F.col("users"), "drop_off_pct": d}, event=F.col("event"))
 
 
-def _first_rows(ranked: DataFrame, order: list[Column], n: int = RULE_TOP) -> DataFrame:
-    """The first ``n`` rows of an already ranked (small, limited) result."""
-    return ranked.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") <= n)
-
-
-def rule_retention(corr: DataFrame, min_lift: float = RETENTION_MIN_LIFT) -> DataFrame:
-    """of the first three correlation rows, those with lift >= ``min_lift`` (10 pp)."""
-    top = _first_rows(corr, [F.col("lift").desc_nulls_last(), F.col(NAME).asc()])
+def _say_retention(min_lift: float = RETENTION_MIN_LIFT) -> tuple[Column, list[Column]]:
     w_r = F.coalesce(F.col("d7_retention_with_event"), F.lit(0.0))
     wo_r = F.coalesce(F.col("d7_retention_without_event"), F.lit(0.0))
     lift = w_r - wo_r
@@ -318,25 +304,56 @@ def rule_retention(corr: DataFrame, min_lift: float = RETENTION_MIN_LIFT) -> Dat
                       F.col("did_event_users").cast("string"), F.lit(" users). Without: "), pct_text(wo_r),
                       F.lit(" ("), F.col("no_event_users").cast("string"), F.lit(" users). Lift: +"), lift_pp,
                       F.lit(" percentage points."))
-    return top.where(lift >= min_lift).select(*insight(
+    return lift >= min_lift, insight(
         F.concat(F.lit("ret_corr_"), F.col(NAME)), "retention", F.least(F.lit(1.0), lift * 2), title, detail,
-        {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME)),
-        F.col("_rn").cast("int").alias("position"))
+        {"d7_with": w_r, "d7_without": wo_r, "lift": lift}, event=F.col(NAME))
 
 
-def rule_volume(vol: DataFrame, period_label: str = "this period", min_rel: float = VOLUME_MIN_REL) -> DataFrame:
-    """of the first three volume rows, moves of at least ``min_rel`` (25 %)."""
-    top = _first_rows(vol, [F.abs(F.coalesce(F.col("pct_change"), F.lit(0.0))).desc(), F.col(NAME).asc()])
+def _say_volume(period_label: str = "this period", min_rel: float = VOLUME_MIN_REL) -> tuple[Column, list[Column]]:
     rel = F.coalesce(F.col("pct_change"), F.lit(0.0))
     direction = F.when(rel > 0, F.lit("spiked")).otherwise(F.lit("dropped"))
     title = F.concat(F.lit('"'), F.col(NAME), F.lit('" '), direction, F.lit(" "), pct_text(F.abs(rel)),
                      F.lit(" " + period_label))
     detail = F.concat(F.lit("This period: "), F.col("this_users").cast("string"), F.lit(" users. Previous: "),
                       F.col("last_users").cast("string"), F.lit(" users."))
-    return top.where(F.abs(rel) >= min_rel).select(*insight(
+    return F.abs(rel) >= min_rel, insight(
         F.concat(F.lit("vol_"), F.col(NAME)), "volume", F.least(F.lit(1.0), F.abs(rel)), title, detail,
-        {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME)),
-        F.col("_rn").cast("int").alias("position"))
+        {"this": F.col("this_users"), "last": F.col("last_users"), "rel_change": rel}, event=F.col(NAME))
+
+
+def rule_conversion(conv: DataFrame, start_event: str, end_event: str,
+                    period_label: str = "vs previous period", min_rel: float = CONVERSION_MIN_REL,
+                    min_starts: int = CONVERSION_MIN_STARTS) -> DataFrame:
+    """conversion insight from the one-row ``conversion_change`` result."""
+    gate, cols = _say_conversion(start_event, end_event, period_label, min_rel, min_starts)
+    return conv.where(gate).select(*cols, F.lit(1).alias("position"))
+
+
+def rule_funnel_drop(steps: DataFrame) -> DataFrame:
+    """worst funnel step - the first strict maximum of drop-off - if >= 30 %."""
+    d = F.col("drop_off_from_prev_pct")
+    gate, cols = _say_funnel_drop()
+    worst = _first_rows(steps.where((F.col("step_index") > 1) & d.isNotNull()), [d.desc(), F.col("step_index").asc()], 1)
+    return worst.where(gate).select(*cols, F.lit(1).alias("position"))
+
+
+def _first_rows(ranked: DataFrame, order: list[Column], n: int = RULE_TOP) -> DataFrame:
+    """The first ``n`` rows of an already ranked (small, limited) result."""
+    return ranked.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") <= n)
+
+
+def rule_retention(corr: DataFrame, min_lift: float = RETENTION_MIN_LIFT) -> DataFrame:
+    """of the first three correlation rows, those with lift >= ``min_lift`` (10 pp)."""
+    gate, cols = _say_retention(min_lift)
+    top = _first_rows(corr, [F.col("lift").desc_nulls_last(), F.col(NAME).asc()])
+    return top.where(gate).select(*cols, F.col("_rn").cast("int").alias("position"))
+
+
+def rule_volume(vol: DataFrame, period_label: str = "this period", min_rel: float = VOLUME_MIN_REL) -> DataFrame:
+    """of the first three volume rows, moves of at least ``min_rel`` (25 %)."""
+    gate, cols = _say_volume(period_label, min_rel)
+    top = _first_rows(vol, [F.abs(F.coalesce(F.col("pct_change"), F.lit(0.0))).desc(), F.col(NAME).asc()])
+    return top.where(gate).select(*cols, F.col("_rn").cast("int").alias("position"))
 
 
 # ------------------------------------------------------------------ a caller's own rules
@@ -373,25 +390,158 @@ def apply_rules(facts: Facts, rules: Sequence[Rule]) -> list[DataFrame]:
 
 
 # ------------------------------------------------------------------ F16 orchestration
+@dataclass(frozen=True)
+class Windows:
+    """The date ranges of one run: two periods, the correlation's window, and the funnel's."""
+    this: tuple[str, str]
+    previous: tuple[str, str]
+    correlation: tuple[str, str]
+    funnel: tuple[str, str]
+
+    def span(self) -> tuple[str, str]:
+        every = (self.this, self.previous, self.correlation, self.funnel)
+        return min(s for s, _ in every), max(e for _, e in every)
+
+
+def _user_facts(days: DataFrame, spans: Windows, pair: tuple[str, str] | None, steps: Sequence[str],
+                window_days: int) -> DataFrame:
+    """Rows of ``user_event_days`` with the facts of their user, and of their user and event, on each.
+
+    ``one_user`` / ``one_event`` mark one row of each user / (user, event). All windows lie within
+    a user, on the reduced rows, so one shuffle by user serves all of them.
+    """
+    within = lambda span: F.col("event_date").between(*span)
+    period = F.when(within(spans.this), F.lit("this")).when(within(spans.previous), F.lit("last"))
+    d = days.where(F.col(USER).isNotNull()).select(
+        USER, NAME, "event_date", F.col("day").alias("b"), "first_t", "last_t", period.alias("period"),
+        F.when(within(spans.correlation), F.col("first_t")).alias("seen"))
+    user, event = Window.partitionBy(USER), Window.partitionBy(USER, NAME)
+    p, facts = F.col("period"), {}
+    if pair:
+        bucket = Window.partitionBy("period", USER, "b")
+        a, b = F.col(NAME) == pair[0], F.col(NAME) == pair[1]
+        d = d.withColumns({"min_a": F.min(F.when(a, F.col("first_t"))).over(bucket),
+                           "max_a": F.max(F.when(a, F.col("last_t"))).over(bucket),
+                           "min_b": F.min(F.when(b, F.col("first_t"))).over(bucket),
+                           "max_b": F.max(F.when(b, F.col("last_t"))).over(bucket)})
+        d = d.withColumn("converts", _user_converted(d, window_days, False))
+        for name in ("this", "last"):
+            facts[f"{name}_starts"] = F.bool_or((p == name) & F.col("min_a").isNotNull()).over(user)
+            facts[f"{name}_finishes"] = F.bool_or((p == name) & F.col("converts")).over(user)
+    for i, step in enumerate(steps, 1):
+        facts[f"s{i}"] = F.min(F.when((F.col(NAME) == step) & within(spans.funnel), F.col("first_t"))).over(user)
+    facts |= {"first_seen": F.min("seen").over(user), "event_seen": F.min("seen").over(event),
+              "in_this": F.bool_or(p == "this").over(event), "in_last": F.bool_or(p == "last").over(event),
+              "one_event": F.row_number().over(event.orderBy("event_date", "b")) == 1,
+              "one_user": F.row_number().over(user.orderBy(NAME, "event_date", "b")) == 1}
+    d = d.withColumns(facts)
+    back = F.col("seen").isNotNull() & (F.col("b") == F.floor(F.col("first_seen") / MICROS_PER_DAY) + RETURN_DAY)
+    return d.withColumns({"back": F.max(back).over(user),
+                          "day1": F.col("event_seen") - F.col("first_seen") < (DAY1_HOURS + 1) * MICROS_PER_HOUR})
+
+
+def _ranked_facts(days: DataFrame, spans: Windows, pair: tuple[str, str] | None, steps: Sequence[str],
+                  window_days: int) -> DataFrame:
+    """The first rows of every built-in rule's ranked result, told apart by ``rule``; one scan.
+
+    The users' facts are summed per event and over all users in one tagged aggregate; what
+    follows has a row per event name.
+    """
+    rows = _user_facts(days, spans, pair, steps, window_days)
+    about = F.array_compact(F.array(
+        F.when(F.col("one_event") & F.col(NAME).isNotNull(), F.struct(F.lit(False).alias("all"), F.col(NAME).alias("of"))),
+        F.when(F.col("one_user"), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("of")))))
+    counts = [F.count_if("in_this").alias("this_users"), F.count_if("in_last").alias("last_users"),
+              F.count_if("day1").alias("did"), F.count_if(F.col("day1") & F.col("back")).alias("did_back"),
+              F.count_if(F.col("first_seen").isNotNull()).alias("seen_users"),
+              F.count_if(F.col("first_seen").isNotNull() & F.col("back")).alias("seen_back")]
+    if pair:
+        counts += [F.count_if(c).alias(c) for c in ("this_starts", "this_finishes", "last_starts", "last_finishes")]
+    counts += [F.count_if(F.coalesce(step_reached(i, window_days), F.lit(False))).alias(f"step_{i}")
+               for i in range(1, len(steps) + 1)]
+    sums = (rows.withColumn("about", F.explode(about)).withColumns({"all": F.col("about.all"), "of": F.col("about.of")})
+            .groupBy("all", "of").agg(*counts))
+    # The row of all users beside every event: one row per event name here.
+    beside = Window.partitionBy(F.lit(1))
+    total = lambda c: F.max(F.when(F.col("all"), F.col(c))).over(beside)
+    sums = sums.withColumns({"users_all": total("seen_users"), "back_all": total("seen_back")})
+    did, no = F.col("did"), F.col("users_all") - F.col("did")
+    w_r = F.try_divide(F.col("did_back"), did).cast("double")
+    wo_r = F.try_divide(F.col("back_all") - F.col("did_back"), no).cast("double")
+    new = {NAME: F.col("of"), "did_event_users": did, "no_event_users": no, "d7_retention_with_event": w_r,
+           "d7_retention_without_event": wo_r,
+           "pct_change": F.try_divide(F.col("this_users") - F.col("last_users"), F.col("last_users")).cast("double")}
+    if pair:
+        new |= {f"{n}_rate": F.try_divide(F.col(f"{n}_finishes"), F.col(f"{n}_starts")).cast("double") for n in ("this", "last")}
+    sums = sums.withColumns(new)
+
+    def place(rule: str, value: Column, step: int = 0) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), value.cast("double").alias("value"), F.lit(step).alias("step_index"),
+                        F.lit(steps[step - 1] if step else None).cast("string").alias("event"),
+                        (F.col(f"step_{step}") if step else F.lit(None)).cast("long").alias("users"))
+
+    every, single = F.col("all"), ~F.col("all")
+    places = [F.when(single & (F.col("last_users") >= MIN_USERS), place("volume", F.abs(F.coalesce("pct_change", F.lit(0.0))))),
+              F.when(single & (did >= MIN_USERS) & (no >= MIN_USERS), place("retention", w_r - wo_r))]
+    if pair:
+        places.append(F.when(every, place("conversion", F.lit(0.0))))
+    for i in range(2, len(steps) + 1):
+        before = F.col(f"step_{i - 1}")
+        places.append(F.when(every & (before > 0), place("funnel", F.try_divide(before - F.col(f"step_{i}"), before), i)))
+    placed = sums.withColumn("_p", F.explode(F.array_compact(F.array(*places)))).select("*", "_p.*").drop("_p")
+    order = Window.partitionBy("rule").orderBy(F.col("value").desc_nulls_last(), "step_index", NAME)
+    return (placed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= RULE_TOP)
+            .withColumn("drop_off_from_prev_pct", F.col("value")))
+
+
+def _built_in(days: DataFrame, spans: Windows, pair: tuple[str, str] | None, steps: Sequence[str], window_days: int,
+              labels: tuple[str, str], gates: dict[str, float]) -> DataFrame:
+    """The built-in rules' insights with ``_rule``, their place in the order of rules."""
+    says = {"volume": _say_volume(labels[0], gates.get("volume", VOLUME_MIN_REL)),
+            "retention": _say_retention(gates.get("lift", RETENTION_MIN_LIFT))}
+    if pair:
+        says["conversion"] = _say_conversion(*pair, labels[1], gates.get("conversion", CONVERSION_MIN_REL))
+    if steps:
+        gate, cols = _say_funnel_drop()
+        says["funnel"] = gate & (F.col("_rn") == 1), cols
+    rows = [F.when((F.col("rule") == rule) & gate,
+                   F.struct(*cols, F.col("_rn").cast("int").alias("position"), F.lit(i).alias("_rule")))
+            for i, (rule, (gate, cols)) in enumerate(says.items())]
+    ranked = _ranked_facts(days, spans, pair, steps, window_days)
+    return ranked.select(F.coalesce(*rows).alias("i")).where(F.col("i").isNotNull()).select("i.*")
+
+
+def _run(events: DataFrame, spans: Windows, funnel_steps: DataFrame | None, pair: tuple[str, str] | None,
+         steps: Sequence[str], window_days: int, labels: tuple[str, str], rules: Sequence[Rule],
+         gates: dict[str, float]) -> DataFrame:
+    days = user_event_days(events, *spans.span())
+    found = _built_in(days, spans, pair, check_steps(steps) if steps else (), window_days, labels, gates)
+    later = ([rule_funnel_drop(funnel_steps)] if funnel_steps is not None else []) + apply_rules(
+        Facts(days, spans.this, spans.previous), rules)
+    for i, rows in enumerate(later):
+        found = found.unionByName(rows.withColumn("_rule", F.lit(BUILT_IN_RULES + i)))
+    return _by_severity(found)
+
+
+BUILT_IN_RULES = 4
+
+
 def run_insights(events: DataFrame, start: str, end: str, funnel_steps: DataFrame | None = None,
                  funnel_start_event: str | None = None, funnel_end_event: str | None = None,
-                 window_days: int = 7, rules: Sequence[Rule] = ()) -> DataFrame:
+                 window_days: int = 7, rules: Sequence[Rule] = (), steps: Sequence[str] = (),
+                 funnel_range: tuple[str, str] | None = None) -> DataFrame:
     """F16: all rules for a date range, then the caller's ``rules``, ranked by severity (stable in rule order).
 
     Volume and conversion compare [start, end] with the equally long period before;
-    retention correlation reads [start, end]. All three are written over one partial
-    aggregate of the two periods (``user_event_days``).
+    retention correlation reads [start, end]. ``steps`` is the funnel to look into, over
+    ``funnel_range`` ([start, end] if not given). All of them are written over one partial aggregate
+    (``user_event_days``) in one chain, so the plan has a single scan. A funnel that the caller has already
+    computed may be given as ``funnel_steps`` instead; it and the caller's rules add their own plans.
     """
     ts, te, ps, pe = periods_from_range(start, end)
-    days = user_event_days(events, ps, te)
-    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), MIN_USERS, VOLUME_LIMIT)),
-             rule_retention(_correlation(days, start, end, MIN_USERS, CORRELATION_LIMIT))]
-    if funnel_start_event and funnel_end_event:
-        conv = _conversion(days, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days, False)
-        parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event))
-    if funnel_steps is not None:
-        parts.append(rule_funnel_drop(funnel_steps))
-    return rank_insights(parts + apply_rules(Facts(days, (ts, te), (ps, pe)), rules))
+    spans = Windows((ts, te), (ps, pe), (ts, te), funnel_range or (ts, te))
+    return _run(events, spans, funnel_steps, _pair(funnel_start_event, funnel_end_event), steps, window_days,
+                ("this period", "vs previous period"), rules, {})
 
 
 CORRELATION_DAYS = 30     # weekly mode: the correlation reaches this many days before yesterday
@@ -399,24 +549,20 @@ CORRELATION_DAYS = 30     # weekly mode: the correlation reaches this many days
 
 def run_insights_weekly(events: DataFrame, as_of: date, funnel_steps: DataFrame | None = None,
                         funnel_start_event: str | None = None, funnel_end_event: str | None = None,
-                        window_days: int = 7, rules: Sequence[Rule] = (), **gates: float) -> DataFrame:
+                        window_days: int = 7, rules: Sequence[Rule] = (), steps: Sequence[str] = (),
+                        funnel_range: tuple[str, str] | None = None, **gates: float) -> DataFrame:
     """F16 without a date range: the last seven full days before ``as_of`` against the seven before.
 
-    ``gates`` may lower the rules' thresholds: ``volume``, ``lift``, ``conversion``.
+    ``gates`` may lower the rules' thresholds: ``volume``, ``lift``, ``conversion``. The rest as in ``run_insights``.
     """
     ts, te, ps, pe = week_windows(as_of)
-    first = shift(te, -CORRELATION_DAYS)
-    days = user_event_days(events, min(first, ps), te)
-    parts = [rule_volume(_volume(days, (ts, te), (ps, pe), MIN_USERS, VOLUME_LIMIT), "this week",
-                         gates.get("volume", VOLUME_MIN_REL)),
-             rule_retention(_correlation(days, first, te, MIN_USERS, CORRELATION_LIMIT), gates.get("lift", RETENTION_MIN_LIFT))]
-    if funnel_start_event and funnel_end_event:
-        conv = _conversion(days, funnel_start_event, funnel_end_event, (ts, te), (ps, pe), window_days, False)
-        parts.append(rule_conversion(conv, funnel_start_event, funnel_end_event, "vs last week",
-                                     gates.get("conversion", CONVERSION_MIN_REL)))
-    if funnel_steps is not None:
-        parts.append(rule_funnel_drop(funnel_steps))
-    return rank_insights(parts + apply_rules(Facts(days, (ts, te), (ps, pe)), rules))
+    spans = Windows((ts, te), (ps, pe), (shift(te, -CORRELATION_DAYS), te), funnel_range or (ts, te))
+    return _run(events, spans, funnel_steps, _pair(funnel_start_event, funnel_end_event), steps, window_days,
+                ("this week", "vs last week"), rules, gates)
+
+
+def _pair(start_event: str | None, end_event: str | None) -> tuple[str, str] | None:
+    return (start_event, end_event) if start_event and end_event else None
 
 
 def rank_insights(parts: list[DataFrame]) -> DataFrame:
@@ -429,6 +575,10 @@ def rank_insights(parts: list[DataFrame]) -> DataFrame:
     allrows = tagged[0]
     for p in tagged[1:]:
         allrows = allrows.unionByName(p)
+    return _by_severity(allrows)
+
+
+def _by_severity(rows: DataFrame) -> DataFrame:
     order = [F.col("severity").desc(), F.col("_rule").asc(), F.col("position").asc(), F.col("id").asc()]
-    return (allrows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return (rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("rank", *INSIGHT_COLUMNS))

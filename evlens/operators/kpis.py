@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from evlens.functions.cohort import cohort_predicate
 from evlens.functions.literals import literal_frame
-from evlens.functions.periods import previous_period
-from evlens.functions.timecols import utc_day
-from evlens.operators import retention as R
-from evlens.schema import MICROS_PER_HOUR, USER
+from evlens.functions.periods import parse_day, previous_period
+from evlens.functions.timecols import shard_to_date, utc_day
+from evlens.schema import DATE, MICROS_PER_HOUR, NAME, USER
 from evlens.sources.scan import tag_periods
 
 # --- fixed values (must match the reference behaviour) -------------------------
@@ -20,47 +19,58 @@ FLAT_PCT = 0.5          # |% change| within this band is "flat"
 FLAT_PP = 0.05          # |pp change| within this band is "flat"
 GROWTH_MIN_DAYS, GROWTH_WEEK = 14, 7
 FRESH_HOURS, STALE_HOURS = 30, 72
+RETURN_DAY = 7          # a user is retained with an event this many UTC days after the first
 # -----------------------------------------------------------------------------------
 
 
+def _user_rows(events: DataFrame, periods: dict[str, tuple[str, str]], cohort: list[dict] | None, *keys: str) -> DataFrame:
+    """Rows per (period, user, UTC day, ``keys``) of one scan, each with its user's facts in that period.
+
+    ``n``: event rows; ``one_user``: true on one row of each user; ``back``: the user came back on
+    day 7. A cohort is evaluated separately inside each period; only its members' rows are left.
+    Rows without a user count as events, never as users, and are in no cohort. The windows
+    run on the partial aggregate, so a user has at most a row per day and keys.
+    """
+    pred, known = cohort_predicate(cohort), F.col(USER).isNotNull()
+    hit = F.lit(True) if pred is None else F.coalesce(pred & known, F.lit(False))
+    parts = (tag_periods(events, periods).groupBy("period", USER, utc_day().alias("day"), *keys)
+             .agg(F.count(F.lit(1)).alias("n"), F.max(hit).alias("hit")))
+    user = Window.partitionBy("period", USER)
+    return (parts.withColumns({"cohort_day": F.min("day").over(user), "member": F.max("hit").over(user),
+                               "one_user": known & (F.row_number().over(user.orderBy("day", *keys)) == 1)})
+            .withColumn("back", F.max(F.col("day") == F.col("cohort_day") + RETURN_DAY).over(user))
+            .where("member"))
+
+
 def dashboard_kpis(events: DataFrame, start: str, end: str, cohort: list[dict] | None = None,
                    compare: bool = True) -> DataFrame:
     """per period (``current`` and, with ``compare``, ``previous``): active users,
     total events, weighted D7 retention, D7 retained users and cohorted users.
 
-    One scan covers both periods (period label column); the cohort is applied to
-    every KPI through per-user pre-aggregates. Top events and the DAU series are
-    ``events.top_events(limit=5)`` and ``events.daily_activity`` on the same window.
+    One scan covers both periods, the cohort included (``_user_rows``). Top events and the
+    DAU series are ``events.top_events(limit=5)`` and ``events.daily_activity`` on the same window.
     """
-    periods = {"current": (start, end)}
-    if compare:
-        periods["previous"] = previous_period(start, end)
-    tagged = tag_periods(events, periods)
-    # One partial aggregate feeds every KPI (its shuffle is reused): rows per
-    # (period, user, UTC day); NULL users stay in for the total event count.
-    upd = tagged.groupBy("period", USER, utc_day().alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    per_user = upd.groupBy("period", USER).agg(F.sum("n").alias("n"))
-    ret = R.retention_flags(upd.where(F.col(USER).isNotNull()).select("period", USER, "day"),
-                            group_cols=["period"])
-    pred = cohort_predicate(cohort)
-    if pred is not None:
-        # The cohort is evaluated separately inside each period's window.
-        members = tagged.where(pred & F.col(USER).isNotNull()).select("period", USER).distinct()
-        per_user = per_user.join(members, ["period", USER], "left_semi")
-        ret = ret.join(members, ["period", USER], "left_semi")
-    basics = per_user.groupBy("period").agg(F.count(USER).alias("active_users"),
-                                            F.sum("n").cast("long").alias("total_events"))
-    heads = R.headline(R.cohort_table(ret, ["period"]), ["period"])
+    periods = _periods(start, end, compare)
+    sums = _user_rows(events, periods, cohort).groupBy("period").agg(
+        F.count_if("one_user").alias("users"), F.sum("n").alias("n"),
+        F.count_if(F.col("one_user") & F.col("back")).alias("back"))
     frame = literal_frame(events.sparkSession,
                           [("period", "string"), ("period_start", "string"), ("period_end", "string")],
                           [(k, s, e) for k, (s, e) in periods.items()])
-    return (frame.join(basics, "period", "left").join(heads, "period", "left")
-            .select("period", "period_start", "period_end",
-                    F.coalesce("active_users", F.lit(0)).cast("long").alias("active_users"),
-                    F.coalesce("total_events", F.lit(0)).cast("long").alias("total_events"),
-                    F.coalesce("d7_avg", F.lit(0.0)).alias("d7_rate"),
-                    F.coalesce("d7_retained", F.lit(0)).cast("long").alias("d7_retained"),
-                    F.coalesce("total_users", F.lit(0)).cast("long").alias("total_cohorted")))
+    users, back = (F.coalesce(c, F.lit(0)).cast("long") for c in ("users", "back"))
+    return frame.join(sums, "period", "left").select(
+        "period", "period_start", "period_end", users.alias("active_users"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("total_events"), _rate(back, users).alias("d7_rate"),
+        back.alias("d7_retained"), users.alias("total_cohorted"))
+
+
+def _periods(start: str, end: str, compare: bool) -> dict[str, tuple[str, str]]:
+    current = {"current": (start, end)}
+    return current | {"previous": previous_period(start, end)} if compare else current
+
+
+def _rate(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 def pct_delta(cur: Column, prev: Column) -> tuple[Column, Column, Column]:
@@ -153,48 +163,53 @@ def dashboard_overview(events: DataFrame, start: str, end: str, cohort: list[dic
     rows, the daily-active-users series and, with ``compare``, the previous period's
     KPIs with the deltas (``*_pct`` / ``d7_pp`` and directions).
 
-    The KPIs of both periods come from one ``dashboard_kpis`` plan. The two lists are
-    bounded (``top_n`` rows, one point per day of the window) and folded into arrays.
-    The pieces are stacked (each fills its own columns) and merged by one
-    aggregation, so no join is needed.
+    One scan: the rows of ``_user_rows`` per event and shard day are summed per period, per
+    event and per day in one tagged aggregate. Of it only what the result shows is
+    folded into the row: the ``top_n`` events and one point per day of the window.
     """
-    from evlens.operators.events import daily_activity, top_events
-    kpi_cols = ["period_start", "period_end", "active_users", "total_events", "d7_rate", "d7_retained",
-                "total_cohorted"]
-    top_t = "array<struct<rank:int,event_name:string,event_count:bigint,unique_users:bigint>>"
-    line_t = "array<struct<day:date,value:bigint>>"
-    kpis = (dashboard_kpis(events, start, end, cohort, compare=compare)
-            .select("period", *kpi_cols, F.lit(None).cast(top_t).alias("_top"),
-                    F.lit(None).cast(line_t).alias("_line")))
-    rank = Window.orderBy(F.col("event_count").desc(), F.col("event_name").asc())
-    top = (top_events(events, start, end, limit=top_n, cohort=cohort)
-           .withColumn("rank", F.row_number().over(rank))
-           .agg(F.array_sort(F.collect_list(F.struct("rank", "event_name", "event_count", "unique_users")))
-                .alias("_top")))
-    line = (daily_activity(events, start, end, cohort)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("day"), F.col("dau").alias("value")))).alias("_line")))
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in kpis.schema.fields if f.name in ["period"] + kpi_cols]
-    stacked = (kpis
-               .unionByName(top.select(*nulls, F.col("_top").cast(top_t).alias("_top"),
-                                       F.lit(None).cast(line_t).alias("_line")))
-               .unionByName(line.select(*nulls, F.lit(None).cast(top_t).alias("_top"),
-                                        F.col("_line").cast(line_t).alias("_line"))))
-    cur = lambda c: F.max(F.when(F.col("period") == "current", F.col(c))).alias(c)
-    prev = lambda c: F.max(F.when(F.col("period") == "previous", F.col(c))).alias(f"prev_{c}")
-    aggs = [cur(c) for c in kpi_cols] + [F.max("_top").alias("_top"), F.max("_line").alias("_line")]
-    if compare:
-        aggs += [prev(c) for c in ("period_start", "period_end", "active_users", "total_events", "d7_rate")]
-    merged = stacked.agg(*aggs)
-    out = [*kpi_cols,
-           F.transform(F.coalesce(F.col("_top"), F.array()),
-                       lambda t: F.struct(t["event_name"].alias("event_name"), t["event_count"].alias("event_count"),
-                                          t["unique_users"].alias("unique_users"))).alias("top_events"),
-           F.coalesce(F.col("_line"), F.array()).alias("sparkline")]
-    if compare:
-        out += ["prev_period_start", "prev_period_end", "prev_active_users", "prev_total_events", "prev_d7_rate"]
-        for k in ("active_users", "total_events"):
-            pct, direction, _ = pct_delta(F.col(k), F.col(f"prev_{k}"))
-            out += [pct.alias(f"{k}_pct"), direction.alias(f"{k}_direction")]
-        pp, direction = pp_delta(F.col("d7_rate"), F.col("prev_d7_rate"))
-        out += [pp.alias("d7_pp"), direction.alias("d7_direction")]
-    return merged.select(*out)
+    periods = _periods(start, end, compare)
+    rows = _user_rows(events, periods, cohort, DATE, NAME)
+    known, current = F.col(USER).isNotNull(), F.col("period") == "current"
+    once = lambda key, rest: known & (F.row_number().over(
+        Window.partitionBy("period", USER, key).orderBy("day", rest)) == 1)
+    rows = rows.withColumns({"one_on_day": once(DATE, NAME), "one_of_event": once(NAME, DATE)})
+    no = F.lit(False)
+    fact = lambda tag, key, users, back: F.struct(
+        F.lit(tag).alias("tag"), key.cast("string").alias("key"), users.alias("one"), back.alias("back"))
+    total = fact("total", F.lit(None), F.col("one_user"), F.col("one_user") & F.col("back"))
+    day = fact("day", shard_to_date(F.col(DATE)), F.col("one_on_day"), no)
+    event = fact("event", F.col(NAME), F.col("one_of_event"), no)
+    sums = (rows.select("period", "n", F.explode(F.when(current, F.array(total, day, event)).otherwise(F.array(total))).alias("f"))
+            .groupBy("period", "f.tag", "f.key")
+            .agg(F.sum("n").alias("n"), F.count_if("f.one").alias("users"), F.count_if("f.back").alias("back")))
+    place = F.row_number().over(Window.partitionBy("period", "tag").orderBy(F.col("n").desc(), F.col("key").asc_nulls_last()))
+    days = (parse_day(end) - parse_day(start)).days + 1
+    shown = sums.withColumn("place", place).where(F.col("place") <= max(top_n, days))
+
+    at = lambda period, c: F.coalesce(
+        F.max(F.when((F.col("period") == period) & (F.col("tag") == "total"), F.col(c))), F.lit(0)).cast("long")
+    a_top = F.struct("place", F.col("key").alias("event_name"), F.col("n").alias("event_count"), F.col("users").alias("unique_users"))
+    a_day = F.struct(F.col("key").cast("date").alias("day"), F.col("users").alias("value"))
+    wide = shown.agg(*[at(p, c).alias(f"{p}_{c}") for p in periods for c in ("users", "n", "back")],
+                     F.array_sort(F.collect_list(F.when(F.col("tag") == "event", a_top))).alias("tops"),
+                     F.array_sort(F.collect_list(F.when(F.col("tag") == "day", a_day))).alias("sparkline"))
+    col = F.col
+    out = [F.lit(start).alias("period_start"), F.lit(end).alias("period_end"),
+           col("current_users").alias("active_users"), col("current_n").alias("total_events"),
+           _rate(col("current_back"), col("current_users")).alias("d7_rate"), col("current_back").alias("d7_retained"),
+           col("current_users").alias("total_cohorted"),
+           F.transform(F.slice("tops", 1, top_n),
+                       lambda t: F.struct(t["event_name"], t["event_count"], t["unique_users"])).alias("top_events"),
+           col("sparkline")]
+    if not compare:
+        return wide.select(*out)
+    out += [F.lit(periods["previous"][0]).alias("prev_period_start"), F.lit(periods["previous"][1]).alias("prev_period_end"),
+            col("previous_users").alias("prev_active_users"), col("previous_n").alias("prev_total_events"),
+            _rate(col("previous_back"), col("previous_users")).alias("prev_d7_rate")]
+    merged = wide.select(*out)
+    deltas = []
+    for k in ("active_users", "total_events"):
+        pct, direction, _ = pct_delta(col(k), col(f"prev_{k}"))
+        deltas += [pct.alias(f"{k}_pct"), direction.alias(f"{k}_direction")]
+    pp, direction = pp_delta(col("d7_rate"), col("prev_d7_rate"))
+    return merged.select("*", *deltas, pp.alias("d7_pp"), direction.alias("d7_direction"))

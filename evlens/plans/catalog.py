@@ -347,17 +347,16 @@ def q_insight_volume_any(spark, sf):
 def q_insights_weekly(spark, sf):
     """F16 without a date range: the last full week against the week before, all rules with their gates at zero."""
     ev = events(spark, sf, fx.START, fx.END)
-    steps = FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS)
-    ranked = I.run_insights_weekly(ev, fx.AS_OF, steps, *CONV_PAIR, volume=0.0, lift=-1.0, conversion=0.0)
+    ranked = I.run_insights_weekly(ev, fx.AS_OF, None, *CONV_PAIR, fx.WINDOW_DAYS, steps=fx.FUNNEL_STEPS,
+                                   funnel_range=(fx.START, fx.END), volume=0.0, lift=-1.0, conversion=0.0)
     return finish(ranked.select("rank", *_INSIGHT_SCALARS))
 
 
 @register("insights_ranked")
 def q_insights_ranked(spark, sf):
     ev = events(spark, sf, fx.START, fx.END)
-    steps = FN.funnel(ev, fx.FUNNEL_STEPS, fx.START, fx.END, fx.WINDOW_DAYS)
-    ranked = I.run_insights(ev, *fx.HALF_B, funnel_steps=steps,
-                            funnel_start_event=CONV_PAIR[0], funnel_end_event=CONV_PAIR[1])
+    ranked = I.run_insights(ev, *fx.HALF_B, funnel_start_event=CONV_PAIR[0], funnel_end_event=CONV_PAIR[1],
+                            window_days=fx.WINDOW_DAYS, steps=fx.FUNNEL_STEPS, funnel_range=(fx.START, fx.END))
     return finish(ranked.select("rank", *_INSIGHT_SCALARS))
 
 

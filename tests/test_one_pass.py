@@ -7,12 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from evlens.operators import breakdown as B
+from evlens.operators import events as E
 from evlens.operators import funnel as FN
+from evlens.operators import insights as I
 from evlens.operators import investigate as V
+from evlens.operators import kpis as K
+from evlens.operators import retention as R
 from evlens.plans import fixture as fx
 from evlens.sources.canonical import canonical_events
 from evlens.sources.scan import sample_day
-from tests.helpers import D, H, M, ev, frame, us
+from tests.helpers import D, H, M, ev, frame, shard, us
 from tests.test_plans import SF, plan_text
 
 T0 = us("2024-01-10 00:00:00")
@@ -127,3 +131,76 @@ def test_sample_is_the_same_under_any_partitioning(spark):
     assert sample_day(df, "20240110", 10_000).count() == df.count() and sample_day(df, "20240110", 0).count() == 0
     plan = plan_text(sample_day(canonical_events(spark, SF), fx.END, 50))
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("build", [
+    lambda e: K.dashboard_overview(e, *fx.HALF_B),
+    lambda e: K.dashboard_overview(e, *fx.HALF_B, cohort=[{"field": "platform", "field_type": "column", "operator": "equals", "values": ["IOS"]}]),
+    lambda e: K.dashboard_kpis(e, *fx.HALF_B),
+    lambda e: I.run_insights(e, *fx.HALF_B, funnel_start_event="signup", funnel_end_event="purchase", steps=fx.FUNNEL_STEPS),
+    lambda e: I.run_insights_weekly(e, fx.AS_OF, None, "signup", "purchase", steps=fx.FUNNEL_STEPS, volume=0.0)])
+def test_dashboard_and_insights_read_the_window_once(spark, build):
+    assert scans(build(canonical_events(spark, SF, fx.START, fx.END))) == 1
+
+
+def busy_users(seed, n=160):
+    """Users with steps near one another, some without a user or event name, some on a shard day that is not their UTC day."""
+    rng = random.Random(seed)
+    rows = []
+    for u in range(n):
+        t = T0 + rng.randint(-9 * D, 8 * D)
+        for _ in range(rng.randint(1, 9)):
+            name = rng.choice(["x", "x", "y", "z", "w", None] if t < T0 else ["x", "y", "y", "z", None])
+            rows.append(ev(f"u{u}" if u % 23 else None, name, t, platform=rng.choice(["IOS", "WEB"]),
+                           date=shard(t + D) if rng.random() < 0.1 else None))
+            t += rng.choice([1, H, D - 1, D, D + 1, 25 * H, 7 * D])
+    return rows
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_insights_of_one_scan_are_those_of_the_single_operators(spark, seed, monkeypatch):
+    monkeypatch.setattr(I, "MIN_USERS", 2)
+    df = frame(spark, busy_users(seed)).repartition(3)
+    as_of, steps = date(2024, 1, 17), ["x", "y", "z", "absent"]
+    this, last, corr, whole = ("20240110", "20240116"), ("20240103", "20240109"), ("20231217", "20240116"), ("20240101", "20240130")
+    apart = I.rank_insights([
+        I.rule_volume(I.event_volume_change(df, this, last, 2), "this week", 0.0),
+        I.rule_retention(I.retention_correlation(df, *corr, 2), -1.0),
+        I.rule_conversion(I.conversion_change(df, "x", "y", this, last, 3), "x", "y", "vs last week", 0.0),
+        I.rule_funnel_drop(FN.funnel(df, steps, *whole, 3))])
+    got = I.run_insights_weekly(df, as_of, None, "x", "y", 3, steps=steps, funnel_range=whole, volume=0.0, lift=-1.0, conversion=0.0)
+    rows = lambda d: [r.asDict(recursive=True) for r in d.orderBy("rank").collect()]
+    one = rows(got)
+    assert one == rows(apart) and {r["kind"] for r in one} >= {"volume", "retention", "funnel"}
+
+
+def test_insights_of_no_rows(spark):
+    assert I.run_insights(frame(spark, []), "20240110", "20240116", None, "x", "y", steps=["x", "y"]).collect() == []
+    nobody = frame(spark, [ev(None, "x", T0), ev(None, "y", T0 + H)])
+    assert I.run_insights(nobody, "20240110", "20240116", None, "x", "y", steps=["x", "y"]).collect() == []
+
+
+@pytest.mark.parametrize("cohort", [None, [{"field": "platform", "field_type": "column", "operator": "equals", "values": ["IOS"]}]])
+def test_dashboard_of_one_scan_is_that_of_the_single_operators(spark, cohort):
+    df = frame(spark, busy_users(7)).repartition(3)
+    start, end = "20240110", "20240116"
+    got = K.dashboard_overview(df, start, end, cohort, top_n=3).first()
+    for prefix, s, e in (("", start, end), ("prev_", "20240103", "20240109")):
+        head = R.retention_headline(df, s, e, cohort).first()
+        assert (got[f"{prefix}period_start"], got[f"{prefix}period_end"]) == (s, e)
+        assert got[f"{prefix}active_users"] == E.active_users(df, s, e, cohort).first()[0]
+        assert got[f"{prefix}total_events"] == E.total_events(df, s, e, cohort).first()[0]
+        assert got[f"{prefix}d7_rate"] == pytest.approx(head.d7_avg)
+    assert (got.d7_retained, got.total_cohorted) == (R.retention_headline(df, start, end, cohort).first()["d7_retained"], got.active_users)
+    assert [tuple(t) for t in got.top_events] == [tuple(t) for t in E.top_events(df, start, end, 3, cohort).collect()]
+    assert [tuple(t) for t in got.sparkline] == [tuple(t) for t in E.daily_activity(df, start, end, cohort).collect()]
+    kpis = {r.period: r for r in K.dashboard_kpis(df, start, end, cohort).collect()}
+    assert (kpis["current"].total_events, kpis["previous"].d7_rate) == (got.total_events, got.prev_d7_rate)
+
+
+def test_dashboard_of_no_rows(spark):
+    got = K.dashboard_overview(frame(spark, []), "20240110", "20240116").first()
+    assert (got.active_users, got.total_events, got.d7_rate, got.top_events, got.sparkline) == (0, 0, 0.0, [], [])
+    assert (got.active_users_pct, got.active_users_direction, got.prev_active_users) == (0.0, "flat", 0)
+    alone = K.dashboard_overview(frame(spark, []), "20240110", "20240116", compare=False)
+    assert "prev_active_users" not in alone.columns and alone.first().total_cohorted == 0
