@@ -8,12 +8,15 @@ map task.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlens.functions.params import param_int, param_string
+from evlens.functions.periods import shift
 from evlens.functions.timecols import utc_day
 from evlens.schema import MICROS_PER_DAY, MICROS_PER_HOUR, NAME, TS, USER
 from evlens.sources.scan import scan
@@ -282,6 +285,20 @@ def narrative(patterns: DataFrame) -> DataFrame:
     return patterns.select(USER, "label", text.alias("narrative"))
 
 
+def trailing_narratives(events: DataFrame, end: str, lengths: Sequence[int], as_of: date | datetime) -> DataFrame:
+    """F26 and F27 over several trailing windows: for each length in days, every user's label and narrative
+    in the window of that many days up to ``end``. Columns: days, user_pseudo_id, label, narrative.
+
+    A user's label moves with the window (one-and-done today, a power user over ten days).
+    Each window is its own bounded scan and per-user aggregate.
+    """
+    parts = [narrative(classify(user_metrics(events, shift(end, 1 - n), end), as_of)).withColumn("days", F.lit(n))
+             for n in lengths]
+    if not parts:
+        raise ValueError("trailing_narratives needs a window length")
+    return reduce(DataFrame.unionByName, parts).select("days", USER, "label", "narrative")
+
+
 def focus_mix(top_events: DataFrame) -> DataFrame:
     """share of each keyword bucket in a user's top events (``user_top_events``).
 

@@ -396,7 +396,7 @@ def q_insights_own_rules(spark, sf):
 
 
 # ---------------------------------------------------------------- step 9: investigation
-from datetime import datetime, timezone  # noqa: E402
+from datetime import date, datetime, timezone  # noqa: E402
 
 from evlens.operators import investigate as V  # noqa: E402
 from evlens.operators import kpis as K  # noqa: E402
@@ -516,6 +516,16 @@ def q_user_narrative(spark, sf):
     return finish(U.narrative(U.classify(_metrics(spark, sf), fx.AS_OF)))
 
 
+# Three trailing windows in which every label but no_data occurs (users have about two events a day).
+TRAILING_END, TRAILING_DAYS, TRAILING_AS_OF = "20240125", (1, 3, 10), date(2024, 1, 30)
+
+
+@register("user_narrative_trailing")
+def q_user_narrative_trailing(spark, sf):
+    ev = events(spark, sf, fx.START, TRAILING_END)
+    return finish(U.trailing_narratives(ev, TRAILING_END, TRAILING_DAYS, TRAILING_AS_OF))
+
+
 @register("user_focus")
 def q_user_focus(spark, sf):
     return finish(U.focus_mix(U.user_top_events(events(spark, sf, fx.START, fx.END), fx.START, fx.END, k=None)))
@@ -531,6 +541,24 @@ def q_intent_tags(spark, sf):
     return finish(T.tag_intents(conv.where(F.col("role") == "user")).select("conv_id", "turn", "intent"))
 
 
+# Phrases of the test conversations (invented prose of several languages), of different lengths and
+# with common beginnings, so that the longest one, the listed order and the hints all decide rows.
+OWN_PHRASES = {
+    "english": [" the ", " of ", " of the ", " and ", "tion is ", "this"],
+    "german": [" der ", " die ", " und ", " ein", "eine "],
+    "spanish": [" la ", " que ", "ción", " en ", " en la"],
+    "french": [" le ", " les ", " est ", " en l"],
+}
+OWN_HINTS = ["was.", "thou", " en la "]
+
+
+@register("phrase_tags")
+def q_phrase_tags(spark, sf):
+    """F32 with a caller's phrases, over every turn of the conversations."""
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    return finish(T.tag_intents(conv, phrases=OWN_PHRASES, off_topic=OWN_HINTS).select("conv_id", "turn", "role", "intent"))
+
+
 # ---------------------------------------------------------------- step 13: streaming
 @register("daily_activity_watermark")
 def q_daily_activity_watermark(spark, sf):

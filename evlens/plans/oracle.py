@@ -868,7 +868,7 @@ def minutes_sql(ms: str) -> str:
             f"ELSE {qq} + ({qq} % 2) END) / 10.0")
 
 
-def totals_cte() -> str:
+def totals_cte(span: tuple[str, str] = (fx.START, fx.END)) -> str:
     return f"""tot AS (
   SELECT user_pseudo_id, COUNT(*) AS event_count, COUNT(DISTINCT session_id) AS session_count,
     COUNT(DISTINCT uday) AS active_days, MIN(event_timestamp) AS first_seen, MAX(event_timestamp) AS last_seen,
@@ -877,19 +877,19 @@ def totals_cte() -> str:
     MIN(CASE WHEN country <> '' THEN country END) AS country,
     (array_agg(app_version ORDER BY event_timestamp, app_version))[1] AS app_version,
     string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms
-  FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL
+  FROM ev WHERE {between(*span)} AND user_pseudo_id IS NOT NULL
   GROUP BY user_pseudo_id
 )"""
 
 
-def top_cte(k: int | None = 8) -> str:
+def top_cte(k: int | None = 8, span: tuple[str, str] = (fx.START, fx.END)) -> str:
     most = f"WHERE rank <= {k}" if k else ""
     return f"""topev AS (
   SELECT * FROM (
     SELECT user_pseudo_id, event_name AS event, COUNT(*) AS event_count,
       CAST(ROW_NUMBER() OVER (PARTITION BY user_pseudo_id
                               ORDER BY COUNT(*) DESC, MIN(event_timestamp), event_name) AS INTEGER) AS rank
-    FROM ev WHERE {between(fx.START, fx.END)} AND user_pseudo_id IS NOT NULL AND event_name IS NOT NULL
+    FROM ev WHERE {between(*span)} AND user_pseudo_id IS NOT NULL AND event_name IS NOT NULL
     GROUP BY user_pseudo_id, event_name
   ) AS x {most}
 )"""
@@ -904,8 +904,8 @@ def user_top_events() -> str:
     return with_ev("SELECT user_pseudo_id, rank, event, event_count FROM topev", top_cte())
 
 
-def metrics_cte() -> str:
-    return totals_cte() + ",\n" + top_cte() + """,
+def metrics_cte(span: tuple[str, str] = (fx.START, fx.END)) -> str:
+    return totals_cte(span) + ",\n" + top_cte(span=span) + """,
 m AS (
   SELECT t.user_pseudo_id, event_count, session_count, total_engagement_minutes, first_seen, last_seen,
     active_days, CAST(lifespan_days AS INTEGER) AS lifespan_days, country, app_version,
@@ -921,8 +921,8 @@ def user_metrics() -> str:
     return with_ev("SELECT * EXCLUDE (top_event) FROM m", metrics_cte())
 
 
-def pattern_sql() -> str:
-    as_of_us = "epoch_us(TIMESTAMP '2024-01-31 00:00:00')"
+def pattern_sql(as_of: str = "2024-01-31") -> str:
+    as_of_us = f"epoch_us(TIMESTAMP '{as_of} 00:00:00')"
     since = f"(({as_of_us} - last_seen) // {DAY_US})"
     return f"""CASE WHEN COALESCE(event_count, 0) = 0 THEN 'no_data'
   WHEN session_count <= 1 AND event_count < 10 THEN 'one_and_done'
@@ -941,7 +941,7 @@ def user_patterns() -> str:
 FROM (SELECT *, {pattern_sql()} AS label FROM m) AS p""", metrics_cte())
 
 
-def user_narrative() -> str:
+def user_narrative(span: tuple[str, str] = (fx.START, fx.END), as_of: str = "2024-01-31") -> str:
     from evlens.operators.users import NO_DATA_TEXT, PATTERN_TEXT
     texts = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in PATTERN_TEXT.items())
     story = ("printf('**Story**: This user generated %d events across %d session(s) over %d active day(s) "
@@ -949,7 +949,14 @@ def user_narrative() -> str:
              "lifespan_days, COALESCE(top_event, 'no events')) || chr(10) || chr(10)")
     return with_ev(f"""SELECT user_pseudo_id, label,
   CASE WHEN label = 'no_data' THEN {q(NO_DATA_TEXT)} ELSE {story} || CASE label {texts} END END AS narrative
-FROM (SELECT *, {pattern_sql()} AS label FROM m) AS p""", metrics_cte())
+FROM (SELECT *, {pattern_sql(as_of)} AS label FROM m) AS p""", metrics_cte(span))
+
+
+def user_narrative_trailing() -> str:
+    last = 25       # of January 2024
+    return "\nUNION ALL\n".join(
+        f"SELECT {n} AS days, * FROM ({user_narrative((f'202401{last - n + 1:02d}', f'202401{last}'), '2024-01-30')}) AS w{n}"
+        for n in (1, 3, 10))
 
 
 def user_focus() -> str:
@@ -975,24 +982,33 @@ FROM rowsx QUALIFY MAX(pct) OVER (PARTITION BY user_pseudo_id) > 0""", ctes)
 
 
 # ---------------------------------------------------------------- step 12 / 13
-def intent_tags() -> str:
-    from evlens.operators.intents import KEYWORD_PHRASES, OFF_TOPIC_HINTS
-    off = " OR ".join(f"contains(lower(text), {q(h)})" for h in OFF_TOPIC_HINTS)
+def phrases_sql(phrases: dict, hints: list, columns: str, rows: str) -> str:
+    off = " OR ".join(f"contains(lower(text), {q(h)})" for h in hints)
     # Literal form: per intent, the longest matching phrase length; the intent with
     # the largest one wins, earlier intents on ties.
     lens = ",\n  ".join(
         "GREATEST(" + ", ".join(f"CASE WHEN contains(lower(text), {q(p)}) THEN {len(p)} ELSE 0 END" for p in ps)
-        + f") AS l{i}" for i, ps in enumerate(KEYWORD_PHRASES.values()))
-    names = list(KEYWORD_PHRASES)
+        + f") AS l{i}" for i, ps in enumerate(phrases.values()))
+    names = list(phrases)
     n = len(names)
     best = "GREATEST(" + ", ".join(f"l{i}" for i in range(n)) + ")"
     pick = " ".join(f"WHEN l{i} = best THEN {q(names[i])}" for i in range(n))
-    return f"""SELECT conv_id, turn,
+    return f"""SELECT {columns},
   CASE WHEN off THEN 'off_topic' WHEN best = 0 THEN 'unknown' ELSE CASE {pick} END END AS intent
 FROM (SELECT *, {best} AS best FROM (
-  SELECT conv_id, turn, ({off}) AS off,
+  SELECT {columns}, ({off}) AS off,
   {lens}
-  FROM conversations WHERE role = 'user') AS a) AS b"""
+  FROM {rows}) AS a) AS b"""
+
+
+def intent_tags() -> str:
+    from evlens.operators.intents import KEYWORD_PHRASES, OFF_TOPIC_HINTS
+    return phrases_sql(KEYWORD_PHRASES, OFF_TOPIC_HINTS, "conv_id, turn", "conversations WHERE role = 'user'")
+
+
+def phrase_tags() -> str:
+    from evlens.plans.catalog import OWN_HINTS, OWN_PHRASES
+    return phrases_sql(OWN_PHRASES, OWN_HINTS, "conv_id, turn, role", "conversations")
 
 
 def daily_activity_stream() -> str:
@@ -1091,6 +1107,8 @@ ORACLES = {
     "user_narrative": user_narrative,
     "user_focus": user_focus,
     "intent_tags": intent_tags,
+    "phrase_tags": phrase_tags,
+    "user_narrative_trailing": user_narrative_trailing,
     "affected_users": affected_users,
     "dashboard_overview": dashboard_overview,
     "daily_activity_stream": daily_activity_stream,

@@ -77,6 +77,40 @@ def test_writer_round_trip_prunes_partitions(spark):
     assert dict(back.dtypes)["event_date"] == "string"
 
 
+def rows_read(df):
+    """Rows that the one scan of ``df`` hands on, after whole row groups and pages were left out."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        elif node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert len(found) == 1
+    return found[0]
+
+
+def test_written_days_let_a_user_and_a_funnel_skip_row_groups(spark):
+    from evlens.operators.funnel import funnel
+    from evlens.operators.users import user_journey
+    t0, n = 1704844800_000_000, 12_000          # 2024-01-10
+    rows = [ev(f"user-{i * 7919 % 6007:05d}", f"event_{i % 8}", t0 + i * 1_000_000) for i in range(n)]
+    src, out = frame(spark, rows), os.path.join(tempfile.mkdtemp(prefix="evlens-sink-"), "events")
+    write_events(src, out, row_group_bytes=8_192)
+    back = read_events(spark, out)
+    mine = lambda df: user_journey(df, "user-00042", "20240110", "20240110", limit=50)
+    assert [tuple(r) for r in mine(back).collect()] == [tuple(r) for r in mine(src).collect()] != []
+    assert rows_read(mine(back)) < n / 4
+    steps = lambda df: funnel(df, ["event_2", "event_3"], "20240110", "20240110")
+    assert sorted(map(tuple, steps(back).collect())) == sorted(map(tuple, steps(src).collect()))
+    assert rows_read(steps(back)) < n / 2
+
+
 def test_stream_equals_batch(spark):
     from evlens.operators.events import daily_activity
     from evlens.streaming.daily_active import flat_event_stream, run_available_now

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -93,3 +94,41 @@ def test_narrative(spark):
 def test_intents(spark, question, intent):
     df = spark.createDataFrame([(question,)], "text string")
     assert T.tag_intents(df).first().intent == intent
+
+
+def plain_intent(text, phrases, hints):
+    low = (text or "").lower()
+    if any(h in low for h in hints):
+        return "off_topic"
+    found = [(-len(p), i, intent) for i, (intent, ps) in enumerate(phrases.items()) for p in ps if p in low]
+    return min(found)[2] if found else "unknown"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_own_phrases_against_plain_search(spark, seed):
+    """Phrases that begin, hold or overlap one another, with characters that mean something in a pattern."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab.(é😀 ") for _ in range(rng.randint(1, n)))
+    phrases = {f"i{k}": [word(4) for _ in range(4)] for k in range(4)}
+    hints = [word(5) + "b" for _ in range(2)]
+    texts = [None, "", *(word(14).upper() for _ in range(300)), "x" * 200_000 + phrases["i0"][0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.intent for r in T.tag_intents(df, phrases=phrases, off_topic=hints).collect()}
+    assert got == {i: plain_intent(t, phrases, hints) for i, t in enumerate(texts)}
+
+
+def test_a_hint_that_begins_a_phrase_still_counts(spark):
+    df = spark.createDataFrame([("stock levels",), ("stockings",), ("levels",)], "text string")
+    tags = T.tag_intents(df, phrases={"supply": ["stock levels", "levels"]}, off_topic=["stock"])
+    assert [r.intent for r in tags.collect()] == ["off_topic", "off_topic", "supply"]
+    assert [r.intent for r in T.tag_intents(df, phrases={}, off_topic=[]).collect()] == ["unknown"] * 3
+    with pytest.raises(ValueError):
+        T.tag_intents(df, phrases={"all": [""]})
+
+
+def test_narratives_over_trailing_windows(spark):
+    spec = [(f"2024-01-{d:02d} 10:00:00", "play", d, 0) for d in range(1, 11)]
+    got = {r.days: r.label for r in U.trailing_narratives(journey(spark, spec), "20240110", [1, 3, 9, 10], date(2024, 1, 20)).collect()}
+    assert got == {1: "one_and_done", 3: "returning_visitor", 9: "drifted_off", 10: "power_user"}
+    with pytest.raises(ValueError):
+        U.trailing_narratives(journey(spark, spec), "20240110", [], date(2024, 1, 20))
