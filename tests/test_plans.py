@@ -111,6 +111,30 @@ def test_written_days_let_a_user_and_a_funnel_skip_row_groups(spark):
     assert rows_read(steps(back)) < n / 2
 
 
+def test_counts_and_freshness_come_from_footers(spark):
+    from evlens.operators import events as E
+    from evlens.sources import footers
+    src, out = canonical_events(spark, SF), os.path.join(tempfile.mkdtemp(prefix="evlens-sink-"), "events")
+    write_events(src, out)
+    readers = spark.conf.get(footers.OLDER_READERS)
+    facts = footers.day_facts(spark, out, "20240128", "20240131")
+    plan = plan_text(facts)
+    assert "PushedAggregation: [COUNT(*), MAX(event_timestamp)]" in plan and "PushedGroupBy: [event_date]" in plan
+    assert spark.conf.get(footers.OLDER_READERS) == readers
+    assert footers.freshness(facts).collect() == E.freshness(src, fx.AS_OF, 3).collect()
+    assert footers.total_events(facts).collect() == E.total_events(src, "20240128", "20240131").collect()
+    per_day = scan(src, "20240128", "20240131").groupBy("event_date").count().collect()
+    assert {(r.event_date, r.events) for r in facts.collect()} == {(r.event_date, r["count"]) for r in per_day}
+    none = footers.day_facts(spark, out, "20300101", "20300102")
+    assert tuple(footers.freshness(none).first()) == (None, 0) and footers.total_events(none).first()[0] == 0
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+    try:
+        assert sorted(footers.day_facts(spark, out, fx.START, fx.END).collect()) == sorted(
+            src.groupBy("event_date").agg({"*": "count", "event_timestamp": "max"}).collect())
+    finally:
+        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+
+
 def test_stream_equals_batch(spark):
     from evlens.operators.events import daily_activity
     from evlens.streaming.daily_active import flat_event_stream, run_available_now
