@@ -9,16 +9,18 @@ for. The model stays bounded while the number of leaves grows with the table. Ev
 is indexed in every tree.
 
 A query walks all trees with one priority queue: the open branch most likely to hold a
-near neighbour, of any tree, comes next. How likely follows from the margins: over the
-planes of the forest, the margin of a sample point's k-th neighbour is a share (``slope``)
-of the point's own margin plus noise (``spread``), both fitted on the sample. A tree's
-leaves share out the whole probability; the walk ends when, over all trees, the chance
-that a neighbour lies in none of the leaves read is at most ``MISS``, and at least
-``LEAVES`` are read. So the number of leaves follows from how near neighbours are, and
-grows slower than the table. Queries meet the rows of their leaves in cells of bounded
-size (leaf x chunk of rows x chunk of queries), where exact cosines in double precision
-rank the candidates and only the best go on. Index and probes are ids; vectors are joined
-to them once.
+near neighbour, of any tree, comes next. How likely follows from the margins: a neighbour's
+margin is a share (``slope``) of the query's own plus noise (``spread``). Both are the
+query's own, from its nearest sample points, as one table may hold rows with very near
+neighbours and rows without any. A tree's leaves share out the whole probability; the walk
+ends when, over all trees, the modelled chance that a neighbour lies in none of the leaves
+read is below a limit, and at least ``LEAVES`` are read. The limit is measured, not trusted:
+one scan of the whole table gives the true neighbours of ``PROBES`` queries, and the limit
+is the one at which their walks come to ``FOUND`` of them (where none does, the noise is
+doubled, up to where all leaves are read). Queries meet the rows of their leaves in cells
+of bounded size (leaf x chunk of rows x chunk of queries), where exact cosines in double
+precision rank the candidates and only the best go on, ties by id. Index and probes are
+ids; vectors are joined to them once.
 
 Results: one row per query and rank. Rows whose vector is null, zero, holds null or
 non-finite components, or is not of the most common dimension take no part, nor do rows
@@ -28,7 +30,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,13 @@ from evlens.llm.common import arrow_map, stored
 
 TREES = 16
 SAMPLE = 16_384          # classes the trees are fitted on
-PROBES = 256             # of them, whose neighbours in the sample give slope and spread
+PROBES = 256             # queries whose true neighbours are looked for in the whole table
 SAMPLE_LEAF = 48         # sample points at which a tree stops
 LEAF_ROWS = 96           # classes of the whole table in a leaf, about
 LEAVES = 64              # leaves one query reads over all trees, at least
-MISS = 0.05              # chance of missing a neighbour at which a query stops
+MISS = 0.05              # modelled chance of missing a neighbour at which a query stops, where it is not measured
+FOUND = 0.97             # share of the probes' true neighbours that the stop is chosen for
+LOWEST = 1e-12           # least modelled chance of a miss that a stop may be set to
 DEEPER = 30              # most random splits below a sample leaf
 CELL = 2048              # rows, and queries, of one comparison cell, about
 
@@ -121,8 +126,8 @@ def leaves(tree: Tree, unit: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Nearness:
-    """How the margin of a near neighbour follows from a point's own: slope * margin + noise of this spread."""
+class Margins:
+    """How the margin of a near neighbour follows from a query's own: slope * margin + noise of this spread."""
     slope: float
     spread: float
 
@@ -138,30 +143,43 @@ _GRID = np.linspace(-8, 8, 8193)
 _LOG_NORMAL = np.log([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
 
 
-def nearness(points: np.ndarray, trees: list[Tree], k: int, probes: int = PROBES) -> Nearness:
-    """Fitted on the k-th neighbours, within the sample, of its first points."""
-    few = points[:probes]
-    near = few @ points.T
-    near[np.arange(len(few)), np.arange(len(few))] = -np.inf
-    k = min(k, len(points) - 1)
-    if k < 1:
-        return Nearness(0.0, 1.0)
-    other = points[np.argpartition(-near, k - 1, axis=1)[:, k - 1]]
-    planes = np.concatenate([np.concatenate([t.normal, t.planes]) for t in trees])
-    own, theirs = few @ planes.T, other @ planes.T
-    slope = float((own * theirs).sum() / max((own * own).sum(), 1e-300))
-    return Nearness(slope, max(float(np.sqrt(np.mean((theirs - slope * own) ** 2))), 1e-6))
-
-
-def search(trees: list[Tree], near: Nearness, unit: np.ndarray, miss: float = MISS, least: int = LEAVES) -> list[tuple[int, int]]:
-    """(tree, leaf) of the most promising leaves of all trees for one query, by a shared queue."""
-    own = [t.normal @ unit for t in trees]
-    sides = [(near.below(m), near.above(m)) for m in own]
+@dataclass
+class Nearness:
+    """What is expected of a query's neighbours, from its own nearest sample points."""
+    points: np.ndarray       # the sample
+    inner: np.ndarray        # planes of the trees
+    deeper: np.ndarray       # planes below their sample leaves
+    k: int
+    wide: float = 1.0        # factor of the noise
+
+    def of(self, unit: np.ndarray) -> Iterator[tuple[Margins, Margins]]:
+        """Of every query, for the planes of the trees and for those below."""
+        for i in range(0, len(unit), 64):
+            for q, near in zip(unit[i:i + 64], unit[i:i + 64] @ self.points.T):
+                near[near >= 1 - 1e-12] = -2                       # the query itself
+                n = min(self.k, int((near > -2).sum()))
+                if not n:
+                    yield Margins(0.0, 1.0), Margins(0.0, 1.0)
+                    continue
+                some = np.argpartition(-near, n - 1)[:n]
+                slope = max(float(near[some].mean()), 0.0)
+                off = [self.points[some] @ planes.T - slope * (planes @ q) for planes in (self.inner, self.deeper)]
+                spread = [self.wide * float(np.sqrt(np.mean(x * x))) if x.size else 0.0 for x in off]
+                yield tuple(Margins(slope, max(x, 1e-9)) for x in spread)
+
+
+def nearness(points: np.ndarray, trees: list[Tree], k: int, wide: float = 1.0) -> Nearness:
+    return Nearness(points, *(np.concatenate([getattr(t, part) for t in trees]) for part in ("normal", "planes")), k, wide)
+
+
+def walk(trees: list[Tree], near: tuple[Margins, Margins], unit: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(tree, leaf, modelled chance of a miss after it) of the leaves of all trees, most promising first, by a shared queue."""
+    inner, below = near
+    sides = [(inner.below(m), inner.above(m)) for m in (t.normal @ unit for t in trees)]
     deeper: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     heap = [(0.0, t, 0 if len(tree.normal) else -1, 1) for t, tree in enumerate(trees)]
     left = [1.0] * len(trees)              # probability of the leaves not read yet, by tree
-    found = []
-    while heap and (len(found) < least or math.prod(left) > miss):
+    while heap:
         cost, t, node, code = heapq.heappop(heap)         # cost: minus the log-probability of the branch
         tree = trees[t]
         if node >= 0:
@@ -170,18 +188,43 @@ def search(trees: list[Tree], near: Nearness, unit: np.ndarray, miss: float = MI
             continue
         leaf, k = -1 - node, code.bit_length() - 1
         if k >= tree.depth[leaf]:
-            found.append((t, leaf << 32 | code))
             left[t] = max(left[t] - math.exp(-cost), 0.0)
+            yield t, leaf << 32 | code, math.prod(left)
             continue
         if (t, leaf) not in deeper:
             planes = tree.planes[:tree.depth[leaf]]
             at = planes @ unit, planes @ tree.centre[leaf]
-            deeper[t, leaf] = near.below(*at), near.above(*at)
+            deeper[t, leaf] = below.below(*at), below.above(*at)
         for side in (0, 1):
             heapq.heappush(heap, (cost - deeper[t, leaf][side][k], t, node, code << 1 | side))
+
+
+def search(trees: list[Tree], near: Nearness, unit: np.ndarray, miss: float = MISS, least: int = LEAVES) -> list[tuple[int, int]]:
+    """(tree, leaf) of the leaves one query reads."""
+    found = []
+    for t, leaf, left in walk(trees, next(near.of(unit[None])), unit):
+        found.append((t, leaf))
+        if len(found) >= least and left < miss:
+            break
     return found
 
 
+def needed(trees: list[Tree], near: Nearness, unit: np.ndarray, others: np.ndarray, least: int = LEAVES) -> np.ndarray:
+    """For each of a query's true neighbours the chance of a miss at which its walk has come to it (zero: not above ``LOWEST``)."""
+    homes: dict[tuple[int, int], list[int]] = {}
+    for t, tree in enumerate(trees):
+        for i, leaf in enumerate(leaves(tree, others).tolist()):
+            homes.setdefault((t, leaf), []).append(i)
+    at = np.full(len(others), -1.0)
+    for n, (t, leaf, left) in enumerate(walk(trees, next(near.of(unit[None])), unit)):
+        for i in homes.get((t, leaf), ()):
+            if at[i] < 0:
+                at[i] = 1.0 if n < least else left
+        if (at >= 0).all() or (n >= least and left < LOWEST):
+            break
+    return np.maximum(at, 0.0)
+
+
 def _matrix(column) -> np.ndarray:
     v = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     o = column.offsets.to_numpy()
@@ -204,8 +247,10 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, v)`` of the rows that take part."""
+    given = table.select(F.col(f"`{vector_col}`").alias("v"))
+    kind = "array<float>" if given.schema["v"].dataType.simpleString() == "array<float>" else "array<double>"   # half to shuffle
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"),
-                        F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("vec_id is not null")
+                        F.col(f"`{vector_col}`").cast(kind).alias("v")).where("vec_id is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0.0))
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -226,6 +271,58 @@ def _index(classes: DataFrame, trees: list[Tree]) -> DataFrame:
     return arrow_map(classes.select("class", "v"), run, "class long, tree int, leaf long")
 
 
+def _true_neighbours(classes: DataFrame, few: list, k: int) -> dict[int, np.ndarray]:
+    """The k nearest other classes of a few classes (rows of class and v), by one scan of the whole table: their unit vectors."""
+    of, asked = np.array([r["class"] for r in few]), _unit(np.array([r["v"] for r in few], float))
+
+    def run(batches):
+        best = [[] for _ in of]
+        for b in batches:
+            cls, first = b.column("class").to_numpy(), b.column("first").to_numpy()
+            near = asked @ _unit(_matrix(b.column("v"))).T
+            near[of[:, None] == cls] = -2
+            for i in range(len(of)):
+                n = min(k, b.num_rows)
+                some = np.flatnonzero(near[i] >= max(np.partition(near[i], -n)[-n], -1.5)) if n else []
+                best[i] = sorted(best[i] + list(zip((-near[i, some]).tolist(), first[some].tolist(), cls[some].tolist())))[:k]
+        flat = [(int(q), c, -s, f) for q, found in zip(of, best) for s, f, c in found]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*flat)) or [()] * 4, (
+            pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["q", "c", "score", "first"])
+
+    each = arrow_map(classes.select("class", F.element_at("ids", 1).alias("first"), "v"), run, "q long, c long, score double, first long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "first")
+    best = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    out: dict[int, list] = {}
+    for r in best.join(classes.select(F.col("class").alias("c"), "v"), "c").select("q", "v").collect():    # k rows a probe
+        out.setdefault(r["q"], []).append(r["v"])
+    return {q: _unit(np.array(v, float)) for q, v in out.items()}
+
+
+def calibrate(ask: DataFrame, classes: DataFrame, near: Nearness, trees: list[Tree], k: int, least: int) -> tuple[float, Nearness]:
+    """The chance of a miss at which a query stops, and ``near`` with noise so wide, that find ``FOUND`` of the true neighbours of ``PROBES`` queries."""
+    few = ask.select("class", "v").orderBy(F.xxhash64("class", F.lit(1)), "class").limit(PROBES).collect()
+    truth = _true_neighbours(classes, few, k)
+    few = [r for r in few if r["class"] in truth]
+    if not few:
+        return 1.0, near
+    spark = classes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(r["class"], [float(x) for x in r["v"]], [v.tolist() for v in truth[r["class"]]]) for r in few]
+    table = spark.createDataFrame(rows, "class long, v array<double>, others array<array<double>>").repartition(tasks)
+    while True:
+        def run(batches, near=near):
+            for b in batches:
+                at = [needed(trees, near, u, np.array(o), least).tolist()
+                      for u, o in zip(_unit(_matrix(b.column("v"))), b.column("others").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.float64()))], names=["at"])
+
+        at = np.sort([x for r in arrow_map(table, run, "at array<double>").collect() for x in r["at"]])
+        miss = float(at[int((1 - FOUND) * len(at))])
+        if miss > 0 or near.wide > 1e6:     # wider noise goes on to read all leaves alike
+            return miss, near
+        near = replace(near, wide=2 * near.wide)
+
+
 def _probes(queries: DataFrame, trees: list[Tree], near: Nearness, miss: float, least: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -240,10 +337,10 @@ def _probes(queries: DataFrame, trees: list[Tree], near: Nearness, miss: float,
 
 
 def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
-    """Per cell and query, the ``keep`` best classes; rows: tree, leaf, a, b, side (0 query, 1 row), class, v."""
+    """Per cell and query, the ``keep`` best classes, equal ones by their smallest id; rows: tree, leaf, a, b, side (0 query, 1 row), class, first, v."""
     ordered = rows.repartition("tree", "leaf", "a", "b").sortWithinPartitions("tree", "leaf", "a", "b", "side")
 
-    def best(side, cls, m):
+    def best(side, cls, first, m):
         q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(q) or not len(c):
             return None
@@ -251,6 +348,20 @@ def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
         k = min(len(c), keep + 4)           # a few more than asked for: the product only selects
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         i, j = np.repeat(q, k), c[top.ravel()]
+        if k > keep:
+            # Where the last of them is as near as the last one asked for, others may be too: of these all are looked at.
+            have = -np.sort(-np.take_along_axis(near, top, axis=1), axis=1)
+            level = have[:, keep - 1] - 1e-12
+            tied = np.flatnonzero(have[:, -1] >= level)
+            if len(tied):
+                rest = ~np.isin(i, q[tied])
+                i, j = [i[rest]], [j[rest]]
+                for r in tied:
+                    some = c[near[r] >= level[r]]
+                    s = cosines(np.broadcast_to(m[q[r]], m[some].shape), m[some])
+                    j.append(some[np.lexsort((first[some], -s))[:keep]])
+                    i.append(np.full(len(j[-1]), q[r]))
+                i, j = np.concatenate(i), np.concatenate(j)
         s = cosines(m[i], m[j])
         return pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j]), pa.array(s)], names=["q", "c", "score"])
 
@@ -259,18 +370,18 @@ def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in ("tree", "leaf", "a", "b", "side", "class")]
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in ("tree", "leaf", "a", "b", "side", "class", "first")]
             now.append(_matrix(b.column("v")))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             key = np.stack(held[:4], 1)
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
             for i, j in zip(cuts[:-1], cuts[1:]):
-                out = best(held[4][i:j], held[5][i:j], held[6][i:j])
+                out = best(*(x[i:j] for x in held[4:]))
                 if out is not None:
                     yield out
             held = [x[cuts[-1]:] for x in held]
         if held is not None:
-            out = best(held[4], held[5], held[6])
+            out = best(*held[4:])
             if out is not None:
                 yield out
 
@@ -278,7 +389,7 @@ def _rank_cells(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample: int = SAMPLE, least: int = LEAVES,
-            miss: float = MISS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every row for which ``is_query`` (of vec_id) holds."""
     rows = usable(table, id_col, vector_col).distinct()
     member = Window.partitionBy("v").orderBy("vec_id")
@@ -299,13 +410,13 @@ def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample:
         if r["count"] > LEAF_ROWS:
             forest[r["tree"]].depth[r["leaf"]] = min(DEEPER, int(np.ceil(np.log2(r["count"] / LEAF_ROWS))))
 
-    near = nearness(unit, forest, k)
     index = stored(_index(classes, forest), "index")
     ask = classes.join(asking.select("class").distinct(), "class", "left_semi")
     # A number of partitions is given, as queries are few rows but much work: they are not to be merged into one task.
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    miss, near = calibrate(ask, classes, nearness(unit, forest, k), forest, k, least)
     probes = stored(_probes(ask.repartition(tasks, "class"), forest, near, miss, least), "probes")
-    vectors = classes.select("class", "v")
+    vectors = classes.select("class", F.element_at("ids", 1).alias("first"), "v")
 
     def parts(df, name):
         return df.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
@@ -316,7 +427,7 @@ def nearest(table: DataFrame, is_query, k: int = 5, trees: int = TREES, sample:
             .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(1)))
     right = (probes.join(cells, ["tree", "leaf"]).withColumn("b", F.pmod(of, F.col("nb")).cast("int"))
              .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(0)))
-    cols = ["tree", "leaf", "a", "b", "side", "class", "v"]
+    cols = ["tree", "leaf", "a", "b", "side", "class", "first", "v"]
     scored = _rank_cells(left.join(vectors, "class").select(cols).unionByName(right.join(vectors, "class").select(cols)), k + 1)
 
     pairs = scored.groupBy("q", "c").agg(F.max("score").alias("score"))

@@ -114,6 +114,26 @@ def test_recall_holds_where_the_least_number_of_leaves_is_a_small_share(spark, m
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_recall_where_some_rows_have_near_neighbours_and_others_none(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 20)
+    rng = np.random.default_rng(8)
+    for tight, offset, alone in ((0.9, 0, False), (0.0, 5, False), (1.0, 0, True)):
+        m = np.where((rng.random(4000) < tight)[:, None], 3 * rng.normal(size=64) + 0.02 * rng.normal(size=(4000, 64)),
+                     offset * rng.normal(size=64) + rng.normal(size=(4000, 64)))
+        if alone:        # every query is far from all other rows
+            m[::50] = rng.normal(size=(80, 64))
+        rows = [(i, v.tolist()) for i, v in enumerate(np.float32(m))]
+        want, got = exact(rows, 5), run(spark, rows, sample=1000)
+        assert set(got) == set(want)
+        assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want), (tight, offset, alone)
+
+
+def test_many_parallel_vectors_are_ranked_by_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(2 ** n), float(2 ** (n + 1))]) for n, i in enumerate(rng.permutation(100))]
+    assert run(spark, rows) == exact(rows, 5)
+
+
 def test_equal_vectors_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 16)
     rows = [(i, [1.0, 2.0, 2.0]) for i in range(200)] + [(300 + i, [0.5 * i, 1.0, 0.0]) for i in range(20)]
