@@ -3,7 +3,7 @@
 A text is cut before every single space that follows a non-space character. The
 split pattern never joins characters across such a cut, so each part can be encoded
 once - each match of the pattern in it by the library's BPE model -, remembered per
-worker (bounded), and the ids of a text are the concatenation of its parts' ids. Ids travel
+worker (bounded; a word before a mark is looked up as the word), and the ids of a text are the concatenation of its parts' ids. Ids travel
 as little-endian unsigned 32-bit bytes. Texts with characters that are unassigned here, and
 for vocabulary files with added tokens texts that hold one, are encoded at once by the
 library whose ids are to be matched: its own tables then say what a letter is, and added
@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -128,14 +127,6 @@ class _Unassigned(Exception):
     """A text with characters that Unicode versions, and so the libraries' tables of letters, may differ on."""
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Characters without a meaning in this Python's Unicode version; newer tables may give them one."""
-    code = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
-    ends = [c for c in range(0x110001) if (c < 0x110000 and code[c]) != (c > 0 and code[c - 1])]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(ends[::2], ends[1::2])) + "]")
-
-
 class PartEncoder:
     """Encodes texts part by part; what parts and matches of the pattern give is remembered up to a bound.
 
@@ -149,18 +140,26 @@ class PartEncoder:
         import regex
 
         self.model, self.at_once, self.added = tokenizer.model, whole, tuple(added)
-        self.unassigned = unassigned().search
+        self.assigned: set[str] = set()             # characters met that have a meaning in this Python's Unicode version
         self.cut = regex.compile(pattern).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
+        self.space = byte_alphabet()[32]
+        self.packed = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
         self.pieces = _Remembered(self._piece, pieces)
         self.parts = _Remembered(self._part, parts)
 
+    def _tokens(self, spelled: str) -> bytes:
+        """Ids of one match of the pattern in the byte alphabet, by the library's BPE model."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
+
     def _piece(self, piece: str) -> bytes:
-        """Ids of one match of the pattern, by the library's BPE model. What is raised here is never remembered."""
-        if not piece.isascii() and self.unassigned(piece):
-            raise _Unassigned
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        """Ids of one match of the pattern. What is raised here is never remembered."""
+        if not piece.isascii() and not self.assigned.issuperset(piece):
+            if any(unicodedata.category(c) == "Cn" for c in piece):     # newer tables may give it a meaning
+                raise _Unassigned
+            self.assigned.update(piece)
+        return self._tokens(piece.encode().decode("latin-1").translate(self.alphabet))
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
@@ -168,10 +167,11 @@ class PartEncoder:
     def _part(self, part: str) -> bytes:
         if not part or part[-1].isspace():
             raise _NotApart
-        if part.isalpha():                                      # a space and letters are one match
-            return self.pieces[" " + part]
+        if part.isalpha():                                      # a space and letters are one match, letters have a meaning
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+            return self._tokens(self.space + spelled)
         if part[-1] in ".,;:!?" and part[:-1].isalpha():        # and then one mark is another
-            return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
+            return self.parts[part[:-1]] + self.pieces[part[-1]]
         return self._whole(" " + part)
 
     def _cut(self, text: str) -> bytes:

@@ -96,6 +96,15 @@ def test_memory_of_parts_is_bounded(codec):
     assert len(enc.parts) <= 5 and len(enc.pieces) <= 5
 
 
+def test_a_word_is_remembered_once_whatever_mark_follows():
+    tok = tokenizers.Tokenizer.from_file(JSON)
+    enc = bpe.PartEncoder(tok, public_tokenizers.PATTERN, whole=None)
+    text = "x alpha alpha, alpha. été été! été? Ǆa Ǆa; a\u0301b a\u0301b."
+    assert ids(enc.encode([text])[0]) == tok.encode(text, add_special_tokens=False).ids
+    assert [p for p in enc.pieces if p[1:].isalpha()] == [" a"]      # of the part that is not letters alone
+    assert {"alpha", "été", "Ǆa"} <= set(enc.parts)
+
+
 def test_encode_decode_frames(spark):
     rows = [(1, "né 😀 ok"), (2, None), (3, ""), (3, ""), (None, "x" * 50_000)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, ids string")
